@@ -42,3 +42,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_language": op3_language, "op4_rans": op4_rans, "op5_minhash": op5_minhash, "op10_sharding": op10_sharding}
+ORACLE_SQL: dict[str, str] = {}
