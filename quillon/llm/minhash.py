@@ -20,8 +20,6 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Of 128 minima, pairs at 0.75 agree in 96 with a deviation of 4.9; fewer than this is over six deviations off.
 LEAST_AGREE = 66
-#: Members of a bucket that a row of the second search holds.
-BLOCK = 64
 
 
 @lru_cache(maxsize=1)
@@ -88,16 +86,17 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREE))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature verification of members against blocks of their bucket; pairs of one component are known."""
+def _prefix_length(n: int) -> int:
+    """Of sets with similarity SIMILAR_PERCENT or more, so many of the first elements of either, in one order for all, hold a common one."""
+    return n - -(-SIMILAR_PERCENT * n // 100) + 1
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            other = np.frombuffer(b"".join(e["minima"] for e in row["block"]), np.uint16).reshape(-1, HASHES)
-            comp = np.array([e["comp"] for e in row["block"]])
-            near = np.flatnonzero(((other == np.frombuffer(row["minima"], np.uint16)).sum(axis=1) >= LEAST_AGREE) & (comp != row["comp"]))
-            if len(near):
-                ids = [row["block"][i]["rep"] for i in near]
-                yield pa.RecordBatch.from_arrays([pa.array([max(row["rep"], i) for i in ids], pa.int64()), pa.array([min(row["rep"], i) for i in ids], pa.int64())], ["a", "b"])
+        for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            shingles = shingle_set(text).view(np.int64)
+            n = len(shingles)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, _prefix_length(n), np.int32)), pa.array(shingles)], ["rep", "prefix", "shingle"])
 
 
 def similar_sets(x: np.ndarray, y: np.ndarray, percent: int = SIMILAR_PERCENT) -> bool:
@@ -133,15 +132,31 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _contested_pairs(contested: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of contested classes (rep, comp, outside) of different components that share a shingle of both prefixes."""
+    own = texts.join(contested.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    occurring = written(own.mapInArrow(_occurrences, "rep long, prefix int, shingle long"), "occurring")
+    often = written(occurring.groupBy("shingle").agg(F.count("*").alias("n")), "often")
+    ordered = occurring.join(often, "shingle").groupBy("rep", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    first = ordered.select("rep", F.explode(F.slice("all", F.lit(1), F.col("prefix"))).alias("e")).where("e.n > 1").select("rep", F.col("e.shingle").alias("shingle"))
+    first = written(first.join(contested, "rep"), "prefixes")
+    deleted(occurring)
+    deleted(often)
+    left = first.where("outside").select("shingle", F.col("rep").alias("x"), F.col("comp").alias("p"))
+    right = first.select("shingle", F.col("rep").alias("y"), F.col("comp").alias("q"))
+    return left.join(right, "shingle").where("p <> q").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, n_links, component_id and kept for each row.
 
     Equal shingle sets are first made one class, named by its least id, so copies cost one row. Classes that share a band go
     into a bucket. First, each bucket's most central class (the one with the largest buckets in all) is compared with the
-    others, which links a crowd of copies to what they were copied from. Then, in buckets that still hold several
-    components, every member of all but the largest component is compared with the whole bucket by blocks of
-    BLOCK members, and pairs whose signatures may be at the threshold go on. Links count only once confirmed on full sets.
-    No pair is dropped by a cap, and pairs already known to be in one component are not compared.
+    others, which links a crowd of copies to what they were copied from. Some buckets then still hold several components. Their
+    classes are contested: those outside their bucket's largest component are compared with all other contested classes of
+    other components that share one of their rarest shingles. That is exact: of similar sets, the rarest n - ceil(0.75 n) + 1
+    shingles of each hold a common one. So what differs in over a quarter from all others is settled without a
+    comparison. Links count only once confirmed on full sets; there is no cap, and pairs of one component are not compared.
 
     n_links is the number of confirmed links of the row's class to other classes; a lower bound of all that
     there are, as known components need no more. Null or empty text, or blanks only: n_shingles 0, linked with nothing. Null id:
@@ -167,26 +182,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = written(star, "star-pairs")
     half = written(star.join(minima.withColumnsRenamed({"rep": "a", "minima": "x"}), "a"), "half")
     likely = half.join(minima.withColumnsRenamed({"rep": "b", "minima": "y"}), "b").select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long")
-    links = confirm(likely, slim)
+    texts = written(slim.join(central.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    links = confirm(likely, texts)
     for table in (star, half, pivots, central, sizes):
         deleted(table)
 
     found = components(links)
     labelled = written(members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "labelled")
     deleted(members)
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rest = written(labelled.join(written(open_keys, "open"), "key").join(minima, "rep"), "rest")
-    deleted(labelled)
-    crowd = rest.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    largest = written(crowd.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main")), "largest")
-    # blocks of a bucket's members outside its largest component, dealt by a hash
-    outside = rest.join(largest, "key").where("comp <> main")
-    count = outside.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = outside.join(written(count, "count"), "key").withColumn("deal", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
-    blocks = written(dealt.groupBy("key", "deal").agg(F.collect_list(F.struct("rep", "comp", "minima")).alias("block")), "blocks")
-    second = rest.select("key", "rep", "comp", "minima").join(blocks.select("key", "block"), "key").mapInArrow(_across, "a long, b long")
-    more = confirm(second, slim)
-    for table in (rest, largest, blocks):
+    crowd = written(labelled.groupBy("key", "comp").agg(F.count("*").alias("n")), "crowd")
+    largest = written(crowd.groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps"), "largest")
+    contested = written(labelled.join(largest, "key").groupBy("rep").agg(F.any_value("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("outside")), "contested")
+    more = confirm(_contested_pairs(contested, texts), texts)
+    for table in (labelled, crowd, largest, contested, texts):
         deleted(table)
 
     every = links.unionByName(more)
