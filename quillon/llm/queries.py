@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, rans, sharding
+from . import decontam, imatch, langid, linededup, minhash, packing, rans, sharding, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "removed_lines", "removed_words", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     profiles = langid.learn(docs.where(~langid.held_out()))
@@ -34,6 +39,22 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+#: The rules of the contract: host, path, allowed.
+RULES = [urlfilter.Rule("net", "/", False), urlfilter.Rule("example.net", "/en/", True), urlfilter.Rule("example.com", "/de/", False), urlfilter.Rule("org", "/fr/", True)]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_read(spark, sf_dir, "pages"), RULES)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     slim = _read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -41,5 +62,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op3_language": op3_language, "op4_rans": op4_rans, "op5_minhash": op5_minhash, "op10_sharding": op10_sharding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_lines": op2_lines,
+    "op3_language": op3_language,
+    "op4_rans": op4_rans,
+    "op5_minhash": op5_minhash,
+    "op6_imatch": op6_imatch,
+    "op8_decontamination": op8_decontamination,
+    "op9_urls": op9_urls,
+    "op10_sharding": op10_sharding,
+}
 ORACLE_SQL: dict[str, str] = {}
