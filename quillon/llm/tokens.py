@@ -18,49 +18,91 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_STOPS = frozenset(".,;:!?")
+
+
 class IdEncoder:
     """Texts to ids, as little-endian unsigned 32-bit integers in bytes.
 
     The byte-level vocabulary never merges across a pre-token, and a single space before a
     character that is no white space always begins one. So each piece between spaces has the same ids
-    alone as in its text, and pieces are encoded once and kept. Texts where this doesn't hold (white space
-    around a space, strings of special tokens) are encoded as a whole. The cache holds at
-    most ``capacity`` pieces of at most 64 characters.
+    alone as in its text; so has what stands between its line feeds, and what stands before a stop that follows a letter. The library
+    encodes each such part once, and its ids are kept. Texts where this doesn't hold (white space
+    around a space, strings of special tokens) are encoded as a whole. At most ``capacity`` parts and as many pieces
+    of at most 64 characters are kept.
     """
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.capacity, self.kept = capacity, {}
+        self.capacity = capacity
+        self.parts: dict[str, bytes] = {}  # by text
+        self.pieces: dict[str, bytes] = {}  # by text without the space before it
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
+    def _learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            found = self.tokenizer.encode_batch([some], is_pretokenized=True, add_special_tokens=False)[0]
+            ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(some)))).tolist()
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            self.parts.update(zip(some, [ids[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+
+    def _split(self, piece: str) -> list[str]:
+        """The piece's parts."""
+        if "\n" in piece:
+            lines = piece.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in (lines[0].removeprefix(" "), *lines[1:])):
+                return [y for i, x in enumerate(lines) for y in (["\n"] * bool(i) + self._split(x))]
+        elif len(piece) > 2 and piece[-1] in _STOPS and piece[-2].isalpha():
+            return [piece[:-1], piece[-1]]
+        return [piece]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
+        if len(self.parts) > self.capacity:
+            self.parts.clear()
+        if len(self.pieces) > self.capacity:
+            self.pieces.clear()
+        get, out, waiting, whole = self.pieces.get, [], [], []
+        new: dict[str, list[str]] = {}  # by text
+        for i, text in enumerate(texts):
+            out.append(b"")
+            if not text:
+                continue
             if _UNSAFE.search(text) or any(s in text for s in self.special):
-                split.append(None)
+                whole.append(i)
+                continue
+            split = text.split(" ")
+            ids = list(map(get, split))
+            if split[0]:
+                ids[0] = None
+            missing = [k for k, x in enumerate(ids) if x is None]
+            if missing:
+                for k in missing:
+                    piece = " " + split[k] if k else split[0]
+                    if piece and piece not in new:
+                        new[piece] = self._split(piece)
+                waiting.append((i, split, ids, missing))
             else:
-                first, *rest = text.split(" ")
-                split.append([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
-        kept = self.kept
-        if len(kept) > self.capacity:
-            kept.clear()
-        need = list({p for pieces in split if pieces for p in pieces if p not in kept})
-        kept.update(zip(need, self._ids(need), strict=True))
-        out = [None if p is None else b"".join([kept[x] for x in p]) for p in split]
-        for p in need:
-            if len(p) > 64:
-                del kept[p]
-        whole = [i for i, p in enumerate(split) if p is None]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+                out[i] = b"".join(ids[1:] if not split[0] else ids)
+        self._learn(list({p for parts in new.values() for p in parts if p not in self.parts}))
+        known = {piece: b"".join([self.parts[p] for p in parts]) for piece, parts in new.items()}
+        for i, split, ids, missing in waiting:
+            for k in missing:
+                ids[k] = known[" " + split[k]] if k else known.get(split[0], b"")
+            out[i] = b"".join(ids if split[0] else ids[1:])
+        for piece, ids in known.items():
+            if piece[0] == " " and len(piece) <= 64 and "\n" not in piece:
+                self.pieces[piece[1:]] = ids
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        return out  # type: ignore[return-value]
+        return out
 
 
 @lru_cache(maxsize=2)
