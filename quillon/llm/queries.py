@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, imatch, langid, linededup, minhash, packing, rans, sharding, urlfilter
+from . import chat, decontam, imatch, langid, linededup, minhash, packing, rans, sharding, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.recover(_read(spark, sf_dir, "conversations"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rans": op4_rans,
     "op5_minhash": op5_minhash,
     "op6_imatch": op6_imatch,
+    "op7_chat": op7_chat,
     "op8_decontamination": op8_decontamination,
     "op9_urls": op9_urls,
     "op10_sharding": op10_sharding,
