@@ -1,4 +1,112 @@
-"""All queries and the SQL that they are checked against."""
+"""All queries over the test tables, and the SQL that they are checked against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.functions.rolling import by_date
+from quillon.operators import correlation, features, indicators
+from quillon.oracle import ORACLE_SQL
+from quillon.sources import bars as source
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """All doubles to so many digits, as sums differ in their last bits by the order of rows."""
+    return df.select(*[F.round(c, other.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.panel(source.bars(spark, sf_dir), values=("close", "volume", "high", "low"))
+
+
+@query
+def bars(spark, sf_dir):
+    return rounded(source.bars(spark, sf_dir))
+
+
+@query
+def panel(spark, sf_dir):
+    return rounded(source.panel(source.bars(spark, sf_dir)))
+
+
+@query
+def asof_truncate(spark, sf_dir):
+    return rounded(source.as_of(source.bars(spark, sf_dir), "1995-06-30").select("ticker", "date", "close"))
+
+
+@query
+def half_open_range(spark, sf_dir):
+    return rounded(source.within(source.bars(spark, sf_dir), "1996-01-01", "1997-01-06", half_open=True).select("ticker", "date", "close"))
+
+
+@query
+def min_history(spark, sf_dir):
+    return source.available(source.bars(spark, sf_dir), 350)
+
+
+@query
+def coverage_gate(spark, sf_dir):
+    return source.coverage_gate(source.bars(spark, sf_dir), 25, 357, 0.8)
+
+
+@query
+def returns(spark, sf_dir):
+    return rounded(features.returns(dense(spark, sf_dir)).select("ticker", "date", "ret", "log_ret"))
+
+
+@query
+def beta_residual(spark, sf_dir):
+    return rounded(features.residuals(dense(spark, sf_dir), source.market(spark, sf_dir)).select("ticker", "date", "bench", "beta", "resid"))
+
+
+@query
+def group_features(spark, sf_dir):
+    return rounded(features.group_features(dense(spark, sf_dir), source.market(spark, sf_dir)))
+
+
+@query
+def sector_features(spark, sf_dir):
+    return rounded(features.sector_features(dense(spark, sf_dir)), median_dollar_volume=2)
+
+
+@query
+def pair_correlation(spark, sf_dir):
+    return rounded(correlation.distance(correlation.correlation(features.returns(dense(spark, sf_dir)), "log_ret")))
+
+
+@query
+def rolling_mean_correlation(spark, sf_dir):
+    return rounded(correlation.rolling_mean(features.returns(dense(spark, sf_dir))))
+
+
+@query
+def rolling_median_correlation(spark, sf_dir):
+    return rounded(correlation.rolling_median(features.returns(dense(spark, sf_dir))))
+
+
+def log_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.market(spark, sf_dir).select("date", (F.ln("market") - F.ln(F.lag("market").over(by_date()))).alias("f"))
+
+
+@query
+def residualize(spark, sf_dir):
+    return rounded(correlation.residualize(features.returns(dense(spark, sf_dir)), log_factor(spark, sf_dir)).select("ticker", "date", "resid"))
+
+
+@query
+def indicators_(spark, sf_dir):
+    return rounded(indicators.indicators(source.bars(spark, sf_dir)).select("ticker", "date", "rsi", "williams_r", "stretch_z", "volume_signal", "divergence", "confirmed"))
+
+
+QUERIES["indicators"] = QUERIES.pop("indicators_")
