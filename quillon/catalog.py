@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.rolling import by_date
-from quillon.operators import correlation, features, indicators
+from quillon.functions.rolling import by_date, by_ticker, forward_compound
+from quillon.operators import correlation, evaluate, features, indicators, intervals, labels, models, strength, universe
 from quillon.oracle import ORACLE_SQL
 from quillon.sources import bars as source
 
@@ -77,7 +77,7 @@ def group_features(spark, sf_dir):
 
 @query
 def sector_features(spark, sf_dir):
-    return rounded(features.sector_features(dense(spark, sf_dir)), median_dollar_volume=2)
+    return rounded(features.sector_features(dense(spark, sf_dir)), median_dollar_volume=3)
 
 
 @query
@@ -110,3 +110,271 @@ def indicators_(spark, sf_dir):
 
 
 QUERIES["indicators"] = QUERIES.pop("indicators_")
+
+
+@query
+def cluster_washout(spark, sf_dir):
+    return rounded(indicators.washout(dense(spark, sf_dir)))
+
+
+def alarmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = source.bars(spark, sf_dir)
+    return indicators.alarms(own, source.panel(own, values=("close", "volume", "high", "low")), alarm_gate=20.0, washout_gate=-0.5)
+
+
+@query
+def ticker_alarm(spark, sf_dir):
+    return rounded(alarmed(spark, sf_dir).select("ticker", "date", "washout", "alarm", "fired"))
+
+
+@query
+def adx(spark, sf_dir):
+    return rounded(indicators.adx(source.bars(spark, sf_dir)))
+
+
+@query
+def log_slope_r2(spark, sf_dir):
+    return rounded(indicators.slope_r2(source.bars(spark, sf_dir), 60))
+
+
+@query
+def ma_stack(spark, sf_dir):
+    return indicators.ma_stack(source.bars(spark, sf_dir), 20, 60)
+
+
+@query
+def trend_table(spark, sf_dir):
+    return rounded(indicators.trend_table(source.bars(spark, sf_dir)))
+
+
+@query
+def capture_ratios(spark, sf_dir):
+    rows = features.returns(dense(spark, sf_dir))
+    group = rows.groupBy("cluster", "date").agg(F.avg("log_ret").alias("group_ret"))
+    return rounded(strength.capture(rows.join(group, ["cluster", "date"]), ["ticker"], "log_ret", "group_ret"))
+
+
+@query
+def drawdown_recovery(spark, sf_dir):
+    return rounded(strength.drawdowns(source.bars(spark, sf_dir)))
+
+
+@query
+def strength_table(spark, sf_dir):
+    return rounded(strength.strength_table(dense(spark, sf_dir)))
+
+
+@query
+def rank_tickers(spark, sf_dir):
+    return rounded(strength.rank_tickers(dense(spark, sf_dir)))
+
+
+@query
+def bottom_labels(spark, sf_dir):
+    return labels.bottoms(source.bars(spark, sf_dir), 5, 10, 0.05).select("ticker", "date", "label")
+
+
+@query
+def first_hit_labels(spark, sf_dir):
+    return labels.first_hit(features.sector_features(dense(spark, sf_dir)))
+
+
+@query
+def forward_returns(spark, sf_dir):
+    rows, w = features.returns(dense(spark, sf_dir)), by_ticker()
+    return rounded(rows.select("ticker", "date", labels.forward_return(F.col("close"), w, 5).alias("forward_5"), forward_compound(F.col("ret"), w, 5).alias("compound_5")))
+
+
+@query
+def rebound_leaders(spark, sf_dir):
+    return rounded(labels.rebound_leaders(dense(spark, sf_dir), 5, 20, 0.05))
+
+
+def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.bottoms(alarmed(spark, sf_dir), 5, 10, 0.05).withColumn("signal", F.col("fired"))
+
+
+@query
+def signal_matches(spark, sf_dir):
+    return rounded(evaluate.matches(signalled(spark, sf_dir), 10).select("ticker", "pos", "label_pos", "lead", "matched"))
+
+
+@query
+def classification_scores(spark, sf_dir):
+    return rounded(evaluate.scores(signalled(spark, sf_dir), 10))
+
+
+@query
+def economic_metrics(spark, sf_dir):
+    return rounded(evaluate.economics(evaluate.samples(alarmed(spark, sf_dir), F.col("fired"))))
+
+
+@query
+def edge_table(spark, sf_dir):
+    rows = alarmed(spark, sf_dir)
+    own = evaluate.economics(evaluate.samples(rows, F.col("fired")))
+    return rounded(evaluate.edges(own, evaluate.economics(evaluate.baseline(rows, F.col("fired"), draws=5))))
+
+
+@query
+def folds(spark, sf_dir):
+    return evaluate.expanding_folds(spark, "1995-01-02", "2001-06-30", 3)
+
+
+@query
+def gate_search(spark, sf_dir):
+    return rounded(evaluate.gate_search(signalled(spark, sf_dir), evaluate.expanding_folds(spark, "1995-01-02", "2001-06-30", 3), (5, 10, 15, 20, 25), 10, -0.5))
+
+
+@query
+def purged_splits(spark, sf_dir):
+    return evaluate.purged_splits(300, 4, 10, spark)
+
+
+@query
+def prediction_metrics(spark, sf_dir):
+    rows = source.table(spark, sf_dir, "orders").select((F.col("o_totalprice") % 101 / 101).alias("x"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("target"), (F.col("o_custkey") % 21 / 100.0 - 0.1).alias("future"))
+    return rounded(evaluate.prediction_metrics(rows.withColumn("probability", F.round("x", 2))))
+
+
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("ts").cast("date")
+    return source.table(spark, sf_dir, "events").select("user_id", day.alias("start"), F.date_add(day, (F.col("event_id") % 4).cast("int")).alias("end"))
+
+
+@query
+def interval_union(spark, sf_dir):
+    return intervals.union(coverage(spark, sf_dir), "user_id")
+
+
+@query
+def interval_gaps(spark, sf_dir):
+    wanted = coverage(spark, sf_dir).select("user_id").distinct().select("user_id", F.lit("2024-01-01").cast("date").alias("low"), F.lit("2024-02-01").cast("date").alias("high"))
+    return intervals.missing(coverage(spark, sf_dir), wanted, "user_id")
+
+
+@query
+def refresh_gaps(spark, sf_dir):
+    return source.refresh_gaps(source.bars(spark, sf_dir), "1994-12-01", "2003-01-01")
+
+
+@query
+def merge_keep_last(spark, sf_dir):
+    own = source.bars(spark, sf_dir)
+    return rounded(source.merged(source.as_of(own, "1999-12-31"), own.where("date >= '1999-06-01'").withColumn("close", F.col("close") * 2)).select("ticker", "date", "close"))
+
+
+@query
+def checksums(spark, sf_dir):
+    part = source.table(spark, sf_dir, "part")
+    return universe.membership_hash(part, ["p_size"], "p_brand")
+
+
+def export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = source.table(spark, sf_dir, "part")
+    return part.select(F.concat(F.lit("s"), F.col("p_partkey") % 700).alias("symbol"), F.when(F.col("p_partkey") % 11 == 0, F.concat("p_name", F.lit(" Warrant"))).otherwise(F.col("p_name")).alias("name"), F.col("p_type").alias("industry"), F.col("p_brand").alias("sector"), F.when(F.col("p_size") % 2 == 0, "France").otherwise("Japan").alias("country"), F.concat(F.lit("$"), (F.col("p_retailprice") * 100).cast("long")).alias("market_cap"))
+
+
+@query
+def universe_normalised(spark, sf_dir):
+    return universe.normalised(export(spark, sf_dir))
+
+
+@query
+def industry_counts(spark, sf_dir):
+    return universe.industries(universe.normalised(export(spark, sf_dir)))
+
+
+@query
+def industry_query(spark, sf_dir):
+    rows = universe.normalised(export(spark, sf_dir))
+    first = rows.agg(F.min("industry")).first()[0]
+    return universe.by_industry(rows, first, 5).select("symbol", "industry", "market_cap")
+
+
+@query
+def universe_screen(spark, sf_dir):
+    rows = universe.normalised(export(spark, sf_dir))
+    return universe.screened(rows.withColumn("industry", F.lit("Chips")), ["chips"], ["France"], least_cap=1000, top=50).select("symbol", "name", "market_cap")
+
+
+@query
+def universe_edit(spark, sf_dir):
+    nation = source.table(spark, sf_dir, "nation").select(F.col("n_name").alias("ticker"), F.col("n_nationkey").alias("place"))
+    return universe.resolved(nation, ["atlantis", "FRANCE"], ["japan"], 20)
+
+
+@query
+def liquidity_reasons(spark, sf_dir):
+    stats = universe.liquidity(source.bars(spark, sf_dir))
+    return rounded(universe.with_reasons(stats, F.col("ticker") < "M", 1000.0, 300000.0, 357))
+
+
+THEMES = {"metal": ["steel", "tin", "copper"], "shape": ["ring", "bolt", "gear"], "size": ["large", "small"]}
+
+
+@query
+def theme_scope(spark, sf_dir):
+    part = source.table(spark, sf_dir, "part")
+    found = universe.themes(F.concat_ws(" ", "p_name", "p_type"), THEMES)
+    return part.select("p_partkey", F.concat_ws("|", found).alias("themes"), universe.in_scope(F.col("p_brand"), found, ["Brand#1"]).alias("in_scope"))
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    customer = source.table(spark, sf_dir, "customer")
+    rows = customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("symbol"), F.concat(F.lit("N"), "c_custkey").alias("name"), F.lit("tech").alias("sector"), F.col("c_mktsegment").alias("industry"), F.lit("US").alias("country"), F.when(F.col("c_custkey") % 4 > 0, 2010 + F.col("c_custkey") % 14).alias("ipo_year"), F.abs("c_acctbal").alias("market_cap"))
+    return rows.where("k % 3 <> 0").drop("k"), rows.where("k % 5 <> 0").withColumn("market_cap", F.col("market_cap") + 1).drop("k")
+
+
+@query
+def universe_sync(spark, sf_dir):
+    first, second = manifests(spark, sf_dir)
+    return rounded(universe.synced(universe.synced(None, first, "2024-01-15", "2018-01-01"), second, "2024-02-15", "2018-01-01"))
+
+
+@query
+def snapshot_retention(spark, sf_dir):
+    first, second = manifests(spark, sf_dir)
+    return rounded(universe.retention(universe.synced(None, first, "2024-01-15", "2018-01-01"), second))
+
+
+@query
+def membership_mask(spark, sf_dir):
+    own = dense(spark, sf_dir)
+    manifest = own.groupBy("ticker").agg(F.date_add(F.min("date"), 700).alias("effective_from"))
+    return rounded(features.members(own, manifest).select("ticker", "date", "member", "close"))
+
+
+@query
+def set_changes(spark, sf_dir):
+    first, second = (d.select("symbol") for d in manifests(spark, sf_dir))
+    marked = [d.withColumn("change", F.lit(c)) for d, c in ((second.exceptAll(first), "added"), (first.exceptAll(second), "removed"), (first.intersect(second), "kept"))]
+    return marked[0].unionByName(marked[1]).unionByName(marked[2])
+
+
+@query
+def signals(spark, sf_dir):
+    rows = features.group_features(dense(spark, sf_dir), source.market(spark, sf_dir))
+    k = F.row_number().over(Window.orderBy("date"))
+    given = rows.withColumns({"k": k}).withColumns({"p": F.when(F.col("k") % 7 > 0, F.col("k") % 10 / 10.0), "bull": F.col("k") % 3 / 2.0, "bear": F.col("k") % 4 / 3.0})
+    return given.select("date", models.signal(F.col("p"), F.col("bull"), F.col("bear"), F.col("breadth_above_ma20"), F.col("relative_return_20"), wide=0.5, narrow=0.5).alias("signal"))
+
+
+@query
+def alerts(spark, sf_dir):
+    rows = features.sector_features(dense(spark, sf_dir)).join(correlation.rolling_median(features.returns(dense(spark, sf_dir))), "date", "left")
+    given = rows.select("date", F.col("drawdown_60d").alias("drawdown"), F.col("median_pairwise_correlation").alias("correlation"), F.col("breadth_thrust_5d").alias("thrust"))
+    given = given.withColumn("probability", models.heuristic_probability(F.col("drawdown"), F.col("thrust"), F.lit(0.3)))
+    return rounded(models.alert(given, least_correlation=-0.05, least_probability=0.6).select("date", "probability", "watch", "triggered"))
+
+
+@query
+def latest_signal(spark, sf_dir):
+    """The last date that has a signal, as one row."""
+    return signals(spark, sf_dir).where("signal <> 'unavailable'").agg(F.max("date").alias("date"), F.max_by("signal", "date").alias("signal"))
+
+
+@query
+def top_strength(spark, sf_dir):
+    rows = strength.rank_tickers(dense(spark, sf_dir)).select("ticker", "rise_strength_rank")
+    return rows.orderBy("rise_strength_rank", "ticker").limit(3)
