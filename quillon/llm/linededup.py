@@ -120,7 +120,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id
     rest = [c for c in docs.columns if c not in ("n_lines", "removed_lines", "removed_words")]
     keyed = docs.select(*rest).withColumns({"__doc": _key(id_col), "__tie": F.xxhash64(F.col(text_col).cast("string"))})
     cuts = cuts.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("cuts").alias("__cuts"))
-    joined = keyed.join(cuts, ["__doc", "__tie"], "left").select(*rest, "__cuts")
+    joined = keyed.join(cuts.hint("merge"), ["__doc", "__tie"], "left").select(*rest, "__cuts")
     at = rest.index(text_col)
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
