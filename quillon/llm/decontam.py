@@ -97,4 +97,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILAR_PERCENT,
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold an item."""
     held = written(leaks(docs, benchmark).select("doc_id").distinct(), "leaking")
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(held.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

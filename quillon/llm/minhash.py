@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = written(star, "star-pairs")
     half = written(star.join(minima.withColumnsRenamed({"rep": "a", "minima": "x"}), "a"), "half")
     likely = half.join(minima.withColumnsRenamed({"rep": "b", "minima": "y"}), "b").select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long")
-    texts = written(slim.join(central.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    texts = written(slim.join(central.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "texts")
     links = confirm(likely, texts)
     for table in (star, half, pivots, central, sizes):
         deleted(table)
@@ -211,4 +211,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document of least id of each component, and documents without words; docs' columns."""
     gone = written(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
