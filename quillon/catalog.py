@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quillon.functions.rolling import by_date, by_ticker, forward_compound
 from quillon.operators import correlation, evaluate, features, indicators, intervals, labels, models, strength, universe
 from quillon.oracle import ORACLE_SQL
+from quillon.plans import backtest as backtest_plan
+from quillon.plans import regime, sector
+from quillon.plans import screen as screen_plan
+from quillon.plans.config import Backtest, Config
 from quillon.sources import bars as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,3 +382,53 @@ def latest_signal(spark, sf_dir):
 def top_strength(spark, sf_dir):
     rows = strength.rank_tickers(dense(spark, sf_dir)).select("ticker", "rise_strength_rank")
     return rows.orderBy("rise_strength_rank", "ticker").limit(3)
+
+
+#: The plans over the test tables: weeks for days, regions for clusters.
+SETTINGS = Config(washout_gate=-0.5, alarm_gate=20.0, backtest=Backtest("1995-01-02", "2001-06-30", 3, 1, 5, 20, 0.05, (5, 10, 20), (5, 10, 15, 20, 25), 5))
+
+
+@query
+def screen(spark, sf_dir):
+    own = source.bars(spark, sf_dir)
+    tables = screen_plan.screen(own, SETTINGS, "2001-06-30", own.select("cluster", "ticker").distinct())
+    return rounded(screen_plan.summary(tables))
+
+
+@query
+def correlation_clusters(spark, sf_dir):
+    return rounded(correlation.clusters(correlation.correlation(features.returns(dense(spark, sf_dir)), "log_ret"), 0.05, 3))
+
+
+@query
+def rolling_pca_residual(spark, sf_dir):
+    return rounded(correlation.rolling_pca(features.residuals(dense(spark, sf_dir), source.market(spark, sf_dir)), 126, "resid"))
+
+
+@query
+def rolling_pca_sector(spark, sf_dir):
+    return rounded(correlation.rolling_pca(features.returns(dense(spark, sf_dir)), 60, "ret", complete=True))
+
+
+@query
+def hmm_regimes(spark, sf_dir):
+    rows = features.group_features(dense(spark, sf_dir), source.market(spark, sf_dir))
+    return rounded(models.walk_forward_regimes(rows, ["group_return", "realized_volatility", "breadth_above_ma20"], 200, 42))
+
+
+@query
+def regime_signals(spark, sf_dir):
+    out, _ = regime.run(dense(spark, sf_dir), source.market(spark, sf_dir), horizon=10, pca_window=60, least=200, refit=42)
+    return rounded(out.select("date", "regime", "probability", "signal"))
+
+
+@query
+def sector_alert(spark, sf_dir):
+    rows = dense(spark, sf_dir)
+    return rounded(sector.latest_alert(sector.analyse(rows), sector.ranking(rows)))
+
+
+@query
+def backtest_folds(spark, sf_dir):
+    own = source.bars(spark, sf_dir)
+    return rounded(backtest_plan.run(own, source.panel(own, values=("close", "volume", "high", "low")), SETTINGS)["per_fold"])

@@ -210,3 +210,12 @@ ORACLE_SQL["latest_signal"] = _q(_SIGNALS, "SELECT date, signal FROM sgn WHERE s
 _RANKS = ORACLE_SQL["rank_tickers"]
 ORACLE_SQL["top_strength"] = f"SELECT ticker, rise_strength_rank FROM ({_RANKS}) ORDER BY rise_strength_rank, ticker LIMIT 3"
 ORACLE_SQL["alerts"] = _q(_SECTOR + _pairs(60)[len(_PANEL) :] + ", med AS (SELECT date, median(CASE WHEN n >= 30 THEN rho END) AS c FROM rolled WHERE k >= 60 GROUP BY date), gv AS (SELECT s.date, drawdown_60d AS d, breadth_thrust_5d AS t, c, 1 / (1 + exp(-greatest(least(-4 * coalesce(drawdown_60d, 0) + 2 * coalesce(breadth_thrust_5d, 0) + 0.3, 10), -10))) AS p FROM sector s LEFT JOIN med ON s.date = med.date)", "SELECT date, round(p, 6) AS probability, coalesce(d <= -0.08 AND c >= -0.05, false) AS watch, coalesce(d <= -0.08 AND c >= -0.05 AND p >= 0.6 AND t >= 0.10, false) AS triggered FROM gv")
+ORACLE_SQL["rebound_leaders"] = _q(
+    _PANEL + ", lv AS (SELECT cluster, date, avg(close) AS level FROM panel GROUP BY cluster, date), ev AS (SELECT *, " + _BOTTOM.format(x="level", by="PARTITION BY cluster", k=5, h=20, r=0.05) + """ AS bottom, lead(level, 20) OVER (PARTITION BY cluster ORDER BY date) / level - 1 AS ahead FROM lv), ty AS (SELECT cluster, median(ahead) AS typical FROM ev WHERE bottom AND level > 0 GROUP BY cluster),
+  pr AS (SELECT *, lead(close, 5) OVER t / close - 1 AS r5, lead(close, 10) OVER t / close - 1 AS r10, lead(close, 20) OVER t / close - 1 AS r20, max(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS fut FROM panel WINDOW t AS (PARTITION BY ticker ORDER BY date)),
+  evt AS (SELECT p.*, typical, CASE WHEN peak > 0 AND close / peak - 1 < 0 THEN r20 / abs(close / peak - 1) END AS eff, CASE WHEN peak > 0 THEN nullif(coalesce(list_position(list_transform(fut, lambda x: coalesce(x >= peak, false)), true), 0), 0) - 1 END AS days FROM pr p JOIN ev ON ev.cluster = p.cluster AND ev.date = p.date AND ev.bottom JOIN ty ON ty.cluster = p.cluster WHERE p.close > 0 AND len(fut) = 20),
+  ag AS (SELECT cluster, ticker, count(*) AS events, median(r5) AS m5, median(r10) AS m10, median(r20) AS m20, median(eff) AS e, avg(CASE WHEN r20 > typical THEN 1.0 ELSE 0.0 END) AS c, coalesce(median(days), -1) AS d, median(r20) / nullif(any_value(typical), 0) AS ratio FROM evt GROUP BY cluster, ticker)""",
+    "SELECT cluster, ticker, events, round(m5, 6) AS median_rebound_5d, round(m10, 6) AS median_rebound_10d, round(m20, 6) AS median_rebound_20d, round(e, 6) AS recovery_efficiency, round(c, 6) AS consistency, d AS median_days_to_recover, round(ratio, 6) AS rebound_ratio_20d, CASE WHEN events >= 3 THEN row_number() OVER (PARTITION BY cluster, events >= 3 ORDER BY ratio DESC NULLS LAST, c DESC NULLS LAST, ticker) END AS rank_in_cluster FROM ag",
+)
+_SCREEN = _ALARM + _ADX[len(_BARS) :] + ", " + _score(20, "a20") + ", " + _score(60, "a60") + _GROUPED[len(_PANEL) :] + ", lastd AS (SELECT * FROM both_ WHERE date IN (SELECT DISTINCT date FROM panel ORDER BY date DESC LIMIT 120)), " + _drawdown("lastd") + ", cap AS (SELECT cluster, ticker, avg(CASE WHEN g > 0 THEN log_ret END) / avg(CASE WHEN g > 0 THEN g END) - avg(CASE WHEN g < 0 THEN log_ret END) / avg(CASE WHEN g < 0 THEN g END) AS spread FROM lastd WHERE log_ret IS NOT NULL AND g IS NOT NULL GROUP BY cluster, ticker), newest AS (SELECT ticker, alarm, washout, fired FROM al QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1)"
+ORACLE_SQL["screen"] = _r(_SCREEN.replace("JOIN region ON n_regionkey = r_regionkey)", "JOIN region ON n_regionkey = r_regionkey WHERE CAST(date_trunc('week', l_shipdate) AS DATE) <= DATE '2001-06-30')"), "SELECT a.ticker, round(a.score, 6) AS short_score, round(b.score, 6) AS mid_score, round(a.r2, 6) AS short_r2, round(b.r2, 6) AS mid_r2, round(b.adx, 6) AS adx, b.ma_stack, cap.cluster, round(spread, 6) AS capture_spread, round(max_drawdown, 6) AS max_drawdown, recovery_days, rank() OVER (PARTITION BY cap.cluster ORDER BY spread DESC) AS rank_in_cluster, round(alarm, 6) AS alarm, round(washout, 6) AS washout, fired FROM a20 a JOIN a60 b ON a.ticker = b.ticker JOIN cap ON cap.ticker = a.ticker JOIN dd ON dd.ticker = a.ticker JOIN newest n ON n.ticker = a.ticker WHERE a.ticker IN (SELECT ticker FROM bars GROUP BY ticker HAVING count(*) >= 65)")
