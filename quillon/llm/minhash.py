@@ -96,7 +96,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             shingles = shingle_set(text).view(np.int64)
             n = len(shingles)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, _prefix_length(n), np.int32)), pa.array(shingles)], ["rep", "prefix", "shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, n, np.int32)), pa.array(np.full(n, _prefix_length(n), np.int32)), pa.array(shingles)], ["rep", "size", "prefix", "shingle"])
 
 
 def similar_sets(x: np.ndarray, y: np.ndarray, percent: int = SIMILAR_PERCENT) -> bool:
@@ -135,16 +135,19 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _contested_pairs(contested: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b), a > b, of contested classes (rep, comp, outside) of different components that share a shingle of both prefixes."""
     own = texts.join(contested.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    occurring = written(own.mapInArrow(_occurrences, "rep long, prefix int, shingle long"), "occurring")
+    occurring = written(own.mapInArrow(_occurrences, "rep long, size int, prefix int, shingle long"), "occurring")
     often = written(occurring.groupBy("shingle").agg(F.count("*").alias("n")), "often")
-    ordered = occurring.join(often, "shingle").groupBy("rep", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
-    first = ordered.select("rep", F.explode(F.slice("all", F.lit(1), F.col("prefix"))).alias("e")).where("e.n > 1").select("rep", F.col("e.shingle").alias("shingle"))
+    ordered = occurring.join(often, "shingle").groupBy("rep", "size", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    first = ordered.select("rep", "size", F.posexplode(F.slice("all", F.lit(1), F.col("prefix"))).alias("place", "e")).where("e.n > 1").select("rep", "size", "place", F.col("e.shingle").alias("shingle"))
     first = written(first.join(contested, "rep"), "prefixes")
     deleted(occurring)
     deleted(often)
-    left = first.where("outside").select("shingle", F.col("rep").alias("x"), F.col("comp").alias("p"))
-    right = first.select("shingle", F.col("rep").alias("y"), F.col("comp").alias("q"))
-    return left.join(right, "shingle").where("p <> q").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    # at a pair's first common shingle, both have at most what comes after it in common; similar sets have 75 / 175 of both sizes
+    left = first.where("outside").select("shingle", F.col("rep").alias("x"), F.col("comp").alias("p"), F.col("size").alias("m"), (F.col("size") - F.col("place")).alias("i"))
+    right = first.select("shingle", F.col("rep").alias("y"), F.col("comp").alias("q"), F.col("size").alias("n"), (F.col("size") - F.col("place")).alias("j"))
+    enough = F.least("i", "j") * (100 + SIMILAR_PERCENT) >= SIMILAR_PERCENT * (F.col("m") + F.col("n"))
+    may = (left["shingle"] == right["shingle"]) & (F.col("p") != F.col("q")) & enough
+    return left.join(right, may).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
