@@ -144,9 +144,9 @@ def _contested_pairs(contested: DataFrame, texts: DataFrame) -> DataFrame:
     deleted(often)
     # at a pair's first common shingle, both have at most what comes after it in common; similar sets have 75 / 175 of both sizes
     left = first.where("outside").select("shingle", F.col("rep").alias("x"), F.col("comp").alias("p"), F.col("size").alias("m"), (F.col("size") - F.col("place")).alias("i"))
-    right = first.select("shingle", F.col("rep").alias("y"), F.col("comp").alias("q"), F.col("size").alias("n"), (F.col("size") - F.col("place")).alias("j"))
+    right = first.select(F.col("shingle").alias("same"), F.col("rep").alias("y"), F.col("comp").alias("q"), F.col("size").alias("n"), (F.col("size") - F.col("place")).alias("j"))
     enough = F.least("i", "j") * (100 + SIMILAR_PERCENT) >= SIMILAR_PERCENT * (F.col("m") + F.col("n"))
-    may = (left["shingle"] == right["shingle"]) & (F.col("p") != F.col("q")) & enough
+    may = (F.col("shingle") == F.col("same")) & (F.col("p") != F.col("q")) & enough
     return left.join(right, may).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
