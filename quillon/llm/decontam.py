@@ -86,7 +86,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILAR_PERCENT,
     near = printed.withColumn("block", F.explode(blocks(F.col("print")))).join(held(index), "block")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     near = near.where(distance <= RADIUS).select("doc_id", "start_word", "window", "item_id", "item_shingles", distance.alias("distance")).distinct()
-    shingles = near.withColumn("window_shingles", _shingles(F.col("window")))
+    # written, so that a window's shingles are made once, not for each comparison
+    shingles = written(near.withColumn("window_shingles", _shingles(F.col("window"))), "candidates")
     shared = F.aggregate(F.array_distinct("window_shingles"), F.lit(0), lambda acc, s: acc + F.least(_weight(F.col("window_shingles"), s), _weight(F.col("item_shingles"), s)))
     sized = shingles.withColumn("shared", shared).withColumn("all", F.size("window_shingles") + F.size("item_shingles") - F.col("shared"))
     sure = sized.where(100 * F.col("shared") >= percent * F.col("all")).select("doc_id", "item_id", "start_word", F.size("window").alias("n_words"), "distance", (F.col("shared") / F.col("all")).alias("similarity"))
