@@ -19,8 +19,8 @@ from .common import SHINGLE_WORDS, SIMILAR_PERCENT, words_of, written
 
 #: At similarity 0.75, windows of 15 words differ in 7.5 bits on average with a deviation of 2.6.
 RADIUS = 19
-#: Windows are also tried so many words shorter and longer than the item.
-SLACK = 1
+#: Windows are also tried so many words shorter and longer than the item, and begun so many words sooner and later than aligned.
+SLACK, SHIFT = 1, 2
 #: The benchmark's shingles are broadcast up to so many rows (about 40 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 _LANES = 0x0001000100010001
@@ -75,10 +75,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILAR_PERCENT,
         return F.broadcast(df) if small else df
 
     arrays = docs.select(F.col(id_col).alias("doc_id"), _hashed(F.col(text_col)).alias("words"))
-    found = arrays.select("doc_id", "words", F.posexplode(_shingles(F.col("words"))).alias("place", "shingle")).join(held(aligned), "shingle")
-    starts = found.select("doc_id", "words", "place", F.explode("places").alias("p")).select("doc_id", "words", (F.col("place") - F.col("p.item_place")).alias("start"), F.explode(F.array(*[F.col("p.n") + d for d in range(-SLACK, SLACK + 1)])).alias("n"))
-    first = F.greatest("start", F.lit(0))
-    windows = starts.where("n > 0").select("doc_id", first.alias("start_word"), F.slice("words", first + 1, F.greatest(F.col("n") + F.least("start", F.lit(0)), F.lit(1))).alias("window")).distinct()
+    # items of fewer words than a shingle are found by shingles of as many words: at most four more lengths
+    short = [r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < SHINGLE_WORDS).distinct().collect()]
+    every = F.concat(*[F.transform(_shingles(F.col("words"), k), lambda s, i: F.struct(i.alias("place"), s.alias("shingle"))) for k in (SHINGLE_WORDS, *short)])
+    placed = arrays.select("doc_id", "words", F.explode(every).alias("s")).select("doc_id", "words", "s.*") if short else arrays.select("doc_id", "words", F.posexplode(_shingles(F.col("words"))).alias("place", "shingle"))
+    found = placed.join(held(aligned), "shingle").select("doc_id", "words", "place", F.explode("places").alias("p"))
+    start = F.col("place") - F.col("p.item_place")
+    low = F.greatest(start - SHIFT, F.lit(0))
+    around = found.select("doc_id", start.alias("start"), F.col("p.n").alias("n"), low.alias("low"), F.slice("words", low + 1, F.col("p.n") + 2 * SHIFT + SLACK).alias("around")).distinct()
+    begin, size = F.col("start") + F.col("w.shift"), F.col("n") + F.col("w.more")
+    tried = around.withColumn("w", F.explode(F.array(*[F.struct(F.lit(a).alias("shift"), F.lit(b).alias("more")) for a in range(-SHIFT, SHIFT + 1) for b in range(-SLACK, SLACK + 1)])))
+    first, cut = F.greatest(begin, F.lit(0)), size + F.least(begin, F.lit(0))
+    windows = tried.where(cut > 0).select("doc_id", first.alias("start_word"), F.slice("around", first - F.col("low") + 1, cut).alias("window")).where(F.size("window") > 0).distinct()
     printed = with_simhash(windows, "window", "print")
 
     # item by item, as the block join needs no more than fingerprints
