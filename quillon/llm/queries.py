@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, imatch, langid, linededup, minhash, packing, rans, sharding, urlfilter
+from .oracle import ORACLE_SQL as ORACLE_SQL  # the entry point takes both
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    out = decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 9).alias("similarity"))
 
 
 #: The rules of the contract: host, path, allowed.
@@ -56,7 +58,7 @@ RULES = [urlfilter.Rule("net", "/", False), urlfilter.Rule("example.net", "/en/"
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(_read(spark, sf_dir, "pages"), RULES)
+    return urlfilter.judge(_read(spark, sf_dir, "pages"), RULES).drop("trust", "distrust")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +80,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_urls": op9_urls,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
