@@ -169,8 +169,8 @@ ORACLE_SQL |= {
       lst AS (SELECT m.*, g, product(1 + coalesce(ret, 0)) OVER t AS oi, product(1 + coalesce(g, 0)) OVER t AS si FROM mom m JOIN sec s ON m.date = s.date WHERE m.date IN (SELECT date FROM sec ORDER BY date DESC LIMIT 60) WINDOW t AS (PARTITION BY ticker ORDER BY m.date ROWS UNBOUNDED PRECEDING)),
       dds AS (SELECT *, oi / max(oi) OVER t - 1 AS od, si / max(si) OVER t - 1 AS sd FROM lst WINDOW t AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)),
       rk AS (SELECT ticker, avg(CASE WHEN g < 0 THEN ret END) / avg(CASE WHEN g < 0 THEN g END) AS downside_capture, avg(CASE WHEN g > 0 THEN ret END) / avg(CASE WHEN g > 0 THEN g END) AS upside_capture, min(od) - min(sd) AS relative_drawdown, arg_max(momentum, date) AS momentum_20d, corr(ret, g) AS sector_correlation FROM dds GROUP BY ticker),
-      pct AS (SELECT *, """ + ", ".join(f"(rank() OVER (ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY round({c}, 9)) - 1) / 2.0) / count(*) OVER () AS p_{c}" for c in ("downside_capture", "relative_drawdown", "upside_capture", "momentum_20d")) + " FROM rk), scs AS (SELECT *, round(p_relative_drawdown - p_downside_capture, 9) AS f, round(p_upside_capture + p_momentum_20d, 9) AS u FROM pct)",
-        "SELECT ticker, " + _rounded("downside_capture", "upside_capture", "relative_drawdown", "momentum_20d", "sector_correlation") + ", round(f, 6) AS fall_resistance_score, round(u, 6) AS rise_strength_score, rank() OVER (ORDER BY f DESC) AS fall_resistance_rank, rank() OVER (ORDER BY u DESC) AS rise_strength_rank FROM scs",
+      pct AS (SELECT *, """ + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (ORDER BY round({c}, 9) NULLS LAST) + (count(*) OVER (PARTITION BY round({c}, 9)) - 1) / 2.0) / count({c}) OVER () END AS p_{c}" for c in ("downside_capture", "relative_drawdown", "upside_capture", "momentum_20d")) + " FROM rk), scs AS (SELECT *, round(p_relative_drawdown - p_downside_capture, 9) AS f, round(p_upside_capture + p_momentum_20d, 9) AS u FROM pct)",
+        "SELECT ticker, " + _rounded("downside_capture", "upside_capture", "relative_drawdown", "momentum_20d", "sector_correlation") + ", round(f, 6) AS fall_resistance_score, round(u, 6) AS rise_strength_score, CASE WHEN f IS NOT NULL THEN rank() OVER (ORDER BY f DESC NULLS LAST) END AS fall_resistance_rank, CASE WHEN u IS NOT NULL THEN rank() OVER (ORDER BY u DESC NULLS LAST) END AS rise_strength_rank FROM scs",
     ),
     "bottom_labels": _q(_BARS, "SELECT ticker, date, " + _BOTTOM.format(x="close", by="PARTITION BY ticker", k=5, h=10, r=0.05) + " AS label FROM bars"),
     "first_hit_labels": _q(_SECTOR + ", num AS (SELECT date, sector_index, drawdown_60d, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM sector), hits AS (SELECT a.k, min(b.k) FILTER (b.sector_index / a.sector_index - 1 >= 0.05) AS up, min(b.k) FILTER (b.sector_index / a.sector_index - 1 <= -0.03) AS dn FROM num a JOIN num b ON b.k BETWEEN a.k + 1 AND a.k + 10 GROUP BY a.k)", "SELECT date, CASE WHEN drawdown_60d <= -0.08 AND num.k + 10 <= n THEN CASE WHEN up IS NOT NULL AND (dn IS NULL OR up < dn) THEN 1.0 ELSE 0.0 END END AS label FROM num LEFT JOIN hits ON num.k = hits.k"),
@@ -208,7 +208,7 @@ _SIGNALS = _GROUP + f", gf AS (SELECT date, breadth_above_ma20 AS br, {_roll('pr
 ORACLE_SQL["signals"] = _q(_SIGNALS, "SELECT date, signal FROM sgn")
 ORACLE_SQL["latest_signal"] = _q(_SIGNALS, "SELECT date, signal FROM sgn WHERE signal <> 'unavailable' ORDER BY date DESC LIMIT 1")
 _RANKS = ORACLE_SQL["rank_tickers"]
-ORACLE_SQL["top_strength"] = f"SELECT ticker, rise_strength_rank FROM ({_RANKS}) ORDER BY rise_strength_rank, ticker LIMIT 3"
+ORACLE_SQL["top_strength"] = f"SELECT ticker, rise_strength_rank FROM ({_RANKS}) ORDER BY rise_strength_rank NULLS FIRST, ticker LIMIT 3"
 ORACLE_SQL["alerts"] = _q(_SECTOR + _pairs(60)[len(_PANEL) :] + ", med AS (SELECT date, median(CASE WHEN n >= 30 THEN rho END) AS c FROM rolled WHERE k >= 60 GROUP BY date), gv AS (SELECT s.date, drawdown_60d AS d, breadth_thrust_5d AS t, c, 1 / (1 + exp(-greatest(least(-4 * coalesce(drawdown_60d, 0) + 2 * coalesce(breadth_thrust_5d, 0) + 0.3, 10), -10))) AS p FROM sector s LEFT JOIN med ON s.date = med.date)", "SELECT date, round(p, 6) AS probability, coalesce(d <= -0.08 AND c >= -0.05, false) AS watch, coalesce(d <= -0.08 AND c >= -0.05 AND p >= 0.6 AND t >= 0.10, false) AS triggered FROM gv")
 ORACLE_SQL["rebound_leaders"] = _q(
     _PANEL + ", lv AS (SELECT cluster, date, avg(close) AS level FROM panel GROUP BY cluster, date), ev AS (SELECT *, " + _BOTTOM.format(x="level", by="PARTITION BY cluster", k=5, h=20, r=0.05) + """ AS bottom, lead(level, 20) OVER (PARTITION BY cluster ORDER BY date) / level - 1 AS ahead FROM lv), ty AS (SELECT cluster, median(ahead) AS typical FROM ev WHERE bottom AND level > 0 GROUP BY cluster),
