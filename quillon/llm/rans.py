@@ -25,12 +25,18 @@ from .tokens import default_tokenizer, encoder
 
 MAGIC = b"QRANS01\n"
 SCALE_BITS, LANES, BLOCK_IDS, FILE_IDS = 18, 64, 1 << 15, 1 << 21
+_AT_ONCE = 64
 LOW, WORD = np.uint64(1 << 20), np.uint64(32)  # states are in [2^20, 2^52), so that one word at a time is enough
 
 
 def frequency_table(ids: np.ndarray, bits: int = SCALE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, frequencies that sum up to 2^bits and are 1 at least, and each id's place among the symbols."""
-    symbols, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    every = np.bincount(ids) if len(ids) else np.empty(0, np.int64)  # vocabularies are small
+    symbols = np.flatnonzero(every)
+    counts = every[symbols]
+    where = np.zeros(len(every), np.int64)
+    where[symbols] = np.arange(len(symbols))
+    places = where[ids]
     total = 1 << bits
     if len(symbols) > total:
         raise ValueError("more symbols than slots")
@@ -194,7 +200,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
 def read_files(manifest: DataFrame) -> DataFrame:
     """Reads the files of a manifest: for each document doc_id, start (ids before it in all files), n_tokens, ids binary.
 
-    A file is decoded sixteen blocks at a time and given on document by document; every checksum is verified.
+    A file is decoded _AT_ONCE blocks at a time and given on document by document; every checksum is verified.
     """
 
     def load(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +210,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 with store.open_input_stream(name) as source:
                     data = source.read()
                 head = read_header(data)
-                raw = b"".join(x.tobytes() for at in range(0, len(head["index"]), 16) for x in decode_blocks(data, head, np.arange(at, min(at + 16, len(head["index"])))))
+                raw = b"".join(x.tobytes() for at in range(0, len(head["index"]), _AT_ONCE) for x in decode_blocks(data, head, np.arange(at, min(at + _AT_ONCE, len(head["index"])))))
                 ends = np.cumsum(head["lengths"].astype(np.int64))
                 starts = ends - head["lengths"].astype(np.int64)
                 for at in range(0, len(ends), 256):
