@@ -75,8 +75,7 @@ def numbered(sharded: DataFrame, order: list[str]) -> DataFrame:
     """With slot: each shard's rows from 0 without gaps.
 
     A shard is dealt into lanes by a hash of ``order``; a row's slot is its place in its lane after the rows of the lanes before.
-    So no task holds a shard. Equal rows of ``order`` are spread over lanes by a random-free second hash of their count only if
-    they differ; rows equal in all of ``order`` are interchangeable.
+    So no task holds a shard. Rows equal in all of ``order`` are interchangeable and share a lane.
     """
     lanes = max(16, parts(sharded.sparkSession))
     dealt = sharded.withColumn("lane", F.pmod(F.xxhash64(*order), F.lit(lanes)).cast("int"))
