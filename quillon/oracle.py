@@ -219,3 +219,23 @@ ORACLE_SQL["rebound_leaders"] = _q(
 )
 _SCREEN = _ALARM + _ADX[len(_BARS) :] + ", " + _score(20, "a20") + ", " + _score(60, "a60") + _GROUPED[len(_PANEL) :] + ", lastd AS (SELECT * FROM both_ WHERE date IN (SELECT DISTINCT date FROM panel ORDER BY date DESC LIMIT 120)), " + _drawdown("lastd") + ", cap AS (SELECT cluster, ticker, avg(CASE WHEN g > 0 THEN log_ret END) / avg(CASE WHEN g > 0 THEN g END) - avg(CASE WHEN g < 0 THEN log_ret END) / avg(CASE WHEN g < 0 THEN g END) AS spread FROM lastd WHERE log_ret IS NOT NULL AND g IS NOT NULL GROUP BY cluster, ticker), newest AS (SELECT ticker, alarm, washout, fired FROM al QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1)"
 ORACLE_SQL["screen"] = _r(_SCREEN.replace("JOIN region ON n_regionkey = r_regionkey)", "JOIN region ON n_regionkey = r_regionkey WHERE CAST(date_trunc('week', l_shipdate) AS DATE) <= DATE '2001-06-30')"), "SELECT a.ticker, round(a.score, 6) AS short_score, round(b.score, 6) AS mid_score, round(a.r2, 6) AS short_r2, round(b.r2, 6) AS mid_r2, round(b.adx, 6) AS adx, b.ma_stack, cap.cluster, round(spread, 6) AS capture_spread, round(max_drawdown, 6) AS max_drawdown, recovery_days, rank() OVER (PARTITION BY cap.cluster ORDER BY spread DESC) AS rank_in_cluster, round(alarm, 6) AS alarm, round(washout, 6) AS washout, fired FROM a20 a JOIN a60 b ON a.ticker = b.ticker JOIN cap ON cap.ticker = a.ticker JOIN dd ON dd.ticker = a.ticker JOIN newest n ON n.ticker = a.ticker WHERE a.ticker IN (SELECT ticker FROM bars GROUP BY ticker HAVING count(*) >= 65)")
+
+
+def _near(source: str, keys: str, tolerance: int, name: str) -> str:
+    """Counts of signals (s) against labels by keys, from source (keys, ticker, p, s, label)."""
+    k = keys.split(", ")
+    same = " AND ".join(f"l.{c} = x.{c}" for c in [*k, "ticker"])
+    return f"""{name}n AS (SELECT {", ".join("x." + c for c in k)}, x.ticker, x.p, l.p AS lp, row_number() OVER (PARTITION BY {", ".join("x." + c for c in k)}, x.ticker, x.p ORDER BY abs(l.p - x.p), l.p) AS j FROM {source} x LEFT JOIN {source} l ON {same} AND l.label WHERE x.s),
+      {name}s AS (SELECT {keys}, count(*) AS signals, count(*) FILTER (abs(lp - p) <= {tolerance}) AS tp, count(DISTINCT CASE WHEN abs(lp - p) <= {tolerance} THEN ticker || '|' || lp END) AS ml, avg(CASE WHEN abs(lp - p) <= {tolerance} THEN lp - p END) AS lead FROM {name}n WHERE j = 1 GROUP BY ALL),
+      {name} AS (SELECT {", ".join("b." + c for c in k)}, labels, coalesce(signals, 0) AS signals, coalesce(tp, 0) AS true_positives, coalesce(ml, 0) AS matched_labels, lead AS mean_lead_days, coalesce(tp / nullif(signals, 0), 0) AS precision, coalesce(ml / nullif(labels, 0), 0) AS recall FROM (SELECT {keys}, count(*) FILTER (label) AS labels FROM {source} GROUP BY ALL) b LEFT JOIN {name}s s ON {" AND ".join(f"s.{c} = b.{c}" for c in k)})"""
+
+
+_F1 = "coalesce(2.0 * precision * recall / nullif(precision + recall, 0), 0)"
+_BACKTEST = (
+    _ALARM + ", sig AS (SELECT ticker, date, washout, alarm, confirmed, " + _BOTTOM.format(x="close", by="PARTITION BY ticker", k=5, h=20, r=0.05) + " AS label FROM al), " + _FOLDS
+    + ", fit AS (SELECT fold, gate, ticker, label, washout > -0.5 AND alarm > gate AND confirmed AS s, row_number() OVER (PARTITION BY fold, gate, ticker ORDER BY date) AS p FROM sig, folds, (SELECT unnest([5.0, 10.0, 15.0, 20.0, 25.0])::DOUBLE AS gate) WHERE date BETWEEN fit_start AND fit_end), "
+    + _near("fit", "fold, gate", 5, "gt") + f", best AS (SELECT fold, gate FROM gt QUALIFY row_number() OVER (PARTITION BY fold ORDER BY {_F1} DESC, gate) = 1)"
+    + ", tst AS (SELECT f.fold, ticker, label, washout > -0.5 AND alarm > gate AND confirmed AS s, row_number() OVER (PARTITION BY f.fold, ticker ORDER BY date) AS p FROM sig, folds f JOIN best ON best.fold = f.fold WHERE date BETWEEN test_start AND test_end), "
+    + _near("tst", "fold", 5, "tr")
+)
+ORACLE_SQL["backtest_folds"] = _r(_BACKTEST, f"SELECT f.*, gate, labels, signals, true_positives, matched_labels, round(mean_lead_days, 6) AS mean_lead_days, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_F1}, 6) AS f1 FROM folds f JOIN best ON best.fold = f.fold LEFT JOIN tr ON tr.fold = f.fold")
