@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Where a piece between spaces can't be encoded apart: white space on both sides of a space, or before a last one.
 _UNSAFE = re.compile(r" (?<=\s )(?=\s|\Z)")
+#: White space next to a line feed, where a line's first word doesn't stand alone.
+_CROWDED = re.compile(r"\n\s|\s\n")
 
 
 def default_tokenizer() -> str:
@@ -18,6 +21,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: How the byte-level pre-tokenizer spells bytes: printable ones as they are, the others from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
+_SPACE = _SPELLED[32]
 _STOPS = frozenset(".,;:!?")
 
 
@@ -38,6 +45,8 @@ class IdEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        pre = self.tokenizer.pre_tokenizer
+        self.byte_level = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
         self.capacity = capacity
         self.parts: dict[str, bytes] = {}  # by text
         self.pieces: dict[str, bytes] = {}  # by text without the space before it
@@ -46,60 +55,64 @@ class IdEncoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
-    def _learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            found = self.tokenizer.encode_batch([some], is_pretokenized=True, add_special_tokens=False)[0]
-            ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(some)))).tolist()
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            self.parts.update(zip(some, [ids[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-
-    def _split(self, piece: str) -> list[str]:
-        """The piece's parts."""
-        if "\n" in piece:
-            lines = piece.split("\n")
-            if all(x and not x[0].isspace() and not x[-1].isspace() for x in (lines[0].removeprefix(" "), *lines[1:])):
-                return [y for i, x in enumerate(lines) for y in (["\n"] * bool(i) + self._split(x))]
-        elif len(piece) > 2 and piece[-1] in _STOPS and piece[-2].isalpha():
-            return [piece[:-1], piece[-1]]
-        return [piece]
+    def _part(self, part: str) -> bytes:
+        """Letters, with a space before or none, are one pre-token, which the library's model takes as it is; the rest is encoded as text."""
+        ids = self.parts.get(part)
+        if ids is None:
+            if self.byte_level and (part[1:] if part[0] == " " else part).isalpha():
+                spelled = _SPACE + part[1:] if part[0] == " " else part
+                if not part.isascii():
+                    spelled = part.encode().decode("latin-1").translate(_SPELLED)
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+            else:
+                ids = self._whole([part])[0]
+            self.parts[part] = ids
+        return ids
+
+    def _bare(self, text: str) -> bytes:
+        """The ids of what stands between spaces, by its parts."""
+        if "\n" in text:
+            lines = text.split("\n")
+            if not all(x and not x[0].isspace() and not x[-1].isspace() for x in (lines[0].removeprefix(" "), *lines[1:])):
+                return self._whole([text])[0]
+            return self._part("\n").join([self._bare(x) for x in lines])
+        if len(text) > 2 and text[-1] in _STOPS and text[-2].isalpha():
+            return self._part(text[:-1]) + self._part(text[-1])
+        return self._part(text)
+
+    def _piece(self, key: str) -> bytes:
+        """A piece by its key: the space before it is left out, and a line's first word has its line feed."""
+        if key[:1] != "\n":
+            ids = self._bare(" " + key)
+        elif len(key) > 1 and not key[1].isspace():
+            ids = self._part("\n") + self._bare(key[1:])
+        else:
+            ids = self._whole([key])[0]
+        if len(key) <= 64:
+            self.pieces[key] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.parts) > self.capacity:
             self.parts.clear()
         if len(self.pieces) > self.capacity:
             self.pieces.clear()
-        get, out, waiting, whole = self.pieces.get, [], [], []
-        new: dict[str, list[str]] = {}  # by text
+        get, out, whole = self.pieces.get, [], []
         for i, text in enumerate(texts):
-            out.append(b"")
-            if not text:
-                continue
-            if _UNSAFE.search(text) or any(s in text for s in self.special):
+            crowded = "\n" in text and _CROWDED.search(text)
+            if not text or _UNSAFE.search(text) or crowded and " \n" in text or any(s in text for s in self.special):
+                out.append(b"")
                 whole.append(i)
                 continue
+            if not crowded:
+                text = text.replace("\n", " \n")  # a line's first word, with its line feed, is a piece
             split = text.split(" ")
             ids = list(map(get, split))
-            if split[0]:
-                ids[0] = None
-            missing = [k for k, x in enumerate(ids) if x is None]
-            if missing:
-                for k in missing:
-                    piece = " " + split[k] if k else split[0]
-                    if piece and piece not in new:
-                        new[piece] = self._split(piece)
-                waiting.append((i, split, ids, missing))
-            else:
-                out[i] = b"".join(ids[1:] if not split[0] else ids)
-        self._learn(list({p for parts in new.values() for p in parts if p not in self.parts}))
-        known = {piece: b"".join([self.parts[p] for p in parts]) for piece, parts in new.items()}
-        for i, split, ids, missing in waiting:
-            for k in missing:
-                ids[k] = known[" " + split[k]] if k else known.get(split[0], b"")
-            out[i] = b"".join(ids if split[0] else ids[1:])
-        for piece, ids in known.items():
-            if piece[0] == " " and len(piece) <= 64 and "\n" not in piece:
-                self.pieces[piece[1:]] = ids
+            if None in ids:
+                for k in [k for k, x in enumerate(ids) if x is None]:
+                    ids[k] = self._piece(split[k])
+            ids[0] = self._bare(split[0]) if split[0] else b""
+            out.append(b"".join(ids))
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
