@@ -29,52 +29,53 @@ _AT_ONCE = 64
 LOW, WORD = np.uint64(1 << 20), np.uint64(32)  # states are in [2^20, 2^52), so that one word at a time is enough
 
 
-def frequency_table(ids: np.ndarray, bits: int = SCALE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, frequencies that sum up to 2^bits and are 1 at least, and each id's place among the symbols."""
+def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols, frequencies that sum up to 2^bits and are 1 at least, each id's place among the symbols, and bits: fewer for few symbols, as small tables stay in the cache."""
     every = np.bincount(ids) if len(ids) else np.empty(0, np.int64)  # vocabularies are small
     symbols = np.flatnonzero(every)
     counts = every[symbols]
     where = np.zeros(len(every), np.int64)
     where[symbols] = np.arange(len(symbols))
     places = where[ids]
+    bits = SCALE_BITS - 2 * (len(symbols) <= 1 << (SCALE_BITS - 4))
     total = 1 << bits
     if len(symbols) > total:
         raise ValueError("more symbols than slots")
     if not len(symbols):
-        return symbols, counts.astype(np.int64), places
+        return symbols, counts.astype(np.int64), places, bits
     share = np.maximum(1, np.floor(counts * ((total - len(symbols)) / counts.sum())).astype(np.int64))
     share[np.argmax(counts)] += total - share.sum()
-    return symbols, share, places
+    return symbols, share, places, bits
 
 
 def encode_file(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
-    symbols, freq, places = frequency_table(ids)
+    symbols, freq, places, bits = frequency_table(ids)
     n, steps = len(ids), BLOCK_IDS // LANES
     blocks = -(-n // BLOCK_IDS)
-    padded = np.full(blocks * BLOCK_IDS, -1, np.int64)
+    padded = np.full(blocks * BLOCK_IDS, np.argmax(freq) if n else 0, np.int64)  # the last block is filled up with the commonest symbol
     padded[:n] = places
-    grid = padded.reshape(blocks, steps, LANES)
+    grid = np.ascontiguousarray(padded.reshape(blocks, steps, LANES).transpose(1, 0, 2))
     cumulative = np.concatenate([[0], np.cumsum(freq)])[:-1].astype(np.uint64)
     frequency, state = freq.astype(np.uint64), np.full((blocks, LANES), LOW, np.uint64)
     words, given = np.zeros((steps, blocks, LANES), np.uint32), np.zeros((steps, blocks, LANES), bool)
+    high, full = np.uint64(52 - bits), np.uint64(1 << bits)
     for s in range(steps - 1, -1, -1):
-        at = grid[:, s]
-        live = at >= 0
-        if not live.any():
-            continue
-        f, c = frequency[at], cumulative[at]
-        spill = live & (state >= f << np.uint64(52 - SCALE_BITS))
-        words[s], given[s] = state.astype(np.uint32), spill
-        state = np.where(spill, state >> WORD, state)
-        q = np.floor(state / f).astype(np.uint64)  # exact: states are below 2^53
-        state = np.where(live, (q << np.uint64(SCALE_BITS)) + (state - q * f) + c, state)
+        at = grid[s]
+        f = frequency[at]
+        spill = state >= f << high
+        words[s], given[s] = state, spill
+        np.right_shift(state, WORD, out=state, where=spill)
+        q = (state / f).astype(np.uint64)  # exact: states are below 2^53
+        q *= full - f  # (q << bits) + (state - q f) + c
+        state += q
+        state += cumulative[at]
     streams = [words[:, b][given[:, b]] for b in range(blocks)]
     first, index = 0, []
     for b, stream in enumerate(streams):
         part = ids[b * BLOCK_IDS : (b + 1) * BLOCK_IDS]
         index.append(struct.pack("<QIII", first, len(stream), len(part), zlib.crc32(part.astype("<u4"))))
         first += len(stream)
-    head = b"".join((MAGIC, struct.pack("<IIIIIQ", SCALE_BITS, LANES, len(symbols), len(lengths), blocks, n), symbols.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), np.array(lengths, "<u8").tobytes(), *index, state.astype("<u8").tobytes()))
+    head = b"".join((MAGIC, struct.pack("<IIIIIQ", bits, LANES, len(symbols), len(lengths), blocks, n), symbols.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), np.array(lengths, "<u8").tobytes(), *index, state.astype("<u8").tobytes()))
     return b"".join((head, struct.pack("<I", zlib.crc32(head)), *[s.astype("<u4").tobytes() for s in streams]))
 
 
@@ -106,25 +107,31 @@ def decode_blocks(data: bytes, head: dict, blocks: np.ndarray) -> list[np.ndarra
     words = np.frombuffer(data, "<u4", offset=head["payload"])
     words = np.append(words, np.uint32(0)).astype(np.uint64)
     freq = head["freq"].astype(np.int64)
-    slots = np.repeat(np.arange(len(freq)), freq)
+    slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
     start = np.concatenate([[0], np.cumsum(freq)])[:-1]
-    slot_freq, slot_bias = freq[slots].astype(np.uint64), (np.arange(len(slots)) - start[slots]).astype(np.uint64)
+    slot_pair = (freq[slots] << 32 | np.arange(len(slots)) - start[slots]).astype(np.uint64)  # frequency and place within the symbol
     state, at = head["states"][blocks].astype(np.uint64), index["first"].astype(np.int64)
-    counts = index["ids"].astype(np.int64)
-    steps = int(-(-counts.max() // lanes))
-    out = np.zeros((len(blocks), steps, lanes), np.int32)
-    mask, shift, lane = np.uint64((1 << head["bits"]) - 1), np.uint64(head["bits"]), np.arange(lanes)
+    steps = BLOCK_IDS // lanes
+    out = np.empty((steps, len(blocks), lanes), np.uint32)
+    mask, shift, half, low32 = np.uint64((1 << head["bits"]) - 1), np.uint64(head["bits"]), np.uint64(32), np.uint64((1 << 32) - 1)
     for s in range(steps):
-        slot = (state & mask).astype(np.int64)
-        live = s * lanes + lane < counts[:, None]
-        out[:, s] = slots[slot]
-        state = np.where(live, slot_freq[slot] * (state >> shift) + slot_bias[slot], state)
-        wants = live & (state < LOW)
+        slot = (state & mask).view(np.int64)
+        out[s] = slots[slot]
+        pair = slot_pair[slot]
+        state >>= shift
+        state *= pair >> half
+        state += pair & low32
+        wants = state < LOW
         ahead = np.cumsum(wants, axis=1)
-        state = np.where(wants, (state << WORD) | words[np.where(wants, at[:, None] + ahead - 1, len(words) - 1)], state)
-        at = at + ahead[:, -1]
+        picked = (at[:, None] + ahead - 1)[wants]
+        state[wants] = (state[wants] << WORD) | words[picked]
+        at += ahead[:, -1]
+    # a sound stream ends where the encoder began
+    if (state != LOW).any() or (at != index["first"].astype(np.int64) + index["words"]).any():
+        raise ValueError("a block doesn't end as it should")
+    out = out.transpose(1, 0, 2)
     found = []
-    for b, n in enumerate(counts):
+    for b, n in enumerate(index["ids"].astype(np.int64)):
         ids = head["symbols"][out[b].reshape(-1)[:n]]
         if zlib.crc32(ids) != index["crc"][b]:
             raise ValueError(f"the checksum of block {blocks[b]} is wrong")
