@@ -26,7 +26,7 @@ from .tokens import default_tokenizer, encoder
 MAGIC = b"QRANS01\n"
 SCALE_BITS, LANES, BLOCK_IDS, FILE_IDS = 18, 64, 1 << 15, 1 << 21
 _AT_ONCE = 64
-LOW, WORD = np.uint64(1 << 20), np.uint64(32)  # states are in [2^20, 2^52), so that one word at a time is enough
+LOW, WORD = np.int64(1 << 20), np.int64(32)  # states are in [2^20, 2^52), so that one word at a time is enough
 
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -55,17 +55,17 @@ def encode_file(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
     padded = np.full(blocks * BLOCK_IDS, np.argmax(freq) if n else 0, np.int64)  # the last block is filled up with the commonest symbol
     padded[:n] = places
     grid = np.ascontiguousarray(padded.reshape(blocks, steps, LANES).transpose(1, 0, 2))
-    cumulative = np.concatenate([[0], np.cumsum(freq)])[:-1].astype(np.uint64)
-    frequency, state = freq.astype(np.uint64), np.full((blocks, LANES), LOW, np.uint64)
+    cumulative = np.concatenate([[0], np.cumsum(freq)])[:-1].astype(np.int64)
+    frequency, state = freq.astype(np.int64), np.full((blocks, LANES), LOW, np.int64)
     words, given = np.zeros((steps, blocks, LANES), np.uint32), np.zeros((steps, blocks, LANES), bool)
-    high, full = np.uint64(52 - bits), np.uint64(1 << bits)
+    limit, full = frequency << (52 - bits), 1 << bits
     for s in range(steps - 1, -1, -1):
         at = grid[s]
         f = frequency[at]
-        spill = state >= f << high
+        spill = state >= limit[at]
         words[s], given[s] = state, spill
         np.right_shift(state, WORD, out=state, where=spill)
-        q = (state / f).astype(np.uint64)  # exact: states are below 2^53
+        q = (state / f).astype(np.int64)  # exact: states are below 2^53
         q *= full - f  # (q << bits) + (state - q f) + c
         state += q
         state += cumulative[at]
@@ -105,21 +105,21 @@ def decode_blocks(data: bytes, head: dict, blocks: np.ndarray) -> list[np.ndarra
     if not len(index):
         return []
     words = np.frombuffer(data, "<u4", offset=head["payload"])
-    words = np.append(words, np.uint32(0)).astype(np.uint64)
+    words = np.append(words, np.uint32(0)).astype(np.int64)
     freq = head["freq"].astype(np.int64)
     slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
     start = np.concatenate([[0], np.cumsum(freq)])[:-1]
-    slot_pair = (freq[slots] << 32 | np.arange(len(slots)) - start[slots]).astype(np.uint64)  # frequency and place within the symbol
-    state, at = head["states"][blocks].astype(np.uint64), index["first"].astype(np.int64)
+    slot_pair = (freq[slots] << 32 | np.arange(len(slots)) - start[slots]).astype(np.int64)  # frequency and place within the symbol
+    state, at = head["states"][blocks].astype(np.int64), index["first"].astype(np.int64)
     steps = BLOCK_IDS // lanes
     out = np.empty((steps, len(blocks), lanes), np.uint32)
-    mask, shift, half, low32 = np.uint64((1 << head["bits"]) - 1), np.uint64(head["bits"]), np.uint64(32), np.uint64((1 << 32) - 1)
+    mask, shift, low32 = (1 << head["bits"]) - 1, head["bits"], (1 << 32) - 1
     for s in range(steps):
-        slot = (state & mask).view(np.int64)
+        slot = state & mask
         out[s] = slots[slot]
         pair = slot_pair[slot]
         state >>= shift
-        state *= pair >> half
+        state *= pair >> 32
         state += pair & low32
         wants = state < LOW
         ahead = np.cumsum(wants, axis=1)
