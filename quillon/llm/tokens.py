@@ -12,7 +12,7 @@ import numpy as np
 #: Where a piece between spaces can't be encoded apart: white space on both sides of a space, or before a last one.
 _UNSAFE = re.compile(r" (?<=\s )(?=\s|\Z)")
 #: White space next to a line feed, where a line's first word doesn't stand alone.
-_CROWDED = re.compile(r"\n\s|\s\n")
+_CROWDED = re.compile(r"\n(?:(?<=\s\n)|(?=\s))")
 
 
 def default_tokenizer() -> str:
@@ -47,6 +47,7 @@ class IdEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pre = self.tokenizer.pre_tokenizer
         self.byte_level = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
+        self.spell = self.tokenizer.model.tokenize
         self.capacity = capacity
         self.parts: dict[str, bytes] = {}  # by text
         self.pieces: dict[str, bytes] = {}  # by text without the space before it
@@ -63,7 +64,7 @@ class IdEncoder:
                 spelled = _SPACE + part[1:] if part[0] == " " else part
                 if not part.isascii():
                     spelled = part.encode().decode("latin-1").translate(_SPELLED)
-                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+                ids = array("I", [t.id for t in self.spell(spelled)]).tobytes()
             else:
                 ids = self._whole([part])[0]
             self.parts[part] = ids
