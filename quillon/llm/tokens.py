@@ -39,7 +39,7 @@ class IdEncoder:
     of at most 64 characters are kept.
     """
 
-    def __init__(self, path: str, capacity: int = 1_000_000):
+    def __init__(self, path: str, capacity: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,8 +49,8 @@ class IdEncoder:
         self.byte_level = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space
         self.spell = self.tokenizer.model.tokenize
         self.capacity = capacity
-        self.parts: dict[str, bytes] = {}  # by text
-        self.pieces: dict[str, bytes] = {}  # by text without the space before it
+        self.parts: dict[str, bytes] = {}  # without a space before them, by text
+        self.pieces: dict[str, bytes] = {}  # pieces, and parts with a space before them, by text without it
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -58,7 +58,8 @@ class IdEncoder:
 
     def _part(self, part: str) -> bytes:
         """Letters, with a space before or none, are one pre-token, which the library's model takes as it is; the rest is encoded as text."""
-        ids = self.parts.get(part)
+        kept, key = (self.pieces, part[1:]) if part[0] == " " and part[1:2] != "\n" else (self.parts, part)
+        ids = kept.get(key)
         if ids is None:
             if self.byte_level and (part[1:] if part[0] == " " else part).isalpha():
                 spelled = _SPACE + part[1:] if part[0] == " " else part
@@ -67,7 +68,8 @@ class IdEncoder:
                 ids = array("I", [t.id for t in self.spell(spelled)]).tobytes()
             else:
                 ids = self._whole([part])[0]
-            self.parts[part] = ids
+            if len(part) <= 64:
+                kept[key] = ids
         return ids
 
     def _bare(self, text: str) -> bytes:
