@@ -1,3 +1,5 @@
+import base64
+import random
 import zlib
 
 import numpy as np
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillon.llm import langid
 
+from .conftest import prose
 from .test_duplicates import brute_components, brute_lines
 from .test_native_and_web import brute_leaks
 from .test_tokens_packing_rans import library_ids
@@ -46,3 +49,19 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, documents):
         assert name == "pack" or out.columns == documents.columns
     extra = documents.limit(5).withColumns({"key": F.lit(1), "cuts": F.lit("x")})
     assert corpus_pipeline.STAGES[1][1](spark, extra, folder).columns == documents.columns
+
+
+def test_language_rejects_junk_and_unknown_scripts(spark):
+    """Junk goes but for a few in a hundred; of held-out texts, short or whole, nearly all stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(5)
+    greek, cyrillic = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчшщыьэюя"
+    junk = [t for _ in range(50) for t in (prose(rng, 60), base64.b64encode(rng.randbytes(300)).decode(), prose(rng, 60, greek), prose(rng, 60, cyrillic))]
+    clean = [r.text for r in docs.where(langid.held_out()).select("text").collect() if r.text]
+    short = [" ".join(t[:n].split()[:-1]) for t in clean for n in (30, 60)]
+    rows = [(i, t, None, "planted", len(t)) for i, t in enumerate([*junk, *clean, *short])]
+    planted = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    both = docs.where(~langid.held_out()).select(*corpus_pipeline.COLUMNS).unionByName(planted)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, both, "").where("source = 'planted'").collect()}
+    share = [len(kept & set(range(a, b))) / (b - a) for a, b in ((0, len(junk)), (len(junk), len(junk) + len(clean)), (len(junk) + len(clean), len(rows)))]
+    assert share[0] <= 0.05 and share[1] >= 0.99 and share[2] >= 0.97, share
