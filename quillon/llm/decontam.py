@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
+"""Benchmark decontamination by SimHash of item-sized windows and spans of any length, in DataFrame operations only.
 
 1. Windows of an item's length that share a shingle with the benchmark, aligned with where the shared shingle is in its item; other
    windows have similarity 0.
@@ -6,6 +6,9 @@
    within RADIUS agree in one block at least, so a join on blocks finds all of them.
 3. What is left is decided by the exact similarity of weighted shingles (shared weight by all weight; a shingle weighs as often
    as it occurs).
+4. Items that no window of about their length is similar to, such as cut or lengthened copies, are looked for in windows of any length. The
+   best of them begins and ends with a shingle that counts as shared, as leaving out one that doesn't raises the similarity; so
+   the spans between shared shingles are all that need be tried, with the exact similarity.
 """
 
 from __future__ import annotations
@@ -58,31 +61,82 @@ def _weight(shingles: Column, shingle: Column) -> Column:
     return F.size(F.filter(shingles, lambda x: x == shingle))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILAR_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document and item that it holds: doc_id, item_id, start_word, n_words, distance, similarity of the best window.
+def _best_span(matches: Column, m: Column, percent: int) -> Column:
+    """Of matches (place, before), by place: similarity, -start, -size and shared weight of the best span, against m shingles.
 
-    Words are lower-cased. Items of fewer than five words are one shingle and so are found as they are; items without words or
-    text are found nowhere. Null, empty or blank texts hold nothing. Ties: the first, then the shortest window. Repeated rows of a
-    document or of an item give one row. Null ids are kept as null. Empty tables: no rows. Other columns are not read.
+    before: the place up to which a span must begin after for the match to count, as an item's shingle counts as often as it occurs there.
     """
+    most, need = F.floor(100 * m / percent).cast("int"), F.ceil(m * percent / 100).cast("int")
+
+    def from_start(x: Column, i: Column) -> Column:
+        def longer(acc: Column, y: Column) -> Column:
+            size, shared = y["place"] - x["place"] + 1, acc["shared"] + (y["before"] < x["place"]).cast("int")
+            similarity = shared / (size + m - shared)
+            best = F.struct(similarity.alias("similarity"), (-x["place"]).alias("start"), (-size).alias("size"), shared.alias("shared"))
+            return F.struct(shared.alias("shared"), F.when((size <= most) & (similarity > acc["best"]["similarity"]), best).otherwise(acc["best"]).alias("best"))
+
+        nothing = F.struct(F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).alias("shared"))
+        scanned = F.aggregate(F.slice(matches, i + 1, most), F.struct(F.lit(0).alias("shared"), nothing.alias("best")), longer, lambda acc: acc["best"])
+        # without enough matches within reach, no span from here is similar enough
+        return F.when(F.get(matches, i + need - 1)["place"] - x["place"] < most, scanned)
+
+    return F.array_max(F.transform(matches, from_start))
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, around: bool, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
+    """Items; doc_id, body (a hash of its words), shingle, place of what documents share with them, and windows around; whether items are few."""
     items = benchmark.select("item_id", _hashed(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     items = written(with_simhash(items.withColumn("item_shingles", _shingles(F.col("words"))), "words", "item_print"), "items")
     places = items.select("item_id", F.size("words").alias("n"), F.posexplode("item_shingles").alias("item_place", "shingle"))
     aligned = places.groupBy("shingle").agg(F.collect_set(F.struct("item_place", "n")).alias("places"))
     small = places.count() <= BROADCAST_ROWS
+    # items of fewer words than a shingle are found by shingles of as many words: at most four more lengths
+    short = [r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < SHINGLE_WORDS).distinct().collect()]
+    arrays = docs.select(F.col(id_col).alias("doc_id"), _hashed(F.col(text_col)).alias("words")).withColumn("body", F.xxhash64("words"))
+    every = F.concat(*[F.transform(_shingles(F.col("words"), k), lambda s, i: F.struct(i.alias("place"), s.alias("shingle"))) for k in (SHINGLE_WORDS, *short)])
+    placed = arrays.select("doc_id", "body", "words", F.explode(every).alias("s")).select("doc_id", "body", "words", "s.*") if short else arrays.select("doc_id", "body", "words", F.posexplode(_shingles(F.col("words"))).alias("place", "shingle"))
+
+    def window(p: Column) -> Column:
+        start = F.col("place") - p["item_place"]
+        low = F.greatest(start - SHIFT, F.lit(0))
+        return F.struct(start.alias("start"), p["n"].alias("n"), low.alias("low"), F.slice("words", low + 1, p["n"] + 2 * SHIFT + SLACK).alias("around"))
+
+    found = placed.join(F.broadcast(aligned) if small else aligned, "shingle")
+    # written, so that documents are cut into shingles once
+    return items, written(found.select("doc_id", "body", "shingle", "place", *([F.transform("places", window).alias("windows")] if around else [])), "matches"), small
+
+
+def _spans(items: DataFrame, matches: DataFrame, small: bool, percent: int) -> DataFrame:
+    """doc_id, item_id, start_word, n_words, similarity: the best window of any length of each text and item."""
+    own = items.select("item_id", F.xxhash64("words").alias("item_body"), F.size("words").alias("n"), F.explode("item_shingles").alias("shingle"))
+    pair = ["doc_id", "body", "item_id", "item_body", "n"]
+    owners = own.groupBy(*pair[2:], "shingle").agg(F.count("*").cast("int").alias("weight"))
+    found = matches.select("doc_id", "body", "shingle", "place").join(F.broadcast(owners) if small else owners, "shingle")
+    # repeated rows of a document give the same places
+    at = found.groupBy(*pair, "shingle", "weight").agg(F.array_sort(F.collect_set("place")).alias("at"))
+    marked = F.transform("at", lambda p, t: F.struct(p.alias("place"), F.coalesce(F.get("at", t - F.col("weight")), F.lit(-1)).alias("before")))
+    grouped = at.groupBy(*pair).agg(F.array_sort(F.flatten(F.collect_list(marked))).alias("matches"))
+    m = F.greatest(F.col("n") - SHINGLE_WORDS + 1, F.lit(1))
+    # written, so that spans are tried once
+    tried = written(grouped.where(100 * F.size("matches") >= percent * m).select(*pair, _best_span(F.col("matches"), m, percent).alias("b")), "spans")
+    sure = tried.where(100 * F.col("b.shared") >= percent * (m - F.col("b.size") - F.col("b.shared")))
+    return sure.select("doc_id", "item_id", (-F.col("b.start")).alias("start_word"), (-F.col("b.size") - 1 + F.least("n", F.lit(SHINGLE_WORDS))).alias("n_words"), "b.similarity")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILAR_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each document and item that it holds: doc_id, item_id, start_word, n_words, distance, similarity of the best window.
+
+    The best window is that of about the item's length (up to SLACK words off) if one is similar enough, else that of any length. Its distance
+    is null in the second case. Words are lower-cased. Items of fewer than five words are one shingle and so are found as they are;
+    items without words or text are found nowhere. Null, empty or blank texts hold nothing. Ties: the first, then the shortest window. Repeated
+    rows of a document or of an item give one row. Null ids are kept as null. Empty tables: no rows. Other columns are not read.
+    """
+    items, matches, small = _matches(docs, benchmark, True, id_col, text_col)
 
     def held(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    arrays = docs.select(F.col(id_col).alias("doc_id"), _hashed(F.col(text_col)).alias("words"))
-    # items of fewer words than a shingle are found by shingles of as many words: at most four more lengths
-    short = [r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < SHINGLE_WORDS).distinct().collect()]
-    every = F.concat(*[F.transform(_shingles(F.col("words"), k), lambda s, i: F.struct(i.alias("place"), s.alias("shingle"))) for k in (SHINGLE_WORDS, *short)])
-    placed = arrays.select("doc_id", "words", F.explode(every).alias("s")).select("doc_id", "words", "s.*") if short else arrays.select("doc_id", "words", F.posexplode(_shingles(F.col("words"))).alias("place", "shingle"))
-    found = placed.join(held(aligned), "shingle").select("doc_id", "words", "place", F.explode("places").alias("p"))
-    start = F.col("place") - F.col("p.item_place")
-    low = F.greatest(start - SHIFT, F.lit(0))
-    around = found.select("doc_id", start.alias("start"), F.col("p.n").alias("n"), low.alias("low"), F.slice("words", low + 1, F.col("p.n") + 2 * SHIFT + SLACK).alias("around")).distinct()
+    around = matches.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.*").distinct()
     begin, size = F.col("start") + F.col("w.shift"), F.col("n") + F.col("w.more")
     tried = around.withColumn("w", F.explode(F.array(*[F.struct(F.lit(a).alias("shift"), F.lit(b).alias("more")) for a in range(-SHIFT, SHIFT + 1) for b in range(-SLACK, SLACK + 1)])))
     first, cut = F.greatest(begin, F.lit(0)), size + F.least(begin, F.lit(0))
@@ -99,11 +153,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILAR_PERCENT,
     shared = F.aggregate(F.array_distinct("window_shingles"), F.lit(0), lambda acc, s: acc + F.least(_weight(F.col("window_shingles"), s), _weight(F.col("item_shingles"), s)))
     sized = shingles.withColumn("shared", shared).withColumn("all", F.size("window_shingles") + F.size("item_shingles") - F.col("shared"))
     sure = sized.where(100 * F.col("shared") >= percent * F.col("all")).select("doc_id", "item_id", "start_word", F.size("window").alias("n_words"), "distance", (F.col("shared") / F.col("all")).alias("similarity"))
-    best = sure.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start_word", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("start_word"), -F.col("n_words"))).alias("best"))
+    spans = _spans(items, matches, small, percent).select("doc_id", "item_id", "start_word", "n_words", F.lit(None).cast("int").alias("distance"), "similarity")
+    sure = sure.withColumn("usual", F.lit(1)).unionByName(spans.withColumn("usual", F.lit(0)))
+    best = sure.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start_word", "n_words", "distance", "similarity"), F.struct("usual", "similarity", -F.col("start_word"), -F.col("n_words"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.start_word").cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.distance").cast("long").alias("distance"), "best.similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold an item."""
-    held = written(leaks(docs, benchmark).select("doc_id").distinct(), "leaking")
+    # windows of any length have all that the usual ones have
+    items, matches, small = _matches(docs, benchmark, False, "doc_id", "text")
+    held = written(_spans(items, matches, small, SIMILAR_PERCENT).select("doc_id").distinct(), "leaking")
     return docs.join(held.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

@@ -71,6 +71,46 @@ def test_leaks_against_brute_force(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_leaks_of_cut_and_lengthened_items(spark):
+    """The best of all windows; of those of about the item's length if one of them will do."""
+    rng = random.Random(9)
+    items = [(i, prose(rng, n)) for i, n in enumerate([15, 30, 45, 59, 6, 3])] + [(6, "a b " * 12)]
+    docs = []
+    for _, text in items:
+        own = text.split()
+        for k in (2, 3, 5, 7, 8, 11, 14):
+            half = len(own) // 2
+            for changed in (own[:-k], own[k:], own[:half] + prose(rng, k).split() + own[half:]):
+                docs.append((len(docs), " ".join([*prose(rng, 30).split(), *changed, *prose(rng, 30).split()])))
+
+    def grams(words):
+        out = {}
+        for i in range(max(len(words) - 4, 1)):
+            g = tuple(words[i : i + 5])
+            out[g] = out.get(g, 0) + 1
+        return out
+
+    want = {}
+    for k, text in docs:
+        words = text.split()
+        for item, item_text in items:
+            own = grams(item_text.split())
+            if not {w for g in own for w in g} & set(words):
+                continue
+            m = sum(own.values())
+            for a in range(len(words)):
+                for n in range(1, min(len(words) - a, 4 * m // 3 + 4) + 1):
+                    c = grams(words[a : a + n])
+                    shared = sum(min(v, own.get(g, 0)) for g, v in c.items())
+                    every = sum(c.values()) + m - shared
+                    if 100 * shared >= 75 * every:
+                        want[k, item] = max(want.get((k, item), (0,)), (abs(n - len(item_text.split())) <= 1, round(shared / every, 9), -a, -n))
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    # of equal windows of about the item's length, the first of those near the aligned place is named
+    first = {k: v[:2] if v[0] else v for k, v in want.items()}
+    assert len(want) > 40 and {(r.doc_id, r.item_id): (True, round(r.similarity, 9)) if r.distance is not None else (False, round(r.similarity, 9), -r.start_word, -r.n_words) for r in got} == first
+
+
 def test_leaks_of_odd_rows(spark, odd, none, benchmark):
     assert decontam.leaks(odd, benchmark).count() == 0
     assert decontam.leaks(none, benchmark).count() == 0
