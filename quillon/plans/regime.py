@@ -17,11 +17,14 @@ def group_frame(panel: DataFrame, market: DataFrame, horizon: int = 20, pca_wind
     return rows.withColumn("future_excess_return", forward_compound(F.col("group_excess_return"), by_date(), horizon))
 
 
-def run(panel: DataFrame, market: DataFrame, horizon: int = 20, pca_window: int = 126, least: int = 252, refit: int = 21, regimes: tuple[str, ...] = ("group_excess_return", "realized_volatility", "breadth_above_ma20"), inputs: tuple[str, ...] = ("relative_return_5", "relative_return_20", "relative_return_60", "breadth_above_ma20", "breadth_above_ma50", "realized_volatility", "median_volume_ratio")) -> tuple[DataFrame, DataFrame]:
-    """The frame with probabilities and signal, and the metrics of its predictions (one row). The classifier never sees returns past its fit."""
+def run(panel: DataFrame, market: DataFrame, horizon: int = 20, pca_window: int = 126, least: int = 252, refit: int = 21, trees: int = 20, regimes: tuple[str, ...] = ("group_excess_return", "realized_volatility", "breadth_above_ma20"), inputs: tuple[str, ...] = ("relative_return_5", "relative_return_20", "relative_return_60", "breadth_above_ma20", "breadth_above_ma50", "realized_volatility", "median_volume_ratio")) -> tuple[DataFrame, DataFrame]:
+    """The frame with probabilities and signal, and the metrics of its predictions (one row). The classifier never sees returns past its fit.
+
+    Regimes and classifier are fitted anew every ``refit`` rows, the classifier with ``trees`` trees (the reference has 400).
+    """
     frame = group_frame(panel, market, horizon, pca_window)
     states = models.walk_forward_regimes(frame, list(regimes), least, refit)
-    boosted = models.walk_forward_boosted(frame, list(inputs), "future_excess_return", horizon, least, 3 * refit)
+    boosted = models.walk_forward_boosted(frame, list(inputs), "future_excess_return", horizon, least, refit, trees)
     out = frame.join(states, "date", "left").join(boosted.select("date", "probability", "target"), "date", "left")
     out = out.withColumn("signal", models.signal(F.col("probability"), F.col("bull_probability"), F.col("bear_probability"), F.col("breadth_above_ma20"), F.col("relative_return_20")))
     return out, evaluate.prediction_metrics(boosted)

@@ -240,3 +240,21 @@ def test_regime_plan(spark, bars):
     rows = out.where("probability is not null").collect()
     assert rows and all(r.signal in ("bullish", "bearish", "neutral") for r in rows)
     assert metrics.first().n > 0
+
+
+def test_regime_refits_the_classifier_as_asked(monkeypatch):
+    asked = {}
+
+    class Seen(Exception):
+        pass
+
+    def seen(frame, columns, future, horizon, least, refit, trees):
+        asked.update(refit=refit, trees=trees)
+        raise Seen
+
+    monkeypatch.setattr(regime, "group_frame", lambda *a: None)
+    monkeypatch.setattr(models, "walk_forward_regimes", lambda *a: None)
+    monkeypatch.setattr(models, "walk_forward_boosted", seen)
+    with pytest.raises(Seen):
+        regime.run(None, None, refit=21, trees=30)
+    assert asked == {"refit": 21, "trees": 30}
