@@ -1,14 +1,14 @@
-"""Benchmark decontamination by SimHash of item-sized windows and spans of any length, in DataFrame operations only.
-
-1. Windows of an item's length that share a shingle with the benchmark, aligned with where the shared shingle is in its item; other
-   windows have similarity 0.
-2. A window and an item have 64-bit SimHash fingerprints of their words. The fingerprint is cut into RADIUS + 1 blocks; fingerprints
-   within RADIUS agree in one block at least, so a join on blocks finds all of them.
-3. What is left is decided by the exact similarity of weighted shingles (shared weight by all weight; a shingle weighs as often
-   as it occurs).
-4. Items that no window of about their length is similar to, such as cut or lengthened copies, are looked for in windows of any length. The
-   best of them begins and ends with a shingle that counts as shared, as leaving out one that doesn't raises the similarity; so
-   the spans between shared shingles are all that need be tried, with the exact similarity.
+"""Benchmark decontamination by SimHash of item-sized windows and exact weighted shingles, in DataFrame operations only.
+
+1. What a document and an item can share: the document's shingles that the item has, with their places. A pair with fewer of
+   them than the threshold asks for can't be similar, wherever the window is, and ends here.
+2. Each run of shared shingles gives one window of the item's length, begun where the item would begin. Windows and items have 64-bit
+   SimHash fingerprints of their words. A fingerprint is cut into RADIUS + 1 blocks; fingerprints within RADIUS agree in one
+   block at least, so the index by item and block finds all of them. An item's blocks meet windows of pairs of step 1 only, however many
+   items there are.
+3. Of each pair found, the best window of any length is decided by the exact similarity of weighted shingles (shared weight by all weight;
+   a shingle weighs as often as it occurs). The best window begins and ends with a shingle that counts as shared, as leaving out one
+   that doesn't raises the similarity; so the spans between shared shingles are all that need be tried.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILAR_PERCENT, words_of, written
+from .common import SHINGLE_WORDS, SIMILAR_PERCENT, deleted, fresh, words_of, written
 
-#: At similarity 0.75, windows of 15 words differ in 7.5 bits on average with a deviation of 2.6.
-RADIUS = 19
-#: Windows are also tried so many words shorter and longer than the item, and begun so many words sooner and later than aligned.
-SLACK, SHIFT = 1, 2
-#: The benchmark's shingles are broadcast up to so many rows (about 40 bytes each); beyond, the join shuffles.
+#: A window of the item's length around a similar span has three quarters of the item's words or nearly so (a copy cut by a quarter; two
+#: thirds if foreign words stand in its middle): the fingerprints differ in 14.7 bits on average with a deviation of 3.4.
+RADIUS = 28
+#: Tables of up to so many rows (some 50 bytes each) are broadcast after counting them; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
-_LANES = 0x0001000100010001
+_LANES = 0x0000000100000001
+_PAIR = ["doc_id", "body", "item_id", "item_body", "n"]
 
 
 def _hashed(text: Column) -> Column:
@@ -35,20 +35,28 @@ def _hashed(text: Column) -> Column:
 
 def _shingles(words: Column, k: int = SHINGLE_WORDS) -> Column:
     """The hashes of an array's k-word shingles, of the whole if it is shorter; none if it is empty."""
-    last = F.greatest(F.size(words) - k, F.lit(0))
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, k)))).otherwise(F.array().cast("array<bigint>"))
+    count = F.least(F.size(words), F.greatest(F.size(words) - (k - 1), F.lit(1)))
+    # places after the last word are null, and a hash passes over nulls
+    rolled = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, k)]))
+    return F.slice(rolled, F.lit(1), count)
 
 
 def with_simhash(df: DataFrame, words: str, to: str) -> DataFrame:
-    """df with the 64-bit SimHash of an array of word hashes: each bit by majority. Four counters of 16 bits share a sum."""
+    """df with the 64-bit SimHash of an array of word hashes: each bit by majority. Two counters of 32 bits share a sum."""
 
     def counted_from(k: int) -> Column:
         return F.aggregate(words, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES)))
 
-    sums = {f"__s{k}": counted_from(k) for k in range(16)}
-    counted = df.withColumns(sums)
-    bits = [F.when(F.shiftrightunsigned(f"__s{k}", 16 * j).bitwiseAND(F.lit(0xFFFF)) * 2 > F.size(words), F.lit((v := 1 << (16 * j + k)) - (1 << 64 if v >> 63 else 0))).otherwise(F.lit(0).cast("long")) for k in range(16) for j in range(4)]
-    return counted.withColumn(to, reduce(lambda a, b: a.bitwiseOR(b), bits)).drop(*sums)
+    names = fresh(df, *[f"sum{k}" for k in range(32)])
+    counted = df.withColumns({name: counted_from(k) for k, name in enumerate(names)})
+
+    def bit(k: int, lane: int) -> Column:
+        value = 1 << (32 * lane + k)
+        most = F.shiftrightunsigned(names[k], 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.size(words)
+        return F.when(most, F.lit(value - (1 << 64 if value >> 63 else 0))).otherwise(F.lit(0).cast("long"))
+
+    bits = [bit(k, lane) for k in range(32) for lane in range(2)]
+    return counted.withColumn(to, reduce(lambda a, b: a.bitwiseOR(b), bits)).drop(*names)
 
 
 def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
@@ -57,10 +65,6 @@ def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
     return F.array(*[F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) * 64 + i for i, (a, b) in enumerate(zip(edges, edges[1:]))])
 
 
-def _weight(shingles: Column, shingle: Column) -> Column:
-    return F.size(F.filter(shingles, lambda x: x == shingle))
-
-
 def _best_span(matches: Column, m: Column, percent: int) -> Column:
     """Of matches (place, before), by place: similarity, -start, -size and shared weight of the best span, against m shingles.
 
@@ -83,85 +87,105 @@ def _best_span(matches: Column, m: Column, percent: int) -> Column:
     return F.array_max(F.transform(matches, from_start))
 
 
-def _matches(docs: DataFrame, benchmark: DataFrame, around: bool, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
-    """Items; doc_id, body (a hash of its words), shingle, place of what documents share with them, and windows around; whether items are few."""
-    items = benchmark.select("item_id", _hashed(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
-    items = written(with_simhash(items.withColumn("item_shingles", _shingles(F.col("words"))), "words", "item_print"), "items")
-    places = items.select("item_id", F.size("words").alias("n"), F.posexplode("item_shingles").alias("item_place", "shingle"))
-    aligned = places.groupBy("shingle").agg(F.collect_set(F.struct("item_place", "n")).alias("places"))
-    small = places.count() <= BROADCAST_ROWS
+def _held(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items (item_id, item_body, n, item_print), and a row for each and each of its shingles: weight, first (its first place), prior (the shingle
+    before that place, where it stands there first as well)."""
+    words = benchmark.select("item_id", _hashed(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
+    # an item without an id is told apart by its words, as are items that share an id
+    named = words.select("item_id", F.xxhash64("words").alias("item_body"), F.size("words").alias("n"), "words")
+    items = written(with_simhash(named.withColumn("shingles", _shingles(F.col("words"))), "words", "item_print"), "items")
+    placed = items.select(*_PAIR[2:], F.posexplode("shingles").alias("at", "shingle"))
+    owned = placed.groupBy(*_PAIR[2:], "shingle").agg(F.count("*").cast("int").alias("weight"), F.min("at").alias("first"))
+    before = owned.select("item_id", "item_body", F.col("first").alias("ended"), F.col("shingle").alias("prior"))
+    same = F.col("o.item_id").eqNullSafe(F.col("b.item_id")) & (F.col("o.item_body") == F.col("b.item_body")) & (F.col("o.first") == F.col("b.ended") + 1)
+    own = owned.alias("o").join(before.alias("b"), same, "left").select(*[f"o.{c}" for c in _PAIR[2:]], "shingle", "weight", "first", "prior")
+    return items, written(own, "own-shingles")
+
+
+def _matches(docs: DataFrame, own: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, body (a hash of the text), item, shingle, weight, place of all that documents share with items, and a window where a run begins."""
     # items of fewer words than a shingle are found by shingles of as many words: at most four more lengths
-    short = [r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < SHINGLE_WORDS).distinct().collect()]
-    arrays = docs.select(F.col(id_col).alias("doc_id"), _hashed(F.col(text_col)).alias("words")).withColumn("body", F.xxhash64("words"))
-    every = F.concat(*[F.transform(_shingles(F.col("words"), k), lambda s, i: F.struct(i.alias("place"), s.alias("shingle"))) for k in (SHINGLE_WORDS, *short)])
-    placed = arrays.select("doc_id", "body", "words", F.explode(every).alias("s")).select("doc_id", "body", "words", "s.*") if short else arrays.select("doc_id", "body", "words", F.posexplode(_shingles(F.col("words"))).alias("place", "shingle"))
-
-    def window(p: Column) -> Column:
-        start = F.col("place") - p["item_place"]
-        low = F.greatest(start - SHIFT, F.lit(0))
-        return F.struct(start.alias("start"), p["n"].alias("n"), low.alias("low"), F.slice("words", low + 1, p["n"] + 2 * SHIFT + SLACK).alias("around"))
-
-    found = placed.join(F.broadcast(aligned) if small else aligned, "shingle")
-    # written, so that documents are cut into shingles once
-    return items, written(found.select("doc_id", "body", "shingle", "place", *([F.transform("places", window).alias("windows")] if around else [])), "matches"), small
-
-
-def _spans(items: DataFrame, matches: DataFrame, small: bool, percent: int) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, similarity: the best window of any length of each text and item."""
-    own = items.select("item_id", F.xxhash64("words").alias("item_body"), F.size("words").alias("n"), F.explode("item_shingles").alias("shingle"))
-    pair = ["doc_id", "body", "item_id", "item_body", "n"]
-    owners = own.groupBy(*pair[2:], "shingle").agg(F.count("*").cast("int").alias("weight"))
-    found = matches.select("doc_id", "body", "shingle", "place").join(F.broadcast(owners) if small else owners, "shingle")
+    short = [r.n for r in own.select("n").where(F.col("n") < SHINGLE_WORDS).distinct().collect()]
+    text = F.col(text_col).cast("string")
+    words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("body"), _hashed(text).alias("words"))
+
+    # as columns of their own, so that a lambda looks into an array that is there
+    lengths = (SHINGLE_WORDS, *short)
+    made = words.withColumns({f"shingles{k}": _shingles(F.col("words"), k) for k in lengths})
+
+    def placed(name: str) -> Column:
+        return F.transform(name, lambda s, i: F.struct(i.alias("place"), s.alias("shingle"), F.get(name, i - 1).alias("last")))
+
+    arrays = made.select("doc_id", "body", "words", F.concat(*[placed(f"shingles{k}") for k in lengths]).alias("every"))
+    # outer, as else a filter on the array's size is put below the projections that make it and makes it again for each element
+    found = arrays.select("doc_id", "body", "words", F.explode_outer("every").alias("s")).select("doc_id", "body", "words", "s.*").join(_held(own), "shingle")
+    begin = F.col("place") - F.col("first")
+    window = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.greatest(F.col("n") + F.least(begin, F.lit(0)), F.lit(1)))
+    head = F.when(~F.col("last").eqNullSafe(F.col("prior")) | F.col("prior").isNull(), window)
+    return written(found.select(*_PAIR, "shingle", "weight", "place", head.alias("window")), "matches")
+
+
+def _similar(docs: DataFrame, benchmark: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, body, item_id, start_word, n_words, similarity, distance of the best window of each text and item; a written table."""
+    items, own = _items(benchmark)
+    matches = _matches(docs, own, id_col, text_col)
     # repeated rows of a document give the same places
-    at = found.groupBy(*pair, "shingle", "weight").agg(F.array_sort(F.collect_set("place")).alias("at"))
+    at = matches.groupBy(*_PAIR, "shingle", "weight").agg(F.array_sort(F.collect_set("place")).alias("at"))
     marked = F.transform("at", lambda p, t: F.struct(p.alias("place"), F.coalesce(F.get("at", t - F.col("weight")), F.lit(-1)).alias("before")))
-    grouped = at.groupBy(*pair).agg(F.array_sort(F.flatten(F.collect_list(marked))).alias("matches"))
+    grouped = at.groupBy(*_PAIR).agg(F.array_sort(F.flatten(F.collect_list(marked))).alias("matches"))
     m = F.greatest(F.col("n") - SHINGLE_WORDS + 1, F.lit(1))
+    pairs = written(grouped.where(100 * F.size("matches") >= percent * m).withColumn("pair", F.monotonically_increasing_id()), "pairs")
+
+    # the windows of these pairs, and their fingerprints
+    heads = matches.where("window is not null").select(*_PAIR, "window").distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"h.{c}").eqNullSafe(F.col(f"p.{c}")) for c in _PAIR])
+    windows = heads.alias("h").join(pairs.select("pair", *_PAIR).alias("p"), same).select("p.pair", "h.item_id", "h.item_body", "h.window")
+    printed = written(with_simhash(windows, "window", "print").drop("window"), "windows")
+    index = items.select(F.col("item_id").alias("id"), "item_body", "item_print", F.explode(blocks(F.col("item_print"))).alias("block"))
+    asked = printed.withColumn("block", F.explode(blocks(F.col("print"))))
+    met = asked.join(index, (F.col("item_id").eqNullSafe(F.col("id"))) & (asked["item_body"] == index["item_body"]) & (asked["block"] == index["block"]))
+    distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).cast("long")
+    near = met.select("pair", distance.alias("distance")).where(F.col("distance") <= RADIUS).groupBy("pair").agg(F.min("distance").alias("distance"))
+
     # written, so that spans are tried once
-    tried = written(grouped.where(100 * F.size("matches") >= percent * m).select(*pair, _best_span(F.col("matches"), m, percent).alias("b")), "spans")
+    tried = written(pairs.join(near, "pair").select(*_PAIR, "distance", _best_span(F.col("matches"), m, percent).alias("b")), "spans")
     sure = tried.where(100 * F.col("b.shared") >= percent * (m - F.col("b.size") - F.col("b.shared")))
-    return sure.select("doc_id", "item_id", (-F.col("b.start")).alias("start_word"), (-F.col("b.size") - 1 + F.least("n", F.lit(SHINGLE_WORDS))).alias("n_words"), "b.similarity")
+    start, size = (-F.col("b.start")).cast("long"), (-F.col("b.size") - 1 + F.least("n", F.lit(SHINGLE_WORDS))).cast("long")
+    out = written(sure.select("doc_id", "body", "item_id", start.alias("start_word"), size.alias("n_words"), "distance", "b.similarity"), "similar")
+    deleted(items, own, matches, pairs, printed, tried)
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILAR_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document and item that it holds: doc_id, item_id, start_word, n_words, distance, similarity of the best window.
 
-    The best window is that of about the item's length (up to SLACK words off) if one is similar enough, else that of any length. Its distance
-    is null in the second case. Words are lower-cased. Items of fewer than five words are one shingle and so are found as they are;
-    items without words or text are found nowhere. Null, empty or blank texts hold nothing. Ties: the first, then the shortest window. Repeated
-    rows of a document or of an item give one row. Null ids are kept as null. Empty tables: no rows. Other columns are not read.
+    distance: the least between the item's fingerprint and a window's of its length. Words are lower-cased. Items of fewer than five
+    words are one shingle and so are found as they are; items without words or text are found nowhere. Null, empty or blank texts hold
+    nothing. Ties: the first, then the shortest window. Repeated rows of a document or of an item give one row, as do several texts under one
+    id (the best). Null ids are kept as null, and are one document. Very long texts are taken whole; the trial of spans grows with the
+    square of the item's length, not of the text's. Empty tables: no rows. Other columns are not read.
+    """
+    found = _similar(docs, benchmark, percent, id_col, text_col)
+    rank = F.struct("similarity", -F.col("start_word"), -F.col("n_words"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start_word", "n_words", "distance", "similarity"), rank).alias("best"))
+    return best.select("doc_id", "item_id", "best.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILAR_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text holds an item; docs' columns.
+
+    A row goes by its id and text: other texts under its id stay, repeated rows go together, and rows without an id go like others. Null, empty
+    and blank texts stay. Empty tables: docs as they are.
     """
-    items, matches, small = _matches(docs, benchmark, True, id_col, text_col)
-
-    def held(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df
-
-    around = matches.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.*").distinct()
-    begin, size = F.col("start") + F.col("w.shift"), F.col("n") + F.col("w.more")
-    tried = around.withColumn("w", F.explode(F.array(*[F.struct(F.lit(a).alias("shift"), F.lit(b).alias("more")) for a in range(-SHIFT, SHIFT + 1) for b in range(-SLACK, SLACK + 1)])))
-    first, cut = F.greatest(begin, F.lit(0)), size + F.least(begin, F.lit(0))
-    windows = tried.where(cut > 0).select("doc_id", first.alias("start_word"), F.slice("around", first - F.col("low") + 1, cut).alias("window")).where(F.size("window") > 0).distinct()
-    printed = with_simhash(windows, "window", "print")
-
-    # item by item, as the block join needs no more than fingerprints
-    index = items.select("item_id", "item_shingles", "item_print", F.explode(blocks(F.col("item_print"))).alias("block"))
-    near = printed.withColumn("block", F.explode(blocks(F.col("print")))).join(held(index), "block")
-    distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = near.where(distance <= RADIUS).select("doc_id", "start_word", "window", "item_id", "item_shingles", distance.alias("distance")).distinct()
-    # written, so that a window's shingles are made once, not for each comparison
-    shingles = written(near.withColumn("window_shingles", _shingles(F.col("window"))), "candidates")
-    shared = F.aggregate(F.array_distinct("window_shingles"), F.lit(0), lambda acc, s: acc + F.least(_weight(F.col("window_shingles"), s), _weight(F.col("item_shingles"), s)))
-    sized = shingles.withColumn("shared", shared).withColumn("all", F.size("window_shingles") + F.size("item_shingles") - F.col("shared"))
-    sure = sized.where(100 * F.col("shared") >= percent * F.col("all")).select("doc_id", "item_id", "start_word", F.size("window").alias("n_words"), "distance", (F.col("shared") / F.col("all")).alias("similarity"))
-    spans = _spans(items, matches, small, percent).select("doc_id", "item_id", "start_word", "n_words", F.lit(None).cast("int").alias("distance"), "similarity")
-    sure = sure.withColumn("usual", F.lit(1)).unionByName(spans.withColumn("usual", F.lit(0)))
-    best = sure.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start_word", "n_words", "distance", "similarity"), F.struct("usual", "similarity", -F.col("start_word"), -F.col("n_words"))).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.start_word").cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.distance").cast("long").alias("distance"), "best.similarity")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item."""
-    # windows of any length have all that the usual ones have
-    items, matches, small = _matches(docs, benchmark, False, "doc_id", "text")
-    held = written(_spans(items, matches, small, SIMILAR_PERCENT).select("doc_id").distinct(), "leaking")
-    return docs.join(held.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    found = _similar(docs, benchmark, percent, id_col, text_col)
+    held = written(found.select(F.col("doc_id").alias("held_id"), F.col("body").alias("held_body")).distinct(), "leaking")
+    deleted(found)
+    few = held.count() <= BROADCAST_ROWS
+    taken, own = fresh(docs, "held_id", "held_body")
+    held = held.withColumnsRenamed({"held_id": taken, "held_body": own})
+    key = F.col(id_col).eqNullSafe(F.col(taken)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(own))
+    return docs.join(F.broadcast(held) if few else held.hint("merge"), key, "left_anti")

@@ -1,8 +1,8 @@
 """I-Match fingerprints in DataFrame operations only.
 
-A term is a lower-cased word. The lexicon has the terms whose inverse document frequency lies in a band. A text's
-fingerprint has a hash of its distinct lexicon terms, and one for each of several randomised subsets of the lexicon. A set's hash is the
-exclusive or of its terms' hashes: the same in every order, as if they had been sorted.
+A term is a lower-cased word. The lexicon has the terms whose inverse document frequency lies in a band. A text's distinct lexicon terms
+are sorted (by their hashes), and its fingerprint has a hash of them all and one of those in each of several randomised subsets of the
+lexicon.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from .common import parts, words_of, written
 
-#: The band: terms in at least a 500th and at most a tenth of the documents.
+#: The band of inverse document frequencies: terms in at least one of 500 and at most one of 10 documents.
 LEAST_IDF, MOST_IDF = math.log(10), math.log(500)
-#: Shares of the lexicon in the subsets: an edit that touches every large subset still spares small ones.
-SHARES = (2,) * 4 + (8,) * 4 + (32,) * 8 + (128,) * 16
+#: One in so many terms is in each subset, of a bit each. An edit leaves a subset's hash as it was if it touches none of its terms, so texts
+#: of few terms need large subsets and texts of many small ones: half of a text of 20 to 500 lexicon terms goes without touching some.
+SHARES = (32,) * 16 + (128,) * 22 + (512,) * 22
+#: The hash of an empty array, which stands for no term.
+_NOTHING = 42
 #: A lexicon has at most 500 times as many terms as a document has on average; beyond so many, the join shuffles.
 BROADCAST_TERMS = 1_000_000
 
@@ -33,7 +36,8 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     n = docs.count()
     seen = docs.select(F.explode(_terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    kept = seen.where(F.col("n").between(math.ceil(n * math.exp(-MOST_IDF)), math.floor(n * math.exp(-LEAST_IDF))))
+    # a billionth is for terms at the band's very edge
+    kept = seen.where(F.ln(F.lit(float(n)) / F.col("n")).between(LEAST_IDF - 1e-9, MOST_IDF + 1e-9))
     mask = sum((F.when(F.pmod(F.xxhash64("term", F.lit(j)), F.lit(share)) == 0, F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, share in enumerate(SHARES)), F.lit(0).cast("long"))
     return written(kept.select("term", mask.alias("mask")), "lexicon")
 
@@ -43,22 +47,35 @@ def held(lex: DataFrame) -> DataFrame:
 
 
 def set_hashes(bodies: DataFrame, keys: list[str], body_cols: list[str], lex: DataFrame) -> DataFrame:
-    """For rows that keys tell apart, keys and for each body an array of hashes: of all its lexicon terms, then of the subsets.
+    """For rows that keys tell apart, keys and for each body an array of hashes: of all its sorted lexicon terms, then of the subsets.
 
-    A text without lexicon terms has the hash of the whole text and no subsets (null).
+    A text without lexicon terms has the hash of the whole text; a subset that it has nothing of is null. A row's terms come together
+    in one array, so a very long text is a long array of its distinct lexicon terms.
     """
-    each = bodies.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("body")) for i, c in enumerate(body_cols)])).alias("b")).select(*keys, "b.i", "b.body")
-    terms = each.select(*keys, "i", F.xxhash64("body").alias("whole"), F.explode_outer(_terms(F.col("body"))).alias("term")).join(held(lex), "term", "left")
-    hashed = F.when(F.col("mask").isNotNull(), F.xxhash64("term", F.lit("term")))
+    whole = [F.xxhash64(c).alias(f"whole_{c}") for c in body_cols]
+    each = bodies.select(*keys, *whole, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("body")) for i, c in enumerate(body_cols)])).alias("b"))
+    rows = [*keys, *[f"whole_{c}" for c in body_cols]]
+    terms = each.select(*rows, "b.i", F.explode_outer(_terms(F.col("b.body"))).alias("term")).join(held(lex), "term", "left")
+    known = F.when(F.col("mask").isNotNull(), F.struct("i", "term", "mask"))
+    sorted_terms = terms.groupBy(*rows).agg(F.array_sort(F.collect_list(known)).alias("terms"))
 
-    def of(i: int) -> list[Column]:
-        mine = F.col("i") == i
-        subsets = [F.bit_xor(F.when(mine & (F.col("mask").bitwiseAND(F.lit(1 << j)) != 0), hashed)).alias(f"s{i}_{j}") for j in range(len(SHARES))]
-        return [F.bit_xor(F.when(mine, hashed)).alias(f"t{i}"), F.max(F.when(mine, F.col("whole"))).alias(f"w{i}"), *subsets]
+    def mine(i: int) -> Column:
+        return F.filter("terms", lambda t: t["i"] == i)
 
-    summed = terms.groupBy(*keys).agg(*[c for i in range(len(body_cols)) for c in of(i)])
-    arrays = [F.array(F.coalesce(f"t{i}", f"w{i}"), *[F.col(f"s{i}_{j}") for j in range(len(SHARES))]).alias(f"hashes_{c}") for i, c in enumerate(body_cols)]
-    return summed.select(*keys, *arrays)
+    own = sorted_terms.select(*rows, *[mine(i).alias(f"terms_{c}") for i, c in enumerate(body_cols)])
+
+    def hashed(array: Column) -> Column:
+        return F.nullif(F.xxhash64(F.transform(array, lambda t: t["term"])), F.lit(_NOTHING).cast("long"))
+
+    def subset(name: str, j: Column) -> Column:
+        return hashed(F.filter(name, lambda t: F.call_function("shiftright", t["mask"], j).bitwiseAND(F.lit(1)) == 1))
+
+    def hashes(c: str) -> Column:
+        name = f"terms_{c}"
+        subsets = F.transform(F.sequence(F.lit(0), F.lit(len(SHARES) - 1)), lambda j: subset(name, j))
+        return F.concat(F.array(F.coalesce(hashed(F.col(name)), F.col(f"whole_{c}"))), subsets).alias(f"hashes_{c}")
+
+    return own.select(*keys, *[hashes(c) for c in body_cols])
 
 
 def fingerprint(hashes: Column) -> Column:
@@ -103,7 +120,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has, for the last half of the text's code points, the first as many of the next text in ascending order of id, of the
     first after the last; near_next is the likeness to that text. One shuffle moves texts; all that follows is done within its buckets.
 
-    Null text: empty. Empty texts are alike. Null ids come first. Rows that share an id are in order of text, and so repeated rows
+    Null text: empty. Empty texts are alike. Very long texts are taken whole. Null ids come first. Rows that share an id are in order of text, and so repeated rows
     follow one another. A table of one row: it is its own next. Empty table: no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

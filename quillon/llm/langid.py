@@ -8,8 +8,10 @@ the language whose prototype is nearest by cosine.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,13 @@ SAMPLE_PER_LANGUAGE = 1000
 #: letters, and junk's doesn't, so the bound of a text of fewer letters is less in proportion.
 LEAST_SCORE, SURE_LETTERS = 0.14, 80
 _BATCH, _COLUMNS, _CACHE = 64, 4096, 1 << 15
-_NO_LETTER = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def no_letters() -> re.Pattern:
+    """Runs of what is no letter: as re counts number letters and fractions among word characters, these are named."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+    return re.compile(f"[\\W\\d_{re.escape(numbers)}]+")
 
 
 class Trigrams:
@@ -56,7 +64,7 @@ class Trigrams:
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """A unit vector for each whole text; zeros without letters."""
-        spaced = [_NO_LETTER.sub(" ", (t or "").lower()).strip() for t in texts]
+        spaced = [no_letters().sub(" ", (t or "").lower()).strip() for t in texts]
         joined = "  ".join(["", *spaced, ""])
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         doc = np.repeat(np.arange(len(texts) + 1), [2, *(len(s) + 2 for s in spaced)])
@@ -103,7 +111,7 @@ class LanguageProfiles:
         near = self.nearness(bundles)
         known = near >= least
         for i in np.flatnonzero(~known):
-            known[i] = near[i] >= least * min(1, len(_NO_LETTER.sub("", texts[i] or "")) / SURE_LETTERS)
+            known[i] = near[i] >= least * min(1, len(no_letters().sub("", texts[i] or "")) / SURE_LETTERS)
         return known
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import deleted, small_batches, written
+from .common import deleted, fresh, small_batches, written
 
 #: A repeated run is deleted if it has so many words.
 LEAST_WORDS = 50
@@ -118,9 +118,10 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id
     runs = repeated_runs(docs, least, id_col, text_col)
     cuts = written(runs.groupBy(*_PLACE).agg(F.collect_list(F.struct("place", "lines")).alias("cuts")), "cuts")
     rest = [c for c in docs.columns if c not in ("n_lines", "removed_lines", "removed_words")]
-    keyed = docs.select(*rest).withColumns({"__doc": _key(id_col), "__tie": F.xxhash64(F.col(text_col).cast("string"))})
-    cuts = cuts.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("cuts").alias("__cuts"))
-    joined = keyed.join(cuts.hint("merge"), ["__doc", "__tie"], "left").select(*rest, "__cuts")
+    doc, tie, cut = fresh(docs, "doc", "tie", "cuts")
+    keyed = docs.select(*rest).withColumns({doc: _key(id_col), tie: F.xxhash64(F.col(text_col).cast("string"))})
+    cuts = cuts.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("cuts").alias(cut))
+    joined = keyed.join(cuts.hint("merge"), [doc, tie], "left").select(*rest, cut)
     at = rest.index(text_col)
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

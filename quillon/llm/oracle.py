@@ -31,21 +31,19 @@ OP5 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format('text
   reach AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a)
   SELECT s.doc_id, len(sh) AS n_shingles, least(s.doc_id, coalesce(min(b), s.doc_id)) AS component_id, least(s.doc_id, coalesce(min(b), s.doc_id)) = s.doc_id AS kept FROM s LEFT JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, sh"""
 
+#: All windows that begin and end with a shingle of the item, of any length that can be similar.
 OP8 = f"""WITH items AS (SELECT DISTINCT item_id, {_WORDS.format('lower(text)')} AS words FROM benchmark),
-  it AS (SELECT item_id, len(words) AS n, {_shingles('words')} AS sh FROM items WHERE len(words) > 0),
-  ish AS (SELECT item_id, n, unnest(sh) AS g, generate_subscripts(sh, 1) - 1 AS ip FROM it),
-  d AS (SELECT doc_id, {_WORDS.format('lower(text)')} AS words FROM documents),
+  it AS (SELECT item_id, len(words) AS n, greatest(len(words) - 4, 1) AS m, {_shingles('words')} AS sh FROM items WHERE len(words) > 0),
+  ig AS (SELECT item_id, n, m, g, count(*) AS weight FROM (SELECT item_id, n, m, unnest(sh) AS g FROM it) GROUP BY ALL),
+  d AS (SELECT DISTINCT doc_id, {_WORDS.format('lower(text)')} AS words FROM documents),
   ks AS (SELECT DISTINCT least(n, 5) AS k FROM it UNION SELECT 5),
-  dl AS (SELECT doc_id, words, {_shingles('words', 'k')} AS sh FROM d, ks),
-  dsh AS (SELECT doc_id, unnest(sh) AS g, generate_subscripts(sh, 1) - 1 AS p FROM dl),
-  al AS (SELECT DISTINCT doc_id, n, p - ip AS start FROM dsh JOIN ish ON dsh.g = ish.g),
-  tried AS (SELECT DISTINCT doc_id, greatest(start + a, 0) AS first, n + b + least(start + a, 0) AS cut FROM al, (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-1, 2)) AS b) WHERE n + b + least(start + a, 0) > 0),
-  win AS (SELECT DISTINCT t.doc_id, first, words[first + 1 : first + cut] AS body FROM tried t JOIN d ON t.doc_id = d.doc_id),
-  ws AS (SELECT doc_id, first, len(body) AS n_words, {_shingles('body')} AS sh FROM win WHERE len(body) > 0),
-  wg AS (SELECT doc_id, first, n_words, len(sh) AS total, g, count(*) AS c FROM (SELECT *, unnest(sh) AS g FROM ws) GROUP BY ALL),
-  ig AS (SELECT item_id, count(*) OVER (PARTITION BY item_id) AS dummy, g, count(*) AS c FROM ish GROUP BY item_id, g),
-  sim AS (SELECT doc_id, wg.first, n_words, ig.item_id, sum(least(wg.c, ig.c)) AS shared, any_value(total) + any_value(len(it.sh)) - sum(least(wg.c, ig.c)) AS every FROM wg JOIN ig ON wg.g = ig.g JOIN it ON it.item_id = ig.item_id GROUP BY doc_id, wg.first, n_words, ig.item_id)
-  SELECT doc_id, item_id, first AS start_word, n_words, round(shared / every, 9) AS similarity FROM sim WHERE 100 * shared >= 75 * every QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / every DESC, first, n_words) = 1"""
+  dl AS (SELECT doc_id, {_shingles('words', 'k')} AS sh FROM d, ks),
+  dsh AS (SELECT DISTINCT doc_id, unnest(sh) AS g, generate_subscripts(sh, 1) - 1 AS p FROM dl),
+  hit AS (SELECT doc_id, item_id, n, m, p, ig.g, weight FROM dsh JOIN ig ON dsh.g = ig.g QUALIFY 100 * count(*) OVER (PARTITION BY doc_id, item_id) >= 75 * m),
+  win AS (SELECT a.doc_id, a.item_id, a.n, a.m, a.p AS s, b.p AS e FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p BETWEEN a.p AND a.p + 100 * a.m // 75 - 1),
+  cnt AS (SELECT w.doc_id, w.item_id, w.n, w.m, s, e, least(count(*), any_value(weight)) AS c FROM win w JOIN hit h ON h.doc_id = w.doc_id AND h.item_id = w.item_id AND h.p BETWEEN s AND e GROUP BY w.doc_id, w.item_id, w.n, w.m, s, e, h.g),
+  sim AS (SELECT doc_id, item_id, n, m, s, e, sum(c) AS shared, e - s + 1 + m - sum(c) AS every FROM cnt GROUP BY doc_id, item_id, n, m, s, e)
+  SELECT doc_id, item_id, s AS start_word, (e - s + least(n, 5))::BIGINT AS n_words, round(shared / every, 9) AS similarity FROM sim WHERE 100 * shared >= 75 * every QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / every DESC, s, e) = 1"""
 
 _HOST = "translate(regexp_extract({0}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REST = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
@@ -59,18 +57,25 @@ _RULES = (("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("
 
 
 def _rank(name: str, links: str, seed: str) -> str:
-    return f"{name} AS (SELECT 0 AS round, host, 0.15 * {seed} AS score FROM seeds WHERE {seed} > 0 UNION ALL SELECT round, host, sum(score) FROM (SELECT r.round + 1 AS round, l.dst AS host, 0.85 * r.score / l.n AS score FROM {name} r JOIN {links} l ON l.src = r.host WHERE r.round < 30 UNION ALL SELECT t.round + 1, host, 0.15 * {seed} FROM seeds, (SELECT DISTINCT round FROM {name}) t WHERE {seed} > 0 AND t.round < 30) GROUP BY round, host)"
+    """Rounds until a change is below 0.85^100, less than a ten-millionth."""
+    start = f"SELECT 0 AS round, host, 0.15 * {seed} AS score, 0.15 AS most FROM seeds"
+    flow = f"SELECT r.round + 1 AS round, l.dst AS host, 0.85 * r.score / l.n AS score, 0.85 * r.most / l.n AS most FROM {name} r JOIN {links} l ON l.src = r.host WHERE r.round < 100"
+    again = f"SELECT t.round + 1, host, 0.15 * {seed}, 0.15 FROM seeds, (SELECT DISTINCT round FROM {name}) t WHERE t.round < 100"
+    return f"{name} AS ({start} UNION ALL SELECT round, host, sum(score), sum(most) FROM ({flow} UNION ALL {again}) GROUP BY round, host)"
 
 
 OP9 = f"""WITH RECURSIVE r0 AS (SELECT page_id, html, {_REST.format("coalesce(url, '')")} AS rest FROM pages),
   split AS (SELECT page_id, html, {_HOST.format('rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r0),
   ruled AS (SELECT *, CASE {' '.join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for h, p, _ in _RULES)} END AS rule, CASE {' '.join(f"WHEN {_fits(h, p)} THEN '{v}'" for h, p, v in _RULES)} END AS says FROM split),
-  seeds AS (SELECT host, count(*) FILTER (says = 'allow') / count(*) AS trusted, count(*) FILTER (says = 'block') / count(*) AS blocked FROM ruled WHERE host <> '' GROUP BY host),
+  own AS (SELECT host, count(*) FILTER (says = 'allow') / count(*) AS trusted, count(*) FILTER (says = 'block') / count(*) AS blocked FROM ruled WHERE host <> '' GROUP BY host),
   refs AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS u FROM split WHERE host <> '' AND html IS NOT NULL),
   refs2 AS (SELECT src, CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END AS u FROM refs),
   links AS (SELECT DISTINCT src, {_HOST.format('x')} AS dst FROM (SELECT src, {_REST.format('u')} AS x FROM refs2) WHERE {_HOST.format('x')} NOT IN ('', src)),
+  seeds AS (SELECT host, max(trusted) AS trusted, max(blocked) AS blocked FROM (SELECT * FROM own UNION ALL SELECT unnest([src, dst]), 0, 0 FROM links) GROUP BY host),
   fwd AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS n FROM links), rev AS (SELECT dst AS src, src AS dst, count(*) OVER (PARTITION BY dst) AS n FROM links),
-  {_rank('trust', 'fwd', 'trusted')}, {_rank('distrust', 'rev', 'blocked')}
-  SELECT page_id, ruled.host, path, rule, coalesce(says, CASE WHEN coalesce(d.score, 0) > coalesce(t.score, 0) + 0.1 THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN trust t ON t.host = ruled.host AND t.round = (SELECT max(round) FROM trust) LEFT JOIN distrust d ON d.host = ruled.host AND d.round = (SELECT max(round) FROM distrust)"""
+  {_rank('trust', 'fwd', 'trusted')}, {_rank('distrust', 'rev', 'blocked')},
+  flown AS (SELECT host, trusted, blocked, t.score - 0.15 * trusted AS tg, t.most - 0.15 AS tm, d.score - 0.15 * blocked AS dg, d.most - 0.15 AS dm FROM seeds JOIN trust t USING (host) JOIN distrust d USING (host) WHERE t.round = 100 AND d.round = 100),
+  shares AS (SELECT host, greatest(CASE WHEN tm > 1e-6 THEN tg / tm ELSE 0 END, trusted) AS t, greatest(CASE WHEN dm > 1e-6 THEN dg / dm ELSE 0 END, blocked) AS d FROM flown)
+  SELECT page_id, ruled.host, path, rule, coalesce(says, CASE WHEN d - t > 0.5 + 1e-4 THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN shares ON shares.host = ruled.host"""
 
 ORACLE_SQL = {"op2_lines": OP2, "op5_minhash": OP5, "op8_decontamination": OP8, "op9_urls": OP9}

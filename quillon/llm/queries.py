@@ -45,7 +45,16 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.recover(_read(spark, sf_dir, "conversations"))
+    """Conversations as transcripts in which three of ten speakers' names are left out; the turns that are recovered from them.
+
+    role and hidden are the table's, to compare with: no role is read but to write names before texts. Both are null where a
+    recovered turn begins within a turn of the table.
+    """
+    turns = _read(spark, sf_dir, "conversations")
+    pieces = chat.transcripts(turns)
+    found = chat.recover(pieces.select("conv_id", "turn", "text"))
+    given = turns.select("conv_id", "turn", "role").distinct().join(pieces.select("conv_id", "turn", "hidden").distinct(), ["conv_id", "turn"])
+    return found.join(given.withColumn("line", F.lit(0)), ["conv_id", "turn", "line"], "left").select("conv_id", "turn", "line", "n_lines", "role", "hidden", "role_pred", "rendered")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import deleted, written
 
-#: PageRank's share of links, its most rounds, and the change at which it ends.
-DAMPING, ROUNDS, SETTLED = 0.85, 30, 1e-6
-#: A host is blocked if its distrust exceeds its trust by more than this.
-THRESHOLD = 0.1
+#: PageRank's share of links, and the change of a score at which it has settled. Scores change by the power of the round, so some 90 rounds do.
+DAMPING, SETTLED = 0.85, 1e-6
+#: A host is blocked if its share of distrust exceeds its share of trust by more than this; a share is exact to TIE.
+THRESHOLD, TIE = 0.5, 1e-4
 
 
 @dataclass(frozen=True)
@@ -53,20 +53,21 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def personalised_rank(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Scores of hosts: host, score. links (src, dst) and seeds (host, seed) are written tables; mass flows from src to dst.
+    """host, score and most. links (src, dst) and seeds (host, seed from 0 to 1) are written tables; mass flows from src to dst.
 
-    A host's score is (1 - d) of its seed and d of what its neighbours share out in equal parts. Each round is written.
+    A host's score is (1 - d) of its seed and d of what its neighbours share out in equal parts; most is the same were all seeds 1, the most
+    that the host's neighbourhood can give it. Rounds go on until no score changes by more than SETTLED, and each is written.
     """
     out = links.groupBy("src").agg(F.count("*").alias("n"))
-    shares = written(links.join(written(out, "out"), "src"), "shares")
-    now, change = written(seeds.select("host", ((1 - DAMPING) * F.col("seed")).alias("score")), "rank"), 1.0
-    for _ in range(ROUNDS):
-        if change <= SETTLED:
-            break
-        flow = shares.join(now.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (DAMPING * F.col("score") / F.col("n")).alias("score"))
-        both = flow.unionByName(seeds.select("host", ((1 - DAMPING) * F.col("seed")).alias("score")))
-        new = written(both.groupBy("host").agg(F.sum("score").alias("score")), "rank")
-        delta = new.select("host", "score").unionByName(now.select("host", (-F.col("score")).alias("score"))).groupBy("host").agg(F.abs(F.sum("score")).alias("d"))
+    shares = written(links.join(out, "src"), "shares")
+    base = seeds.select("host", ((1 - DAMPING) * F.col("seed")).alias("score"), F.lit(1 - DAMPING).alias("most"))
+    now, change = written(base, "rank"), 1.0
+    while change > SETTLED:
+        part = F.lit(DAMPING) / F.col("n")
+        flow = shares.join(now.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (part * F.col("score")).alias("score"), (part * F.col("most")).alias("most"))
+        new = written(base.unionByName(flow).groupBy("host").agg(F.sum("score").alias("score"), F.sum("most").alias("most")), "rank")
+        # most changes at least as much as score does
+        delta = new.select("host", "most").unionByName(now.select("host", (-F.col("most")).alias("most"))).groupBy("host").agg(F.abs(F.sum("most")).alias("d"))
         change = delta.agg(F.max("d")).first()[0] or 0.0
         deleted(now)
         now = new
@@ -75,24 +76,40 @@ def personalised_rank(links: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the host's trust and distrust.
+    """page_id, host, path, rule, verdict, and the host's shares of trust and distrust.
 
     A host's seed is the share of its pages that rules allow (trust) or block (distrust). Trust flows along links, distrust
-    against them, to those that link to what is blocked. A page without a rule is blocked if its host's distrust exceeds its
-    trust by more than the threshold.
-
-    Null urls and such without ://: host and path are empty, allowed without a rule. Null html: no links. Repeated
-    pages each get a row, and count for their host's share. Null ids stay. Empty table: no rows. Other columns are not read.
+    against them, to those that link to what is blocked. What flows to a host is taken by the most that could, were all hosts
+    seeds: so it doesn't depend on how many others link to the same hosts, or on the size of the graph. A host's share is the larger
+    of that and its own seed. A page without a rule is blocked if its host's share of distrust exceeds that of trust by more than the
+    threshold.
+
+    Null urls and such without ://: host and path are empty, allowed without a rule. Null html: no links. Very long urls and pages are
+    read in whole. Repeated pages each get a row, and count for their host's seed. Null ids stay. Empty table: no rows. Other columns are not
+    read.
     """
     host, path = host_and_path(F.col("url"))
     split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), "html")
     rule, says = matched(F.col("host"), F.col("path"), rules)
     ruled = split.withColumns({"rule": rule, "says": says})
-    seeds = written(ruled.where("host <> ''").groupBy("host").agg((F.count_if(F.col("says") == "allow") / F.count("*")).alias("trusted"), (F.count_if(F.col("says") == "block") / F.count("*")).alias("blocked")), "seeds")
+
+    def share(verdict: str) -> Column:
+        return F.count_if(F.col("says") == verdict) / F.count("*")
+
     links = written(host_links(split), "links")
-    trust = personalised_rank(links, seeds.where("trusted > 0").select("host", F.col("trusted").alias("seed")))
-    distrust = personalised_rank(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds.where("blocked > 0").select("host", F.col("blocked").alias("seed")))
-    scores = written(trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full"), "scores")
+    own = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
+    linked = links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("trusted"), F.lit(0.0).alias("blocked"))
+    seeds = written(own.unionByName(linked).groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("blocked").alias("blocked")), "seeds")
+    trust = personalised_rank(links, seeds.select("host", F.col("trusted").alias("seed")))
+    distrust = personalised_rank(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds.select("host", F.col("blocked").alias("seed")))
+
+    def shares(rank: DataFrame, seed: str, name: str) -> DataFrame:
+        flowed = F.col("most") - (1 - DAMPING)
+        came = F.when(flowed > SETTLED, (F.col("score") - (1 - DAMPING) * F.col(seed)) / flowed).otherwise(0.0)
+        return rank.join(seeds, "host").select("host", F.greatest(came, F.col(seed)).alias(name))
+
+    scores = written(shares(trust, "trusted", "trust").join(shares(distrust, "blocked", "distrust"), "host"), "scores")
+    deleted(links, seeds, trust, distrust)
     out = ruled.drop("html").join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    own = F.when(F.col("distrust") > F.col("trust") + threshold, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("says", own).alias("verdict"), "trust", "distrust")
+    verdict = F.when(F.col("distrust") - F.col("trust") > threshold + TIE, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("says", verdict).alias("verdict"), "trust", "distrust")

@@ -11,7 +11,7 @@ def prose(rng: random.Random, n: int, letters: str = "abcdefghijklmnopqrstuvwxyz
 LONG = prose(random.Random(1), 30_000)
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, LONG), (5, "one two"), (5, "one two"), (6, "Ünï cödé \U0001f600 text\nwith lines"), (6, "another text of the same id"), (None, "a text without an id"), (7, "x" * 5000), (8, "one two"), (9, "12 34 !!")]
 #: Columns that operators use themselves.
-CLASHES = ["key", "words", "start", "length", "ids", "bucket", "halo", "score", "lang_pred", "shard", "grown_shard", "slot", "lane", "rep", "comp", "component_id", "digest", "bands", "place", "line", "tie", "rank", "n_lines", "removed_lines", "block", "window", "term", "mask", "row", "next", "rule", "verdict", "host", "path", "marker", "shape", "at"]
+CLASHES = ["doc", "cuts", "__cuts", "__doc", "__tie", "inside", "before", "found", "held_id", "held_body", "none", "conv", "n", "sum0", "body", "matches", "key", "words", "start", "length", "ids", "bucket", "halo", "score", "lang_pred", "shard", "grown_shard", "slot", "lane", "rep", "comp", "component_id", "digest", "bands", "place", "line", "tie", "rank", "n_lines", "removed_lines", "block", "window", "term", "mask", "row", "next", "rule", "verdict", "host", "path", "marker", "shape", "at"]
 
 
 @pytest.fixture(scope="session")

@@ -60,16 +60,59 @@ def test_near_duplicates_against_brute_force(spark, seed):
     assert all(r.n_shingles == len(shingles(dict(rows)[r.doc_id])) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_near_duplicates_of_odd_rows(odd, none):
+def test_near_duplicates_of_odd_rows(spark, odd, none):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
     by_id = {r.doc_id: r for r in rows}
     assert by_id[8].component_id == 5 and not by_id[8].kept
     assert all(by_id[i].n_shingles == 0 and by_id[i].kept for i in (1, 2, 3))
     assert by_id[None].component_id is None and by_id[None].kept
+    assert sorted((r.component_id, r.kept, r.n_shingles) for r in rows if r.doc_id == 6) == [(6, True, 2), (6, True, 2)]
     assert minhash.near_duplicates(none).count() == 0
 
 
+ONE, TWO = "a text of more than five words in all", "quite another text that has nothing in common with it"
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    rows = spark.createDataFrame([(3, ONE), (5, ONE), (5, TWO), (9, TWO), (None, TWO), (9, TWO)], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in minhash.near_duplicates(rows).collect())
+    assert got == [(-1, 5, False), (3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (9, 5, False)]
+    assert sorted(map(tuple, minhash.keep_one(rows).collect())) == [(3, ONE), (5, TWO)]
+    same = spark.createDataFrame([(None, ONE), (None, ONE), (7, ""), (7, "")], "doc_id long, text string")
+    assert sorted(r.text for r in minhash.keep_one(same).collect()) == ["", "", ONE]
+
+
+def test_keep_one_of_odd_rows(odd, none):
+    kept = minhash.keep_one(odd)
+    assert kept.columns == odd.columns and minhash.keep_one(none).count() == 0
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 6, 7, 9]
+
+
+def test_texts_of_one_id_that_differ_in_the_middle(spark):
+    """Confirmation takes whole texts: what a text begins and ends with doesn't stand for it."""
+    rng = random.Random(5)
+    head, tail = prose(rng, 30), prose(rng, 30)
+    middles = [prose(rng, 40) for _ in range(4)]
+    rows = [(1, f"{head} {m} {tail}") for m in middles] + [(i + 2, f"{head} {m} {tail} end") for i, m in enumerate(middles)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {1}
+    assert len(minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 4
+
+
+def test_a_crowd_from_one_template_does_not_meet(spark):
+    """Members share 75 of 100 shingles, similarity 0.6: no pair is made of them, so their number doesn't matter."""
+    rng = random.Random(6)
+    shared = prose(rng, 79)
+    rows = [(i, f"{shared} {prose(rng, 25)}") for i in range(60)]
+    texts = spark.createDataFrame(rows, "row long, text string")
+    contested = spark.createDataFrame([(i, i, True) for i, _ in rows], "rep long, comp long, outside boolean")
+    assert minhash._contested_pairs(contested, texts).count() == 0
+    close = [(i, " ".join([*shared.split(), *prose(rng, 9).split()])) for i in range(12)]
+    pairs = minhash._contested_pairs(spark.createDataFrame([(i, i, True) for i, _ in close], "rep long, comp long, outside boolean"), spark.createDataFrame(close, "row long, text string"))
+    assert pairs.distinct().count() == 66
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(3)
     for _ in range(300):
