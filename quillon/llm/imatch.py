@@ -7,6 +7,7 @@ lexicon.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,13 +17,14 @@ from .common import parts, words_of, written
 
 #: The band of inverse document frequencies: terms in at least one of 500 and at most one of 10 documents.
 LEAST_IDF, MOST_IDF = math.log(10), math.log(500)
-#: One in so many terms is in each subset, of a bit each. An edit leaves a subset's hash as it was if it touches none of its terms, so texts
-#: of few terms need large subsets and texts of many small ones: half of a text of 20 to 500 lexicon terms goes without touching some.
-SHARES = (32,) * 16 + (128,) * 22 + (512,) * 22
-#: The hash of an empty array, which stands for no term.
-_NOTHING = 42
-#: A lexicon has at most 500 times as many terms as a document has on average; beyond so many, the join shuffles.
-BROADCAST_TERMS = 1_000_000
+#: Groups of disjoint random subsets of the lexicon: so many subsets, each with one in so many terms. An edit leaves a subset's hash as it was if it
+#: touches none of its terms, so texts of few terms need large subsets and texts of many small ones: half of a text of 20 to 500 lexicon
+#: terms goes without touching some.
+GROUPS = ((16, 32), (22, 128), (22, 512))
+SUBSETS = sum(n for n, _ in GROUPS)
+#: A lexicon has at most 500 times as many terms as a document has on average. One of up to so many is a constant of the expression, which comes from
+#: the driver (about 20 bytes a term); a larger one is joined, with a broadcast up to the second number.
+CONSTANT_TERMS, BROADCAST_TERMS = 100_000, 1_000_000
 
 
 def _terms(text: Column) -> Column:
@@ -30,52 +32,82 @@ def _terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """term (its hash) and mask (the subsets that it is in, a bit each) for all terms within the band, from all documents.
-
-    Distinct terms of each document are counted before the shuffle. A written table.
-    """
+    """term (its hash) for all terms within the band, from all documents. Distinct terms of each are counted before the shuffle. A written table."""
     n = docs.count()
     seen = docs.select(F.explode(_terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     # a billionth is for terms at the band's very edge
     kept = seen.where(F.ln(F.lit(float(n)) / F.col("n")).between(LEAST_IDF - 1e-9, MOST_IDF + 1e-9))
-    mask = sum((F.when(F.pmod(F.xxhash64("term", F.lit(j)), F.lit(share)) == 0, F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, share in enumerate(SHARES)), F.lit(0).cast("long"))
-    return written(kept.select("term", mask.alias("mask")), "lexicon")
+    return written(kept.select("term"), "lexicon")
+
+
+def _members(bodies: DataFrame, keys: list[str], body_cols: list[str], lex: DataFrame) -> DataFrame:
+    """keys, and as ``members`` an array with the lexicon terms of each body."""
+    count = lex.count()
+    if count <= CONSTANT_TERMS:
+        boxes = 1 << max(0, (count // 8).bit_length())
+        held: list[list[int]] = [[] for _ in range(boxes)]
+        for r in lex.collect():
+            held[r.term % boxes].append(r.term)
+        # folded into a constant array once; a term looks into its own box of some eight
+        known = F.from_json(F.lit(json.dumps(held)), "array<array<bigint>>")
+        own = F.transform(F.array(*body_cols), lambda b: F.filter(_terms(b), lambda t: F.array_contains(F.get(known, F.pmod(t, F.lit(boxes)).cast("int")), t)))
+        return bodies.select(*keys, own.alias("members"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("body")) for i, c in enumerate(body_cols)]))
+    terms = bodies.select(*keys, each.alias("b")).select(*keys, "b.i", F.explode_outer(_terms(F.col("b.body"))).alias("term"))
+    marked = lex.withColumn("known", F.lit(True))
+    joined = terms.join(F.broadcast(marked) if count <= BROADCAST_TERMS else marked, "term", "left")
+    gathered = joined.groupBy(*keys).agg(F.collect_list(F.when(F.col("known"), F.struct("i", "term"))).alias("terms"))
 
+    def mine(i: int) -> Column:
+        return F.transform(F.filter("terms", lambda t: t["i"] == i), lambda t: t["term"])
 
-def held(lex: DataFrame) -> DataFrame:
-    return F.broadcast(lex) if lex.count() <= BROADCAST_TERMS else lex
+    return gathered.select(*keys, F.array(*[mine(i) for i in range(len(body_cols))]).alias("members"))
 
 
-def set_hashes(bodies: DataFrame, keys: list[str], body_cols: list[str], lex: DataFrame) -> DataFrame:
-    """For rows that keys tell apart, keys and for each body an array of hashes: of all its sorted lexicon terms, then of the subsets.
+def _subsets(term: Column) -> Column:
+    """(subset, term) for the subsets that a term is in: one of a group at most."""
+    mark, found, first = F.xxhash64(term, F.lit("subset")), [], 0
+    for g, (n, share) in enumerate(GROUPS):
+        place = F.pmod(F.shiftright(mark, 16 * g), F.lit(share)).cast("int")
+        found.append(F.struct(F.when(place < n, place + first).alias("subset"), term.alias("term")))
+        first += n
+    return F.filter(F.array(*found), lambda x: x["subset"].isNotNull())
 
-    A text without lexicon terms has the hash of the whole text; a subset that it has nothing of is null. A row's terms come together
-    in one array, so a very long text is a long array of its distinct lexicon terms.
-    """
-    whole = [F.xxhash64(c).alias(f"whole_{c}") for c in body_cols]
-    each = bodies.select(*keys, *whole, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("body")) for i, c in enumerate(body_cols)])).alias("b"))
-    rows = [*keys, *[f"whole_{c}" for c in body_cols]]
-    terms = each.select(*rows, "b.i", F.explode_outer(_terms(F.col("b.body"))).alias("term")).join(held(lex), "term", "left")
-    known = F.when(F.col("mask").isNotNull(), F.struct("i", "term", "mask"))
-    sorted_terms = terms.groupBy(*rows).agg(F.array_sort(F.collect_list(known)).alias("terms"))
 
-    def mine(i: int) -> Column:
-        return F.filter("terms", lambda t: t["i"] == i)
+def _hash_sorted(terms: Column) -> Column:
+    """The hash of an array of terms in sorted order, null if it is empty, then those of its terms in each subset."""
+    whole = F.when(F.size(terms) > 0, F.xxhash64(F.sort_array(terms)))
+    marked = F.sort_array(F.flatten(F.transform(terms, _subsets)))
+    nothing = F.struct(F.lit(-1).alias("subset"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<struct<subset:int,hash:bigint>>").alias("done"))
 
-    own = sorted_terms.select(*rows, *[mine(i).alias(f"terms_{c}") for i, c in enumerate(body_cols)])
+    def ended(acc: Column) -> Column:
+        return F.concat(acc["done"], F.array(F.struct(acc["subset"].alias("subset"), acc["hash"].alias("hash"))))
 
-    def hashed(array: Column) -> Column:
-        return F.nullif(F.xxhash64(F.transform(array, lambda t: t["term"])), F.lit(_NOTHING).cast("long"))
+    def further(acc: Column, x: Column) -> Column:
+        same = acc["subset"] == x["subset"]
+        chained = F.when(same, F.xxhash64(acc["hash"], x["term"])).otherwise(F.xxhash64(x["term"]))
+        return F.struct(x["subset"].alias("subset"), chained.alias("hash"), F.when(same, acc["done"]).otherwise(ended(acc)).alias("done"))
 
-    def subset(name: str, j: Column) -> Column:
-        return hashed(F.filter(name, lambda t: F.call_function("shiftright", t["mask"], j).bitwiseAND(F.lit(1)) == 1))
+    by_subset = F.array(F.map_from_entries(F.aggregate(marked, nothing, further, ended)))
+    dense = F.transform(by_subset, lambda m: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.try_element_at(m, j)))[0]
+    return F.concat(F.array(whole), dense)
+
+
+def set_hashes(bodies: DataFrame, keys: list[str], body_cols: list[str], lex: DataFrame) -> DataFrame:
+    """For rows that keys tell apart, keys and for each body an array of hashes: of all its sorted lexicon terms, then of the subsets.
+
+    A text without lexicon terms has the hash of the whole text; a subset that it has nothing of is null. A very long text is a long array of
+    its distinct terms.
+    """
+    wholes = [f"whole_{c}" for c in body_cols]
+    named = bodies.withColumns({w: F.xxhash64(c) for w, c in zip(wholes, body_cols, strict=True)})
+    found = _members(named, [*keys, *wholes], body_cols, lex)
+    hashed = found.select(*keys, *wholes, F.transform("members", _hash_sorted).alias("hashes"))
 
-    def hashes(c: str) -> Column:
-        name = f"terms_{c}"
-        subsets = F.transform(F.sequence(F.lit(0), F.lit(len(SHARES) - 1)), lambda j: subset(name, j))
-        return F.concat(F.array(F.coalesce(hashed(F.col(name)), F.col(f"whole_{c}"))), subsets).alias(f"hashes_{c}")
+    def of(i: int, whole: str) -> Column:
+        return F.transform(F.col("hashes")[i], lambda h, j: F.when(j == 0, F.coalesce(h, F.col(whole))).otherwise(h))
 
-    return own.select(*keys, *[hashes(c) for c in body_cols])
+    return hashed.select(*keys, *[of(i, w).alias(f"hashes_{c}") for i, (c, w) in enumerate(zip(body_cols, wholes, strict=True))])
 
 
 def fingerprint(hashes: Column) -> Column:
@@ -86,7 +118,7 @@ def fingerprint(hashes: Column) -> Column:
 
 def likeness(x: Column, y: Column) -> Column:
     """1 for equal hashes of all terms; else the share of equal subsets among those that either text has something of."""
-    pairs = F.zip_with(F.slice(x, 2, len(SHARES)), F.slice(y, 2, len(SHARES)), lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a == b, F.lit(False))))
+    pairs = F.zip_with(F.slice(x, 2, SUBSETS), F.slice(y, 2, SUBSETS), lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a == b, F.lit(False))))
     both = F.filter(pairs, lambda p: p.isNotNull())
     share = F.when(F.size(both) > 0, F.size(F.filter(both, lambda p: p)) / F.size(both)).otherwise(F.lit(0.0))
     return F.when(x[0] == y[0], F.lit(1.0)).otherwise(share)

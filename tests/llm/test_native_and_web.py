@@ -41,7 +41,7 @@ def test_fingerprints_of_odd_rows(spark, odd, none):
     assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"abcdabc").hexdigest()
 
 
-def test_fingerprints_against_plain_loops(spark):
+def test_fingerprints_against_plain_loops(spark, monkeypatch):
     """Lexicon, sorted terms, subsets and likeness by loops, with the hash of another library."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -56,6 +56,12 @@ def test_fingerprints_against_plain_loops(spark):
             seed = xxhash.xxh64_intdigest(struct.pack("<q", x), seed=seed)
         return signed(seed)
 
+    def chained(terms):
+        out = hashed(terms[0])
+        for t in terms[1:]:
+            out = hashed(out, t)
+        return out
+
     def terms(text):
         return {signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in re.split("[\x20\x09-\x0d]+", text.lower()) if w}
 
@@ -63,15 +69,17 @@ def test_fingerprints_against_plain_loops(spark):
     low, high = math.ceil(len(texts) / 500), len(texts) // 10
     lexicon = {t for t, n in seen.items() if low <= n <= high}
 
-    def in_subset(term, j, share):
+    def subset_of(term, g):
+        n, share = imatch.GROUPS[g]
         seed = xxhash.xxh64_intdigest(struct.pack("<q", term), seed=42)
-        return signed(xxhash.xxh64_intdigest(struct.pack("<i", j), seed=seed)) % share == 0
+        place = (signed(xxhash.xxh64_intdigest(b"subset", seed=seed)) >> 16 * g) % share
+        return place if place < n else None
 
     def hashes(text):
         own = sorted(terms(text) & lexicon)
         whole = hashed(*own) if own else signed(xxhash.xxh64_intdigest(text.encode(), seed=42))
-        kept = [[t for t in own if in_subset(t, j, share)] for j, share in enumerate(imatch.SHARES)]
-        return [whole, *(hashed(*k) if k else None for k in kept)]
+        kept = [[t for t in own if subset_of(t, g) == j] for g, (n, _) in enumerate(imatch.GROUPS) for j in range(n)]
+        return [whole, *(chained(k) if k else None for k in kept)]
 
     def shown(values):
         digits = ["-" if v is None else f"{v % (1 << 64):016x}" for v in values]
@@ -83,14 +91,20 @@ def test_fingerprints_against_plain_loops(spark):
         pairs = [a == b for a, b in zip(x[1:], y[1:], strict=True) if a is not None or b is not None]
         return sum(pairs) / len(pairs) if pairs else 0.0
 
-    got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
+    got = imatch.fingerprints(docs).collect()
     own = {k: hashes(texts[k]) for k in order}
+    rows = {r.doc_id: r for r in got}
     for i, k in enumerate(order):
         text, after = texts[k], order[(i + 1) % len(order)]
         edited = hashes(text[: len(text) - len(text) // 2] + texts[after][: len(text) // 2])
-        r = got[k]
+        r = rows[k]
         assert (r.fingerprint, r.edited_fingerprint) == (shown(own[k]), shown(edited))
         assert r.near_edited == pytest.approx(near(own[k], edited)) and r.near_next == pytest.approx(near(own[k], own[after]))
+    # a lexicon that is too large for a constant is joined, with the same result
+    for broadcast in (10**6, 0):
+        monkeypatch.setattr(imatch, "CONSTANT_TERMS", 0)
+        monkeypatch.setattr(imatch, "BROADCAST_TERMS", broadcast)
+        assert sorted(imatch.fingerprints(docs).collect()) == sorted(got)
 
 
 def test_half_an_edit_is_nearer_than_the_next_document(spark):
