@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.rolling import by_date, by_ticker, forward_compound
@@ -217,7 +217,7 @@ def economic_metrics(spark, sf_dir):
 def edge_table(spark, sf_dir):
     rows = alarmed(spark, sf_dir)
     own = evaluate.economics(evaluate.samples(rows, F.col("fired")))
-    return rounded(evaluate.edges(own, evaluate.economics(evaluate.baseline(rows, F.col("fired"), draws=5))))
+    return rounded(evaluate.edges(own, evaluate.economics(evaluate.baseline(rows, F.col("fired")))))
 
 
 @query
@@ -274,9 +274,26 @@ def checksums(spark, sf_dir):
     return universe.membership_hash(part, ["p_size"], "p_brand")
 
 
+#: What a share of the exported names has before and after it, by p_partkey % 13.
+PREFIXES = {3: "United ", 8: "Bright "}
+SUFFIXES = {0: " Warrant", 1: " Warrants", 2: " Rights", 4: " Unit", 5: " Preference Shares", 6: " Depositary Shares", 7: " Notes Due 2030", 9: " Bonds"}
+
+
+def _by_number(parts: dict[int, str]) -> Column:
+    out = F.lit("")
+    for i, text in parts.items():
+        out = F.when(F.col("p_partkey") % 13 == i, text).otherwise(out)
+    return out
+
+
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = source.table(spark, sf_dir, "part")
-    return part.select(F.concat(F.lit("s"), F.col("p_partkey") % 700).alias("symbol"), F.when(F.col("p_partkey") % 11 == 0, F.concat("p_name", F.lit(" Warrant"))).otherwise(F.col("p_name")).alias("name"), F.col("p_type").alias("industry"), F.col("p_brand").alias("sector"), F.when(F.col("p_size") % 2 == 0, "France").otherwise("Japan").alias("country"), F.concat(F.lit("$"), (F.col("p_retailprice") * 100).cast("long")).alias("market_cap"))
+    """Parts as a screener's export: place, symbol, name, industry, sector, country, market_cap as text. Some symbols are odd, some names no stock's."""
+    part, k = source.table(spark, sf_dir, "part"), F.col("p_partkey")
+    symbol = F.concat(F.when(k % 29 == 0, "9").otherwise("s"), k % 700, F.when(k % 5 == 0, "/b").when(k % 7 == 0, ".c").otherwise(""))
+    name = F.concat(_by_number(PREFIXES), F.col("p_name"), _by_number(SUFFIXES))
+    country = F.when(F.col("p_size") % 2 == 0, "France").otherwise("Japan")
+    cap = F.concat(F.lit("$"), (F.col("p_retailprice") * 100).cast("long"))
+    return part.select(k.alias("place"), symbol.alias("symbol"), name.alias("name"), F.col("p_type").alias("industry"), F.col("p_brand").alias("sector"), country.alias("country"), cap.alias("market_cap"))
 
 
 @query
@@ -298,8 +315,8 @@ def industry_query(spark, sf_dir):
 
 @query
 def universe_screen(spark, sf_dir):
-    rows = universe.normalised(export(spark, sf_dir))
-    return universe.screened(rows.withColumn("industry", F.lit("Chips")), ["chips"], ["France"], least_cap=1000, top=50).select("symbol", "name", "market_cap")
+    rows = export(spark, sf_dir).withColumn("industry", F.lit("Chips"))
+    return universe.screened(rows, ["chips"], ["FRANCE"], least_cap=1000, top=50).select("symbol", "name", "market_cap")
 
 
 @query
@@ -314,6 +331,11 @@ def liquidity_reasons(spark, sf_dir):
     return rounded(universe.with_reasons(stats, F.col("ticker") < "M", 1000.0, 300000.0, 357))
 
 
+@query
+def random_baseline(spark, sf_dir):
+    return rounded(evaluate.random_baseline(alarmed(spark, sf_dir), F.col("fired")))
+
+
 THEMES = {"metal": ["steel", "tin", "copper"], "shape": ["ring", "bolt", "gear"], "size": ["large", "small"]}
 
 
@@ -385,7 +407,7 @@ def top_strength(spark, sf_dir):
 
 
 #: The plans over the test tables: weeks for days, regions for clusters.
-SETTINGS = Config(washout_gate=-0.5, alarm_gate=20.0, backtest=Backtest("1995-01-02", "2001-06-30", 3, 1, 5, 20, 0.05, (5, 10, 20), (5, 10, 15, 20, 25), 5))
+SETTINGS = Config(washout_gate=-0.5, alarm_gate=20.0, backtest=Backtest("1995-01-02", "2001-06-30", 3, 1, 5, 20, 0.05, (5, 10, 20), (5, 10, 15, 20, 25), 50))
 
 
 @query

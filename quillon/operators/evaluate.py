@@ -43,24 +43,38 @@ def samples(bars: DataFrame, signal: Column, horizons: tuple[int, ...] = (5, 10,
     return rows.select(*(keys or []), F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("value")) for h in horizons])).alias("s")).select(*(keys or []), "s.*").where("value is not null")
 
 
+def _metrics() -> list[Column]:
+    hit = F.avg((F.col("value") > 0).cast("int"))
+    return [F.count("*").alias("n"), F.avg("value").alias("mean_return"), F.median("value").alias("median_return"), hit.alias("hit_rate")]
+
+
 def economics(pooled: DataFrame, horizons: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """horizon, n, mean_return, median_return, hit_rate; a row for every horizon."""
-    out = pooled.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("value").alias("mean_return"), F.median("value").alias("median_return"), F.avg((F.col("value") > 0).cast("int")).alias("hit_rate"))
+    out = pooled.groupBy("horizon").agg(*_metrics())
     every = pooled.sparkSession.createDataFrame([(h,) for h in horizons], "horizon int")
     return every.join(out, "horizon", "left").na.fill(0, ["n"])
 
 
 def baseline(bars: DataFrame, signal: Column, horizons: tuple[int, ...] = (5, 10, 20), draws: int = 50, seed: int = 0) -> DataFrame:
-    """horizon, value, draw: forward returns of as many random days of each ticker as it has signals, drawn ``draws`` times.
+    """ticker, draw, horizon, value: forward returns of as many random days of each ticker as it has signals, drawn ``draws`` times.
 
-    The order of a draw is by a hash of seed, draw, ticker and date, so it is the same on any cluster.
+    Days without room for the longest horizon aren't drawn. The order of a draw is by a hash of seed, draw, ticker and date, so it is the
+    same on any cluster.
     """
-    w = by_ticker()
-    rows = bars.withColumns({f"h{h}": forward_return(F.col("close"), w, h) for h in horizons} | {"wanted": F.count_if(true(signal)).over(Window.partitionBy("ticker"))})
-    rows = rows.where("wanted > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    w, own = by_ticker(), Window.partitionBy("ticker")
+    ahead = {f"h{h}": forward_return(F.col("close"), w, h) for h in horizons}
+    rows = bars.withColumns(ahead | {"wanted": F.count_if(true(signal)).over(own), "pos": F.row_number().over(w), "n": F.count("*").over(own)})
+    rows = rows.where((F.col("wanted") > 0) & (F.col("pos") <= F.greatest(F.col("n") - max(horizons), F.lit(1)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     mark = F.md5(F.concat_ws("|", F.lit(seed), "draw", "ticker", F.col("date").cast("string")))
     taken = rows.withColumn("k", F.row_number().over(Window.partitionBy("draw", "ticker").orderBy(mark))).where("k <= wanted")
-    return taken.select("draw", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("value")) for h in horizons])).alias("s")).select("draw", "s.*").where("value is not null")
+    values = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("value")) for h in horizons]))
+    return taken.select("ticker", "draw", values.alias("s")).select("ticker", "draw", "s.*").where("value is not null")
+
+
+def random_baseline(bars: DataFrame, signal: Column, horizons: tuple[int, ...] = (5, 10, 20), draws: int = 200, seed: int = 0) -> DataFrame:
+    """ticker, horizon, n, mean_return, median_return, hit_rate: the means over draws of each draw's metrics."""
+    each = baseline(bars, signal, horizons, draws, seed).groupBy("ticker", "horizon", "draw").agg(*_metrics())
+    return each.groupBy("ticker", "horizon").agg(*[F.avg(c).alias(c) for c in ("n", "mean_return", "median_return", "hit_rate")])
 
 
 def edges(signal: DataFrame, chance: DataFrame) -> DataFrame:
@@ -99,14 +113,19 @@ def purged_splits(n: int, splits: int, gap: int, spark: SparkSession) -> DataFra
     return spark.range(splits).select(F.col("id").cast("int").alias("split"), F.greatest(start - gap, F.lit(0)).alias("train_end"), start.alias("test_start"), (start + size).alias("test_end"))
 
 
-def prediction_metrics(rows: DataFrame, probability: str = "probability", target: str = "target", future: str = "future", high: float = 0.60, low: float = 0.40) -> DataFrame:
-    """One row: n, accuracy_at_0_5, brier_score, roc_auc, average_precision, and returns and hit rates where the probability is high or low.
+def _share(part: Column, whole: Column) -> Column:
+    return F.coalesce(ratio(part, whole), F.lit(0.0))
+
+
+def prediction_metrics(rows: DataFrame, probability: str = "probability", target: str = "target", future: str = "future", high: float = 0.60, low: float = 0.40, threshold: float = 0.70) -> DataFrame:
+    """One row: n, accuracy_at_0_5, brier_score, roc_auc, average_precision, precision and recall at the threshold (0 without any), and returns and hit rates where
+    the probability is high or low.
 
     AUC is by average ranks, precision by steps; distinct probabilities are counted first, so ties cost one row.
     """
     use = rows.where(F.col(probability).isNotNull() & F.col(target).isNotNull())
     p, t, r = F.col(probability), F.col(target).cast("double"), F.col(future)
-    plain = use.agg(F.count("*").alias("n"), F.avg(((p >= 0.5).cast("double") == t).cast("int")).alias("accuracy_at_0_5"), F.avg((p - t) * (p - t)).alias("brier_score"), F.count_if(p >= high).alias("bullish_observations"), F.count_if(p <= low).alias("bearish_observations"), F.avg(F.when(p >= high, r)).alias("mean_forward_return_when_bullish"), F.avg(F.when(p <= low, r)).alias("mean_forward_return_when_bearish"), F.avg(F.when(p >= high, (r > 0).cast("int"))).alias("bullish_hit_rate"), F.avg(F.when(p <= low, (r < 0).cast("int"))).alias("bearish_hit_rate"))
+    plain = use.agg(F.count("*").alias("n"), F.avg(((p >= 0.5).cast("double") == t).cast("int")).alias("accuracy_at_0_5"), F.avg((p - t) * (p - t)).alias("brier_score"), F.count_if(p >= high).alias("bullish_observations"), F.count_if(p <= low).alias("bearish_observations"), F.avg(F.when(p >= high, r)).alias("mean_forward_return_when_bullish"), F.avg(F.when(p <= low, r)).alias("mean_forward_return_when_bearish"), F.avg(F.when(p >= high, (r > 0).cast("int"))).alias("bullish_hit_rate"), F.avg(F.when(p <= low, (r < 0).cast("int"))).alias("bearish_hit_rate"), _share(F.count_if((p >= threshold) & (t == 1)), F.count_if(p >= threshold)).alias("precision_at_threshold"), _share(F.count_if((p >= threshold) & (t == 1)), F.count_if(t == 1)).alias("recall_at_threshold"))
     level = use.groupBy(p.alias("p")).agg(F.sum(t).alias("pos"), F.count("*").alias("all"))
     up, down = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = level.select("pos", "all", (F.sum("all").over(up) - F.col("all") + (F.col("all") + 1) / 2).alias("rank"), F.sum("pos").over(down).alias("tp"), F.sum("all").over(down).alias("seen"))

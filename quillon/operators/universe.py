@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from quillon.functions.rolling import true
 
-#: Marks of securities that are no common stock, exchange codes, columns of a membership manifest.
-NOT_COMMON = ("warrant", "right", "unit", "preferred", "depositary share", "notes due")
-DERIVATIVE = ("warrant", "rights", "units", "preferred", "notes")
-EXCHANGES = {"Q": "NASDAQ", "N": "NYSE", "A": "AMEX", "P": "ARCA", "Z": "BATS", "V": "IEX"}
+#: Marks of securities that are no common stock, of derivatives, exchange codes, patterns of symbols, columns of a membership manifest.
+NOT_COMMON = r"(?i)\b(warrants?|rights?|units?|preferred|preference|bonds?|debentures?)\b|\bnotes due\b"
+DERIVATIVE = r"(?i)\b(warrant|right|unit|preferred|notes\s+due)s?\b"
+EXCHANGES = {"A": "NYSE MKT", "N": "NYSE", "P": "NYSE ARCA", "Z": "BATS", "V": "IEX"}
+EXPORTED, LISTED = r"^[A-Z][A-Z0-9.^/-]{0,14}$", r"^[A-Za-z0-9.\-]{1,15}$"
 MANIFEST = ("symbol", "name", "sector", "industry", "country", "ipo_year", "market_cap", "discovered_at", "effective_from", "last_seen", "active", "source")
-TICKER = r"^[A-Z][A-Z0-9.\-]{0,9}$"
+#: A screen needs so many tickers.
+LEAST_TICKERS = 3
 
 
 def money(x: Column) -> Column:
@@ -33,19 +35,34 @@ def renamed_header(raw: DataFrame, aliases: dict[str, str] | None = None) -> Dat
     return raw.toDF(*[(aliases or {}).get(n, n) for n in names])
 
 
+def _text(name: str) -> Column:
+    return F.trim(F.coalesce(name, F.lit("")))
+
+
 def normalised(raw: DataFrame) -> DataFrame:
     """symbol, name, industry, sector, country, market_cap, eligible of a screener export, a row a symbol: that of the largest cap.
 
-    Eligible: a well-formed symbol whose name has no mark of another security.
+    Rows with an odd symbol or without a name go; / and . in a symbol become -. Eligible: the name has no mark of another security as a word, so
+    depositary shares are. No cap and a cap of zero count alike.
     """
-    name = F.trim(F.coalesce("name", F.lit("")))
-    rows = raw.select(F.upper(F.trim("symbol")).alias("symbol"), name.alias("name"), *[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("industry", "sector", "country")], money(F.col("market_cap").cast("string")).alias("market_cap")).where("symbol <> ''")
-    marked = F.lit(False)
-    for m in NOT_COMMON:
-        marked = marked | F.contains(F.lower("name"), F.lit(m))
+    own = F.upper(_text("symbol"))
+    rows = raw.select(own.alias("own"), *[_text(c).alias(c) for c in ("name", "industry", "sector", "country")], money(F.col("market_cap").cast("string")).alias("market_cap"))
+    rows = rows.where(F.col("own").rlike(EXPORTED) & (F.col("name") != "")).withColumn("symbol", F.translate("own", "/.", "--"))
     rest = ("name", "industry", "sector", "country", "market_cap")
-    best = rows.groupBy("symbol").agg(F.max(F.struct(F.coalesce("market_cap", F.lit(-1.0)).alias("k"), *rest)).alias("r")).select("symbol", *[F.col(f"r.{c}").alias(c) for c in rest])
-    return best.withColumn("eligible", F.col("symbol").rlike(TICKER) & ~marked)
+    size = F.coalesce(F.nullif(F.col("market_cap"), F.lit(0.0)), F.lit(-1.0)).alias("k")
+    best = rows.groupBy("symbol").agg(F.max(F.struct(size, *rest)).alias("r")).select("symbol", *[F.col(f"r.{c}").alias(c) for c in rest])
+    return best.withColumn("eligible", ~F.col("name").rlike(NOT_COMMON))
+
+
+def checked_export(raw: DataFrame, least_rows: int = 1000, most_invalid: float = 0.10) -> DataFrame:
+    """raw, or an error if it is too small or too many of its rows have an odd symbol or no name."""
+    good = F.upper(_text("symbol")).rlike(EXPORTED) & (_text("name") != "")
+    seen = raw.agg(F.count("*").alias("n"), F.count_if(~good).alias("invalid")).first()
+    if seen.n < least_rows:
+        raise ValueError(f"the export has only {seen.n} rows")
+    if seen.invalid > most_invalid * seen.n:
+        raise ValueError(f"{seen.invalid} of {seen.n} rows of the export are invalid")
+    return raw
 
 
 def industries(rows: DataFrame) -> DataFrame:
@@ -53,7 +70,7 @@ def industries(rows: DataFrame) -> DataFrame:
     return rows.where("eligible and industry <> ''").groupBy("industry").agg(F.count("*").alias("n"))
 
 
-def by_industry(rows: DataFrame, wanted: str, most: int | None = None, least: int = 3) -> DataFrame:
+def by_industry(rows: DataFrame, wanted: str, most: int | None = None, least: int = LEAST_TICKERS) -> DataFrame:
     """Eligible symbols whose industry's slug holds that of ``wanted``, by cap and symbol; fewer than ``least`` are an error."""
     text = re.sub(r"[^a-z0-9]+", "-", wanted.strip().lower()).strip("-")
     found = rows.where(F.col("eligible") & F.contains(slug(F.col("industry")), F.lit(text)))
@@ -65,15 +82,24 @@ def by_industry(rows: DataFrame, wanted: str, most: int | None = None, least: in
 
 
 def screened(rows: DataFrame, industries: list[str], countries: list[str] | None = None, sector: str | None = None, least_cap: float = 0.0, excluded: tuple[str, ...] = ("warrant", "right", "unit", "preferred"), top: int | None = None) -> DataFrame:
-    """The rows of an export that a group takes, the largest first."""
-    keep = F.lower(F.trim("industry")).isin([i.lower() for i in industries])
-    keep = keep & F.col("country").isin(countries) if countries else keep
-    keep = keep & (F.lower("sector") == sector.lower()) if sector else keep
-    keep = keep & (F.coalesce("market_cap", F.lit(0.0)) >= least_cap)
+    """The rows of an export that a group takes, the largest first: each symbol's first row that passes.
+
+    Industry, sector and country are compared without case; what is no number is no cap, 0. A column ``place`` says which row is first.
+    """
+    cap = F.coalesce(money(F.col("market_cap").cast("string")), F.lit(0.0))
+    clean = rows.withColumns({"symbol": F.upper(_text("symbol")), "market_cap": cap} | {c: _text(c) for c in ("name", "industry", "sector", "country")})
+    keep = (F.col("symbol") != "") & F.lower("industry").isin([i.lower() for i in industries]) & (F.col("market_cap") >= least_cap)
+    if countries:
+        keep = keep & F.lower("country").isin([c.lower() for c in countries])
+    if sector:
+        keep = keep & (F.lower("sector") == sector.lower())
     for word in excluded:
         keep = keep & ~F.contains(F.lower("name"), F.lit(word.lower()))
-    out = rows.where(true(keep))
-    return out.orderBy(F.desc_nulls_last("market_cap"), "symbol").limit(top) if top else out
+    passed = clean.where(true(keep))
+    rest = [c for c in passed.columns if c not in ("symbol", "place")]
+    place = F.col("place") if "place" in rows.columns else F.monotonically_increasing_id()
+    first = passed.withColumn("place", place).groupBy("symbol").agg(F.min(F.struct("place", *rest)).alias("r")).select("symbol", *[F.col(f"r.{c}").alias(c) for c in rest])
+    return first.orderBy(F.desc("market_cap"), "symbol").limit(top) if top else first
 
 
 def themes(text: Column, keywords: dict[str, list[str]]) -> Column:
@@ -88,18 +114,30 @@ def in_scope(industry: Column, found: Column, allowed: list[str]) -> Column:
 
 def candidates(symbols: DataFrame, keywords: dict[str, list[str]], seed_etfs: list[str], seed_tickers: list[str]) -> DataFrame:
     """Symbols (ticker, name, etf) worth looking up: seed ETFs, then no other ETF, no derivative, and of the rest seeds and such with a keyword."""
-    derivative = F.lower("name").rlike("|".join(rf"\b{d}\b" for d in DERIVATIVE))
+    derivative = F.col("name").rlike(DERIVATIVE)
     keep = F.when(F.col("ticker").isin(seed_etfs), True).when(F.col("etf"), False).when(derivative, False).when(F.col("ticker").isin(seed_tickers), True).otherwise(F.size(themes(F.col("name"), keywords)) > 0)
     return symbols.where(true(keep))
 
 
 def listed(lines: DataFrame, symbol: str = "Symbol", name: str = "Security Name", exchange: str | None = None) -> DataFrame:
-    """ticker, name, exchange, etf of a pipe table read with its header: without footer, test issues and odd symbols; the first row of each."""
-    code = F.col(exchange) if exchange else F.lit("Q")
+    """ticker, name, exchange, etf of a pipe table read with its header: without footer, test issues and odd symbols; the first row of each.
+
+    exchange names the column of exchange codes; a table without one is that of NASDAQ. A column ``place`` says which row is first, else
+    the order of the file does.
+    """
     names = F.create_map(*[F.lit(x) for pair in EXCHANGES.items() for x in pair])
-    rows = lines.where(~F.startswith(F.col(symbol), F.lit("File Creation Time")) & (F.coalesce("Test Issue", F.lit("N")) != "Y"))
-    out = rows.select(F.upper(F.trim(symbol)).alias("ticker"), F.trim(name).alias("name"), F.coalesce(names[code], F.lit("OTHER")).alias("exchange"), (F.coalesce("ETF", F.lit("N")) == "Y").alias("etf")).where(F.col("ticker").rlike(TICKER))
-    return out.groupBy("ticker").agg(F.min(F.struct("exchange", "name", "etf")).alias("r")).select("ticker", "r.name", "r.exchange", "r.etf")
+    market = F.coalesce(names[F.trim(exchange)], F.lit("OTHER")) if exchange else F.lit("NASDAQ")
+    place = F.col("place") if "place" in lines.columns else F.monotonically_increasing_id()
+    rows = lines.withColumn("place", place).where(~F.startswith(F.col(symbol), F.lit("File Creation Time")) & (F.col("Test Issue") == "N"))
+    own = rows.select("place", F.trim(symbol).alias("ticker"), F.trim(name).alias("name"), market.alias("exchange"), F.coalesce(F.trim("ETF") == "Y", F.lit(False)).alias("etf"))
+    first = own.where(F.col("ticker").rlike(LISTED)).groupBy("ticker").agg(F.min(F.struct("place", "name", "exchange", "etf")).alias("r"))
+    return first.select("ticker", "r.name", "r.exchange", "r.etf")
+
+
+def all_listed(nasdaq: DataFrame, other: DataFrame) -> DataFrame:
+    """The symbols of both listing files; where both have one, NASDAQ's row."""
+    own, more = listed(nasdaq), listed(other, "ACT Symbol", "Security Name", "Exchange")
+    return own.unionByName(more.join(own.select("ticker"), "ticker", "left_anti"))
 
 
 def liquidity(bars: DataFrame, n: int = 60) -> DataFrame:
@@ -110,8 +148,14 @@ def liquidity(bars: DataFrame, n: int = 60) -> DataFrame:
 
 
 def with_reasons(rows: DataFrame, scope: Column, least_price: float = 2.0, least_dollars: float = 5e6, least_days: int = 250) -> DataFrame:
-    """rows with included, and reason: all that speaks against each."""
-    no = [F.when(~true(scope), "off theme"), F.when(F.coalesce("history_days", F.lit(0)) < least_days, "short history"), F.when(F.coalesce("last_close", F.lit(0.0)) < least_price, "low price"), F.when(F.coalesce("median_dollar_volume", F.lit(0.0)) < least_dollars, "illiquid")]
+    """rows with included, and reason: all that speaks against each, with what was measured."""
+    days, price, dollars = F.coalesce("history_days", F.lit(0)), F.coalesce("last_close", F.lit(0.0)), F.coalesce("median_dollar_volume", F.lit(0.0))
+    no = [
+        F.when(~true(scope), "off theme"),
+        F.when(days < least_days, F.format_string("insufficient history (%dd)", days)),
+        F.when(price < least_price, F.format_string("price below floor (%.2f)", price)),
+        F.when(dollars < least_dollars, F.format_string("dollar_volume below floor (%.0f)", dollars)),
+    ]
     reasons = F.array_compact(F.array(*no))
     return rows.withColumns({"included": F.size(reasons) == 0, "reason": F.concat_ws("; ", reasons)})
 
@@ -128,7 +172,7 @@ def synced(old: DataFrame | None, new: DataFrame, day: str, bootstrap: str, sour
     In the first snapshot a symbol is a member from the bootstrap date or its listing year on, the later; afterwards from the day it is seen.
     """
     now = F.lit(day).cast("date")
-    start = F.greatest(F.lit(bootstrap).cast("date"), F.coalesce(F.make_date(F.col("ipo_year").cast("int"), F.lit(1), F.lit(1)), F.lit(bootstrap).cast("date")))
+    start = F.greatest(F.lit(bootstrap).cast("date"), F.coalesce(F.make_date(F.col("ipo_year").cast("string").try_cast("int"), F.lit(1), F.lit(1)), F.lit(bootstrap).cast("date")))
     attributes = ("name", "sector", "industry", "country", "ipo_year", "market_cap")
     if old is None:
         return new.select("symbol", *attributes, now.alias("discovered_at"), start.alias("effective_from"), now.alias("last_seen"), F.lit(True).alias("active"), F.lit(source).alias("source"))
@@ -138,13 +182,16 @@ def synced(old: DataFrame | None, new: DataFrame, day: str, bootstrap: str, sour
     return both.select("symbol", *[F.when(seen, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in attributes], F.coalesce("discovered_at", now).alias("discovered_at"), F.coalesce("effective_from", now).alias("effective_from"), F.when(seen, now).otherwise(F.col("last_seen")).alias("last_seen"), seen.alias("active"), F.coalesce("source", F.lit(source)).alias("source"))
 
 
-def resolved(base: DataFrame, include: list[str], exclude: list[str], most: int | None = None) -> DataFrame:
-    """ticker, place: the base's tickers (ticker, place), then those to include, without those to exclude, each once, in order."""
+def resolved(base: DataFrame, include: list[str], exclude: list[str], most: int | None = None, least: int = LEAST_TICKERS) -> DataFrame:
+    """ticker, place: the base's tickers (ticker, place), then those to include, without those to exclude, each once, in order; fewer than ``least`` are an error."""
     more = base.sparkSession.createDataFrame([(t.strip().upper(), (1 << 40) + i) for i, t in enumerate(include)], "ticker string, place long")
     rows = base.select(F.upper(F.trim("ticker")).alias("ticker"), F.col("place").cast("long")).unionByName(more).where(~F.col("ticker").isin([e.strip().upper() for e in exclude] or [""]))
     out = rows.groupBy("ticker").agg(F.min("place").alias("place"))
     out = out.withColumn("place", F.row_number().over(Window.orderBy("place")) - 1)
-    return out.where(F.col("place") < most) if most else out
+    out = out.where(F.col("place") < most) if most else out
+    if out.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} tickers")
+    return out
 
 
 def membership_hash(rows: DataFrame, keys: list[str] | None = None, symbol: str = "symbol") -> DataFrame:

@@ -145,9 +145,20 @@ _SIGNAL = _ALARM + ", sig AS (SELECT ticker, date, close, washout, alarm, confir
 _FORWARD = ", ".join(f"lead(close, {h}) OVER t / close - 1 AS h{h}" for h in (5, 10, 20))
 _SAMPLES = _ALARM + f", fw AS (SELECT *, {_FORWARD} FROM al WINDOW t AS (PARTITION BY ticker ORDER BY date)), smp AS (SELECT h AS horizon, v AS value FROM (SELECT unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM fw WHERE fired) WHERE v IS NOT NULL)"
 _ECON = "count(*) AS n, avg(value) AS mean_return, median(value) AS median_return, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate"
+
+
+def _drawn(draws: int) -> str:
+    """Random days of each ticker, as many as it has signals, of those with room for the longest horizon."""
+    return f"cand AS (SELECT *, count(*) FILTER (fired) OVER (PARTITION BY ticker) AS wanted, row_number() OVER (PARTITION BY ticker ORDER BY date) AS pos, count(*) OVER (PARTITION BY ticker) AS rows_of FROM fw), drw AS (SELECT c.*, d, row_number() OVER (PARTITION BY d, ticker ORDER BY md5('0|' || d || '|' || ticker || '|' || CAST(date AS VARCHAR))) AS k FROM cand c, (SELECT unnest(range(1, {draws} + 1)) AS d) WHERE wanted > 0 AND pos <= greatest(rows_of - 20, 1))"
+
+
 _FOLDS = "folds AS (SELECT CAST(y - 1998 AS INT) AS fold, DATE '1995-01-02' AS fit_start, make_date(y, 1, 1) - 1 AS fit_end, make_date(y, 1, 1) AS test_start, least(make_date(y, 12, 31), DATE '2001-06-30') AS test_end, make_date(y, 12, 31) > DATE '2001-06-30' AS partial FROM (SELECT unnest(range(1998, 2002)) AS y))"
-_EXPORT = """raw AS (SELECT 'S' || (p_partkey % 700) AS symbol, CASE WHEN p_partkey % 11 = 0 THEN p_name || ' Warrant' ELSE p_name END AS name, p_type AS industry, p_brand AS sector, CASE WHEN p_size % 2 = 0 THEN 'France' ELSE 'Japan' END AS country, CAST(CAST(trunc(p_retailprice * 100) AS BIGINT) AS DOUBLE) AS market_cap FROM part),
-  uni AS (SELECT symbol, name, industry, sector, country, market_cap, NOT (lower(name) LIKE '%warrant%' OR lower(name) LIKE '%right%' OR lower(name) LIKE '%unit%' OR lower(name) LIKE '%preferred%' OR lower(name) LIKE '%depositary share%' OR lower(name) LIKE '%notes due%') AS eligible FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY market_cap DESC, name DESC, industry DESC, sector DESC, country DESC) AS k FROM raw) WHERE k = 1)"""
+#: Written from the rules of the export's source: words that mark other securities, symbols of up to fifteen signs.
+_NOT_COMMON = r"(?i)\b(warrants?|rights?|units?|preferred|preference|bonds?|debentures?)\b|\bnotes due\b"
+_EXPORT = f"""raw AS (SELECT p_partkey AS place, upper(CASE WHEN p_partkey % 29 = 0 THEN '9' ELSE 's' END || (p_partkey % 700) || CASE WHEN p_partkey % 5 = 0 THEN '/b' WHEN p_partkey % 7 = 0 THEN '.c' ELSE '' END) AS own,
+    CASE p_partkey % 13 WHEN 3 THEN 'United ' WHEN 8 THEN 'Bright ' ELSE '' END || p_name || CASE p_partkey % 13 WHEN 0 THEN ' Warrant' WHEN 1 THEN ' Warrants' WHEN 2 THEN ' Rights' WHEN 4 THEN ' Unit' WHEN 5 THEN ' Preference Shares' WHEN 6 THEN ' Depositary Shares' WHEN 7 THEN ' Notes Due 2030' WHEN 9 THEN ' Bonds' ELSE '' END AS name,
+    p_type AS industry, p_brand AS sector, CASE WHEN p_size % 2 = 0 THEN 'France' ELSE 'Japan' END AS country, CAST(CAST(trunc(p_retailprice * 100) AS BIGINT) AS DOUBLE) AS market_cap FROM part),
+  uni AS (SELECT symbol, name, industry, sector, country, market_cap, NOT regexp_matches(name, '{_NOT_COMMON}') AS eligible FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY market_cap DESC, name DESC, industry DESC, sector DESC, country DESC) AS k FROM (SELECT *, replace(replace(own, '/', '-'), '.', '-') AS symbol FROM raw WHERE regexp_full_match(own, '[A-Z][A-Z0-9.^/-]{{0,14}}'))) WHERE k = 1)"""
 _COVER = "cov AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS s, CAST(ts AS DATE) + CAST(event_id % 4 AS INT) AS e FROM events WHERE event_id % 4 > 0), days AS (SELECT DISTINCT user_id, CAST(unnest(generate_series(s, e - 1, INTERVAL 1 DAY)) AS DATE) AS d FROM cov)"
 _ISLANDS = "isl AS (SELECT user_id, d, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INT) AS g FROM {src})"
 _MANIFEST = """cust AS (SELECT c_custkey AS k, c_name AS symbol, 'N' || c_custkey AS name, 'tech' AS sector, c_mktsegment AS industry, 'US' AS country, CASE WHEN c_custkey % 4 > 0 THEN 2010 + c_custkey % 14 END AS ipo_year, abs(c_acctbal) AS market_cap FROM customer), a AS (SELECT * FROM cust WHERE k % 3 <> 0), b AS (SELECT * REPLACE (market_cap + 1 AS market_cap) FROM cust WHERE k % 5 <> 0)"""
@@ -179,13 +190,14 @@ ORACLE_SQL |= {
     "classification_scores": _r(_SIGNAL + ", near AS (SELECT s.ticker, s.pos, l.pos AS lp, row_number() OVER (PARTITION BY s.ticker, s.pos ORDER BY abs(l.pos - s.pos), l.pos) AS k FROM sig s LEFT JOIN sig l ON l.ticker = s.ticker AND l.label WHERE s.fired), cnt AS (SELECT count(*) AS signals, count(*) FILTER (abs(lp - pos) <= 10) AS true_positives, count(DISTINCT CASE WHEN abs(lp - pos) <= 10 THEN ticker || '|' || lp END) AS matched_labels, avg(CASE WHEN abs(lp - pos) <= 10 THEN lp - pos END) AS mean_lead_days FROM near WHERE k = 1), lab AS (SELECT count(*) FILTER (label) AS labels FROM sig)", "SELECT labels, signals, true_positives, matched_labels, round(mean_lead_days, 6) AS mean_lead_days, round(coalesce(true_positives / nullif(signals, 0), 0), 6) AS precision, round(coalesce(matched_labels / nullif(labels, 0), 0), 6) AS recall, round(coalesce(2.0 * true_positives / signals * matched_labels / labels / nullif(true_positives / signals + matched_labels / labels, 0), 0), 6) AS f1 FROM cnt, lab"),
     "economic_metrics": _r(_SAMPLES, f"SELECT CAST(horizon AS INT) AS horizon, n, " + _rounded("mean_return", "median_return", "hit_rate") + f" FROM (SELECT horizon, {_ECON} FROM smp GROUP BY horizon)"),
     "edge_table": _r(
-        _SAMPLES + ", cand AS (SELECT *, count(*) FILTER (fired) OVER (PARTITION BY ticker) AS wanted FROM fw), drw AS (SELECT c.*, d, row_number() OVER (PARTITION BY d, ticker ORDER BY md5('0|' || d || '|' || ticker || '|' || CAST(date AS VARCHAR))) AS k FROM cand c, (SELECT unnest(range(1, 6)) AS d) WHERE wanted > 0), bsm AS (SELECT h AS horizon, v AS value FROM (SELECT unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM drw WHERE k <= wanted) WHERE v IS NOT NULL), " + f"own AS (SELECT horizon, {_ECON} FROM smp GROUP BY horizon), chance AS (SELECT horizon, {_ECON} FROM bsm GROUP BY horizon)",
+        _SAMPLES + ", " + _drawn(50) + ", bsm AS (SELECT h AS horizon, v AS value FROM (SELECT unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM drw WHERE k <= wanted) WHERE v IS NOT NULL), " + f"own AS (SELECT horizon, {_ECON} FROM smp GROUP BY horizon), chance AS (SELECT horizon, {_ECON} FROM bsm GROUP BY horizon)",
         "SELECT CAST(o.horizon AS INT) AS horizon, o.n, " + ", ".join(f"round(o.{c}, 6) AS {c}" for c in ("mean_return", "median_return", "hit_rate")) + ", c.n AS n_baseline, " + ", ".join(f"round(c.{c}, 6) AS {c}_baseline" for c in ("mean_return", "median_return", "hit_rate")) + ", round(o.mean_return - c.mean_return, 6) AS mean_edge, round(o.hit_rate - c.hit_rate, 6) AS hit_rate_edge FROM own o JOIN chance c ON o.horizon = c.horizon",
     ),
+    "random_baseline": _r(_SAMPLES + ", " + _drawn(200) + ", bsm AS (SELECT ticker, d, h AS horizon, v AS value FROM (SELECT ticker, d, unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM drw WHERE k <= wanted) WHERE v IS NOT NULL), " + f"each AS (SELECT ticker, horizon, d, {_ECON} FROM bsm GROUP BY ticker, horizon, d)", "SELECT ticker, CAST(horizon AS INT) AS horizon, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("n", "mean_return", "median_return", "hit_rate")) + " FROM each GROUP BY ticker, horizon"),
     "folds": _q(_FOLDS, "SELECT * FROM folds"),
     "gate_search": _r(_SIGNAL + ", " + _FOLDS + ", gates AS (SELECT unnest([5.0, 10.0, 15.0, 20.0, 25.0])::DOUBLE AS gate), fit AS (SELECT fold, gate, ticker, date, label, washout > -0.5 AND alarm > gate AND confirmed AS s FROM sig, folds, gates WHERE date BETWEEN fit_start AND fit_end), pos AS (SELECT *, row_number() OVER (PARTITION BY fold, gate, ticker ORDER BY date) AS p FROM fit), near AS (SELECT x.fold, x.gate, x.ticker, x.p, l.p AS lp, row_number() OVER (PARTITION BY x.fold, x.gate, x.ticker, x.p ORDER BY abs(l.p - x.p), l.p) AS k FROM pos x LEFT JOIN pos l ON l.fold = x.fold AND l.gate = x.gate AND l.ticker = x.ticker AND l.label WHERE x.s), c1 AS (SELECT fold, gate, count(*) AS n, count(*) FILTER (abs(lp - p) <= 10) AS tp, count(DISTINCT CASE WHEN abs(lp - p) <= 10 THEN ticker || '|' || lp END) AS ml FROM near WHERE k = 1 GROUP BY ALL), c2 AS (SELECT fold, gate, count(*) FILTER (label) AS labels FROM pos GROUP BY ALL), f AS (SELECT c2.fold, c2.gate, coalesce(2.0 * (tp / n) * (ml / labels) / nullif(tp / n + ml / labels, 0), 0) AS f1 FROM c2 LEFT JOIN c1 ON c1.fold = c2.fold AND c1.gate = c2.gate)", "SELECT fold, gate, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, gate) AS k FROM f) WHERE k = 1"),
     "purged_splits": "SELECT CAST(i AS INT) AS split, greatest(300 - (4 - i) * 60 - 10, 0) AS train_end, 300 - (4 - i) * 60 AS test_start, 300 - (4 - i) * 60 + 60 AS test_end FROM (SELECT unnest(range(0, 4)) AS i)",
-    "prediction_metrics": _q(_PRED, "SELECT count(*) AS n, round(avg(CASE WHEN (p >= 0.5) = (t = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy_at_0_5, round(avg((p - t) * (p - t)), 6) AS brier_score, count(*) FILTER (p >= 0.6) AS bullish_observations, count(*) FILTER (p <= 0.4) AS bearish_observations, round(avg(CASE WHEN p >= 0.6 THEN r END), 6) AS mean_forward_return_when_bullish, round(avg(CASE WHEN p <= 0.4 THEN r END), 6) AS mean_forward_return_when_bearish, round(avg(CASE WHEN p >= 0.6 THEN CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END END), 6) AS bullish_hit_rate, round(avg(CASE WHEN p <= 0.4 THEN CASE WHEN r < 0 THEN 1.0 ELSE 0.0 END END), 6) AS bearish_hit_rate, round((sum(t * rank) - sum(t) * (sum(t) + 1) / 2) / (sum(t) * (count(*) - sum(t))), 6) AS roc_auc, (SELECT round(sum(pos * tp / seen) / sum(pos), 6) FROM cum) AS average_precision FROM rk"),
+    "prediction_metrics": _q(_PRED, "SELECT count(*) AS n, round(avg(CASE WHEN (p >= 0.5) = (t = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy_at_0_5, round(avg((p - t) * (p - t)), 6) AS brier_score, count(*) FILTER (p >= 0.6) AS bullish_observations, count(*) FILTER (p <= 0.4) AS bearish_observations, round(avg(CASE WHEN p >= 0.6 THEN r END), 6) AS mean_forward_return_when_bullish, round(avg(CASE WHEN p <= 0.4 THEN r END), 6) AS mean_forward_return_when_bearish, round(avg(CASE WHEN p >= 0.6 THEN CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END END), 6) AS bullish_hit_rate, round(avg(CASE WHEN p <= 0.4 THEN CASE WHEN r < 0 THEN 1.0 ELSE 0.0 END END), 6) AS bearish_hit_rate, round((sum(t * rank) - sum(t) * (sum(t) + 1) / 2) / (sum(t) * (count(*) - sum(t))), 6) AS roc_auc, (SELECT round(sum(pos * tp / seen) / sum(pos), 6) FROM cum) AS average_precision, round(coalesce(count(*) FILTER (p >= 0.7 AND t = 1) / nullif(count(*) FILTER (p >= 0.7), 0), 0), 6) AS precision_at_threshold, round(coalesce(count(*) FILTER (p >= 0.7 AND t = 1) / nullif(count(*) FILTER (t = 1), 0), 0), 6) AS recall_at_threshold FROM rk"),
     "interval_union": _q(_COVER + ", " + _ISLANDS.format(src="days"), 'SELECT user_id, min(d) AS start, max(d) + 1 AS "end" FROM isl GROUP BY user_id, g'),
     "interval_gaps": _q(_COVER + ", users AS (SELECT DISTINCT user_id FROM events), gap AS (SELECT user_id, d FROM (SELECT user_id, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS d FROM users) EXCEPT SELECT user_id, d FROM days), " + _ISLANDS.format(src="gap"), 'SELECT user_id, min(d) AS start, max(d) + 1 AS "end" FROM isl GROUP BY user_id, g'),
     "refresh_gaps": _q(_BARS + ", lim AS (SELECT ticker, min(date) AS lo, max(date) AS hi FROM bars GROUP BY ticker)", "SELECT ticker, 'leading' AS gap, DATE '1994-12-01' AS gap_start, lo - 1 AS gap_end FROM lim WHERE lo > DATE '1994-12-01' UNION ALL SELECT ticker, 'forward', hi + 1, DATE '2003-01-01' FROM lim WHERE hi < DATE '2003-01-01'"),
@@ -194,9 +206,9 @@ ORACLE_SQL |= {
     "universe_normalised": _q(_EXPORT, "SELECT * FROM uni"),
     "industry_counts": _q(_EXPORT, "SELECT industry, count(*) AS n FROM uni WHERE eligible AND industry <> '' GROUP BY industry"),
     "industry_query": _q(_EXPORT, "SELECT symbol, industry, market_cap FROM uni WHERE eligible AND contains(regexp_replace(lower(industry), '[^a-z0-9]+', '-', 'g'), (SELECT regexp_replace(lower(min(industry)), '[^a-z0-9]+', '-', 'g') FROM uni)) ORDER BY market_cap DESC, symbol LIMIT 5"),
-    "universe_screen": _q(_EXPORT, "SELECT symbol, name, market_cap FROM uni WHERE country = 'France' AND market_cap >= 1000 AND NOT (lower(name) LIKE '%warrant%' OR lower(name) LIKE '%right%' OR lower(name) LIKE '%unit%' OR lower(name) LIKE '%preferred%') ORDER BY market_cap DESC, symbol LIMIT 50"),
+    "universe_screen": _q(_EXPORT, "SELECT own AS symbol, name, market_cap FROM (SELECT *, row_number() OVER (PARTITION BY own ORDER BY place) AS k FROM raw WHERE country = 'France' AND market_cap >= 1000 AND NOT (lower(name) LIKE '%warrant%' OR lower(name) LIKE '%right%' OR lower(name) LIKE '%unit%' OR lower(name) LIKE '%preferred%')) WHERE k = 1 ORDER BY market_cap DESC, symbol LIMIT 50"),
     "universe_edit": "SELECT ticker, row_number() OVER (ORDER BY p) - 1 AS place FROM (SELECT ticker, min(p) AS p FROM (SELECT n_name AS ticker, n_nationkey AS p FROM nation UNION ALL SELECT 'ATLANTIS', 1000 UNION ALL SELECT 'FRANCE', 1001) WHERE ticker <> 'JAPAN' GROUP BY ticker) QUALIFY row_number() OVER (ORDER BY p) <= 20",
-    "liquidity_reasons": _q(_BARS + ", st AS (SELECT ticker, median(close * volume) FILTER (k <= 60) AS median_dollar_volume, max(close) FILTER (k = 1) AS last_close, count(*) AS history_days FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars) GROUP BY ticker), rs AS (SELECT *, concat_ws('; ', CASE WHEN NOT ticker < 'M' THEN 'off theme' END, CASE WHEN history_days < 357 THEN 'short history' END, CASE WHEN last_close < 1000 THEN 'low price' END, CASE WHEN median_dollar_volume < 300000 THEN 'illiquid' END) AS reason FROM st)", "SELECT ticker, " + _rounded("median_dollar_volume", "last_close") + ", history_days, reason = '' AS included, reason FROM rs"),
+    "liquidity_reasons": _q(_BARS + ", st AS (SELECT ticker, median(close * volume) FILTER (k <= 60) AS median_dollar_volume, max(close) FILTER (k = 1) AS last_close, count(*) AS history_days FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars) GROUP BY ticker), rs AS (SELECT *, concat_ws('; ', CASE WHEN NOT ticker < 'M' THEN 'off theme' END, CASE WHEN history_days < 357 THEN printf('insufficient history (%dd)', history_days) END, CASE WHEN last_close < 1000 THEN printf('price below floor (%.2f)', last_close) END, CASE WHEN median_dollar_volume < 300000 THEN printf('dollar_volume below floor (%.0f)', median_dollar_volume) END) AS reason FROM st)", "SELECT ticker, " + _rounded("median_dollar_volume", "last_close") + ", history_days, reason = '' AS included, reason FROM rs"),
     "theme_scope": "SELECT p_partkey, themes, p_brand = 'Brand#1' OR themes <> '' AS in_scope FROM (SELECT p_partkey, p_brand, concat_ws('|', CASE WHEN regexp_matches(t, '\\b(steel|tin|copper)s?\\b') THEN 'metal' END, CASE WHEN regexp_matches(t, '\\b(ring|bolt|gear)s?\\b') THEN 'shape' END, CASE WHEN regexp_matches(t, '\\b(large|small)s?\\b') THEN 'size' END) AS themes FROM (SELECT *, lower(p_name || ' ' || p_type) AS t FROM part))",
     "universe_sync": _q(_MANIFEST, "SELECT coalesce(a.symbol, b.symbol) AS symbol, " + ", ".join(f"CASE WHEN b.k IS NULL THEN a.{c} ELSE b.{c} END AS {c}" for c in ("name", "sector", "industry", "country", "ipo_year")) + ", round(CASE WHEN b.k IS NULL THEN a.market_cap ELSE b.market_cap END, 6) AS market_cap, CASE WHEN a.k IS NULL THEN DATE '2024-02-15' ELSE DATE '2024-01-15' END AS discovered_at, CASE WHEN a.k IS NULL THEN DATE '2024-02-15' ELSE greatest(DATE '2018-01-01', coalesce(make_date(a.ipo_year, 1, 1), DATE '2018-01-01')) END AS effective_from, CASE WHEN b.k IS NULL THEN DATE '2024-01-15' ELSE DATE '2024-02-15' END AS last_seen, b.k IS NOT NULL AS active, 'snapshot' AS source FROM a FULL JOIN b ON a.symbol = b.symbol"),
     "snapshot_retention": _q(_MANIFEST, "SELECT count(*) AS previous, count(b.k) AS retained, round(count(b.k) / count(*), 6) AS share FROM a LEFT JOIN b ON a.symbol = b.symbol"),

@@ -182,6 +182,27 @@ def test_universe_cleaning(spark):
         universe.by_industry(out, "nothing")
 
 
+def test_stocks_and_other_securities(spark):
+    """Marks are words: United Airlines and depositary shares are stocks, plurals of marks aren't."""
+    names = {"UAL": "United Airlines", "BFAM": "Bright Horizons", "TSM": "Taiwan Semiconductor Depositary Shares", "W": "Alpha Warrants", "R": "Beta Right", "P": "Gamma Preference Shares", "N": "Delta 5% Notes due 2030", "D": "Debentures of Epsilon", "BRK/B": "Berkshire", "TWELVELETTER": "Long", "9X": "Nine", "NONAME": " "}
+    out = universe.normalised(listing(spark, [(k, n, "i", "s", "US", "1") for k, n in names.items()]))
+    got = {r.symbol: r.eligible for r in out.collect()}
+    assert got == {"UAL": True, "BFAM": True, "TSM": True, "W": False, "R": False, "P": False, "N": False, "D": False, "BRK-B": True, "TWELVELETTER": True}
+    symbols = spark.createDataFrame([(k, f"{n} chip", False) for k, n in names.items()], "ticker string, name string, etf boolean")
+    kept = {r.ticker for r in universe.candidates(symbols, {"chip": ["chip"]}, [], []).collect()}
+    assert kept == {"UAL", "BFAM", "TSM", "D", "BRK/B", "TWELVELETTER", "9X", "NONAME"}
+    with pytest.raises(ValueError):
+        universe.checked_export(out, least_rows=100)
+    with pytest.raises(ValueError):
+        universe.checked_export(listing(spark, [("9X", "n", "", "", "", "")] * 2 + [("A", "n", "", "", "", "")] * 8), least_rows=5)
+
+
+def test_the_screen_of_a_group_takes_first_rows(spark):
+    rows = listing(spark, [("aa", "first", "CHIPS", "Tech", "united states", "5"), ("AA", "larger", "chips", "Tech", "United States", "9"), ("BB", "b", "chips", "Tech", "France", "9"), ("CC", "c", "chips", "Tech", "United States", "n/a")]).coalesce(1)
+    out = universe.screened(rows, ["Chips"], ["UNITED STATES"], sector="tech").collect()
+    assert sorted((r.symbol, r.name, r.market_cap) for r in out) == [("AA", "first", 5.0), ("CC", "c", 0.0)]
+
+
 def test_membership_over_time(spark):
     schema = "symbol string, name string, sector string, industry string, country string, ipo_year int, market_cap double"
     first = spark.createDataFrame([("AAA", "a", "s", "i", "US", 2020, 1.0), ("BBB", "b", "s", "i", "US", 2010, 1.0)], schema)
@@ -196,7 +217,10 @@ def test_membership_over_time(spark):
 def test_listed_symbols_themes_and_candidates(spark):
     lines = spark.createDataFrame([("AAA", "Alpha Chip Co", "N", "N"), ("ETFX", "Some Fund", "N", "Y"), ("TST", "Test", "Y", "N"), ("WWW", "Chips Inc Warrant", "N", "N"), ("File Creation Time: 1", None, None, None)], "`Symbol` string, `Security Name` string, `Test Issue` string, `ETF` string")
     out = universe.listed(lines)
-    assert {r.ticker for r in out.collect()} == {"AAA", "ETFX", "WWW"}
+    assert {r.ticker for r in out.collect()} == {"AAA", "ETFX", "WWW"} and {r.exchange for r in out.collect()} == {"NASDAQ"}
+    other = spark.createDataFrame([("AAA", "Twice", "N", "N", "N"), ("mkt.a", "Small", "A", "N", "N"), ("ARC", "Fund", "P", "N", "Y"), ("ODD", "x", "?", "N", "N"), ("A$B", "x", "N", "N", "N")], "`ACT Symbol` string, `Security Name` string, `Exchange` string, `Test Issue` string, `ETF` string")
+    every = {r.ticker: (r.name, r.exchange) for r in universe.all_listed(lines, other).collect()}
+    assert every["AAA"] == ("Alpha Chip Co", "NASDAQ") and every["mkt.a"][1] == "NYSE MKT" and every["ARC"][1] == "NYSE ARCA" and every["ODD"][1] == "OTHER" and "A$B" not in every
     assert {r.ticker for r in universe.candidates(out, {"chip": ["chip"]}, [], []).collect()} == {"AAA"}
     assert {r.ticker for r in universe.candidates(out, {}, ["ETFX"], ["AAA"]).collect()} == {"AAA", "ETFX"}
     found = spark.range(1).select(universe.themes(F.lit("Microchips and chips"), {"a": ["chip"], "b": ["microchip"], "c": ["micro"]}).alias("t")).first().t
