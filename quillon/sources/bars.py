@@ -113,7 +113,7 @@ def write_store(frame: DataFrame, path: str) -> None:
 
 
 def read_store(spark: SparkSession, path: str, tickers: list[str] | None = None, cutoff: str | None = None) -> DataFrame:
-    """Bars of a store; tickers prune folders and the cutoff is pushed to the scan. Corrupt files count as absent."""
+    """Bars of a store; tickers prune folders and the cutoff is pushed to the scan. Corrupt files count as absent; ``store.corrupt`` names their tickers."""
     out = spark.read.schema(BARS).option("ignoreCorruptFiles", True).parquet(path)
     out = out.where(F.col("ticker").isin(tickers)) if tickers else out
     return as_of(out, cutoff) if cutoff else out
@@ -128,8 +128,8 @@ def refresh_gaps(frame: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def checksums(frame: DataFrame) -> DataFrame:
-    """Each ticker's rows and their hash, in any order of rows."""
-    text = F.concat_ws("|", F.col("date").cast("string"), F.col("close").cast("decimal(18,4)").cast("string"))
+    """Each ticker's rows and the hash of all their values, in any order of rows. A ticker has a row a day."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in BARS.names[1:]])
     return frame.groupBy("ticker").agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(text))), 256).alias("sha256"))
 
 

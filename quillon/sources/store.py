@@ -6,45 +6,113 @@ import hashlib
 import json
 import os
 import time
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.rolling import true
 from quillon.sources import bars as source
 
 SCHEMA_VERSION = 1
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
 
 
-def refresh(spark: SparkSession, path: str, tickers: list[str], start: str, end: str, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def replace_tickers(frame: DataFrame, path: str) -> None:
+    """The store's folders of frame's tickers become frame's rows, and their checksums are noted; all other folders stay.
+
+    frame may read the store: it is staged in a folder of its own first, which goes afterwards.
+    """
+    spark, staged = frame.sparkSession, f"{path}.staged-{uuid.uuid4().hex}"
+    try:
+        source.write_store(frame, staged)
+        rows = source.read_store(spark, staged)
+        source.write_store(rows, path)
+        sums = source.checksums(rows)
+        sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(f"{path}.checksums")
+    finally:
+        fs, p = _file_system(spark, staged)
+        fs.delete(p, True)
+
+
+def corrupt(spark: SparkSession, path: str, tickers: list[str]) -> list[str]:
+    """The tickers whose rows aren't what was written last: broken files, lost or altered rows. Stores without checksums are taken as they are."""
+    if not _exists(spark, f"{path}.checksums"):
+        return []
+    noted = spark.read.schema("ticker string, n long, sha256 string").parquet(f"{path}.checksums").where(F.col("ticker").isin(tickers))
+    found = source.checksums(source.read_store(spark, path, tickers)).select("ticker", F.col("n").alias("own_n"), F.col("sha256").alias("own"))
+    same = true((F.col("own_n") == F.col("n")) & (F.col("own") == F.col("sha256")))
+    return sorted(r.ticker for r in noted.join(found, "ticker", "left").where(~same).select("ticker").collect())
+
+
+def quarantine(spark: SparkSession, path: str, tickers: list[str]) -> list[str]:
+    """Moves the folders of these tickers out of the store; returns where they are."""
+    moved = []
+    for ticker in tickers:
+        to = f"{path}.quarantine/{ticker}-{uuid.uuid4().hex}"
+        fs, p = _file_system(spark, f"{path}/ticker={ticker}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(to)
+        fs.mkdirs(target.getParent())
+        if fs.exists(p) and fs.rename(p, target):
+            moved.append(to)
+    return moved
+
+
+def refresh(spark: SparkSession, path: str, tickers: list[str], start: str, end: str, fetch: Callable[[DataFrame], DataFrame], tail_days: int = 0, force: bool = False) -> DataFrame:
     """Fetches what the store lacks of [start, end] and merges it; bars that are there are never lost. Returns ticker, status, n.
 
     fetch takes gaps (ticker, gap_start, gap_end) and returns bars. A ticker of which nothing came for a gap is ``failed``, one without
-    a gap is ``skipped``. Only folders of tickers that got bars are written.
+    a gap is ``skipped``. Only folders of tickers that got bars are written. The last ``tail_days`` before end are fetched again; with ``force``,
+    all of the range is, and takes the place of what was there. Tickers whose checksum doesn't fit are put aside and fetched anew.
     """
     wanted = spark.createDataFrame([(t,) for t in tickers], "ticker string")
-    old = source.read_store(spark, path, tickers) if _exists(spark, path) else spark.createDataFrame([], source.BARS)
+    there = _exists(spark, path)
+    broken = corrupt(spark, path, tickers) if there else []
+    quarantine(spark, path, broken)
+    old = source.read_store(spark, path, tickers) if there and not force else spark.createDataFrame([], source.BARS)
+    low, high = F.lit(start).cast("date"), F.lit(end).cast("date")
     known = source.refresh_gaps(old, start, end).select("ticker", "gap_start", "gap_end")
-    fresh = wanted.join(old.select("ticker").distinct(), "ticker", "left_anti").select("ticker", F.lit(start).cast("date").alias("gap_start"), F.lit(end).cast("date").alias("gap_end"))
-    gaps = fresh.unionByName(known).cache()
+    fresh = wanted.join(old.select("ticker").distinct(), "ticker", "left_anti").select("ticker", low.alias("gap_start"), high.alias("gap_end"))
+    gaps = fresh.unionByName(known)
+    if tail_days:
+        tail = wanted.join(old.select("ticker").distinct(), "ticker", "left_semi")
+        gaps = gaps.unionByName(tail.select("ticker", F.greatest(low, F.date_sub(high, tail_days)).alias("gap_start"), high.alias("gap_end")))
+    gaps = gaps.cache()
     new = fetch(gaps).select(*source.BARS.names).where("close is not null").cache()
-    came = new.groupBy("ticker").agg(F.count("*").alias("n"))
-    status = wanted.join(came, "ticker", "left").join(gaps.select("ticker").distinct().withColumn("gap", F.lit(True)), "ticker", "left")
-    status = status.select("ticker", F.when(F.col("n") > 0, "fetched").when(F.col("gap"), "failed").otherwise("skipped").alias("status"), F.coalesce("n", F.lit(0)).alias("n")).cache()
-    if came.limit(1).count():
-        touched = old.join(F.broadcast(came.select("ticker")), "ticker", "left_semi")
-        both = source.merged(touched, new)
-        staged = f"{path}.staged"
-        source.write_store(both, staged)
-        source.write_store(source.read_store(spark, staged), path)
-    status.count()
-    return status
+    try:
+        came = {r.ticker: r.n for r in new.groupBy("ticker").agg(F.count("*").alias("n")).collect()}
+        asked = {r.ticker for r in gaps.select("ticker").distinct().collect()}
+        if came:
+            touched = old.where(F.col("ticker").isin(list(came)))
+            replace_tickers(source.merged(touched, new), path)
+    finally:
+        gaps.unpersist()
+        new.unpersist()
+    status = [(t, "fetched" if came.get(t) else "failed" if t in asked else "skipped", came.get(t, 0)) for t in tickers]
+    return spark.createDataFrame(status, "ticker string, status string, n long")
+
+
+def load(spark: SparkSession, path: str, tickers: list[str], start: str, end: str) -> DataFrame:
+    """The bars of [start, end) of all tickers, without a provider. A ticker that is missing, broken or without bars in the range is an error."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"no store at {path}: run a refresh first")
+    if broken := corrupt(spark, path, tickers):
+        raise ValueError(f"the checksums of {broken} don't fit: refresh them by force")
+    out = source.within(source.read_store(spark, path, tickers), start, end, half_open=True)
+    if missing := sorted(set(tickers) - {r.ticker for r in out.select("ticker").distinct().collect()}):
+        raise ValueError(f"the store has no bars of {missing} from {start} to {end}")
+    return out
 
 
 def record_failures(status: DataFrame, path: str, reason: str) -> None:
@@ -52,13 +120,16 @@ def record_failures(status: DataFrame, path: str, reason: str) -> None:
     status.where("status = 'failed'").select("ticker", F.lit(reason).alias("reason"), F.current_timestamp().alias("at")).write.mode("append").csv(path, header=True)
 
 
-def enrich(spark: SparkSession, path: str, symbols: DataFrame, look_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The profiles of all symbols (ticker); those that aren't in the table yet are looked up and appended, so a run that broke goes on."""
-    if _exists(spark, path):
-        pending = symbols.join(spark.read.parquet(path).select("ticker"), "ticker", "left_anti")
-    else:
-        pending = symbols
-    look_up(pending).write.mode("append").parquet(path)
+def enrich(spark: SparkSession, path: str, symbols: DataFrame, look_up: Callable[[DataFrame], DataFrame], flush: int = 25) -> DataFrame:
+    """The profiles of all symbols (ticker); those that aren't in the table yet are looked up.
+
+    Each ``flush`` of them are appended when they are there, so a run that broke goes on where it was. The listing of symbols (some thousands)
+    is at the driver, as each look-up asks a provider.
+    """
+    pending = symbols.join(spark.read.parquet(path).select("ticker"), "ticker", "left_anti") if _exists(spark, path) else symbols
+    rows = pending.orderBy("ticker").collect()
+    for at in range(0, max(len(rows), 1), flush):
+        look_up(spark.createDataFrame(rows[at : at + flush], symbols.schema)).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 

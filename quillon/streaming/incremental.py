@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon.sources import bars as source
+from quillon.sources import store
 
 
 def bars_of_trades(trades: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -33,8 +34,6 @@ def upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             old = spark.createDataFrame([], source.BARS)
-        staged = f"{path}.staged"
-        source.write_store(source.merged(old, batch), staged)
-        source.write_store(source.read_store(spark, staged, tickers), path)
+        store.replace_tickers(source.merged(old, batch), path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

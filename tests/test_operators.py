@@ -190,7 +190,7 @@ def test_stocks_and_other_securities(spark):
     assert got == {"UAL": True, "BFAM": True, "TSM": True, "W": False, "R": False, "P": False, "N": False, "D": False, "BRK-B": True, "TWELVELETTER": True}
     symbols = spark.createDataFrame([(k, f"{n} chip", False) for k, n in names.items()], "ticker string, name string, etf boolean")
     kept = {r.ticker for r in universe.candidates(symbols, {"chip": ["chip"]}, [], []).collect()}
-    assert kept == {"UAL", "BFAM", "TSM", "D", "BRK/B", "TWELVELETTER", "9X", "NONAME"}
+    assert kept == {"UAL", "BFAM", "TSM", "P", "D", "BRK/B", "TWELVELETTER", "9X", "NONAME"}
     with pytest.raises(ValueError):
         universe.checked_export(out, least_rows=100)
     with pytest.raises(ValueError):

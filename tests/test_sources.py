@@ -159,3 +159,76 @@ def test_commands(spark, tmp_path, capsys):
 def test_generator_is_deterministic():
     a, b = synthetic.frame(["X"], None, 30), synthetic.frame(["X"], None, 30)
     assert a.equals(b) and (a["high"] >= a["close"]).all()
+
+
+def _bars(rows):
+    return [(t, dt.date(2024, 1, d), c, c, c, c, 1.0) for t, d, c in rows]
+
+
+def _fetcher(spark, table, asked=None):
+    def fetch(gaps):
+        rows = gaps.collect()
+        if asked is not None:
+            asked.extend((r.ticker, str(r.gap_start), str(r.gap_end)) for r in rows)
+        own = [b for b in _bars(table) if any(r.ticker == b[0] and r.gap_start <= b[1] <= r.gap_end for r in rows)]
+        return spark.createDataFrame(own, source.BARS)
+
+    return fetch
+
+
+def test_a_refresh_of_one_ticker_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.refresh(spark, path, ["AAA", "BBB"], "2024-01-01", "2024-01-02", _fetcher(spark, [("AAA", 1, 1.0), ("AAA", 2, 1.0), ("BBB", 1, 5.0)]))
+    store.replace_tickers(spark.createDataFrame(_bars([("AAA", 1, 9.0), ("AAA", 2, 1.0)]), source.BARS), path)
+    store.refresh(spark, path, ["BBB"], "2024-01-01", "2024-01-03", _fetcher(spark, [("BBB", 2, 6.0), ("BBB", 3, 7.0)]))
+    got = {(r.ticker, r.date.day): r.close for r in source.read_store(spark, path).collect()}
+    assert got == {("AAA", 1): 9.0, ("AAA", 2): 1.0, ("BBB", 1): 5.0, ("BBB", 2): 6.0, ("BBB", 3): 7.0}
+    assert not list(tmp_path.glob("*staged*"))
+
+
+def test_tail_and_force(spark, tmp_path):
+    path, asked = str(tmp_path / "store"), []
+    first = [("A", d, 1.0) for d in range(1, 11)]
+    store.refresh(spark, path, ["A"], "2024-01-01", "2024-01-10", _fetcher(spark, first))
+    store.refresh(spark, path, ["A"], "2024-01-01", "2024-01-10", _fetcher(spark, [("A", d, 2.0) for d in range(1, 11)], asked), tail_days=3)
+    assert asked == [("A", "2024-01-07", "2024-01-10")]
+    assert {r.date.day for r in source.read_store(spark, path).collect() if r.close == 2.0} == {7, 8, 9, 10}
+    store.refresh(spark, path, ["A"], "2024-01-01", "2024-01-10", _fetcher(spark, [("A", 5, 3.0)]), force=True)
+    assert [(r.date.day, r.close) for r in source.read_store(spark, path).collect()] == [(5, 3.0)]
+
+
+def test_broken_and_altered_folders_are_put_aside(spark, tmp_path):
+    path = tmp_path / "store"
+    table = [("A", 1, 1.0), ("A", 2, 1.0), ("B", 1, 2.0)]
+    store.refresh(spark, str(path), ["A", "B"], "2024-01-01", "2024-01-02", _fetcher(spark, table))
+    assert store.load(spark, str(path), ["A", "B"], "2024-01-01", "2024-01-02").count() == 2
+    for file in (path / "ticker=A").glob("*.parquet"):
+        file.write_bytes(b"no parquet")
+    for crc in (path / "ticker=A").glob(".*.crc"):
+        crc.unlink()
+    assert store.corrupt(spark, str(path), ["A", "B"]) == ["A"]
+    with pytest.raises(ValueError, match="checksums"):
+        store.load(spark, str(path), ["A"], "2024-01-01", "2024-01-03")
+    with pytest.raises(ValueError, match="no bars"):
+        store.load(spark, str(path), ["B"], "2024-02-01", "2024-03-01")
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, str(tmp_path / "none"), ["B"], "2024-02-01", "2024-03-01")
+    store.refresh(spark, str(path), ["A", "B"], "2024-01-01", "2024-01-02", _fetcher(spark, table))
+    assert store.load(spark, str(path), ["A", "B"], "2024-01-01", "2024-01-03").count() == 3
+    assert len(list((tmp_path / "store.quarantine").iterdir())) == 1
+
+
+def test_profiles_are_flushed_on_the_way(spark, tmp_path):
+    path, calls = str(tmp_path / "profiles"), []
+
+    def look_up(pending):
+        calls.append(pending.count())
+        if len(calls) == 3:
+            raise RuntimeError("the provider is gone")
+        return pending.selectExpr("ticker", "'x' AS industry")
+
+    symbols = spark.createDataFrame([(f"T{i:02}",) for i in range(60)], "ticker string")
+    with pytest.raises(RuntimeError):
+        store.enrich(spark, path, symbols, look_up)
+    assert spark.read.parquet(path).count() == 50
+    assert store.enrich(spark, path, symbols, look_up).count() == 60 and calls == [25, 25, 10, 10]
