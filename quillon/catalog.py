@@ -14,6 +14,7 @@ from quillon.plans import backtest as backtest_plan
 from quillon.plans import regime, sector
 from quillon.plans import screen as screen_plan
 from quillon.plans.config import Backtest, Config
+from quillon.scratch import written
 from quillon.sources import bars as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +31,13 @@ def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     return df.select(*[F.round(c, other.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars, written once for a query that takes them several times, so that trades are read once."""
+    return written(source.bars(spark, sf_dir), "bars")
+
+
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.panel(source.bars(spark, sf_dir), values=("close", "volume", "high", "low"))
+    return source.panel(held(spark, sf_dir), values=("close", "volume", "high", "low"))
 
 
 @query
@@ -122,7 +128,7 @@ def cluster_washout(spark, sf_dir):
 
 
 def alarmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = source.bars(spark, sf_dir)
+    own = held(spark, sf_dir)
     return indicators.alarms(own, source.panel(own, values=("close", "volume", "high", "low")), alarm_gate=20.0, washout_gate=-0.5)
 
 
@@ -412,7 +418,7 @@ SETTINGS = Config(washout_gate=-0.5, alarm_gate=20.0, backtest=Backtest("1995-01
 
 @query
 def screen(spark, sf_dir):
-    own = source.bars(spark, sf_dir)
+    own = held(spark, sf_dir)
     tables = screen_plan.screen(own, SETTINGS, "2001-06-30", own.select("cluster", "ticker").distinct())
     return rounded(screen_plan.summary(tables))
 
@@ -438,10 +444,24 @@ def hmm_regimes(spark, sf_dir):
     return rounded(models.walk_forward_regimes(rows, ["group_return", "realized_volatility", "breadth_above_ma20"], 200, 42))
 
 
+def regimes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return regime.run(dense(spark, sf_dir), source.market(spark, sf_dir), horizon=10, pca_window=60, least=200, refit=21)
+
+
 @query
 def regime_signals(spark, sf_dir):
-    out, _ = regime.run(dense(spark, sf_dir), source.market(spark, sf_dir), horizon=10, pca_window=60, least=200, refit=42)
-    return rounded(out.select("date", "regime", "probability", "signal"))
+    return rounded(regimes(spark, sf_dir)[0].select("date", "regime", "probability", "live_probability", "signal"))
+
+
+@query
+def regime_importance(spark, sf_dir):
+    return rounded(regimes(spark, sf_dir)[2])
+
+
+@query
+def causal_regimes(spark, sf_dir):
+    rows = features.sector_features(dense(spark, sf_dir))
+    return rounded(models.causal_regimes(rows, ["sector_return_5d", "sector_return_20d", "realized_vol_20d", "drawdown_60d"]))
 
 
 @query
@@ -450,7 +470,15 @@ def sector_alert(spark, sf_dir):
     return rounded(sector.latest_alert(sector.analyse(rows), sector.ranking(rows)))
 
 
+@query
+def rebound_model(spark, sf_dir):
+    """The classifier's metrics out of sample, over labels that a third of all dates have."""
+    rows = written(features.sector_features(dense(spark, sf_dir)), "features")
+    wide = labels.first_hit(rows, horizon=10, target=0.02, adverse=-0.02, correction=0.0)
+    return rounded(sector.validation(rows.join(wide, "date"))[0])
+
+
 @query
 def backtest_folds(spark, sf_dir):
-    own = source.bars(spark, sf_dir)
+    own = held(spark, sf_dir)
     return rounded(backtest_plan.run(own, source.panel(own, values=("close", "volume", "high", "low")), SETTINGS)["per_fold"])

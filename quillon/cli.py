@@ -83,7 +83,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         if given.command == "backtest":
             tables = backtest.run(grouped, panel, config)
         elif given.command == "regime":
-            tables = dict(zip(("signals", "metrics"), regime.run(panel, screen.market_of(rows, config.benchmark)), strict=True))
+            tables = dict(zip(("signals", "metrics", "importance"), regime.run(panel, screen.market_of(rows, config.benchmark)), strict=True))
         else:
             found, ranked = sector.analyse(panel), sector.ranking(panel)
             tables = {"features": found, "ranking": ranked, "alert": sector.latest_alert(found, ranked)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,26 +32,73 @@ def distance(rho_pairs: DataFrame) -> DataFrame:
     return rho_pairs.withColumn("distance", F.sqrt(F.greatest(2 * (1 - F.least(rho, F.lit(1.0))), F.lit(0.0))))
 
 
-def rolling_pairs(returns: DataFrame, window: int, least: int) -> DataFrame:
-    """a, b, date, rho over the last ``window`` dates, from dates on which both have a value."""
-    frame = Window.partitionBy("a", "b").orderBy("date").rowsBetween(-(window - 1), 0)
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    rows = pairs(returns).withColumns({"p": F.when(both, F.col("x")), "q": F.when(both, F.col("y"))})
-    n = F.count("p").over(frame)
-    rho = ratio(F.covar_samp("p", "q").over(frame), F.stddev_samp("p").over(frame) * F.stddev_samp("q").over(frame))
-    return rows.select("a", "b", "date", F.when(n >= least, rho).alias("rho"), F.count("x").over(frame).alias("nx"), F.count("y").over(frame).alias("ny"), F.row_number().over(Window.partitionBy("a", "b").orderBy("date")).alias("k"))
+def _chunked(returns: DataFrame, window: int, value: str) -> DataFrame:
+    """ticker, date, v, k (the date's number), chunk: dates dealt into chunks of a window, each with the window before it."""
+    days = returns.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")) - 1)
+    # a row a date: the calendar, whatever the number of tickers
+    rows = returns.select("ticker", "date", F.col(value).alias("v")).join(F.broadcast(days), "date")
+    chunks = F.sequence(F.floor(F.col("k") / window), F.floor((F.col("k") + window - 1) / window))
+    return rows.withColumn("chunk", F.explode(chunks))
+
+
+def _windows(part: pd.DataFrame, window: int) -> Iterator[tuple[object, pd.DataFrame]]:
+    """Each of a chunk's dates that a full window ends with, and the window: dates by tickers."""
+    wide = part.pivot(index="k", columns="ticker", values="v").sort_index()
+    date = part.drop_duplicates("k").set_index("k")["date"]
+    first = int(part["chunk"].iloc[0]) * window
+    for k in wide.index[(wide.index >= first) & (wide.index < first + window) & (wide.index >= window - 1)]:
+        yield date[k], wide.loc[k - window + 1 : k]
+
+
+def pair_values(x: np.ndarray, least: int, block: int = 1024) -> np.ndarray:
+    """The correlations of all pairs of columns over the rows where both have a value, from ``least`` such rows on; flat pairs have none.
+
+    By matrix products, a block of columns at a time: what is held is a number for each pair.
+    """
+    there = ~np.isnan(x)
+    m = there.astype(float)
+    c = np.where(there, x - np.nanmean(np.where(there.any(axis=0), x, 0.0), axis=0), 0.0)
+    out = []
+    for at in range(0, x.shape[1], block):
+        a, own = c[:, at : at + block], m[:, at : at + block]
+        n = own.T @ m
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sx, sy, sxx, syy = a.T @ m, own.T @ c, (a * a).T @ m, own.T @ (c * c)
+            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+            rho = (a.T @ c - sx * sy / n) / np.sqrt(vx * vy)
+        good = (n >= least) & (vx > 1e-12 * sxx) & (vy > 1e-12 * syy)
+        later = np.arange(x.shape[1])[None, :] > np.arange(at, at + a.shape[1])[:, None]
+        out.append(rho[good & later])
+    return np.concatenate(out) if out else np.empty(0)
 
 
 def rolling_mean(returns: DataFrame, window: int = 60) -> DataFrame:
-    """date, average_pairwise_correlation: over tickers with half a window of values, once a window is full."""
-    rows = rolling_pairs(returns, window, 2).where((F.col("k") >= window) & (F.col("nx") >= window // 2) & (F.col("ny") >= window // 2))
-    return rows.groupBy("date").agg(F.avg("rho").alias("average_pairwise_correlation"))
+    """date, average_pairwise_correlation: over tickers with half a window of values, once a window is full. Only the mean leaves a task."""
+
+    def mean(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for date, x in _windows(part, window):
+            kept = x.loc[:, x.notna().sum() >= window // 2].to_numpy()
+            if kept.shape[1] > 1:
+                values = pair_values(kept, 2)
+                out.append((date, float(values.mean()) if len(values) else None))
+        return pd.DataFrame(out, columns=["date", "average_pairwise_correlation"])
+
+    return _chunked(returns, window, "ret").groupBy("chunk").applyInPandas(mean, "date date, average_pairwise_correlation double")
 
 
 def rolling_median(returns: DataFrame, window: int = 60) -> DataFrame:
-    """date, median_pairwise_correlation: over pairs with max(10, half a window) common values, once a window is full."""
-    rows = rolling_pairs(returns, window, max(10, window // 2)).where(F.col("k") >= window)
-    return rows.groupBy("date").agg(F.median("rho").alias("median_pairwise_correlation"))
+    """date, median_pairwise_correlation: over pairs with max(10, half a window) common values, once a window is full. Only the median leaves a task."""
+
+    def median(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for date, x in _windows(part, window):
+            values = pair_values(x.to_numpy(), max(10, window // 2))
+            if x.shape[1] > 1:
+                out.append((date, float(np.median(values)) if len(values) else None))
+        return pd.DataFrame(out, columns=["date", "median_pairwise_correlation"])
+
+    return _chunked(returns, window, "ret").groupBy("chunk").applyInPandas(median, "date date, median_pairwise_correlation double")
 
 
 def residualize(returns: DataFrame, factor: DataFrame, value: str = "log_ret", least: int = 30) -> DataFrame:
@@ -114,11 +163,6 @@ def rolling_pca(returns: DataFrame, window: int, value: str = "ret", complete: b
     needed, and the sign is that of the mean return; else gaps are filled by the mean, and loadings sum up to a positive number.
     Dates are dealt into chunks, and each chunk gets the window before it, so chunks are worked on at once.
     """
-    chunk = window
-    days = returns.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")) - 1)
-    rows = returns.select("ticker", "date", F.col(value).alias("v")).join(F.broadcast(days), "date")
-    placed = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("k") / chunk), F.floor((F.col("k") + window - 1) / chunk))))
-
     def one(x: pd.DataFrame) -> tuple[float, float] | None:
         x = x.loc[:, x.notna().sum() >= (max(20, int(0.8 * window)) if complete else int(0.8 * window))]
         x = x.dropna() if complete else x.fillna(x.mean())
@@ -126,19 +170,16 @@ def rolling_pca(returns: DataFrame, window: int, value: str = "ret", complete: b
         if x.shape[1] < (3 if complete else 2) or complete and len(x) < max(20, window // 2):
             return None
         z = ((x - x.mean()) / x.std(ddof=0)).to_numpy()
-        values, vectors = np.linalg.eigh(z.T @ z)
-        loading = vectors[:, -1]
+        # of the two matrices that have the same values, the smaller: dates by dates, or tickers by tickers
+        wide = z.shape[1] > z.shape[0]
+        values, vectors = np.linalg.eigh(z @ z.T if wide else z.T @ z)
+        loading = z.T @ vectors[:, -1] / np.sqrt(max(values[-1], 1e-300)) if wide else vectors[:, -1]
         score = z @ loading
         sign = np.corrcoef(score, x.mean(axis=1))[0, 1] if complete else loading.sum()
         return (score[-1] if sign >= 0 else -score[-1]), values[-1] / values.sum()
 
     def component(part: pd.DataFrame) -> pd.DataFrame:
-        wide = part.pivot(index="k", columns="ticker", values="v").sort_index()
-        date = part.drop_duplicates("k").set_index("k")["date"]
-        first, out = int(part["chunk"].iloc[0]) * chunk, []
-        for k in wide.index[(wide.index >= first) & (wide.index < first + chunk) & (wide.index >= window - 1)]:
-            if (found := one(wide.loc[k - window + 1 : k])) is not None:
-                out.append((date[k], *found))
-        return pd.DataFrame(out, columns=["date", "pca_factor", "pca_explained_variance"])
-
-    return placed.groupBy("chunk").applyInPandas(component, "date date, pca_factor double, pca_explained_variance double")
+        found = [(date, one(x)) for date, x in _windows(part, window)]
+        return pd.DataFrame([(date, *f) for date, f in found if f is not None], columns=["date", "pca_factor", "pca_explained_variance"])
+
+    return _chunked(returns, window, value).groupBy("chunk").applyInPandas(component, "date date, pca_factor double, pca_explained_variance double")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.rolling import true
+from quillon.operators.boosting import BoostedTrees
 
 
 def _log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
@@ -70,6 +71,19 @@ class GaussianHmm:
             last = total
         return (start, step, means, covs), last
 
+    def decoded(self, x: np.ndarray) -> np.ndarray:
+        """The most likely states of all rows together."""
+        density, log_step = _log_density(x, self.means, self.covs), np.log(self.step + 1e-300)
+        score, back = np.log(self.start + 1e-300) + density[0], []
+        for d in density[1:]:
+            ways = score[:, None] + log_step
+            back.append(ways.argmax(axis=0))
+            score = ways.max(axis=0) + d
+        states = [int(score.argmax())]
+        for b in reversed(back):
+            states.append(int(b[states[-1]]))
+        return np.array(states[::-1])
+
     def filtered(self, x: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
         """Probabilities of the state at each row from that row and those before alone."""
         density, out = _log_density(x, self.means, self.covs), np.empty((len(x), self.states))
@@ -113,27 +127,131 @@ def walk_forward_regimes(features: DataFrame, columns: list[str], least: int = 2
     return fold.repartition("block").groupBy("block").applyInPandas(run, "date date, bear_probability double, neutral_probability double, bull_probability double, regime string")
 
 
-def walk_forward_boosted(features: DataFrame, columns: list[str], future: str, horizon: int = 20, least: int = 504, refit: int = 21, trees: int = 20, depth: int = 3) -> DataFrame:
-    """date, probability, target, future: each block by boosted trees learned from rows that end ``horizon`` before it.
+def causal_regimes(features: DataFrame, columns: list[str], named_by: str = "sector_return_20d", least: int = 160, refit: int = 20, states: int = 3, context: int = 31) -> DataFrame:
+    """date, hmm_state, hmm_bear_probability, hmm_bull_probability: each block of ``refit`` rows by a model with diagonal covariances of all rows before.
+
+    A row's probabilities are those of the last of the ``context`` rows up to it, begun anew. The states with the least and the largest mean of
+    ``named_by`` over the rows that the model was fitted on are bear and bull. Rows with a null in a column are left out; the first ``least`` have none.
+    """
+    rows = features.select("date", *dict.fromkeys([*columns, named_by])).dropna().withColumn("k", F.row_number().over(Window.orderBy("date")) - 1)
+    n = rows.count()
+    schema = "date date, hmm_state int, hmm_bear_probability double, hmm_bull_probability double"
+    if n <= least:
+        return rows.sparkSession.createDataFrame([], schema)
+    blocks = rows.sparkSession.range(-(-(n - least) // refit)).select(F.col("id").alias("block"), (F.lit(least) + F.col("id") * refit).alias("first"))
+    fold = rows.join(F.broadcast(blocks), F.col("k") < F.col("first") + refit)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("k")
+        first = int(part["first"].iloc[0])
+        x = part[columns].to_numpy(float)
+        mean, spread = x[:first].mean(axis=0), x[:first].std(axis=0)
+        spread[spread == 0] = 1
+        z = (x - mean) / spread
+        model = GaussianHmm(states, rounds=150, diagonal=True).fit(z[:first])
+        own, value = model.decoded(z[:first]), part[named_by].to_numpy(float)[:first]
+        means = np.array([value[own == s].mean() if (own == s).any() else 0.0 for s in range(states)])
+        bear, bull = int(means.argmin()), int(means.argmax())
+        last = np.array([model.filtered(z[max(0, k - context + 1) : k + 1])[-1] for k in range(first, len(z))])
+        return pd.DataFrame({"date": part["date"].iloc[first:], "hmm_state": last.argmax(axis=1), "hmm_bear_probability": last[:, bear], "hmm_bull_probability": last[:, bull]})
+
+    return fold.repartition("block").groupBy("block").applyInPandas(run, schema)
+
+
+def _finite_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows whose columns are all finite numbers. One condition over an array, as one for each column makes the optimizer's work grow with their powers."""
+    return rows.where(F.forall(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: true(~F.isnan(x) & (F.abs(x) != float("inf")))))
+
+
+def _complete(features: DataFrame, columns: list[str], future: str) -> DataFrame:
+    """date, columns, future, target (its sign), and k, the number of a row among those with a target; rows with a null or no finite column go."""
+    rows = _finite_rows(features, columns).select("date", *[F.col(c).cast("double").alias(c) for c in columns], F.col(future).alias("future"))
+    rows = rows.withColumn("target", (F.col("future") > 0).cast("double"))
+    labelled = F.count("target").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return rows.withColumn("k", F.when(F.col("target").isNotNull(), labelled))
+
+
+def walk_forward_boosted(features: DataFrame, columns: list[str], future: str, horizon: int = 20, least: int = 504, refit: int = 21, trees: int = 400, depth: int = 3) -> DataFrame:
+    """date, probability, target, future: each block of ``refit`` rows by boosted trees learned from rows that end ``horizon`` before it.
 
-    The library's trees train on the cluster, so blocks come one after another.
+    Rows with a target are counted, the first block begins after ``least`` and the horizon. A block whose rows to learn from have one
+    target only has no probability. Blocks are groups of their own, so all are fitted at once.
     """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = features.select("date", *columns, F.col(future).alias("future")).dropna(subset=columns).withColumn("k", F.row_number().over(Window.orderBy("date")) - 1)
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(rows.withColumn("label", (F.col("future") > 0).cast("double"))).cache()
-    n, out = rows.count(), None
-    for first in range(least + horizon, n, refit):
-        train = rows.where((F.col("k") < first - horizon) & F.col("label").isNotNull())
-        test = rows.where((F.col("k") >= first) & (F.col("k") < first + refit))
-        if train.select("label").distinct().count() < 2:
-            continue
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=7).fit(train)
-        found = model.transform(test).select("date", vector_to_array("probability")[1].alias("probability"), F.col("label").alias("target"), "future")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "date date, probability double, target double, future double")
+    rows = _complete(features, columns, future).where("k is not null")
+    n, schema = rows.count(), "date date, probability double, target double, future double"
+    if n <= least + horizon:
+        return rows.sparkSession.createDataFrame([], schema)
+    blocks = rows.sparkSession.range(-(-(n - least - horizon) // refit)).select(F.col("id").alias("block"), (F.lit(least + horizon) + F.col("id") * refit).alias("first"))
+    fold = rows.join(F.broadcast(blocks), (F.col("k") < F.col("first") - horizon) | F.col("k").between(F.col("first"), F.col("first") + refit - 1))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("k")
+        early = part["k"] < part["first"]
+        train, test = part[early], part[~early]
+        if train["target"].nunique() < 2:
+            return pd.DataFrame(columns=["date", "probability", "target", "future"])
+        model = BoostedTrees(trees, depth, lasso=0.05).fit(train[columns].to_numpy(), train["target"].to_numpy())
+        return pd.DataFrame({"date": test["date"], "probability": model.probability(test[columns].to_numpy()), "target": test["target"], "future": test["future"]})
+
+    return fold.repartition("block").groupBy("block").applyInPandas(run, schema)
+
+
+def live_boosted(features: DataFrame, columns: list[str], future: str, trees: int = 400, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The model of all rows with a target: date, live_probability of all complete rows, and feature, importance, the largest first."""
+    rows = _complete(features, columns, future)
+
+    def fitted(part: pd.DataFrame) -> tuple[pd.DataFrame, BoostedTrees | None]:
+        part = part.sort_values("date")
+        train = part[part["target"].notna()]
+        if train["target"].nunique() < 2:
+            return part.iloc[:0], None
+        return part, BoostedTrees(trees, depth, lasso=0.05).fit(train[columns].to_numpy(), train["target"].to_numpy())
+
+    def live(part: pd.DataFrame) -> pd.DataFrame:
+        part, model = fitted(part)
+        return pd.DataFrame({"date": part["date"], "live_probability": model.probability(part[columns].to_numpy()) if model else []})
+
+    def importance(part: pd.DataFrame) -> pd.DataFrame:
+        _, model = fitted(part)
+        return pd.DataFrame({"feature": columns if model else [], "importance": model.importance() if model else []})
+
+    whole = rows.groupBy()
+    return whole.applyInPandas(live, "date date, live_probability double"), whole.applyInPandas(importance, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def rebound_probability(rows: DataFrame, columns: list[str], horizon: int = 10, splits: int = 4, trees: int = 120, least: int = 60) -> DataFrame:
+    """date, split, probability, target, importance: a rebound's probability by class-weighted boosted trees over splits with a gap.
+
+    rows: date, columns, label (null: not eligible). Labelled complete rows are cut into equal test blocks at their end, each learned from the rows that end ``horizon`` before
+    it; split is the block's number, and splits the row of the final model, of all labelled rows, for the last complete date, with importance as a
+    map of columns. With under ``least`` labelled rows or one class only there is no row, and the caller takes the heuristic.
+    """
+    own = _finite_rows(rows, columns).select("date", *[F.col(c).cast("double").alias(c) for c in columns], F.col("label").alias("target"))
+
+    def model(train: pd.DataFrame, weight: float) -> BoostedTrees:
+        return BoostedTrees(trees, 3, 0.05, 0.85, 0.85, 3.0, 2.0, positive=weight).fit(train[columns].to_numpy(), train["target"].to_numpy())
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("date")
+        known = part[part["target"].notna()]
+        out: list[tuple] = []
+        if len(known) >= least and known["target"].nunique() == 2:
+            positives = int(known["target"].sum())
+            weight = max(1.0, (len(known) - positives) / max(1, positives))
+            blocks = min(splits, max(2, len(known) // 30))
+            size = len(known) // (blocks + 1)
+            for i in range(blocks):
+                start = len(known) - (blocks - i) * size
+                train, test = known.iloc[: max(start - horizon, 0)], known.iloc[start : start + size]
+                if train["target"].nunique() == 2:
+                    found = model(train, weight).probability(test[columns].to_numpy())
+                    out += [(d, i, float(p), float(t), None) for d, p, t in zip(test["date"], found, test["target"], strict=True)]
+            final, last = model(known, weight), part.iloc[[-1]]
+            shares = {c: float(v) for c, v in zip(columns, final.importance(), strict=True)}
+            out.append((last["date"].iloc[0], blocks, float(final.probability(last[columns].to_numpy())[0]), None, shares))
+        return pd.DataFrame(out, columns=["date", "split", "probability", "target", "importance"])
+
+    return own.groupBy().applyInPandas(run, "date date, split int, probability double, target double, importance map<string,double>")
 
 
 def heuristic_probability(drawdown: Column, thrust: Column, bull: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import evaluate, indicators, labels
 from quillon.plans.config import Config
+from quillon.scratch import written
 
 
 def run(bars: DataFrame, panel: DataFrame, config: Config) -> dict[str, DataFrame]:
@@ -18,6 +19,7 @@ def run(bars: DataFrame, panel: DataFrame, config: Config) -> dict[str, DataFram
     b, w, spark = config.backtest, config.windows, bars.sparkSession
     alarms = indicators.alarms(bars, panel, w.short, w.mid, config.washout_gate, config.alarm_gate)
     rows = labels.bottoms(alarms, b.half_window, b.ahead, b.least_return).select("ticker", "date", "close", "washout", "alarm", "confirmed", "label")
+    rows = written(rows, "alarms")
     folds = evaluate.expanding_folds(spark, b.start, b.end, b.initial_years, b.step_years)
     gates = evaluate.gate_search(rows, folds, b.gates, b.half_window, config.washout_gate)
     plan = folds.join(gates.select("fold", "gate"), "fold")

@@ -7,24 +7,38 @@ from pyspark.sql import functions as F
 
 from quillon.functions.rolling import by_date, forward_compound
 from quillon.operators import correlation, evaluate, features, models
+from quillon.scratch import written
 
 
 def group_frame(panel: DataFrame, market: DataFrame, horizon: int = 20, pca_window: int = 126) -> DataFrame:
     """A row a date: group features, mean pair correlation, principal component, and future_excess_return over the horizon."""
+    panel, market = written(panel, "panel"), written(market, "market")
     rows = features.group_features(panel, market)
     rows = rows.join(correlation.rolling_mean(features.returns(panel)), "date", "left")
     rows = rows.join(correlation.rolling_pca(features.residuals(panel, market), pca_window, "resid"), "date", "left")
     return rows.withColumn("future_excess_return", forward_compound(F.col("group_excess_return"), by_date(), horizon))
 
 
-def run(panel: DataFrame, market: DataFrame, horizon: int = 20, pca_window: int = 126, least: int = 252, refit: int = 21, trees: int = 20, regimes: tuple[str, ...] = ("group_excess_return", "realized_volatility", "breadth_above_ma20"), inputs: tuple[str, ...] = ("relative_return_5", "relative_return_20", "relative_return_60", "breadth_above_ma20", "breadth_above_ma50", "realized_volatility", "median_volume_ratio")) -> tuple[DataFrame, DataFrame]:
-    """The frame with probabilities and signal, and the metrics of its predictions (one row). The classifier never sees returns past its fit.
+#: What the classifier learns from: features, pair correlation, principal component and regimes.
+INPUTS = (
+    "relative_return_5", "relative_return_20", "relative_return_60", "breadth_positive_1d", "breadth_above_ma20", "breadth_above_ma50", "breadth_new_high_5",
+    "advancing_volume_breadth", "median_volume_ratio", "cross_sectional_dispersion", "realized_volatility", "average_pairwise_correlation", "pca_factor",
+    "pca_explained_variance", "bear_probability", "neutral_probability", "bull_probability",
+)
 
-    Regimes and classifier are fitted anew every ``refit`` rows, the classifier with ``trees`` trees (the reference has 400).
+
+def run(panel: DataFrame, market: DataFrame, horizon: int = 20, pca_window: int = 126, least: int = 252, refit: int = 21, trees: int = 400, regimes: tuple[str, ...] = ("group_excess_return", "realized_volatility", "breadth_above_ma20"), inputs: tuple[str, ...] = INPUTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The frame with probabilities and signal, the metrics of its predictions (one row), and the final model's feature importance.
+
+    Regimes and classifier are fitted anew every ``refit`` rows. probability is of models that never saw returns past their fit, and the metrics are of it;
+    live_probability is the final model's, of all labelled rows, from which the signal comes.
     """
-    frame = group_frame(panel, market, horizon, pca_window)
+    # a row a date; each step reads what the one before has written
+    frame = written(group_frame(panel, market, horizon, pca_window), "group-frame")
     states = models.walk_forward_regimes(frame, list(regimes), least, refit)
-    boosted = models.walk_forward_boosted(frame, list(inputs), "future_excess_return", horizon, least, refit, trees)
-    out = frame.join(states, "date", "left").join(boosted.select("date", "probability", "target"), "date", "left")
-    out = out.withColumn("signal", models.signal(F.col("probability"), F.col("bull_probability"), F.col("bear_probability"), F.col("breadth_above_ma20"), F.col("relative_return_20")))
-    return out, evaluate.prediction_metrics(boosted)
+    frame = written(frame.join(states, "date", "left"), "states")
+    boosted = written(models.walk_forward_boosted(frame, list(inputs), "future_excess_return", horizon, least, refit, trees), "boosted")
+    live, importance = models.live_boosted(frame, list(inputs), "future_excess_return", trees)
+    out = frame.join(boosted.select("date", "probability", "target"), "date", "left").join(live, "date", "left")
+    signal = models.signal(F.col("live_probability"), F.col("bull_probability"), F.col("bear_probability"), F.col("breadth_above_ma20"), F.col("relative_return_20"))
+    return out.withColumn("signal", signal), evaluate.prediction_metrics(boosted), importance

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.rolling import by_date
 from quillon.operators import correlation, features, indicators, labels, strength
 from quillon.plans.config import Config
+from quillon.scratch import written
 from quillon.sources import bars as source
 
 
@@ -31,15 +32,16 @@ def screen(bars: DataFrame, config: Config, as_of: str | None = None, clusters:
 
     clusters (cluster, ticker): given, else found by correlation.
     """
-    own = source.as_of(bars, as_of) if as_of else bars
+    # cut at the scan, then written: all that follows reads these bars and this panel
+    own = written(source.as_of(bars, as_of) if as_of else bars, "bars")
     market = market_of(own, config.benchmark)
     stocks = own.where(F.col("ticker") != config.benchmark) if config.benchmark else own
     w = config.windows
     plain = source.panel(stocks, keep=(), values=("close", "volume", "high", "low"))
     groups = clusters if clusters is not None else found_clusters(plain, market, config)
-    groups = groups.withColumn("cluster", F.col("cluster").cast("string"))
-    panel = plain.join(F.broadcast(groups.select("ticker", "cluster")), "ticker")
-    grouped = stocks.drop("cluster").join(F.broadcast(groups.select("ticker", "cluster")), "ticker")
+    groups = written(groups.withColumn("cluster", F.col("cluster").cast("string")), "groups")
+    panel = written(plain.join(groups.select("ticker", "cluster"), "ticker"), "panel")
+    grouped = stocks.drop("cluster").join(groups.select("ticker", "cluster"), "ticker")
     alarms = indicators.alarms(grouped, panel, w.short, w.mid, config.washout_gate, config.alarm_gate)
     columns = ["cluster", "alarm", "washout", "stretch_z", "rsi", "volume_signal", "divergence", "confirmed", "fired"]
     latest = alarms.groupBy("ticker").agg(F.max_by(F.struct("date", *columns), "date").alias("x")).select("ticker", "x.*")

@@ -1,6 +1,7 @@
 """Operators against pandas, brute force and facts known by hand."""
 
 import datetime as dt
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.rolling import by_ticker, forward_compound
 from quillon.operators import correlation, evaluate, features, indicators, intervals, labels, models, strength, universe
+from quillon.operators.boosting import BoostedTrees
 from quillon.plans import backtest, regime, screen, sector
 from quillon.plans.config import Backtest, Config, Windows, load
 from quillon.sources import bars as source
@@ -260,10 +262,15 @@ def test_plans_run(spark, bars):
 
 def test_regime_plan(spark, bars):
     panel = source.panel(bars.where("ticker <> 'MARKET'"))
-    out, metrics = regime.run(panel, screen.market_of(bars, "MARKET"), horizon=10, pca_window=60, least=250, refit=60)
+    out, metrics, importance = regime.run(panel, screen.market_of(bars, "MARKET"), horizon=10, pca_window=60, least=250, refit=60, trees=40)
     rows = out.where("probability is not null").collect()
     assert rows and all(r.signal in ("bullish", "bearish", "neutral") for r in rows)
     assert metrics.first().n > 0
+    shares = [r.importance for r in importance.collect()]
+    assert len(shares) == len(regime.INPUTS) and abs(sum(shares) - 1) < 1e-9 and shares == sorted(shares, reverse=True)
+    # a date's probability out of sample doesn't change with what comes later; all complete dates have a live one
+    last = max(r.date for r in rows)
+    assert out.where("live_probability is not null").count() >= len(rows) and last in {r.date for r in rows}
 
 
 def test_regime_refits_the_classifier_as_asked(monkeypatch):
@@ -276,9 +283,109 @@ def test_regime_refits_the_classifier_as_asked(monkeypatch):
         asked.update(refit=refit, trees=trees)
         raise Seen
 
-    monkeypatch.setattr(regime, "group_frame", lambda *a: None)
+    class Frame:
+        def join(self, *a):
+            return self
+
+    monkeypatch.setattr(regime, "group_frame", lambda *a: Frame())
     monkeypatch.setattr(models, "walk_forward_regimes", lambda *a: None)
     monkeypatch.setattr(models, "walk_forward_boosted", seen)
     with pytest.raises(Seen):
         regime.run(None, None, refit=21, trees=30)
     assert asked == {"refit": 21, "trees": 30}
+
+
+def test_boosted_trees_learn_a_rule():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 5))
+    y = ((x[:, 1] > 0.3) ^ (x[:, 3] > 0)).astype(float)
+    model = BoostedTrees(trees=80, rate=0.2).fit(x[:400], y[:400])
+    assert np.mean((model.probability(x[400:]) > 0.5) == y[400:]) > 0.9
+    assert set(np.argsort(model.importance())[-2:]) == {1, 3} and abs(model.importance().sum() - 1) < 1e-9
+    weighted = BoostedTrees(trees=40, positive=5.0).fit(x, y)
+    assert weighted.probability(x).mean() > BoostedTrees(trees=40).fit(x, y).probability(x).mean()
+
+
+def test_the_first_split_against_brute_force():
+    """One tree of one split: the cut of the largest gain, over all cuts of all columns."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 3)), (rng.random(60) > 0.4).astype(float)
+    model = BoostedTrees(trees=1, depth=1, rate=1.0, rows=1.1, columns=1.0, ridge=2.0, least_weight=0.0).fit(x, y)
+    g, h = 0.5 - y, np.full(60, 0.25)
+    best = max(((g[m].sum() ** 2 / (h[m].sum() + 2) + g[~m].sum() ** 2 / (h[~m].sum() + 2)), j, c) for j in range(3) for c in x[:, j] if (m := x[:, j] < c).any())
+    root = model.grown[0]
+    assert root.feature == best[1] and np.array_equal(x[:, root.feature] < root.cut, x[:, best[1]] < best[2])
+    assert root.left.weight == pytest.approx(-g[x[:, root.feature] < root.cut].sum() / (h[x[:, root.feature] < root.cut].sum() + 2))
+
+
+def test_causal_regimes_look_at_the_past_only(spark):
+    rng = np.random.default_rng(5)
+    calm = np.r_[rng.normal(0.02, 0.01, 120), rng.normal(-0.03, 0.03, 60), rng.normal(0.02, 0.01, 70)]
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), float(v), float(abs(v))) for i, v in enumerate(calm)]
+    frame = spark.createDataFrame(rows, "date date, sector_return_20d double, v double")
+    got = {r.date: r for r in models.causal_regimes(frame, ["sector_return_20d", "v"], least=160, refit=20, states=2).collect()}
+    assert len(got) == 90
+    bear = [got[rows[i][0]].hmm_bear_probability for i in range(160, 178)]
+    bull = [got[rows[i][0]].hmm_bull_probability for i in range(200, 250)]
+    assert np.mean(bear) > 0.8 and np.mean(bull) > 0.8
+    short = models.causal_regimes(frame.where(F.col("date") < rows[220][0]), ["sector_return_20d", "v"], least=160, refit=20, states=2).collect()
+    assert all(abs(r.hmm_bear_probability - got[r.date].hmm_bear_probability) < 1e-9 for r in short)
+
+
+def test_a_filtered_state_against_all_paths():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 2))
+    model = models.GaussianHmm(3, rounds=5, diagonal=True).fit(x)
+    assert all(np.allclose(c, np.diag(np.diag(c))) for c in model.covs)
+    tail = x[:5]
+    density = models._log_density(tail, model.means, model.covs)
+    paths = list(itertools.product(range(3), repeat=5))
+    logs = np.array([np.log(model.start[p[0]] + 1e-300) + sum(density[t, s] for t, s in enumerate(p)) + sum(np.log(model.step[a, b] + 1e-300) for a, b in zip(p, p[1:])) for p in paths])
+    share = np.exp(logs - logs.max())
+    last = np.array([share[[p[-1] == s for p in paths]].sum() for s in range(3)]) / share.sum()
+    assert np.allclose(model.filtered(tail)[-1], last)
+    assert tuple(model.decoded(tail)) == paths[int(logs.argmax())]
+
+
+def test_the_rebound_classifier_and_its_fallback(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(200):
+        a, b = rng.normal(), rng.normal()
+        label = None if i % 5 == 0 else float(a + 0.3 * rng.normal() > 0.5)
+        rows.append((dt.date(2020, 1, 1) + dt.timedelta(days=i), float(a), float(b), label))
+    frame = spark.createDataFrame(rows, "date date, a double, b double, label double")
+    out = models.rebound_probability(frame, ["a", "b"]).collect()
+    scored, final = [r for r in out if r.target is not None], [r for r in out if r.importance]
+    assert len(scored) == 4 * (160 // 5) and len(final) == 1 and final[0].date == rows[-1][0] and final[0].importance["a"] > final[0].importance["b"]
+    assert np.mean([(r.probability > 0.5) == r.target for r in scored]) > 0.85
+    known = sorted(r[0] for r in rows if r[3] is not None)
+    # tests are the last blocks of labelled rows, and each row is scored once
+    assert sorted(r.date for r in scored) == known[160 - 128 :]
+    assert models.rebound_probability(frame.limit(40), ["a", "b"]).count() == 0
+    assert models.rebound_probability(frame.withColumn("label", F.lit(1.0)), ["a", "b"]).count() == 0
+
+
+def test_pair_values_against_pandas():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 7))
+    x[rng.random((40, 7)) < 0.3] = np.nan
+    x[:, 5], x[:, 6] = 1.0, np.nan
+    got = np.sort(correlation.pair_values(x, 10, block=3))
+    whole = pd.DataFrame(x[:, :5]).corr(min_periods=10).to_numpy()
+    want = np.sort(whole[np.triu_indices(5, 1)])
+    assert np.allclose(got, want[np.isfinite(want)])
+
+
+def test_the_component_of_more_tickers_than_dates(spark):
+    rng = np.random.default_rng(9)
+    common = rng.normal(size=30)
+    rows = [(f"T{j:02}", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(common[i] + 0.5 * rng.normal())) for j in range(40) for i in range(30)]
+    got = correlation.rolling_pca(spark.createDataFrame(rows, "ticker string, date date, ret double"), 20).collect()
+    wide = pd.DataFrame(rows, columns=["t", "d", "v"]).pivot(index="d", columns="t", values="v")
+    for r in got:
+        x = wide.loc[: r.date].iloc[-20:]
+        z = ((x - x.mean()) / x.std(ddof=0)).to_numpy()
+        _, scale, axes = np.linalg.svd(z, full_matrices=False)
+        sign = 1 if axes[0].sum() >= 0 else -1
+        assert r.pca_explained_variance == pytest.approx(scale[0] ** 2 / (scale**2).sum()) and r.pca_factor == pytest.approx(sign * (z @ axes[0])[-1])
