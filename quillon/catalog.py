@@ -445,7 +445,7 @@ def hmm_regimes(spark, sf_dir):
 
 
 def regimes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return regime.run(dense(spark, sf_dir), source.market(spark, sf_dir), horizon=10, pca_window=60, least=200, refit=21)
+    return regime.run(dense(spark, sf_dir), source.market(spark, sf_dir), horizon=10, pca_window=60, least=120, learn=60)
 
 
 @query

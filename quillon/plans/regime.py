@@ -27,17 +27,17 @@ INPUTS = (
 )
 
 
-def run(panel: DataFrame, market: DataFrame, horizon: int = 20, pca_window: int = 126, least: int = 252, refit: int = 21, trees: int = 400, regimes: tuple[str, ...] = ("group_excess_return", "realized_volatility", "breadth_above_ma20"), inputs: tuple[str, ...] = INPUTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run(panel: DataFrame, market: DataFrame, horizon: int = 20, pca_window: int = 126, least: int = 252, learn: int = 504, refit: int = 21, trees: int = 400, regimes: tuple[str, ...] = ("group_excess_return", "realized_volatility", "breadth_above_ma20"), inputs: tuple[str, ...] = INPUTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The frame with probabilities and signal, the metrics of its predictions (one row), and the final model's feature importance.
 
-    Regimes and classifier are fitted anew every ``refit`` rows. probability is of models that never saw returns past their fit, and the metrics are of it;
+    Regimes and classifier are fitted anew every ``refit`` rows, from ``least`` and ``learn`` rows on. probability is of models that never saw returns past their fit, and the metrics are of it;
     live_probability is the final model's, of all labelled rows, from which the signal comes.
     """
     # a row a date; each step reads what the one before has written
     frame = written(group_frame(panel, market, horizon, pca_window), "group-frame")
     states = models.walk_forward_regimes(frame, list(regimes), least, refit)
     frame = written(frame.join(states, "date", "left"), "states")
-    boosted = written(models.walk_forward_boosted(frame, list(inputs), "future_excess_return", horizon, least, refit, trees), "boosted")
+    boosted = written(models.walk_forward_boosted(frame, list(inputs), "future_excess_return", horizon, learn, refit, trees), "boosted")
     live, importance = models.live_boosted(frame, list(inputs), "future_excess_return", trees)
     out = frame.join(boosted.select("date", "probability", "target"), "date", "left").join(live, "date", "left")
     signal = models.signal(F.col("live_probability"), F.col("bull_probability"), F.col("bear_probability"), F.col("breadth_above_ma20"), F.col("relative_return_20"))

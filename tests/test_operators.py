@@ -262,7 +262,7 @@ def test_plans_run(spark, bars):
 
 def test_regime_plan(spark, bars):
     panel = source.panel(bars.where("ticker <> 'MARKET'"))
-    out, metrics, importance = regime.run(panel, screen.market_of(bars, "MARKET"), horizon=10, pca_window=60, least=250, refit=60, trees=40)
+    out, metrics, importance = regime.run(panel, screen.market_of(bars, "MARKET"), horizon=10, pca_window=60, least=150, learn=60, refit=60, trees=40)
     rows = out.where("probability is not null").collect()
     assert rows and all(r.signal in ("bullish", "bearish", "neutral") for r in rows)
     assert metrics.first().n > 0
@@ -279,7 +279,7 @@ def test_regime_refits_the_classifier_as_asked(monkeypatch):
     class Seen(Exception):
         pass
 
-    def seen(frame, columns, future, horizon, least, refit, trees):
+    def seen(frame, columns, future, horizon, learn, refit, trees):
         asked.update(refit=refit, trees=trees)
         raise Seen
 
@@ -288,6 +288,7 @@ def test_regime_refits_the_classifier_as_asked(monkeypatch):
             return self
 
     monkeypatch.setattr(regime, "group_frame", lambda *a: Frame())
+    monkeypatch.setattr(regime, "written", lambda df, name: df)
     monkeypatch.setattr(models, "walk_forward_regimes", lambda *a: None)
     monkeypatch.setattr(models, "walk_forward_boosted", seen)
     with pytest.raises(Seen):
