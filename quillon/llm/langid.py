@@ -30,11 +30,21 @@ LEAST_SCORE, SURE_LETTERS = 0.14, 80
 _BATCH, _COLUMNS, _CACHE = 64, 4096, 1 << 15
 
 
+_NO_WORD = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(maxsize=1)
-def no_letters() -> re.Pattern:
-    """Runs of what is no letter: as re counts number letters and fractions among word characters, these are named."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-    return re.compile(f"[\\W\\d_{re.escape(numbers)}]+")
+def _numbers() -> dict[str, str]:
+    """Number letters, fractions and the like, which re counts among word characters, each with a space. As a class of re they would be tried one by one."""
+    every = map(chr, range(sys.maxunicode + 1))
+    return {c: " " for c in every if c.isnumeric() and not c.isalpha() and not c.isdecimal()}
+
+
+def letters_of(text: str, between: str = " ") -> str:
+    """The text's runs of letters, with ``between`` for all that is none."""
+    if not text.isascii() and not _numbers().keys().isdisjoint(text):
+        text = text.translate(str.maketrans(_numbers()))
+    return _NO_WORD.sub(between, text)
 
 
 class Trigrams:
@@ -64,7 +74,7 @@ class Trigrams:
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """A unit vector for each whole text; zeros without letters."""
-        spaced = [no_letters().sub(" ", (t or "").lower()).strip() for t in texts]
+        spaced = [letters_of((t or "").lower()).strip() for t in texts]
         joined = "  ".join(["", *spaced, ""])
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         doc = np.repeat(np.arange(len(texts) + 1), [2, *(len(s) + 2 for s in spaced)])
@@ -111,7 +121,7 @@ class LanguageProfiles:
         near = self.nearness(bundles)
         known = near >= least
         for i in np.flatnonzero(~known):
-            known[i] = near[i] >= least * min(1, len(no_letters().sub("", texts[i] or "")) / SURE_LETTERS)
+            known[i] = near[i] >= least * min(1, len(letters_of(texts[i] or "", "")) / SURE_LETTERS)
         return known
 
 
