@@ -273,6 +273,22 @@ def test_regime_plan(spark, bars):
     assert out.where("live_probability is not null").count() >= len(rows) and last in {r.date for r in rows}
 
 
+def test_finite_rows_and_what_the_optimizer_keeps_of_them(spark, tmp_path):
+    """Conditions kept for 12 columns are some dozens, not 2 to the power of 12."""
+    columns = [f"c{i}" for i in range(12)]
+    odd = [1.0, None, float("nan"), float("inf"), -float("inf"), -1e308]
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), 0.1, *[v if j == i else 0.0 for j in range(12)]) for i, v in enumerate(odd)]
+    spark.createDataFrame(rows, "date date, future double, " + ", ".join(f"{c} double" for c in columns)).write.parquet(str(tmp_path / "frame"))
+    frame = spark.read.parquet(str(tmp_path / "frame"))
+    complete = models._complete(frame, columns, "future")
+    node, kept = complete._jdf.queryExecution().analyzed(), []
+    while node.children().size():
+        kept.append(node.validConstraints().size())
+        node = node.children().head()
+    assert 12 <= max(kept) < 200, kept
+    assert sorted(r.date.day for r in complete.collect()) == [1, 6]
+
+
 def test_regime_refits_the_classifier_as_asked(monkeypatch):
     asked = {}
 
