@@ -203,26 +203,30 @@ def walk_forward_boosted(features: DataFrame, columns: list[str], future: str, h
 
 
 def live_boosted(features: DataFrame, columns: list[str], future: str, trees: int = 400, depth: int = 3) -> tuple[DataFrame, DataFrame]:
-    """The model of all rows with a target: date, live_probability of all complete rows, and feature, importance, the largest first."""
+    """The model of all rows with a target: date, live_probability of all complete rows, and feature, importance, the largest first.
+
+    With one target only there is no live probability, and as no split gains anything then, each importance is 0. Without a target neither has a row.
+    """
     rows = _complete(features, columns, future)
 
-    def fitted(part: pd.DataFrame) -> tuple[pd.DataFrame, BoostedTrees | None]:
-        part = part.sort_values("date")
-        train = part[part["target"].notna()]
+    def fitted(part: pd.DataFrame) -> BoostedTrees | None:
+        train = part[part["target"].notna()].sort_values("date")
         if train["target"].nunique() < 2:
-            return part.iloc[:0], None
-        return part, BoostedTrees(trees, depth, lasso=0.05).fit(train[columns].to_numpy(), train["target"].to_numpy())
+            return None
+        return BoostedTrees(trees, depth, lasso=0.05).fit(train[columns].to_numpy(), train["target"].to_numpy())
 
     def live(part: pd.DataFrame) -> pd.DataFrame:
-        part, model = fitted(part)
+        model = fitted(part)
+        part = part.sort_values("date") if model else part.iloc[:0]
         return pd.DataFrame({"date": part["date"], "live_probability": model.probability(part[columns].to_numpy()) if model else []})
 
     def importance(part: pd.DataFrame) -> pd.DataFrame:
-        _, model = fitted(part)
-        return pd.DataFrame({"feature": columns if model else [], "importance": model.importance() if model else []})
+        model = fitted(part)
+        return pd.DataFrame({"feature": columns, "importance": model.importance() if model else np.zeros(len(columns))})
 
-    whole = rows.groupBy()
-    return whole.applyInPandas(live, "date date, live_probability double"), whole.applyInPandas(importance, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    # a group has rows, so importance never returns an empty frame: its column of texts would become one of numbers, which Arrow refuses
+    shares = rows.where("target is not null").groupBy().applyInPandas(importance, "feature string, importance double")
+    return rows.groupBy().applyInPandas(live, "date date, live_probability double"), shares.orderBy(F.desc("importance"), "feature")
 
 
 def rebound_probability(rows: DataFrame, columns: list[str], horizon: int = 10, splits: int = 4, trees: int = 120, least: int = 60) -> DataFrame:

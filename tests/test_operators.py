@@ -273,6 +273,22 @@ def test_regime_plan(spark, bars):
     assert out.where("live_probability is not null").count() >= len(rows) and last in {r.date for r in rows}
 
 
+def test_importance_of_a_model_with_one_target_or_none(spark):
+    """All futures of one sign leave nothing to split: a row a column, each 0, and no live probability. Without a future there are no rows."""
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i % 7), float(i % 5), 0.01 if i < 50 else None) for i in range(60)]
+    frame = spark.createDataFrame(rows, "date date, a double, b double, future double")
+    for one in (frame, frame.withColumn("future", -F.col("future"))):
+        live, importance = models.live_boosted(one, ["b", "a"], "future", trees=5)
+        assert [tuple(r) for r in importance.collect()] == [("a", 0.0), ("b", 0.0)] and live.count() == 0
+    assert not BoostedTrees(trees=5).fit(np.array([r[1:3] for r in rows[:50]]), np.ones(50)).importance().any()
+    for none in (frame.withColumn("future", F.lit(None).cast("double")), frame.where("false")):
+        live, importance = models.live_boosted(none, ["b", "a"], "future", trees=5)
+        assert importance.collect() == [] and live.collect() == []
+    both = frame.withColumn("future", F.when(F.col("a") > 3, F.col("future")).otherwise(-F.col("future")))
+    live, importance = models.live_boosted(both, ["b", "a"], "future", trees=5)
+    assert live.count() == 60 and importance.first().feature == "a" and importance.agg(F.sum("importance")).first()[0] == pytest.approx(1)
+
+
 def test_finite_rows_and_what_the_optimizer_keeps_of_them(spark, tmp_path):
     """Conditions kept for 12 columns are some dozens, not 2 to the power of 12."""
     columns = [f"c{i}" for i in range(12)]
