@@ -25,8 +25,9 @@ DIMENSIONS = 512
 SAMPLE_PER_LANGUAGE = 1000
 #: A text below this cosine with every whole prototype is in none of the languages. Of held-out texts
 #: of sf0.1 none are below; of letter junk and unknown scripts, about 99 in 100. The cosine of a short text in a language grows with its
-#: letters, and junk's doesn't, so the bound of a text of fewer letters is less in proportion.
-LEAST_SCORE, SURE_LETTERS = 0.14, 80
+#: letters, and junk's doesn't, so texts of fewer letters below the bound are decided exactly: by the share of their distinct trigrams that the
+#: sample of some language has.
+LEAST_SCORE, SURE_LETTERS, LEAST_SHARE = 0.14, 80, 0.6
 _BATCH, _COLUMNS, _CACHE = 64, 4096, 1 << 15
 
 
@@ -72,8 +73,8 @@ class Trigrams:
             out[i] = v
         return out
 
-    def bundle(self, texts: list[str | None]) -> np.ndarray:
-        """A unit vector for each whole text; zeros without letters."""
+    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The trigrams of all whole texts, and the place of the text that each is in."""
         spaced = [letters_of((t or "").lower()).strip() for t in texts]
         joined = "  ".join(["", *spaced, ""])
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -82,14 +83,18 @@ class Trigrams:
         a, b, c = code[:-2], code[1:-1], code[2:]
         own = (b != 32) | ((a != 32) & (c != 32))
         gram = (a << 42 | b << 21 | c)[own]
-        of = doc[2:][own] - 1
         # the place after the last letter belongs to the same text
+        return gram, np.clip(doc[2:][own] - 1, 0, len(texts) - 1)
+
+    def bundle(self, texts: list[str | None]) -> np.ndarray:
+        """A unit vector for each whole text; zeros without letters."""
+        gram, of = self.codes(texts)
         keys, back = np.unique(gram, return_inverse=True)
         sums = np.zeros((len(texts), self.dimensions), np.float32)
         for at in range(0, len(keys), _COLUMNS):
             here = (back >= at) & (back < at + _COLUMNS)
             width = min(_COLUMNS, len(keys) - at)
-            counts = np.bincount(np.clip(of[here], 0, len(texts) - 1) * width + back[here] - at, minlength=len(texts) * width).reshape(len(texts), width)
+            counts = np.bincount(of[here] * width + back[here] - at, minlength=len(texts) * width).reshape(len(texts), width)
             sums += counts.astype(np.float32) @ self.vectors(keys[at : at + width]).astype(np.float32)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         return np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
@@ -97,12 +102,13 @@ class Trigrams:
 
 @dataclass(frozen=True)
 class LanguageProfiles:
-    """What is learned: the languages, a prototype for each, less what all have in common, and the whole one, as a unit vector."""
+    """What is learned: the languages, a prototype for each, less what all have in common, the whole one, as a unit vector, and the sample's trigrams, sorted."""
 
     languages: tuple[str, ...]
     prototypes: np.ndarray
     common: np.ndarray
     whole: np.ndarray
+    trigrams: tuple[np.ndarray, ...] = ()
 
     def score(self, bundles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest prototype's place and its cosine, 0 at least."""
@@ -116,12 +122,16 @@ class LanguageProfiles:
         """The most cosine with a whole prototype. What languages have in common counts, which texts of no language lack."""
         return (bundles @ self.whole.T).max(axis=1)
 
+    def share(self, text: str | None) -> float:
+        """The most of a text's distinct trigrams that one language's sample has, as a share of them."""
+        own = np.unique(Trigrams().codes([text])[0])
+        return max((np.isin(own, known, assume_unique=True).mean() for known in self.trigrams), default=0.0) if len(own) else 0.0
+
     def within(self, texts: list[str | None], bundles: np.ndarray, least: float) -> np.ndarray:
-        """Whether each text is near enough to some language; ``least`` is the bound from SURE_LETTERS letters on."""
-        near = self.nearness(bundles)
-        known = near >= least
-        for i in np.flatnonzero(~known):
-            known[i] = near[i] >= least * min(1, len(letters_of(texts[i] or "", "")) / SURE_LETTERS)
+        """Whether each text is near enough to some language: by ``least``, or below SURE_LETTERS letters by its trigrams."""
+        known = self.nearness(bundles) >= least
+        for i in np.flatnonzero(~known & bundles.any(axis=1)):
+            known[i] = len(letters_of(texts[i] or "", "")) < SURE_LETTERS and self.share(texts[i]) >= LEAST_SHARE
         return known
 
 
@@ -135,7 +145,7 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col:
     """Prototypes from a bounded sample: about ``per_language`` texts of each language, or all where there are fewer.
 
     The sample is by a hash of the id, at a rate from the exact count of each language. Tasks send one sum for each
-    language to the driver; the sample has 32 of them. Null languages, null texts and texts without letters teach nothing;
+    language, and its distinct trigrams, to the driver; the sample has 32 of them. Null languages, null texts and texts without letters teach nothing;
     without any label there are no languages.
     """
     spark = labelled.sparkSession
@@ -149,27 +159,32 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col:
     sample = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language sample")), F.lit(1 << 20)) < share[lang] * (1 << 20))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, total = Trigrams(), {}
+        grams, total, met = Trigrams(), {}, {}
         for part in _tables(batches):
-            vectors = grams.bundle(part.column(1).to_pylist())
-            for lang, v in zip(part.column(0).to_pylist(), vectors, strict=True):
+            langs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for lang, v in zip(langs, grams.bundle(texts), strict=True):
                 n, old = total.get(lang, (0, np.zeros(DIMENSIONS)))
                 total[lang] = (n + 1, old + v)
+            for lang in set(langs):
+                codes = grams.codes([t for k, t in zip(langs, texts, strict=True) if k == lang])[0]
+                met[lang] = np.union1d(met.get(lang, codes), codes)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(total), pa.array([n for n, _ in total.values()]), pa.array([v.tolist() for _, v in total.values()], pa.list_(pa.float64()))], ["lang", "n", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(total), pa.array([n for n, _ in total.values()]), pa.array([v.tolist() for _, v in total.values()], pa.list_(pa.float64())), pa.array([met[k] for k in total], pa.list_(pa.int64()))], ["lang", "n", "v", "met"])
 
     found: dict[str, np.ndarray] = {}
     seen: dict[str, int] = {}
-    for r in sample.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).repartition(32).mapInArrow(sums, "lang string, n long, v array<double>").collect():
+    met: dict[str, np.ndarray] = {}
+    for r in sample.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).repartition(32).mapInArrow(sums, "lang string, n long, v array<double>, met array<long>").collect():
         found[r.lang] = found.get(r.lang, 0) + np.array(r.v)
         seen[r.lang] = seen.get(r.lang, 0) + r.n
+        met[r.lang] = np.union1d(met.get(r.lang, np.empty(0, np.int64)), np.array(r.met, np.int64))
     names = tuple(sorted(k for k, v in found.items() if np.any(v)))
     means = np.array([found[k] / seen[k] for k in names]).reshape(-1, DIMENSIONS)
     common = means.mean(axis=0) if len(names) > 1 else np.zeros(DIMENSIONS)
     own = means - common
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
     whole = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
-    return LanguageProfiles(names, own.astype(np.float32), common.astype(np.float32), whole.astype(np.float32))
+    return LanguageProfiles(names, own.astype(np.float32), common.astype(np.float32), whole.astype(np.float32), tuple(met[k] for k in names))
 
 
 def identify(docs: DataFrame, profiles: LanguageProfiles, text_col: str = "text", least: float = 0.0) -> DataFrame:
