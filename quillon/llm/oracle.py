@@ -78,4 +78,34 @@ OP9 = f"""WITH RECURSIVE r0 AS (SELECT page_id, html, {_REST.format("coalesce(ur
   shares AS (SELECT host, greatest(CASE WHEN tm > 1e-6 THEN tg / tm ELSE 0 END, trusted) AS t, greatest(CASE WHEN dm > 1e-6 THEN dg / dm ELSE 0 END, blocked) AS d FROM flown)
   SELECT page_id, ruled.host, path, rule, coalesce(says, CASE WHEN d - t > 0.5 + 1e-4 THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN shares ON shares.host = ruled.host"""
 
-ORACLE_SQL = {"op2_lines": OP2, "op5_minhash": OP5, "op8_decontamination": OP8, "op9_urls": OP9}
+_PER_PART = "SELECT p.vec_id, p.part, b.entry, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS gap FROM parts p JOIN {0} b ON p.part = b.part"
+_NEAREST = "SELECT vec_id, part, entry, gap FROM (" + _PER_PART + ") QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY gap, entry) = 1"
+
+
+def _round(k: int) -> str:
+    """One round: assignment to the codebooks of round k, then the averages, rounded down, as those of round k + 1."""
+    means = "SELECT a.part, entry, i, floor_div(sum(v[i])::BIGINT, count(*)) AS c FROM a JOIN parts p ON a.vec_id = p.vec_id AND a.part = p.part, (SELECT unnest(range(1, 9)) AS i) GROUP BY a.part, entry, i"
+    means = means.replace("floor_div(sum(v[i])::BIGINT, count(*))", "((sum(v[i])::BIGINT - ((sum(v[i])::BIGINT % count(*)) + count(*)) % count(*)) // count(*))")
+    new = f"SELECT part, entry, list(c ORDER BY i) AS c FROM m{k} GROUP BY part, entry"
+    return f"a{k} AS MATERIALIZED ({_NEAREST.format(f'b{k}')}), m{k} AS MATERIALIZED ({means.replace('FROM a JOIN', f'FROM a{k} a JOIN')}), n{k} AS ({new}), b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM b{k} b LEFT JOIN n{k} n ON b.part = n.part AND b.entry = n.entry)"
+
+
+OP11 = f"""WITH good AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  parts AS MATERIALIZED (SELECT vec_id, part, v[part * 8 + 1 : part * 8 + 8] AS v FROM good, (SELECT unnest(range(8)) AS part)),
+  b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM parts QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 16),
+  {', '.join(_round(k) for k in range(6))}, last AS MATERIALIZED ({_NEAREST.format('b6')}),
+  coded AS (SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(gap)::BIGINT AS error FROM last GROUP BY vec_id),
+  books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b6)
+  SELECT g.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM good g JOIN coded c ON g.vec_id = c.vec_id, books"""
+
+_TERMS = "unnest(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+OP12 = f"""WITH t AS (SELECT doc_id, {_TERMS} AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), len AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+  s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM len), q AS (SELECT item_id, term, count(*) AS r FROM (SELECT item_id, {_TERMS} AS term FROM benchmark) GROUP BY ALL),
+  w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY term, nn),
+  imp AS (SELECT tf.doc_id, tf.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l))) AS x FROM tf JOIN len ON tf.doc_id = len.doc_id JOIN w ON tf.term = w.term, s),
+  sc AS (SELECT item_id, doc_id, sum(r * x)::BIGINT AS score FROM q JOIN imp ON q.term = imp.term GROUP BY ALL)
+  SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 20"""
+
+ORACLE_SQL = {"op2_lines": OP2, "op5_minhash": OP5, "op8_decontamination": OP8, "op9_urls": OP9, "op11_vectors": OP11, "op12_search": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, imatch, langid, linededup, minhash, packing, rans, sharding, urlfilter
+from . import chat, decontam, imatch, langid, linededup, minhash, packing, ranked, rans, sharding, urlfilter, vectorcodes
 from .oracle import ORACLE_SQL as ORACLE_SQL  # the entry point takes both
 
 
@@ -77,6 +77,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vectorcodes.compress(_read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_lines": op2_lines,
@@ -88,4 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_urls": op9_urls,
     "op10_sharding": op10_sharding,
+    "op11_vectors": op11_vectors,
+    "op12_search": op12_search,
 }
