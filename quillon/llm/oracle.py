@@ -31,6 +31,14 @@ OP5 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format('text
   reach AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a)
   SELECT s.doc_id, len(sh) AS n_shingles, least(s.doc_id, coalesce(min(b), s.doc_id)) AS component_id, least(s.doc_id, coalesce(min(b), s.doc_id)) = s.doc_id AS kept FROM s LEFT JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, sh"""
 
+OP13 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format('text'))} AS words FROM documents),
+  s AS (SELECT doc_id, list_distinct({_shingles('words', '4')}) AS sh FROM w),
+  x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+  pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))),
+  both_ AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+  reach AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a)
+  SELECT s.doc_id, len(sh) AS n_shingles, least(s.doc_id, coalesce(min(b), s.doc_id)) AS component_id FROM s LEFT JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, sh"""
+
 #: All windows that begin and end with a shingle of the item, of any length that can be similar.
 OP8 = f"""WITH items AS (SELECT DISTINCT item_id, {_WORDS.format('lower(text)')} AS words FROM benchmark),
   it AS (SELECT item_id, len(words) AS n, greatest(len(words) - 4, 1) AS m, {_shingles('words')} AS sh FROM items WHERE len(words) > 0),
@@ -108,4 +116,4 @@ OP12 = f"""WITH t AS (SELECT doc_id, {_TERMS} AS term FROM documents), tf AS (SE
   sc AS (SELECT item_id, doc_id, sum(r * x)::BIGINT AS score FROM q JOIN imp ON q.term = imp.term GROUP BY ALL)
   SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 20"""
 
-ORACLE_SQL = {"op2_lines": OP2, "op5_minhash": OP5, "op8_decontamination": OP8, "op9_urls": OP9, "op11_vectors": OP11, "op12_search": OP12}
+ORACLE_SQL = {"op2_lines": OP2, "op5_minhash": OP5, "op8_decontamination": OP8, "op9_urls": OP9, "op11_vectors": OP11, "op12_search": OP12, "op13_join": OP13}

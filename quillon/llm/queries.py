@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, imatch, langid, linededup, minhash, packing, ranked, rans, sharding, urlfilter, vectorcodes
+from . import chat, decontam, imatch, jaccardjoin, langid, linededup, minhash, packing, ranked, rans, sharding, urlfilter, vectorcodes
 from .oracle import ORACLE_SQL as ORACLE_SQL  # the entry point takes both
 
 
@@ -86,6 +86,10 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.groups(_read(spark, sf_dir, "documents")).drop("n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_lines": op2_lines,
@@ -99,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_vectors": op11_vectors,
     "op12_search": op12_search,
+    "op13_join": op13_join,
 }
