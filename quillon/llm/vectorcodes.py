@@ -33,7 +33,7 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _matrix(column: pa.Array, length: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(-1, length)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(column), length)
 
 
 def _sums(books: np.ndarray, length: int):
