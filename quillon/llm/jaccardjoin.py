@@ -146,7 +146,8 @@ class _Join:
     """Written tables of a corpus. Sets that are equal are one class, named by its least row (rep).
 
     features: row, doc_id, n_shingles, digest. classes: digest, rep, least_id. texts: row and text of the reps. prefixes: rep, size,
-    base, level, prefix. index: token, rep, size, place, base, level of the tokens that several prefixes hold.
+    base, level, prefix. index: token, rep, size, place, base, level of the tokens that several prefixes hold. rows, a written table, goes when
+    it has been read.
     """
 
     def __init__(self, rows: DataFrame, words: int, percent: int):
@@ -156,6 +157,7 @@ class _Join:
         self.classes = written(by_set.agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id")), "classes")
         counters = frequencies(rows, words)
         self.texts = written(rows.join(self.classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi").select("row", "text"), "texts")
+        deleted(rows)
         made = self.texts.mapInArrow(_prefixes(counters, words, percent), "rep long, size int, prefix array<long>")
         longest = written(made.withColumn("base", F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int")), "longest")
         every = longest.select("rep", "size", "base", F.posexplode("prefix").alias("place", "token"))
@@ -243,7 +245,6 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     every = join.classes.select("rep", F.col("rep").alias("comp"), F.lit(True).alias("outside"))
     found = join.verified(join.pairs(every))
     join.deleted()
-    deleted(rows)
     return found, join.features.join(join.classes, "digest").select("rep", "row", "doc_id", "n_shingles")
 
 
@@ -272,7 +273,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     of_class = written(named.join(least, "comp").select("digest", "component_id", "n_links"), "of-class")
     join.deleted()
-    deleted(rows, parted, found, near, more, named, join.classes)
+    deleted(parted, found, near, more, named, join.classes)
     out = join.features.join(of_class, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
