@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.rolling import by_ticker, ratio, true
 from quillon.operators.labels import forward_return
+from quillon.operators.permute import key_of, permuted
 
 
 def matches(rows: DataFrame, tolerance: int, keys: list[str] | None = None) -> DataFrame:
@@ -58,15 +59,19 @@ def economics(pooled: DataFrame, horizons: tuple[int, ...] = (5, 10, 20)) -> Dat
 def baseline(bars: DataFrame, signal: Column, horizons: tuple[int, ...] = (5, 10, 20), draws: int = 50, seed: int = 0) -> DataFrame:
     """ticker, draw, horizon, value: forward returns of as many random days of each ticker as it has signals, drawn ``draws`` times.
 
-    Days without room for the longest horizon aren't drawn. The order of a draw is by a hash of seed, draw, ticker and date, so it is the
-    same on any cluster.
+    Days without room for the longest horizon aren't drawn. A draw takes the first places of a permutation of the ticker's days, keyed by seed,
+    draw and ticker: its positions are computed and looked up, so the rows made are draws times signals, not draws times days, and no
+    draw has a day twice. The same on any cluster.
     """
-    w, own = by_ticker(), Window.partitionBy("ticker")
+    w = by_ticker()
     ahead = {f"h{h}": forward_return(F.col("close"), w, h) for h in horizons}
-    rows = bars.withColumns(ahead | {"wanted": F.count_if(true(signal)).over(own), "pos": F.row_number().over(w), "n": F.count("*").over(own)})
-    rows = rows.where((F.col("wanted") > 0) & (F.col("pos") <= F.greatest(F.col("n") - max(horizons), F.lit(1)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    mark = F.md5(F.concat_ws("|", F.lit(seed), "draw", "ticker", F.col("date").cast("string")))
-    taken = rows.withColumn("k", F.row_number().over(Window.partitionBy("draw", "ticker").orderBy(mark))).where("k <= wanted")
+    days = bars.withColumns({"signalled": true(signal), "pos": F.row_number().over(w) - 1, **ahead})
+    size = F.greatest(F.count("*") - max(horizons), F.lit(1))
+    own = days.groupBy("ticker").agg(F.least(F.count_if("signalled"), size).alias("wanted"), size.alias("room")).where("wanted > 0")
+    drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("key", key_of(F.lit(seed), F.col("draw"), F.col("ticker")))
+    places = drawn.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("wanted") - 1)))
+    chosen = places.select("ticker", "draw", permuted(F.col("k"), F.col("room"), F.col("key")).cast("int").alias("pos"))
+    taken = chosen.join(days.select("ticker", "pos", *ahead), ["ticker", "pos"])
     values = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("value")) for h in horizons]))
     return taken.select("ticker", "draw", values.alias("s")).select("ticker", "draw", "s.*").where("value is not null")
 
