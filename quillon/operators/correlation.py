@@ -10,20 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.rolling import ratio
+from quillon.operators.graph import components
+from quillon.operators.pairs import Moving, correlation, pair_values, upper
+from quillon.scratch import dropped, written
 
-
-def pairs(returns: DataFrame, value: str = "ret") -> DataFrame:
-    """a < b, date, x, y: both tickers' values on each date. A date has as many pairs as tickers squared, by what is asked."""
-    x = returns.select("date", F.col("ticker").alias("a"), F.col(value).alias("x"))
-    y = returns.select("date", F.col("ticker").alias("b"), F.col(value).alias("y"))
-    return x.join(y, "date").where("a < b")
-
-
-def correlation(returns: DataFrame, value: str = "ret", least: int = 30) -> DataFrame:
-    """a, b, n, rho over all dates on which both have a value; null for fewer than ``least``."""
-    both = pairs(returns.where(F.col(value).isNotNull()), value)
-    out = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("c"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"))
-    return out.select("a", "b", "n", F.when(F.col("n") >= least, ratio(F.col("c"), F.col("sx") * F.col("sy"))).alias("rho"))
+__all__ = ["average_linkage", "clusters", "correlation", "distance", "pair_values", "residualize", "rolling_mean", "rolling_median", "rolling_pca"]
 
 
 def distance(rho_pairs: DataFrame) -> DataFrame:
@@ -50,52 +41,53 @@ def _windows(part: pd.DataFrame, window: int) -> Iterator[tuple[object, pd.DataF
         yield date[k], wide.loc[k - window + 1 : k]
 
 
-def pair_values(x: np.ndarray, least: int, block: int = 1024) -> np.ndarray:
-    """The correlations of all pairs of columns over the rows where both have a value, from ``least`` such rows on; flat pairs have none.
-
-    By matrix products, a block of columns at a time: what is held is a number for each pair.
-    """
-    there = ~np.isnan(x)
-    m = there.astype(float)
-    c = np.where(there, x - np.nanmean(np.where(there.any(axis=0), x, 0.0), axis=0), 0.0)
-    out = []
-    for at in range(0, x.shape[1], block):
-        a, own = c[:, at : at + block], m[:, at : at + block]
-        n = own.T @ m
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sx, sy, sxx, syy = a.T @ m, own.T @ c, (a * a).T @ m, own.T @ (c * c)
-            vx, vy = sxx - sx * sx / n, syy - sy * sy / n
-            rho = (a.T @ c - sx * sy / n) / np.sqrt(vx * vy)
-        good = (n >= least) & (vx > 1e-12 * sxx) & (vy > 1e-12 * syy)
-        later = np.arange(x.shape[1])[None, :] > np.arange(at, at + a.shape[1])[:, None]
-        out.append(rho[good & later])
-    return np.concatenate(out) if out else np.empty(0)
+def _ends(part: pd.DataFrame, window: int) -> tuple[np.ndarray, list[tuple[object, int]]]:
+    """A chunk's values, dates by tickers, and each of its dates that a full window ends with, with its row."""
+    wide = part.pivot(index="k", columns="ticker", values="v").sort_index()
+    date = part.drop_duplicates("k").set_index("k")["date"]
+    first = int(part["chunk"].iloc[0]) * window
+    return wide.to_numpy(float), [(date[k], at) for at, k in enumerate(wide.index) if first <= k < first + window and k >= window - 1]
 
 
 def rolling_mean(returns: DataFrame, window: int = 60) -> DataFrame:
-    """date, average_pairwise_correlation: over tickers with half a window of values, once a window is full. Only the mean leaves a task."""
+    """date, average_pairwise_correlation: over tickers with half a window of values, once a window is full. Only the mean leaves a task.
+
+    A chunk's task makes the sums of products of its first window and changes them by the row that comes and the one that goes, so a date costs
+    a number for each pair, whatever the window. It holds six numbers for each pair.
+    """
 
     def mean(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for date, x in _windows(part, window):
-            kept = x.loc[:, x.notna().sum() >= window // 2].to_numpy()
-            if kept.shape[1] > 1:
-                values = pair_values(kept, 2)
-                out.append((date, float(values.mean()) if len(values) else None))
+        x, ends = _ends(part, window)
+        moving, out = Moving(x, window), []
+        for date, at in ends:
+            kept = (~np.isnan(x[at - window + 1 : at + 1])).sum(axis=0) >= window // 2
+            total, n = 0.0, 0
+            for p, q, rho in moving.correlations(at, 2):
+                values = upper(np.where(kept[p][:, None] & kept[q][None, :], rho, np.nan), p, q)
+                values = values[~np.isnan(values)]
+                total, n = total + float(values.sum()), n + len(values)
+            if kept.sum() > 1:
+                out.append((date, total / n if n else None))
         return pd.DataFrame(out, columns=["date", "average_pairwise_correlation"])
 
     return _chunked(returns, window, "ret").groupBy("chunk").applyInPandas(mean, "date date, average_pairwise_correlation double")
 
 
 def rolling_median(returns: DataFrame, window: int = 60) -> DataFrame:
-    """date, median_pairwise_correlation: over pairs with max(10, half a window) common values, once a window is full. Only the median leaves a task."""
+    """date, median_pairwise_correlation: over pairs with max(10, half a window) common values, once a window is full. Only the median leaves a task.
+
+    Sums are kept and changed as in ``rolling_mean``.
+    """
 
     def median(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for date, x in _windows(part, window):
-            values = pair_values(x.to_numpy(), max(10, window // 2))
+        x, ends = _ends(part, window)
+        moving, out = Moving(x, window), []
+        for date, at in ends:
+            values = [upper(rho, p, q) for p, q, rho in moving.correlations(at, max(10, window // 2))]
+            every = np.concatenate(values)
+            every = every[~np.isnan(every)]
             if x.shape[1] > 1:
-                out.append((date, float(np.median(values)) if len(values) else None))
+                out.append((date, float(np.median(every)) if len(every) else None))
         return pd.DataFrame(out, columns=["date", "median_pairwise_correlation"])
 
     return _chunked(returns, window, "ret").groupBy("chunk").applyInPandas(median, "date date, median_pairwise_correlation double")
@@ -113,47 +105,73 @@ def residualize(returns: DataFrame, factor: DataFrame, value: str = "log_ret", l
 
 
 def average_linkage(names: list[str], dist: np.ndarray, cut: float) -> list[list[str]]:
-    """Groups of average linkage that merge at or below the cut."""
-    groups = {i: [i] for i in range(len(names))}
+    """Groups of average linkage that merge at or below the cut, by chains of nearest neighbours: quadratic in the names.
+
+    A chain goes from a group to its nearest, and on, until two are each other's nearest; these merge. What merges elsewhere never brings a group
+    nearer than its nearest was, so a group whose nearest is beyond the cut is finished.
+    """
+    n = len(names)
+    groups: list[list[int]] = [[i] for i in range(n)]
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    while len(groups) > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if d[i, j] > cut:
-            break
-        a, b = len(groups[i]), len(groups[j])
-        row = (a * d[i] + b * d[j]) / (a + b)
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        groups[i] += groups.pop(j)
-    return [sorted(names[k] for k in g) for _, g in sorted(groups.items())]
+    open_, chain = np.ones(n, bool), []
+    while open_.any():
+        if not chain:
+            chain.append(int(np.argmax(open_)))
+        x = chain[-1]
+        y = int(np.argmin(d[x]))
+        if len(chain) > 1 and d[x, chain[-2]] <= d[x, y]:
+            y = chain[-2]
+        if not d[x, y] <= cut:
+            open_[x] = False
+            d[x], d[:, x] = np.inf, np.inf
+            chain.pop()
+        elif len(chain) > 1 and y == chain[-2]:
+            del chain[-2:]
+            a, b = len(groups[x]), len(groups[y])
+            row = (a * d[x] + b * d[y]) / (a + b)
+            d[x], d[:, x] = row, row
+            d[x, x] = np.inf
+            d[y], d[:, y] = np.inf, np.inf
+            open_[y] = False
+            groups[x], groups[y] = groups[x] + groups[y], []
+        else:
+            chain.append(y)
+    return sorted(sorted(names[k] for k in g) for g in groups if g)
 
 
 def clusters(rho_pairs: DataFrame, threshold: float = 0.60, least: int = 3) -> DataFrame:
     """cluster, ticker, mean_correlation: groups of average linkage of ``least`` tickers whose mean correlation reaches the threshold.
 
-    The linkage is sequential, so one task takes the matrix of correlations: as many rows as pairs of the universe, whatever the history.
+    Groups that merge at or below the cut have a pair at or below it, so no merge leaves a connected component of such pairs: components are
+    found first, and each is linked by a task of its own, which takes the pairs within it. A component of all tickers is the worst case: a
+    number for each pair in one task. Clusters are numbered by their first tickers.
     """
+    cut = float(np.sqrt(2 * (1 - threshold)))
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(rows["a"]) | set(rows["b"]))
-        at = {t: i for i, t in enumerate(names)}
+        names = pd.Index(sorted(set(rows["a"]) | set(rows["b"])))
         rho = np.full((len(names), len(names)), np.nan)
-        for a, b, r in zip(rows["a"], rows["b"], rows["rho"], strict=True):
-            rho[at[a], at[b]] = rho[at[b], at[a]] = r
+        i, j = names.get_indexer(rows["a"]), names.get_indexer(rows["b"])
+        rho[i, j] = rho[j, i] = rows["rho"].to_numpy(float)
         dist = np.sqrt(np.maximum(2 * (1 - np.where(np.isnan(rho), -1, rho)), 0))
-        out, label = [], 0
-        for group in average_linkage(names, dist, float(np.sqrt(2 * (1 - threshold)))):
-            own = [at[t] for t in group]
+        out = []
+        for group in average_linkage(list(names), dist, cut):
+            own = names.get_indexer(group)
             values = rho[np.ix_(own, own)][np.triu_indices(len(own), 1)]
             if len(group) < least or not np.isfinite(values).any() or np.nanmean(values) < threshold:
                 continue
-            out += [(label, t, float(np.nanmean(values))) for t in group]
-            label += 1
-        return pd.DataFrame(out, columns=["cluster", "ticker", "mean_correlation"])
-
-    return rho_pairs.groupBy().applyInPandas(link, "cluster int, ticker string, mean_correlation double")
+            out += [(group[0], t, float(np.nanmean(values))) for t in group]
+        return pd.DataFrame(out, columns=["first", "ticker", "mean_correlation"])
+
+    every = written(distance(rho_pairs), "pairs")
+    found = components(every.where(F.col("distance") <= cut).select("a", "b"))
+    inside = every.join(found.select(F.col("node").alias("a"), "component"), "a").join(found.select(F.col("node").alias("b"), "component"), ["b", "component"])
+    linked = written(inside.groupBy("component").applyInPandas(link, "first string, ticker string, mean_correlation double"), "linked")
+    # a row a cluster
+    numbered = linked.select("first").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("first")) - 1).cast("int"))
+    dropped(every, found)
+    return linked.join(numbered, "first").select("cluster", "ticker", "mean_correlation")
 
 
 def rolling_pca(returns: DataFrame, window: int, value: str = "ret", complete: bool = False) -> DataFrame:

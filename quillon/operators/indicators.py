@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.rolling import by_ticker, clip, ratio, roll, roll_median, roll_std, sma, true
+from quillon.functions.rolling import by_ticker, clip, padded, ratio, roll, roll_median, roll_std, sma, true
+from quillon.scratch import written
 
 YEAR = 252
 #: Weights of the alarm and of the trend score, and the gates of a fired alarm.
@@ -16,20 +18,48 @@ WASHOUT_GATE, ALARM_GATE = 0.5, 60.0
 
 
 def smoothed(frame: DataFrame, inputs: dict[str, str], n: int) -> DataFrame:
-    """frame with each input smoothed exponentially (1/n, unadjusted, from its first value on) along its ticker.
+    """frame with each input smoothed exponentially (1/n, unadjusted, from its first value on) along its ticker; a gap weakens what was before it.
 
-    A ticker's history is bounded by the calendar, so a group is one task's work; the recurrence goes over its rows in pandas.
+    A row takes the value before it to a * value + b, so a run of rows is one such map. Within a block of rows, running products and sums
+    give the maps of all beginnings; a ticker's blocks are then chained by a map each, and a row's value is its map of what its block began with. A
+    block is so long that the products stay within doubles, so a history is one block or a few, and no task holds more than a window's buffer.
     """
-    order = [c for c in frame.columns if c not in inputs.values()]
-    schema = ", ".join([*(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in order), *(f"`{o}` double" for o in inputs.values())])
-
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        for x, out in inputs.items():
-            rows[out] = rows[x].astype(float).ewm(alpha=1 / n, adjust=False).mean()
-        return rows[[*order, *inputs.values()]]
-
-    return frame.groupBy("ticker").applyInPandas(smooth, schema)
+    w, kept = by_ticker(), 1 - 1 / n
+    own = frame.drop(*inputs.values()).withColumn("__pos", F.row_number().over(w) - 1)
+    if n == 1:
+        return own.withColumns({out: padded(F.col(x).cast("double"), w) for x, out in inputs.items()}).drop("__pos")
+    value = {out: F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double")) for x, out in inputs.items()}
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumns({"__block": F.floor(F.col("__pos") / int(200 / -math.log10(kept)))} | {f"__v_{o}": v for o, v in value.items()})
+    own = own.withColumns({f"__g_{o}": F.col("__pos") - F.last(F.when(F.col(f"__v_{o}").isNotNull(), F.col("__pos")), True).over(earlier) for o in value})
+    upto = Window.partitionBy("ticker", "__block").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    factor, term = {}, {}
+    for o in value:
+        v, weight = F.col(f"__v_{o}"), F.greatest(F.pow(F.lit(kept), F.col(f"__g_{o}")), F.lit(1e-50))
+        first = F.col(f"__g_{o}").isNull()
+        factor[f"__a_{o}"] = F.when(v.isNull() | first, 1.0).otherwise(weight / (weight + 1 / n))
+        term[f"__b_{o}"] = F.when(v.isNull(), 0.0).when(first, v).otherwise(v / n / (weight + 1 / n))
+    own = own.withColumns(factor | term).withColumns({f"__p_{o}": F.product(f"__a_{o}").over(upto) for o in value})
+    own = own.withColumns({f"__s_{o}": F.sum(F.col(f"__b_{o}") / F.col(f"__p_{o}")).over(upto) for o in value})
+    own = written(own.drop(*factor, *term), "smoothed")
+    maps = F.struct(*[F.col(f"__{k}_{o}").alias(f"{k}_{o}") for o in value for k in "ps"])
+    ends = own.groupBy("ticker", "__block").agg(F.max_by(maps, "__pos").alias("m"))
+    chain = ends.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("__block", "m"))).alias("chain"))
+
+    def begun(o: str) -> Column:
+        """What each block begins with."""
+        state = F.struct(F.lit(0.0).alias("now"), F.array().cast("array<double>").alias("begun"))
+
+        def step(s: Column, e: Column) -> Column:
+            after = e["m"][f"p_{o}"] * (s["now"] + e["m"][f"s_{o}"])
+            return F.struct(after.alias("now"), F.array_append(s["begun"], s["now"]).alias("begun"))
+
+        return F.aggregate("chain", state, step, lambda s: s["begun"])
+
+    begins = chain.select("ticker", *[begun(o).alias(f"__y_{o}") for o in value])
+    out = own.join(begins, "ticker")
+    known = {o: F.when(F.col(f"__g_{o}").isNotNull() | F.col(f"__v_{o}").isNotNull(), F.col(f"__p_{o}") * (F.get(f"__y_{o}", F.col("__block").cast("int")) + F.col(f"__s_{o}"))) for o in value}
+    return out.select(*[c for c in frame.columns if c not in value], *[v.alias(o) for o, v in known.items()])
 
 
 def with_rsi(frame: DataFrame, n: int = 14, to: str = "rsi") -> DataFrame:
@@ -96,7 +126,8 @@ def slope_r2(bars: DataFrame, n: int) -> DataFrame:
     return fit.select("ticker", F.when(flat, 0.0).otherwise(slope * YEAR).alias("slope"), F.when(flat, 0.0).otherwise(F.greatest(r2, F.lit(0.0))).alias("r2"))
 
 
-def _vote(a, b):
+def _side(a: Column, b: Column) -> Column:
+    """1 above, -1 below, 0 if about equal or unknown."""
     near = F.abs(a - b) <= 1e-9 * F.greatest(F.abs(b), F.lit(1.0))
     return F.when(a.isNull() | b.isNull() | near, 0).when(a > b, 1).otherwise(-1)
 
@@ -107,7 +138,7 @@ def ma_stack(bars: DataFrame, short: int, mid: int) -> DataFrame:
     rows = bars.where("close is not null").withColumns({"s": sma(F.col("close"), w, short), "m": sma(F.col("close"), w, mid)})
     rows = rows.withColumns({"s4": F.lag("s", 4).over(w), "m4": F.lag("m", 4).over(w)})
     last = rows.groupBy("ticker").agg(F.count("*").alias("n"), F.max_by(F.struct("close", "s", "m", "s4", "m4"), "date").alias("x"))
-    votes = _vote(F.col("x.close"), F.col("x.s")) + _vote(F.col("x.s"), F.col("x.m")) + _vote(F.col("x.s"), F.col("x.s4")) + _vote(F.col("x.m"), F.col("x.m4"))
+    votes = _side(F.col("x.close"), F.col("x.s")) + _side(F.col("x.s"), F.col("x.m")) + _side(F.col("x.s"), F.col("x.s4")) + _side(F.col("x.m"), F.col("x.m4"))
     return last.select("ticker", F.when(F.col("n") < mid + 5, 0.0).otherwise(votes / 4).alias("ma_stack"))
 
 
