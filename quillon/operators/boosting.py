@@ -11,12 +11,14 @@ import numpy as np
 
 
 @dataclass
-class _Node:
+class Node:
+    """A leaf of a weight, or a split: rows below the cut go left."""
+
     weight: float
     feature: int = -1
     cut: float = 0.0
-    left: _Node | None = None
-    right: _Node | None = None
+    left: Node | None = None
+    right: Node | None = None
 
 
 @dataclass
@@ -33,7 +35,7 @@ class BoostedTrees:
     lasso: float = 0.0
     positive: float = 1.0
     seed: int = 42
-    grown: list[_Node] = field(default_factory=list)
+    grown: list[Node] = field(default_factory=list)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         rng, n, d = np.random.default_rng(self.seed), *x.shape
@@ -49,22 +51,22 @@ class BoostedTrees:
             score += self.rate * _weights(root, x)
         return self
 
-    def _leaf(self, g: float, h: float) -> float:
+    def leaf(self, g: float, h: float) -> float:
         return -np.sign(g) * max(abs(g) - self.lasso, 0.0) / (h + self.ridge)
 
-    def _worth(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def worth(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         return np.maximum(np.abs(g) - self.lasso, 0.0) ** 2 / (h + self.ridge)
 
-    def _grow(self, x, g, h, inside, order, picked, depth) -> _Node:
+    def _grow(self, x, g, h, inside, order, picked, depth) -> Node:
         total_g, total_h = g[inside].sum(), h[inside].sum()
-        node = _Node(self._leaf(total_g, total_h))
+        node = Node(self.leaf(total_g, total_h))
         if depth == 0 or inside.sum() < 2:
             return node
         best = 0.0
         for j in picked:
             rows = order[:, j][inside[order[:, j]]]
             v, left_g, left_h = x[rows, j], np.cumsum(g[rows])[:-1], np.cumsum(h[rows])[:-1]
-            gain = (self._worth(left_g, left_h) + self._worth(total_g - left_g, total_h - left_h) - self._worth(np.array(total_g), np.array(total_h))) / 2
+            gain = (self.worth(left_g, left_h) + self.worth(total_g - left_g, total_h - left_h) - self.worth(np.array(total_g), np.array(total_h))) / 2
             fit = (v[1:] > v[:-1]) & (left_h >= self.least_weight) & (total_h - left_h >= self.least_weight)
             gain = np.where(fit, gain, 0.0)
             if len(gain) and gain[at := int(gain.argmax())] > best + 1e-12:
@@ -89,7 +91,7 @@ class BoostedTrees:
         return mean / mean.sum() if mean.sum() > 0 else mean
 
 
-def _weights(node: _Node, x: np.ndarray) -> np.ndarray:
+def _weights(node: Node, x: np.ndarray) -> np.ndarray:
     if node.feature < 0:
         return np.full(len(x), node.weight)
     low, out = x[:, node.feature] < node.cut, np.empty(len(x))

@@ -10,91 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.rolling import true
+from quillon.operators import dumps
 from quillon.operators.boosting import BoostedTrees
-
-
-def _log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), len(means)))
-    for k, (m, c) in enumerate(zip(means, covs, strict=True)):
-        root = np.linalg.cholesky(c)
-        z = np.linalg.solve(root, (x - m).T)
-        out[:, k] = -0.5 * (z * z).sum(axis=0) - np.log(np.diag(root)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
-    return out
-
-
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
-class GaussianHmm:
-    """Baum-Welch on standardised rows; the best likelihood of several seeds. Full or diagonal covariances."""
-
-    def __init__(self, states: int = 3, rounds: int = 100, tolerance: float = 1e-4, floor: float = 1e-3, diagonal: bool = False):
-        self.states, self.rounds, self.tolerance, self.floor, self.diagonal = states, rounds, tolerance, floor, diagonal
-
-    def fit(self, x: np.ndarray, seeds: tuple[int, ...] = (7, 17, 29)) -> GaussianHmm:
-        best = -np.inf
-        for seed in seeds:
-            found, likelihood = self._fit_one(x, np.random.default_rng(seed))
-            if likelihood > best:
-                best, (self.start, self.step, self.means, self.covs) = likelihood, found
-        return self
-
-    def _fit_one(self, x, rng):
-        n, d, k = len(x), x.shape[1], self.states
-        means = x[rng.choice(n, k, replace=False)]
-        for _ in range(10):
-            own = ((x[:, None] - means) ** 2).sum(axis=2).argmin(axis=1)
-            means = np.array([x[own == j].mean(axis=0) if (own == j).any() else means[j] for j in range(k)])
-        covs = np.array([np.cov(x.T).reshape(d, d) + self.floor * np.eye(d)] * k)
-        start, step, last = np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1)), -np.inf
-        np.fill_diagonal(step, 0.9)
-        for _ in range(self.rounds):
-            density = _log_density(x, means, covs)
-            forward, back, log_step = np.empty((n, k)), np.zeros((n, k)), np.log(step + 1e-300)
-            forward[0] = np.log(start + 1e-300) + density[0]
-            for t in range(1, n):
-                forward[t] = _log_sum(forward[t - 1][:, None] + log_step, 0) + density[t]
-            for t in range(n - 2, -1, -1):
-                back[t] = _log_sum(log_step + density[t + 1] + back[t + 1], 1)
-            total = float(_log_sum(forward[-1], 0))
-            gamma = np.exp(forward + back - total)
-            xi = np.exp(forward[:-1, :, None] + log_step + (density[1:] + back[1:])[:, None] - total).sum(axis=0)
-            weight = gamma.sum(axis=0) + 1e-12
-            start, step = gamma[0] / gamma[0].sum(), (xi + 1e-6) / (xi + 1e-6).sum(axis=1, keepdims=True)
-            means = gamma.T @ x / weight[:, None]
-            for j in range(k):
-                z = x - means[j]
-                c = (gamma[:, j, None] * z).T @ z / weight[j]
-                covs[j] = (np.diag(np.diag(c)) if self.diagonal else c) + self.floor * np.eye(d)
-            if total - last < self.tolerance:
-                break
-            last = total
-        return (start, step, means, covs), last
-
-    def decoded(self, x: np.ndarray) -> np.ndarray:
-        """The most likely states of all rows together."""
-        density, log_step = _log_density(x, self.means, self.covs), np.log(self.step + 1e-300)
-        score, back = np.log(self.start + 1e-300) + density[0], []
-        for d in density[1:]:
-            ways = score[:, None] + log_step
-            back.append(ways.argmax(axis=0))
-            score = ways.max(axis=0) + d
-        states = [int(score.argmax())]
-        for b in reversed(back):
-            states.append(int(b[states[-1]]))
-        return np.array(states[::-1])
-
-    def filtered(self, x: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
-        """Probabilities of the state at each row from that row and those before alone."""
-        density, out = _log_density(x, self.means, self.covs), np.empty((len(x), self.states))
-        now = np.log((self.start if prior is None else prior @ self.step) + 1e-300)
-        for t, d in enumerate(density):
-            a = now + d
-            out[t] = np.exp(a - _log_sum(a, 0))
-            now = np.log(out[t] @ self.step + 1e-300)
-        return out
+from quillon.operators.hmm import GaussianHmm as GaussianHmm
+from quillon.operators.hmm import _log_density as _log_density  # tests take it from here
+from quillon.scratch import written
 
 
 def walk_forward_regimes(features: DataFrame, columns: list[str], least: int = 252, refit: int = 21, states: int = 3) -> DataFrame:
@@ -120,11 +40,7 @@ def walk_forward_regimes(features: DataFrame, columns: list[str], least: int = 2
         model = GaussianHmm(states).fit((x - mean) / spread)
         prior = model.filtered((x - mean) / spread)[-1]
         found = model.filtered((test[columns].to_numpy(float) - mean) / spread, prior)
-        order = np.argsort(model.means[:, 0])
-        bear, bull = found[:, order[0]], found[:, order[-1]]
-        neutral = found[:, order[1:-1]].sum(axis=1) if states > 2 else np.zeros(len(found))
-        names = np.array(["bear", "neutral", "bull"])[np.argmax(np.c_[bear, neutral, bull], axis=1)]
-        return pd.DataFrame({"date": test["date"], "bear_probability": bear, "neutral_probability": neutral, "bull_probability": bull, "regime": names})
+        return dumps.named_regimes(test["date"], found, model.means[:, 0])
 
     return fold.repartition("block").groupBy("block").applyInPandas(run, "date date, bear_probability double, neutral_probability double, bull_probability double, regime string")
 
@@ -202,43 +118,49 @@ def walk_forward_boosted(features: DataFrame, columns: list[str], future: str, h
     return fold.repartition("block").groupBy("block").applyInPandas(run, schema)
 
 
-def live_boosted(features: DataFrame, columns: list[str], future: str, trees: int = 400, depth: int = 3) -> tuple[DataFrame, DataFrame]:
-    """The model of all rows with a target: date, live_probability of all complete rows, and feature, importance, the largest first.
+def fit_boosted(features: DataFrame, columns: list[str], future: str, trees: int = 400, depth: int = 3) -> DataFrame:
+    """The model table of boosted trees of all complete rows with a target. With one target only its parameters are null and each importance is 0.
 
-    With one target only there is no live probability, and as no split gains anything then, each importance is 0. Without a target neither has a row.
+    A row a date, so one task's; ``largeboost.fit_large`` fits tables of any size.
     """
-    rows = _complete(features, columns, future)
+    rows = _complete(features, columns, future).where("target is not null")
 
-    def fitted(part: pd.DataFrame) -> BoostedTrees | None:
-        train = part[part["target"].notna()].sort_values("date")
-        if train["target"].nunique() < 2:
-            return None
-        return BoostedTrees(trees, depth, lasso=0.05).fit(train[columns].to_numpy(), train["target"].to_numpy())
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        train = part.sort_values("date")
+        row = (dumps.BOOSTED, dumps.VERSION, columns, None, dict.fromkeys(columns, 0.0))
+        if train["target"].nunique() == 2:
+            row = dumps.boosted_row(BoostedTrees(trees, depth, lasso=0.05).fit(train[columns].to_numpy(), train["target"].to_numpy()), columns)
+        return pd.DataFrame([row], columns=["kind", "version", "columns", "parameters", "importance"])
 
-    def live(part: pd.DataFrame) -> pd.DataFrame:
-        model = fitted(part)
-        part = part.sort_values("date") if model else part.iloc[:0]
-        return pd.DataFrame({"date": part["date"], "live_probability": model.probability(part[columns].to_numpy()) if model else []})
+    return rows.groupBy().applyInPandas(run, dumps.SCHEMA)
 
-    def importance(part: pd.DataFrame) -> pd.DataFrame:
-        model = fitted(part)
-        return pd.DataFrame({"feature": columns, "importance": model.importance() if model else np.zeros(len(columns))})
 
-    # a group has rows, so importance never returns an empty frame: its column of texts would become one of numbers, which Arrow refuses
-    shares = rows.where("target is not null").groupBy().applyInPandas(importance, "feature string, importance double")
-    return rows.groupBy().applyInPandas(live, "date date, live_probability double"), shares.orderBy(F.desc("importance"), "feature")
+def importances(models: DataFrame) -> DataFrame:
+    """feature, importance of a model table, the largest first."""
+    return models.where("importance is not null").select(F.explode("importance").alias("feature", "importance")).orderBy(F.desc("importance"), "feature")
+
+
+def live_boosted(features: DataFrame, columns: list[str], future: str, trees: int = 400, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The model of all rows with a target, fitted once: date, live_probability of all complete rows, and feature, importance, the largest first.
+
+    With one target only there is no live probability, and as no split gains anything then, each importance is 0. Without a target neither has a row.
+    """
+    model = written(fit_boosted(features, columns, future, trees, depth), "model")
+    return dumps.score_boosted(_finite_rows(features, columns), model, ("date",), "live_probability"), importances(model)
 
 
 def rebound_probability(rows: DataFrame, columns: list[str], horizon: int = 10, splits: int = 4, trees: int = 120, least: int = 60) -> DataFrame:
     """date, split, probability, target, importance: a rebound's probability by class-weighted boosted trees over splits with a gap.
 
     rows: date, columns, label (null: not eligible). Labelled complete rows are cut into equal test blocks at their end, each learned from the rows that end ``horizon`` before
-    it; split is the block's number, and splits the row of the final model, of all labelled rows, for the last complete date, with importance as a
+    it, with class weights of these rows alone; split is the block's number, and splits the row of the final model, of all labelled rows, for the last complete date, with importance as a
     map of columns. With under ``least`` labelled rows or one class only there is no row, and the caller takes the heuristic.
     """
     own = _finite_rows(rows, columns).select("date", *[F.col(c).cast("double").alias(c) for c in columns], F.col("label").alias("target"))
 
-    def model(train: pd.DataFrame, weight: float) -> BoostedTrees:
+    def model(train: pd.DataFrame) -> BoostedTrees:
+        positives = int(train["target"].sum())
+        weight = max(1.0, (len(train) - positives) / max(1, positives))
         return BoostedTrees(trees, 3, 0.05, 0.85, 0.85, 3.0, 2.0, positive=weight).fit(train[columns].to_numpy(), train["target"].to_numpy())
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -246,17 +168,15 @@ def rebound_probability(rows: DataFrame, columns: list[str], horizon: int = 10,
         known = part[part["target"].notna()]
         out: list[tuple] = []
         if len(known) >= least and known["target"].nunique() == 2:
-            positives = int(known["target"].sum())
-            weight = max(1.0, (len(known) - positives) / max(1, positives))
             blocks = min(splits, max(2, len(known) // 30))
             size = len(known) // (blocks + 1)
             for i in range(blocks):
                 start = len(known) - (blocks - i) * size
                 train, test = known.iloc[: max(start - horizon, 0)], known.iloc[start : start + size]
                 if train["target"].nunique() == 2:
-                    found = model(train, weight).probability(test[columns].to_numpy())
+                    found = model(train).probability(test[columns].to_numpy())
                     out += [(d, i, float(p), float(t), None) for d, p, t in zip(test["date"], found, test["target"], strict=True)]
-            final, last = model(known, weight), part.iloc[[-1]]
+            final, last = model(known), part.iloc[[-1]]
             shares = {c: float(v) for c, v in zip(columns, final.importance(), strict=True)}
             out.append((last["date"].iloc[0], blocks, float(final.probability(last[columns].to_numpy())[0]), None, shares))
         return pd.DataFrame(out, columns=["date", "split", "probability", "target", "importance"])
