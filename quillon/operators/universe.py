@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.digest import multiset_digest, row_digest
 from quillon.functions.rolling import true
 
 #: Marks of securities that are no common stock, of derivatives, exchange codes, patterns of symbols, columns of a membership manifest.
@@ -81,14 +82,17 @@ def by_industry(rows: DataFrame, wanted: str, most: int | None = None, least: in
     return out
 
 
-def screened(rows: DataFrame, industries: list[str], countries: list[str] | None = None, sector: str | None = None, least_cap: float = 0.0, excluded: tuple[str, ...] = ("warrant", "right", "unit", "preferred"), top: int | None = None) -> DataFrame:
+def screened(rows: DataFrame, industries: list[str] | None, countries: list[str] | None = None, sector: str | None = None, least_cap: float = 0.0, excluded: tuple[str, ...] = ("warrant", "right", "unit", "preferred"), top: int | None = None) -> DataFrame:
     """The rows of an export that a group takes, the largest first: each symbol's first row that passes.
 
-    Industry, sector and country are compared without case; what is no number is no cap, 0. A column ``place`` says which row is first.
+    Industry, sector and country are compared without case, none of them if not given; what is no number is no cap, 0. A column ``place`` says
+    which row is first.
     """
     cap = F.coalesce(money(F.col("market_cap").cast("string")), F.lit(0.0))
     clean = rows.withColumns({"symbol": F.upper(_text("symbol")), "market_cap": cap} | {c: _text(c) for c in ("name", "industry", "sector", "country")})
-    keep = (F.col("symbol") != "") & F.lower("industry").isin([i.lower() for i in industries]) & (F.col("market_cap") >= least_cap)
+    keep = (F.col("symbol") != "") & (F.col("market_cap") >= least_cap)
+    if industries:
+        keep = keep & F.lower("industry").isin([i.lower() for i in industries])
     if countries:
         keep = keep & F.lower("country").isin([c.lower() for c in countries])
     if sector:
@@ -160,6 +164,23 @@ def with_reasons(rows: DataFrame, scope: Column, least_price: float = 2.0, least
     return rows.withColumns({"included": F.size(reasons) == 0, "reason": F.concat_ws("; ", reasons)})
 
 
+def built(symbols: DataFrame, profiles: DataFrame, bars: DataFrame, keywords: dict[str, list[str]], allowed: list[str], least_price: float = 2.0, least_dollars: float = 5e6, least_days: int = 250, window: int = 60) -> DataFrame:
+    """A row for each symbol: ticker, name, industry, themes, exchange, median_dollar_volume, last_close, history_days, included and reason.
+
+    symbols (ticker, name, exchange) are joined with profiles (ticker, long_name, industry, summary), which may lack some, and with what the bars
+    say of their liquidity; without bars that is 0. The profile's name goes before the listing's. Themes are looked for in name and summary. What is rejected
+    stays, with all that speaks against it.
+    """
+    text = {c: F.coalesce(c, F.lit("")) for c in ("name", "exchange", "long_name", "industry", "summary")}
+    known = symbols.select("ticker", "name", "exchange").join(profiles.select("ticker", "long_name", "industry", "summary"), "ticker", "left").withColumns(text)
+    known = known.withColumn("name", F.when(F.col("long_name") != "", F.col("long_name")).otherwise(F.col("name")))
+    stats = liquidity(bars, window)
+    rows = known.join(stats, "ticker", "left").na.fill(0.0, ["median_dollar_volume", "last_close"]).na.fill(0, ["history_days"])
+    rows = rows.withColumn("found", themes(F.concat_ws(" ", "name", "summary"), keywords))
+    rows = with_reasons(rows, in_scope(F.col("industry"), F.col("found"), allowed), least_price, least_dollars, least_days)
+    return rows.select("ticker", "name", "industry", F.concat_ws("|", "found").alias("themes"), "exchange", "median_dollar_volume", "last_close", "history_days", "included", "reason")
+
+
 def retention(old: DataFrame, new: DataFrame) -> DataFrame:
     """previous, retained, share: how many of the active symbols the new snapshot has."""
     seen = old.where("active").select("symbol").distinct().join(new.select("symbol").distinct().withColumn("kept", F.lit(1)), "symbol", "left")
@@ -195,8 +216,9 @@ def resolved(base: DataFrame, include: list[str], exclude: list[str], most: int
 
 
 def membership_hash(rows: DataFrame, keys: list[str] | None = None, symbol: str = "symbol") -> DataFrame:
-    """The hash of a group's symbols, whatever their order."""
-    return rows.groupBy(*(keys or [])).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_set(symbol))), 256).alias("sha256"), F.count_distinct(symbol).alias("n"))
+    """The digest of a group's distinct symbols, whatever their order, and their number (n). Symbols are made distinct, then added up, both before the shuffle."""
+    own = rows.select(*(keys or []), symbol).where(F.col(symbol).isNotNull()).distinct()
+    return own.groupBy(*(keys or [])).agg(multiset_digest(row_digest(F.col(symbol))).alias("digest"), F.count("*").alias("n"))
 
 
 def snapshot_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions.digest import multiset_digest, row_digest
+
 BARS = T.StructType([T.StructField("ticker", T.StringType(), False), T.StructField("date", T.DateType(), False), *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")]])
 REQUIRED = ("date", "open", "high", "low", "close", "volume")
 
@@ -128,9 +130,26 @@ def refresh_gaps(frame: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def checksums(frame: DataFrame) -> DataFrame:
-    """Each ticker's rows and the hash of all their values, in any order of rows. A ticker has a row a day."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in BARS.names[1:]])
-    return frame.groupBy("ticker").agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(text))), 256).alias("sha256"))
+    """Each ticker's rows (n) and the digest of all their values, in any order of rows; added up before the shuffle."""
+    own = frame.select("ticker", row_digest(*[F.col(c) for c in BARS.names[1:]]).alias("row"))
+    return own.groupBy("ticker").agg(F.count("*").alias("n"), multiset_digest(F.col("row")).alias("digest"))
+
+
+def validated(frame: DataFrame, tickers: list[str], least: int = 200) -> DataFrame:
+    """frame, or an error: of tickers without a close, a ticker's day that occurs twice, days that go back in file order (``seq``, if there is one), or fewer than ``least`` days in all."""
+    own = frame.where(F.col("ticker").isin(tickers))
+    known = {r.ticker for r in own.where("close is not null").select("ticker").distinct().collect()}
+    if missing := sorted(set(tickers) - known):
+        raise ValueError(f"no prices of {missing}")
+    if own.groupBy("ticker", "date").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("a ticker has a date twice")
+    if "seq" in frame.columns:
+        before = F.lag("date").over(Window.partitionBy("ticker").orderBy("seq"))
+        if own.withColumn("back", F.col("date") < before).where("back").limit(1).count():
+            raise ValueError("dates must rise")
+    if (days := own.select("date").distinct().count()) < least:
+        raise ValueError(f"at least {least} days are needed, there are {days}")
+    return frame
 
 
 def close_panel(frame: DataFrame, tickers: list[str]) -> DataFrame:

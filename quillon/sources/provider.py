@@ -6,8 +6,13 @@ import importlib
 import time
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillon.sources import bars as source
+from quillon.sources import dayfiles
+
 SCHEMA = "ticker string, date date, open double, high double, low double, close double, volume double"
 
 
@@ -57,3 +62,33 @@ class BarSource(DataSource):
 
     def reader(self, schema) -> BarReader:
         return BarReader(self.options)
+
+
+PROVIDERS = ("csv", "fetcher", "dayfiles")
+
+
+def prices(spark: SparkSession, provider: str, start: str, end: str | None = None, tickers: list[str] | None = None, path: str | None = None, fetcher: str | None = None) -> DataFrame:
+    """ticker, date, close, volume of the days from start to end, both included, of the given tickers.
+
+    csv: a long file. dayfiles: binary day files. fetcher: ``module:function`` of a network, asked a ticker a task. The range and the
+    tickers are filters, which binary files and the file scan take.
+    """
+    if provider not in PROVIDERS:
+        raise ValueError(f"unknown provider {provider}; there are {', '.join(PROVIDERS)}")
+    if provider != "fetcher" and not path:
+        raise ValueError(f"provider {provider} needs a path")
+    names = [t.strip().upper() for t in tickers] if tickers else None
+    if provider == "csv":
+        rows = source.read_csv(spark, path)
+    elif provider == "dayfiles":
+        rows = dayfiles.read(spark, path)
+    else:
+        if not fetcher or not names:
+            raise ValueError("provider fetcher needs a fetcher and tickers")
+        spark.dataSource.register(BarSource)
+        rows = spark.read.format("bars").options(tickers=",".join(names), start=start, end=end or "", fetcher=fetcher).load()
+    day = F.col("date")
+    rows = rows.where(day >= F.lit(start).cast("date"))
+    rows = rows.where(day <= F.lit(end).cast("date")) if end else rows
+    rows = rows.where(F.col("ticker").isin(names)) if names else rows
+    return rows.select("ticker", "date", "close", "volume")

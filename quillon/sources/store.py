@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,30 +31,138 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+#: A lock that is older than this many seconds is that of a run that died.
+STALE_LOCK = 3600.0
+
+
+def _create_alone(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates the file unless it is there already: one of several callers does."""
+    fs, p = _file_system(spark, path)
+    if fs.getUri().getScheme() == "file":
+        try:
+            os.makedirs(os.path.dirname(p.toUri().getPath()), exist_ok=True)
+            handle = os.open(p.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        except FileExistsError:
+            return False
+        os.write(handle, text.encode())
+        os.close(handle)
+        return True
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str, patience: float = 600.0, stale: float = STALE_LOCK, pause: float = 0.2) -> Iterator[None]:
+    """One writer of a store at a time, by a file that is created exclusively. Waits for at most ``patience`` seconds.
+
+    A lock older than ``stale`` is put aside by a rename, which one of those that wait can do. What a writer that died left half done is finished first.
+    """
+    lock, began = f"{path}.lock", time.time()
+    while not _create_alone(spark, lock, f"{os.getpid()} {time.time()}"):
+        fs, p = _file_system(spark, lock)
+        try:
+            old = time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > stale
+            if old:
+                aside = spark._jvm.org.apache.hadoop.fs.Path(f"{lock}-{uuid.uuid4().hex}")
+                if fs.rename(p, aside):
+                    fs.delete(aside, False)
+                continue
+        except Exception as e:
+            if "FileNotFound" not in str(e):
+                raise
+            continue
+        if time.time() - began > patience:
+            raise TimeoutError(f"another run holds {lock}")
+        time.sleep(pause)
+    try:
+        recover(spark, path)
+        yield
+    finally:
+        fs, p = _file_system(spark, lock)
+        fs.delete(p, False)
+
+
+def _staged(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _file_system(spark, path)
+    parent = p.getParent()
+    if not fs.exists(parent):
+        return []
+    return sorted(str(s.getPath()) for s in fs.listStatus(parent) if s.getPath().getName().startswith(f"{p.getName()}.staged-"))
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finishes what a writer had staged in whole, and deletes what it hadn't. Under the store's lock only."""
+    for staged in _staged(spark, path):
+        if _exists(spark, f"{staged}/complete"):
+            _put_in_place(spark, path, staged)
+        else:
+            fs, p = _file_system(spark, staged)
+            fs.delete(p, True)
+
+
+def _put_in_place(spark: SparkSession, path: str, staged: str) -> None:
+    """Takes each staged ticker's folder into the store by renames, and then their checksums. May be begun again at any step.
+
+    The old folder is moved into the staged one and deleted with it at the end, so it is there until the new one is.
+    """
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    fs, p = _file_system(spark, path)
+    fs.mkdirs(p)
+    fs.mkdirs(new(f"{staged}/old"))
+    rows = new(f"{staged}/rows")
+    for status in fs.listStatus(rows) if fs.exists(rows) else []:
+        name = status.getPath().getName()
+        if not name.startswith("ticker="):
+            continue
+        live = new(p, name)
+        if fs.exists(live):
+            _moved(fs, live, new(f"{staged}/old/{name}"))
+        _moved(fs, status.getPath(), live)
+    _note(spark.read.parquet(f"{staged}/sums"), path)
+    fs.delete(new(staged), True)
+
+
+def _moved(fs, source_path, target) -> None:
+    if not fs.rename(source_path, target):
+        raise OSError(f"{source_path} can't be moved")
+
+
+def _note(sums: DataFrame, path: str) -> None:
+    sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(f"{path}.checksums")
+
+
 def replace_tickers(frame: DataFrame, path: str) -> None:
-    """The store's folders of frame's tickers become frame's rows, and their checksums are noted; all other folders stay.
+    """The store's folders of frame's tickers become frame's rows, and their checksums are noted; all other folders stay. Under the store's lock.
 
-    frame may read the store: it is staged in a folder of its own first, which goes afterwards.
+    frame may read the store. Rows and checksums are staged first, and a mark is set when they are whole: from then on a run that dies here is
+    finished by the next, before that it has changed nothing.
     """
     spark, staged = frame.sparkSession, f"{path}.staged-{uuid.uuid4().hex}"
     try:
-        source.write_store(frame, staged)
-        rows = source.read_store(spark, staged)
-        source.write_store(rows, path)
-        sums = source.checksums(rows)
-        sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(f"{path}.checksums")
-    finally:
+        source.write_store(frame, f"{staged}/rows")
+        source.checksums(source.read_store(spark, f"{staged}/rows")).write.parquet(f"{staged}/sums")
+    except BaseException:
         fs, p = _file_system(spark, staged)
         fs.delete(p, True)
+        raise
+    _create_alone(spark, f"{staged}/complete", "")
+    _put_in_place(spark, path, staged)
 
 
 def corrupt(spark: SparkSession, path: str, tickers: list[str]) -> list[str]:
     """The tickers whose rows aren't what was written last: broken files, lost or altered rows. Stores without checksums are taken as they are."""
     if not _exists(spark, f"{path}.checksums"):
         return []
-    noted = spark.read.schema("ticker string, n long, sha256 string").parquet(f"{path}.checksums").where(F.col("ticker").isin(tickers))
-    found = source.checksums(source.read_store(spark, path, tickers)).select("ticker", F.col("n").alias("own_n"), F.col("sha256").alias("own"))
-    same = true((F.col("own_n") == F.col("n")) & (F.col("own") == F.col("sha256")))
+    noted = spark.read.schema("ticker string, n long, digest string").parquet(f"{path}.checksums").where(F.col("ticker").isin(tickers))
+    found = source.checksums(source.read_store(spark, path, tickers)).select("ticker", F.col("n").alias("own_n"), F.col("digest").alias("own"))
+    same = F.col("digest").isNull() | true((F.col("own_n") == F.col("n")) & (F.col("own") == F.col("digest")))
     return sorted(r.ticker for r in noted.join(found, "ticker", "left").where(~same).select("ticker").collect())
 
 
@@ -74,8 +184,14 @@ def refresh(spark: SparkSession, path: str, tickers: list[str], start: str, end:
 
     fetch takes gaps (ticker, gap_start, gap_end) and returns bars. A ticker of which nothing came for a gap is ``failed``, one without
     a gap is ``skipped``. Only folders of tickers that got bars are written. The last ``tail_days`` before end are fetched again; with ``force``,
-    all of the range is, and takes the place of what was there. Tickers whose checksum doesn't fit are put aside and fetched anew.
+    all of the range is, and takes the place of what was there. Tickers whose checksum doesn't fit are put aside and fetched anew. Of two
+    refreshes of a store at once, one waits for the other.
     """
+    with locked(spark, path):
+        return _refreshed(spark, path, tickers, start, end, fetch, tail_days, force)
+
+
+def _refreshed(spark: SparkSession, path: str, tickers: list[str], start: str, end: str, fetch: Callable[[DataFrame], DataFrame], tail_days: int, force: bool) -> DataFrame:
     wanted = spark.createDataFrame([(t,) for t in tickers], "ticker string")
     there = _exists(spark, path)
     broken = corrupt(spark, path, tickers) if there else []
@@ -103,10 +219,35 @@ def refresh(spark: SparkSession, path: str, tickers: list[str], start: str, end:
     return spark.createDataFrame(status, "ticker string, status string, n long")
 
 
+def download(spark: SparkSession, path: str, tickers: list[str], start: str, end: str, fetch: Callable[[DataFrame], DataFrame], least_share: float = 0.8, summary: str | None = None, tail_days: int = 0, force: bool = False) -> dict:
+    """A refresh of a universe with its coverage gate, and what it did: as a dictionary, and as JSON in the file ``summary``.
+
+    max(3, ceil(tickers x least_share)) of the tickers must have bars in [start, end] afterwards; fewer are an error that names the others.
+    """
+    status = refresh(spark, path, tickers, start, end, fetch, tail_days, force).collect()
+    held = source.within(source.read_store(spark, path, tickers), start, end) if _exists(spark, path) else None
+    there = {r.ticker: r.n for r in held.groupBy("ticker").agg(F.count("*").alias("n")).collect()} if held is not None else {}
+    failures = sorted(t for t in tickers if t not in there)
+    least = max(3, math.ceil(len(tickers) * least_share))
+    if len(there) < least:
+        raise RuntimeError(f"only {len(there)} of {len(tickers)} tickers have bars, {least} are needed; none of {failures}")
+    own = {r.ticker: {"status": r.status, "fetched_rows": r.n, "rows": there.get(r.ticker, 0)} for r in status}
+    found = {"start": start, "end": end, "cache_hits": sum(r.status == "skipped" for r in status), "remote_fetches": sum(r.status == "fetched" for r in status), "tickers": own, "failures": failures}
+    if summary:
+        draft = Path(f"{summary}.draft")
+        draft.parent.mkdir(parents=True, exist_ok=True)
+        draft.write_text(json.dumps(found, indent=2, sort_keys=True))
+        os.replace(draft, summary)
+    return found
+
+
 def load(spark: SparkSession, path: str, tickers: list[str], start: str, end: str) -> DataFrame:
     """The bars of [start, end) of all tickers, without a provider. A ticker that is missing, broken or without bars in the range is an error."""
     if not _exists(spark, path):
         raise FileNotFoundError(f"no store at {path}: run a refresh first")
+    if _staged(spark, path):
+        with locked(spark, path):
+            pass
     if broken := corrupt(spark, path, tickers):
         raise ValueError(f"the checksums of {broken} don't fit: refresh them by force")
     out = source.within(source.read_store(spark, path, tickers), start, end, half_open=True)
