@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.rolling import by_date, by_ticker, forward_compound
-from quillon.operators import correlation, evaluate, features, indicators, intervals, labels, models, strength, universe
+from quillon.operators import correlation, evaluate, features, indicators, intervals, labels, largeboost, models, strength, universe
+from quillon.operators.boosting import BoostedTrees
 from quillon.oracle import ORACLE_SQL
 from quillon.plans import backtest as backtest_plan
 from quillon.plans import regime, sector
 from quillon.plans import screen as screen_plan
 from quillon.plans.config import Backtest, Config
-from quillon.scratch import written
+from quillon.scratch import root, written
 from quillon.sources import bars as source
+from quillon.sources import dayfiles, provider
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -352,6 +356,43 @@ def theme_scope(spark, sf_dir):
     return part.select("p_partkey", F.concat_ws("|", found).alias("themes"), universe.in_scope(F.col("p_brand"), found, ["Brand#1"]).alias("in_scope"))
 
 
+def symbols_and_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as listed symbols (ticker, name, exchange, etf), parts as the profiles of some of them (ticker, long_name, industry, summary)."""
+    supplier, part = source.table(spark, sf_dir, "supplier"), source.table(spark, sf_dir, "part")
+    k, p = F.col("s_suppkey"), F.col("p_partkey")
+    name = F.concat(F.when(k % 4 == 0, "Tin Gear ").otherwise(""), "s_name", F.when(k % 9 == 0, " Warrant").otherwise(""))
+    listed = supplier.select(F.concat(F.lit("S"), k).alias("ticker"), name.alias("name"), F.when(k % 3 == 0, "NYSE").when(k % 3 == 1, "NASDAQ").alias("exchange"), (k % 11 == 0).alias("etf"))
+    known = part.where(p % 3 != 0).select(F.concat(F.lit("S"), p).alias("ticker"), F.when(p % 4 > 0, F.col("p_name")).alias("long_name"), F.col("p_brand").alias("industry"), F.col("p_type").alias("summary"))
+    return listed, known
+
+
+def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker, date, close, volume: a supplier's weeks."""
+    line = source.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), "l_extendedprice", "l_quantity")
+    total = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
+    return line.groupBy("ticker", "date").agg((total / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
+
+
+@query
+def universe_built(spark, sf_dir):
+    listed, known = symbols_and_profiles(spark, sf_dir)
+    return rounded(universe.built(listed, known, supplier_bars(spark, sf_dir), THEMES, ["Brand#1", "Brand#23"], 1400.0, 60000.0, 160), last_close=9, median_dollar_volume=3)
+
+
+@query
+def enrichment_candidates(spark, sf_dir):
+    return universe.candidates(symbols_and_profiles(spark, sf_dir)[0], THEMES, ["S11", "S22"], ["S5", "S9", "S33"]).select("ticker", "name", "exchange")
+
+
+@query
+def day_files(spark, sf_dir):
+    """The bars as binary day files, of which some tickers' days are read back by a provider's range."""
+    path = f"{root(spark)}/quillon-dayfiles-{uuid.uuid4().hex}"
+    dayfiles.write(source.bars(spark, sf_dir), path)
+    back = provider.prices(spark, "dayfiles", "1995-01-02", "1997-06-30", ["NATION_3", "nation_7", "NATION_11", "NATION_24"], path)
+    return rounded(back.where("close is not null"), 3)
+
+
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     customer = source.table(spark, sf_dir, "customer")
     rows = customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("symbol"), F.concat(F.lit("N"), "c_custkey").alias("name"), F.lit("tech").alias("sector"), F.col("c_mktsegment").alias("industry"), F.lit("US").alias("country"), F.when(F.col("c_custkey") % 4 > 0, 2010 + F.col("c_custkey") % 14).alias("ipo_year"), F.abs("c_acctbal").alias("market_cap"))
@@ -394,7 +435,8 @@ def signals(spark, sf_dir):
 
 @query
 def alerts(spark, sf_dir):
-    rows = features.sector_features(dense(spark, sf_dir)).join(correlation.rolling_median(features.returns(dense(spark, sf_dir))), "date", "left")
+    own = dense(spark, sf_dir)
+    rows = features.sector_features(own).join(correlation.rolling_median(features.returns(own)), "date", "left")
     given = rows.select("date", F.col("drawdown_60d").alias("drawdown"), F.col("median_pairwise_correlation").alias("correlation"), F.col("breadth_thrust_5d").alias("thrust"))
     given = given.withColumn("probability", models.heuristic_probability(F.col("drawdown"), F.col("thrust"), F.lit(0.3)))
     return rounded(models.alert(given, least_correlation=-0.05, least_probability=0.6).select("date", "probability", "watch", "triggered"))
@@ -478,7 +520,48 @@ def rebound_model(spark, sf_dir):
     return rounded(sector.validation(rows.join(wide, "date"))[0])
 
 
+def backtested(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    own = held(spark, sf_dir)
+    return backtest_plan.run(own, source.panel(own, values=("close", "volume", "high", "low")), SETTINGS)
+
+
 @query
 def backtest_folds(spark, sf_dir):
-    own = held(spark, sf_dir)
-    return rounded(backtest_plan.run(own, source.panel(own, values=("close", "volume", "high", "low")), SETTINGS)["per_fold"])
+    return rounded(backtested(spark, sf_dir)["per_fold"])
+
+
+@query
+def backtest_economics(spark, sf_dir):
+    return rounded(backtested(spark, sf_dir)["economics"])
+
+
+@query
+def backtest_edges(spark, sf_dir):
+    return rounded(backtested(spark, sf_dir)["edges"])
+
+
+@query
+def screen_clusters(spark, sf_dir):
+    """The screen with clusters of its own, found by correlation of what the market leaves."""
+    tables = screen_plan.screen(held(spark, sf_dir), replace(SETTINGS, threshold=0.02), "2001-06-30")
+    return rounded(screen_plan.summary(tables))
+
+
+@query
+def large_split(spark, sf_dir):
+    """The first split of boosted trees over all line items: whether one is returned, from four columns."""
+    columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    rows = source.table(spark, sf_dir, "lineitem").select(*columns, (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+    model = largeboost.fit_large(rows, columns, "returned", BoostedTrees(1, 1, rows=1.0, columns=1.0))
+    found = [(columns[t.feature], t.cut, float(model.gain[t.feature]), t.left.weight, t.right.weight) for t in model.grown if t.feature >= 0]
+    return rounded(spark.createDataFrame(found, "feature string, cut double, gain double, left_weight double, right_weight double"))
+
+
+@query
+def large_importance(spark, sf_dir):
+    """Importance in boosted trees of all line items, with columns of many values in bins by quantiles."""
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "day"]
+    day = F.unix_date(F.col("l_shipdate").cast("date")).alias("day")
+    rows = source.table(spark, sf_dir, "lineitem").select(*columns[:-1], day, (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+    model = largeboost.fit_large(rows, columns, "returned", BoostedTrees(4, 3, 0.3))
+    return rounded(spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.importance(), strict=True)], "feature string, importance double"), 4)

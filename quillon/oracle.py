@@ -147,9 +147,23 @@ _SAMPLES = _ALARM + f", fw AS (SELECT *, {_FORWARD} FROM al WINDOW t AS (PARTITI
 _ECON = "count(*) AS n, avg(value) AS mean_return, median(value) AS median_return, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate"
 
 
+def _mix(key: str, r: int, v: str) -> str:
+    a = f"(({key} + {r * 40503} + {v} * 2654435) % 2147483647)"
+    b = f"(({a} * {a} + {key}) % 2147483647)"
+    return f"(({b} * {b} + {v}) % 2147483647)"
+
+
 def _drawn(draws: int) -> str:
-    """Random days of each ticker, as many as it has signals, of those with room for the longest horizon."""
-    return f"cand AS (SELECT *, count(*) FILTER (fired) OVER (PARTITION BY ticker) AS wanted, row_number() OVER (PARTITION BY ticker ORDER BY date) AS pos, count(*) OVER (PARTITION BY ticker) AS rows_of FROM fw), drw AS (SELECT c.*, d, row_number() OVER (PARTITION BY d, ticker ORDER BY md5('0|' || d || '|' || ticker || '|' || CAST(date AS VARCHAR))) AS k FROM cand c, (SELECT unnest(range(1, {draws} + 1)) AS d) WHERE wanted > 0 AND pos <= greatest(rows_of - 20, 1))"
+    """Random days of each ticker, as many as it has signals, of those with room for the longest horizon: by 20 rounds of swap or not."""
+    out = [
+        "cand AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos FROM fw)",
+        "rooms AS (SELECT ticker, greatest(count(*) - 20, 1) AS n, least(count(*) FILTER (fired), greatest(count(*) - 20, 1)) AS wanted FROM cand GROUP BY ticker)",
+        f"s0 AS (SELECT ticker, d, n, k AS x, ('0x' || substr(md5('0|' || d || '|' || ticker), 1, 7))::BIGINT AS key FROM (SELECT *, unnest(range(0, wanted)) AS k FROM rooms), (SELECT unnest(range(1, {draws} + 1)) AS d))",
+    ]
+    for r in range(20):
+        other = f"SELECT *, (({_mix('key', r, 'n')} % n - x) % n + n) % n AS y FROM s{r}"
+        out.append(f"s{r + 1} AS MATERIALIZED (SELECT ticker, d, n, key, CASE WHEN ({_mix('key', r, 'greatest(x, y)')} // 4096) % 2 = 1 THEN y ELSE x END AS x FROM ({other}))")
+    return ", ".join(out) + ", drw AS (SELECT s.ticker, s.d, c.h5, c.h10, c.h20 FROM s20 s JOIN cand c ON c.ticker = s.ticker AND c.pos = s.x)"
 
 
 _FOLDS = "folds AS (SELECT CAST(y - 1998 AS INT) AS fold, DATE '1995-01-02' AS fit_start, make_date(y, 1, 1) - 1 AS fit_end, make_date(y, 1, 1) AS test_start, least(make_date(y, 12, 31), DATE '2001-06-30') AS test_end, make_date(y, 12, 31) > DATE '2001-06-30' AS partial FROM (SELECT unnest(range(1998, 2002)) AS y))"
@@ -190,10 +204,10 @@ ORACLE_SQL |= {
     "classification_scores": _r(_SIGNAL + ", near AS (SELECT s.ticker, s.pos, l.pos AS lp, row_number() OVER (PARTITION BY s.ticker, s.pos ORDER BY abs(l.pos - s.pos), l.pos) AS k FROM sig s LEFT JOIN sig l ON l.ticker = s.ticker AND l.label WHERE s.fired), cnt AS (SELECT count(*) AS signals, count(*) FILTER (abs(lp - pos) <= 10) AS true_positives, count(DISTINCT CASE WHEN abs(lp - pos) <= 10 THEN ticker || '|' || lp END) AS matched_labels, avg(CASE WHEN abs(lp - pos) <= 10 THEN lp - pos END) AS mean_lead_days FROM near WHERE k = 1), lab AS (SELECT count(*) FILTER (label) AS labels FROM sig)", "SELECT labels, signals, true_positives, matched_labels, round(mean_lead_days, 6) AS mean_lead_days, round(coalesce(true_positives / nullif(signals, 0), 0), 6) AS precision, round(coalesce(matched_labels / nullif(labels, 0), 0), 6) AS recall, round(coalesce(2.0 * true_positives / signals * matched_labels / labels / nullif(true_positives / signals + matched_labels / labels, 0), 0), 6) AS f1 FROM cnt, lab"),
     "economic_metrics": _r(_SAMPLES, f"SELECT CAST(horizon AS INT) AS horizon, n, " + _rounded("mean_return", "median_return", "hit_rate") + f" FROM (SELECT horizon, {_ECON} FROM smp GROUP BY horizon)"),
     "edge_table": _r(
-        _SAMPLES + ", " + _drawn(50) + ", bsm AS (SELECT h AS horizon, v AS value FROM (SELECT unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM drw WHERE k <= wanted) WHERE v IS NOT NULL), " + f"own AS (SELECT horizon, {_ECON} FROM smp GROUP BY horizon), chance AS (SELECT horizon, {_ECON} FROM bsm GROUP BY horizon)",
+        _SAMPLES + ", " + _drawn(50) + ", bsm AS (SELECT h AS horizon, v AS value FROM (SELECT unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM drw) WHERE v IS NOT NULL), " + f"own AS (SELECT horizon, {_ECON} FROM smp GROUP BY horizon), chance AS (SELECT horizon, {_ECON} FROM bsm GROUP BY horizon)",
         "SELECT CAST(o.horizon AS INT) AS horizon, o.n, " + ", ".join(f"round(o.{c}, 6) AS {c}" for c in ("mean_return", "median_return", "hit_rate")) + ", c.n AS n_baseline, " + ", ".join(f"round(c.{c}, 6) AS {c}_baseline" for c in ("mean_return", "median_return", "hit_rate")) + ", round(o.mean_return - c.mean_return, 6) AS mean_edge, round(o.hit_rate - c.hit_rate, 6) AS hit_rate_edge FROM own o JOIN chance c ON o.horizon = c.horizon",
     ),
-    "random_baseline": _r(_SAMPLES + ", " + _drawn(200) + ", bsm AS (SELECT ticker, d, h AS horizon, v AS value FROM (SELECT ticker, d, unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM drw WHERE k <= wanted) WHERE v IS NOT NULL), " + f"each AS (SELECT ticker, horizon, d, {_ECON} FROM bsm GROUP BY ticker, horizon, d)", "SELECT ticker, CAST(horizon AS INT) AS horizon, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("n", "mean_return", "median_return", "hit_rate")) + " FROM each GROUP BY ticker, horizon"),
+    "random_baseline": _r(_SAMPLES + ", " + _drawn(200) + ", bsm AS (SELECT ticker, d, h AS horizon, v AS value FROM (SELECT ticker, d, unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM drw) WHERE v IS NOT NULL), " + f"each AS (SELECT ticker, horizon, d, {_ECON} FROM bsm GROUP BY ticker, horizon, d)", "SELECT ticker, CAST(horizon AS INT) AS horizon, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("n", "mean_return", "median_return", "hit_rate")) + " FROM each GROUP BY ticker, horizon"),
     "folds": _q(_FOLDS, "SELECT * FROM folds"),
     "gate_search": _r(_SIGNAL + ", " + _FOLDS + ", gates AS (SELECT unnest([5.0, 10.0, 15.0, 20.0, 25.0])::DOUBLE AS gate), fit AS (SELECT fold, gate, ticker, date, label, washout > -0.5 AND alarm > gate AND confirmed AS s FROM sig, folds, gates WHERE date BETWEEN fit_start AND fit_end), pos AS (SELECT *, row_number() OVER (PARTITION BY fold, gate, ticker ORDER BY date) AS p FROM fit), near AS (SELECT x.fold, x.gate, x.ticker, x.p, l.p AS lp, row_number() OVER (PARTITION BY x.fold, x.gate, x.ticker, x.p ORDER BY abs(l.p - x.p), l.p) AS k FROM pos x LEFT JOIN pos l ON l.fold = x.fold AND l.gate = x.gate AND l.ticker = x.ticker AND l.label WHERE x.s), c1 AS (SELECT fold, gate, count(*) AS n, count(*) FILTER (abs(lp - p) <= 10) AS tp, count(DISTINCT CASE WHEN abs(lp - p) <= 10 THEN ticker || '|' || lp END) AS ml FROM near WHERE k = 1 GROUP BY ALL), c2 AS (SELECT fold, gate, count(*) FILTER (label) AS labels FROM pos GROUP BY ALL), f AS (SELECT c2.fold, c2.gate, coalesce(2.0 * (tp / n) * (ml / labels) / nullif(tp / n + ml / labels, 0), 0) AS f1 FROM c2 LEFT JOIN c1 ON c1.fold = c2.fold AND c1.gate = c2.gate)", "SELECT fold, gate, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, gate) AS k FROM f) WHERE k = 1"),
     "purged_splits": "SELECT CAST(i AS INT) AS split, greatest(300 - (4 - i) * 60 - 10, 0) AS train_end, 300 - (4 - i) * 60 AS test_start, 300 - (4 - i) * 60 + 60 AS test_end FROM (SELECT unnest(range(0, 4)) AS i)",
@@ -202,7 +216,7 @@ ORACLE_SQL |= {
     "interval_gaps": _q(_COVER + ", users AS (SELECT DISTINCT user_id FROM events), gap AS (SELECT user_id, d FROM (SELECT user_id, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS d FROM users) EXCEPT SELECT user_id, d FROM days), " + _ISLANDS.format(src="gap"), 'SELECT user_id, min(d) AS start, max(d) + 1 AS "end" FROM isl GROUP BY user_id, g'),
     "refresh_gaps": _q(_BARS + ", lim AS (SELECT ticker, min(date) AS lo, max(date) AS hi FROM bars GROUP BY ticker)", "SELECT ticker, 'leading' AS gap, DATE '1994-12-01' AS gap_start, lo - 1 AS gap_end FROM lim WHERE lo > DATE '1994-12-01' UNION ALL SELECT ticker, 'forward', hi + 1, DATE '2003-01-01' FROM lim WHERE hi < DATE '2003-01-01'"),
     "merge_keep_last": _q(_BARS, "SELECT ticker, date, round(CASE WHEN date >= DATE '1999-06-01' THEN close * 2 ELSE close END, 6) AS close FROM bars"),
-    "checksums": "SELECT p_size, sha256(string_agg(DISTINCT p_brand, chr(10) ORDER BY p_brand)) AS sha256, count(DISTINCT p_brand) AS n FROM part GROUP BY p_size",
+    "checksums": "SELECT p_size, count(*) AS n, sha256(concat_ws('|', count(*)::VARCHAR, " + ", ".join(f"(sum(('0x' || substr(d, {8 * i + 1}, 8))::BIGINT) % 4294967296)::BIGINT::VARCHAR" for i in range(8)) + ")) AS digest FROM (SELECT DISTINCT p_size, sha256(length(p_brand) || ':' || p_brand) AS d FROM part) GROUP BY p_size",
     "universe_normalised": _q(_EXPORT, "SELECT * FROM uni"),
     "industry_counts": _q(_EXPORT, "SELECT industry, count(*) AS n FROM uni WHERE eligible AND industry <> '' GROUP BY industry"),
     "industry_query": _q(_EXPORT, "SELECT symbol, industry, market_cap FROM uni WHERE eligible AND contains(regexp_replace(lower(industry), '[^a-z0-9]+', '-', 'g'), (SELECT regexp_replace(lower(min(industry)), '[^a-z0-9]+', '-', 'g') FROM uni)) ORDER BY market_cap DESC, symbol LIMIT 5"),
@@ -251,3 +265,32 @@ _BACKTEST = (
     + _near("tst", "fold", 5, "tr")
 )
 ORACLE_SQL["backtest_folds"] = _r(_BACKTEST, f"SELECT f.*, gate, labels, signals, true_positives, matched_labels, round(mean_lead_days, 6) AS mean_lead_days, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_F1}, 6) AS f1 FROM folds f JOIN best ON best.fold = f.fold LEFT JOIN tr ON tr.fold = f.fold")
+
+_TESTED = _BACKTEST + f", fw AS (SELECT ticker, date, fired, {_FORWARD} FROM (SELECT ticker, date, close, washout > -0.5 AND alarm > gate AND confirmed AS fired FROM al, folds f JOIN best ON best.fold = f.fold WHERE date BETWEEN test_start AND test_end) WINDOW t AS (PARTITION BY ticker ORDER BY date)), smp AS (SELECT h AS horizon, v AS value FROM (SELECT unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM fw WHERE fired) WHERE v IS NOT NULL), ecos AS (SELECT h::INT AS horizon, coalesce(n, 0) AS n, mean_return, median_return, hit_rate FROM (SELECT unnest([5, 10, 20]) AS h) LEFT JOIN (SELECT horizon, {_ECON} FROM smp GROUP BY horizon) ON horizon = h)"
+ORACLE_SQL["backtest_economics"] = _r(_TESTED, "SELECT horizon, n, " + _rounded("mean_return", "median_return", "hit_rate") + " FROM ecos")
+ORACLE_SQL["backtest_edges"] = _r(
+    _TESTED + ", " + _drawn(50) + f", bsm AS (SELECT h AS horizon, v AS value FROM (SELECT unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM drw) WHERE v IS NOT NULL), chance AS (SELECT h::INT AS horizon, coalesce(n, 0) AS n, mean_return, median_return, hit_rate FROM (SELECT unnest([5, 10, 20]) AS h) LEFT JOIN (SELECT horizon, {_ECON} FROM bsm GROUP BY horizon) ON horizon = h)",
+    "SELECT o.horizon, o.n, " + ", ".join(f"round(o.{c}, 6) AS {c}" for c in ("mean_return", "median_return", "hit_rate")) + ", c.n AS n_baseline, " + ", ".join(f"round(c.{c}, 6) AS {c}_baseline" for c in ("mean_return", "median_return", "hit_rate")) + ", round(o.mean_return - c.mean_return, 6) AS mean_edge, round(o.hit_rate - c.hit_rate, 6) AS hit_rate_edge FROM ecos o JOIN chance c ON o.horizon = c.horizon",
+)
+
+_THEMED = "concat_ws('|', CASE WHEN regexp_matches(t, '\\b(steel|tin|copper)s?\\b') THEN 'metal' END, CASE WHEN regexp_matches(t, '\\b(ring|bolt|gear)s?\\b') THEN 'shape' END, CASE WHEN regexp_matches(t, '\\b(large|small)s?\\b') THEN 'size' END)"
+_SYMBOLS = "syms AS (SELECT 'S' || s_suppkey AS ticker, s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN 'Tin Gear ' ELSE '' END || s_name || CASE WHEN s_suppkey % 9 = 0 THEN ' Warrant' ELSE '' END AS name, CASE s_suppkey % 3 WHEN 0 THEN 'NYSE' WHEN 1 THEN 'NASDAQ' END AS exchange, s_suppkey % 11 = 0 AS etf FROM supplier)"
+ORACLE_SQL["universe_built"] = _q(
+    _SYMBOLS + """, sb AS (SELECT 'S' || l_suppkey AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / sum(l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2),
+  liq AS (SELECT ticker, median(close * volume) FILTER (k <= 60) AS dv, max(close) FILTER (k = 1) AS lc, count(*) AS hd FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM sb) GROUP BY ticker),
+  prof AS (SELECT 'S' || p_partkey AS ticker, CASE WHEN p_partkey % 4 > 0 THEN p_name END AS long_name, p_brand AS industry, p_type AS summary FROM part WHERE p_partkey % 3 <> 0),
+  mrg AS (SELECT s.ticker, CASE WHEN coalesce(long_name, '') <> '' THEN long_name ELSE name END AS name, coalesce(industry, '') AS industry, coalesce(summary, '') AS summary, coalesce(exchange, '') AS exchange, coalesce(dv, 0) AS dv, coalesce(lc, 0) AS lc, coalesce(hd, 0) AS hd FROM syms s LEFT JOIN prof p ON p.ticker = s.ticker LEFT JOIN liq l ON l.ticker = s.ticker),
+  thm AS (SELECT *, """ + _THEMED + """ AS themes FROM (SELECT *, lower(name || ' ' || summary) AS t FROM mrg)),
+  why AS (SELECT *, concat_ws('; ', CASE WHEN NOT (industry IN ('Brand#1', 'Brand#23') OR themes <> '') THEN 'off theme' END, CASE WHEN hd < 160 THEN printf('insufficient history (%dd)', hd) END, CASE WHEN lc < 1400 THEN printf('price below floor (%.2f)', lc) END, CASE WHEN dv < 60000 THEN printf('dollar_volume below floor (%.0f)', dv) END) AS reason FROM thm)""",
+    "SELECT ticker, name, industry, themes, exchange, round(dv, 3) AS median_dollar_volume, round(lc, 9) AS last_close, hd AS history_days, reason = '' AS included, reason FROM why",
+)
+ORACLE_SQL["enrichment_candidates"] = _q(_SYMBOLS, "SELECT ticker, name, exchange FROM (SELECT *, lower(name) AS t FROM syms) WHERE CASE WHEN ticker IN ('S11', 'S22') THEN true WHEN etf THEN false WHEN regexp_matches(name, '(?i)\\b(warrant|right|unit|preferred|notes\\s+due)s?\\b') THEN false WHEN ticker IN ('S5', 'S9', 'S33') THEN true ELSE " + _THEMED + " <> '' END")
+ORACLE_SQL["day_files"] = _q(_BARS, "SELECT ticker, date, round(CAST(CAST(close AS FLOAT) AS DOUBLE), 3) AS close, round(CAST(CAST(volume AS FLOAT) AS DOUBLE), 3) AS volume FROM bars WHERE ticker IN ('NATION_3', 'NATION_7', 'NATION_11', 'NATION_24') AND date BETWEEN DATE '1995-01-02' AND DATE '1997-06-30'")
+_SPLITS = "; ".join(("l_quantity", "l_discount", "l_tax", "l_linenumber"))
+ORACLE_SQL["large_split"] = (
+    "WITH li AS (SELECT l_quantity, l_discount, l_tax, CAST(l_linenumber AS DOUBLE) AS l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), vals AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS j, '{c}' AS feature, {c} AS v, sum(0.5 - y) AS g, count(*) * 0.25 AS h FROM li GROUP BY {c}" for i, c in enumerate(_SPLITS.split("; ")))
+    + "), cum AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY j) AS gt, sum(h) OVER (PARTITION BY j) AS ht, lead(v) OVER (PARTITION BY j ORDER BY v) AS nv FROM vals WINDOW w AS (PARTITION BY j ORDER BY v ROWS UNBOUNDED PRECEDING)),"
+    + " gains AS (SELECT *, (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) / 2 AS gain FROM cum WHERE nv IS NOT NULL AND hl >= 1 AND ht - hl >= 1)"
+    + " SELECT feature, round((v + nv) / 2, 6) AS cut, round(gain, 6) AS gain, round(-gl / (hl + 1), 6) AS left_weight, round(-(gt - gl) / (ht - hl + 1), 6) AS right_weight FROM gains WHERE gain > 1e-12 ORDER BY gain DESC, j, v LIMIT 1"
+)
