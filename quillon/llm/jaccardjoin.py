@@ -36,32 +36,27 @@ def base_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100)
 
 
+_FEATURES = "row long, doc_id long, n_shingles long, digest binary, block long, counters binary"
+
+
 def _features(words: int):
-    kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary())])
+    """Each row's set size and digest; then, in rows of their own, the blocks of the task's counters of shingles."""
+    kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("block", pa.int64()), ("counters", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches:
-            sizes, digests = [], []
+            n, sizes, digests = batch.num_rows, [], []
             for text in batch.column(2):
                 shingles = shingle_set(text.as_py(), words)
                 sizes.append(len(shingles))
                 digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], schema=kinds)
-
-    return run
-
-
-def _counted(words: int):
-    """A task's counters, in blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << COUNTER_BITS, np.uint32)
-        for batch in batches:
-            for text in batch.column(0):
-                np.add.at(counters, (shingle_set(text.as_py(), words) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+                np.add.at(counters, (shingles >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=kinds)
         blocks = counters.reshape(-1, 1 << BLOCK_BITS)
         used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "counters"])
+        none = [pa.nulls(len(used), f.type) for f in list(kinds)[:4]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int64()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], schema=kinds)
 
     return run
 
@@ -76,10 +71,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([c.astype(np.uint32).tobytes() for c in total.values()], pa.binary())], ["block", "counters"])
 
 
-def frequencies(texts: DataFrame, words: int = WORDS) -> np.ndarray:
-    """A sketch of the number of rows (text) that a shingle is in: 2^COUNTER_BITS counters, by a shingle's first bits."""
-    made = texts.select("text").mapInArrow(_counted(words), "block long, counters binary")
-    rows = made.repartition(parts(texts.sparkSession), "block").mapInArrow(_added, "block long, counters binary").collect()
+def frequencies(found: DataFrame) -> np.ndarray:
+    """Of the blocks that ``_features`` sent, the sums: 2^COUNTER_BITS counters, by a shingle's first bits, of the number of rows that shingles are in."""
+    made = found.where("block is not null").select("block", "counters")
+    rows = made.repartition(parts(found.sparkSession), "block").mapInArrow(_added, "block long, counters binary").collect()
     out = np.zeros((1 << COUNTER_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint32)
     for r in rows:
         out[r.block] = np.frombuffer(r.counters, np.uint32)
@@ -152,10 +147,11 @@ class _Join:
 
     def __init__(self, rows: DataFrame, words: int, percent: int):
         self.words, self.percent = words, percent
-        self.features = written(rows.mapInArrow(_features(words), "row long, doc_id long, n_shingles long, digest binary"), "features")
+        found = written(rows.mapInArrow(_features(words), _FEATURES), "features")
+        self.features = found.where("block is null").drop("block", "counters")
         by_set = self.features.where("digest is not null").groupBy("digest")
         self.classes = written(by_set.agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id")), "classes")
-        counters = frequencies(rows, words)
+        counters = frequencies(found)
         self.texts = written(rows.join(self.classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi").select("row", "text"), "texts")
         deleted(rows)
         made = self.texts.mapInArrow(_prefixes(counters, words, percent), "rep long, size int, prefix array<long>")

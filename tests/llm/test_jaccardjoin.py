@@ -139,7 +139,8 @@ def test_odd_rows(spark, odd, none):
 
 
 def test_the_sketch_counts_each_row_once(spark):
-    texts = spark.createDataFrame([("a b c d e a b c d",), ("a b c d",), (None,), ("",)], "text string").repartition(3)
-    counters = jaccardjoin.frequencies(texts)
+    rows = [(1, 1, "a b c d e a b c d"), (2, 2, "a b c d"), (3, 3, None), (4, 4, "")]
+    given = spark.createDataFrame(rows, "row long, doc_id long, text string").repartition(3)
+    counters = jaccardjoin.frequencies(given.mapInArrow(jaccardjoin._features(4), jaccardjoin._FEATURES))
     (one,) = shingle_set("a b c d", 4)
     assert counters[int(one >> np.uint64(64 - jaccardjoin.COUNTER_BITS))] == 2 and counters.sum() == 7
