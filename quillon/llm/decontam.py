@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILAR_PERCENT, deleted, fresh, words_of, written
+from .common import SHINGLE_WORDS, SIMILAR_PERCENT, deleted, fresh, parts, words_of, written
 
 #: A window of the item's length around a similar span has three quarters of the item's words or nearly so (a copy cut by a quarter; two
 #: thirds if foreign words stand in its middle): the fingerprints differ in 14.7 bits on average with a deviation of 3.4.
@@ -107,7 +107,8 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _matches(docs: DataFrame, own: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, body (a hash of the text), item, shingle, weight, place of all that documents share with items, and a window where a run begins."""
+    """doc_id, body (a hash of the text), item, shingle, weight, place of all that documents share with items; and where a run of them begins, the place at which the
+    item would have begun. A shingle's row has its place and no text, so bytes grow with the text, whatever the number of items."""
     # items of fewer words than a shingle are found by shingles of as many words: at most four more lengths
     short = [r.n for r in own.select("n").where(F.col("n") < SHINGLE_WORDS).distinct().collect()]
     text = F.col(text_col).cast("string")
@@ -120,13 +121,27 @@ def _matches(docs: DataFrame, own: DataFrame, id_col: str, text_col: str) -> Dat
     def placed(name: str) -> Column:
         return F.transform(name, lambda s, i: F.struct(i.alias("place"), s.alias("shingle"), F.get(name, i - 1).alias("last")))
 
-    arrays = made.select("doc_id", "body", "words", F.concat(*[placed(f"shingles{k}") for k in lengths]).alias("every"))
+    arrays = made.select("doc_id", "body", F.concat(*[placed(f"shingles{k}") for k in lengths]).alias("every"))
     # outer, as else a filter on the array's size is put below the projections that make it and makes it again for each element
-    found = arrays.select("doc_id", "body", "words", F.explode_outer("every").alias("s")).select("doc_id", "body", "words", "s.*").join(_held(own), "shingle")
-    begin = F.col("place") - F.col("first")
-    window = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.greatest(F.col("n") + F.least(begin, F.lit(0)), F.lit(1)))
-    head = F.when(~F.col("last").eqNullSafe(F.col("prior")) | F.col("prior").isNull(), window)
-    return written(found.select(*_PAIR, "shingle", "weight", "place", head.alias("window")), "matches")
+    found = arrays.select("doc_id", "body", F.explode_outer("every").alias("s")).select("doc_id", "body", "s.*").join(_held(own), "shingle")
+    begin = F.when(~F.col("last").eqNullSafe(F.col("prior")) | F.col("prior").isNull(), F.col("place") - F.col("first"))
+    return written(found.select(*_PAIR, "shingle", "weight", "place", begin.alias("begin")), "matches")
+
+
+def _windows(docs: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """pair, item_id, item_body and window (the hashes of its words) of heads (pair, doc_id, body, item_id, item_body, n, begin): the texts are read again, of these documents alone."""
+    of_text = heads.groupBy("doc_id", "body").agg(F.collect_list(F.struct("pair", "item_id", "item_body", "n", "begin")).alias("heads"))
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_body"), text.alias("text"))
+    met = own.join(of_text, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_body") == F.col("body")))
+    # repeated rows of a document have the same windows, which changes nothing
+    words = met.withColumn("words", _hashed(F.col("text")))
+
+    def window(h: Column) -> Column:
+        return F.slice("words", F.greatest(h["begin"], F.lit(0)) + 1, F.greatest(h["n"] + F.least(h["begin"], F.lit(0)), F.lit(1)))
+
+    made = words.select(F.explode(F.transform("heads", lambda h: F.struct(h["pair"].alias("pair"), h["item_id"].alias("item_id"), h["item_body"].alias("item_body"), window(h).alias("window")))).alias("w"))
+    return made.select("w.*").where(F.size("window") > 0)
 
 
 def _similar(docs: DataFrame, benchmark: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -140,23 +155,24 @@ def _similar(docs: DataFrame, benchmark: DataFrame, percent: int, id_col: str, t
     m = F.greatest(F.col("n") - SHINGLE_WORDS + 1, F.lit(1))
     pairs = written(grouped.where(100 * F.size("matches") >= percent * m).withColumn("pair", F.monotonically_increasing_id()), "pairs")
 
-    # the windows of these pairs, and their fingerprints
-    heads = matches.where("window is not null").select(*_PAIR, "window").distinct()
+    # the windows of these pairs, and their fingerprints; no table of pairs is broadcast, whatever its size is thought to be
+    heads = matches.where("begin is not null").select(*_PAIR, "begin").distinct()
     same = reduce(lambda a, b: a & b, [F.col(f"h.{c}").eqNullSafe(F.col(f"p.{c}")) for c in _PAIR])
-    windows = heads.alias("h").join(pairs.select("pair", *_PAIR).alias("p"), same).select("p.pair", "h.item_id", "h.item_body", "h.window")
-    printed = written(with_simhash(windows, "window", "print").drop("window"), "windows")
-    index = items.select(F.col("item_id").alias("id"), "item_body", "item_print", F.explode(blocks(F.col("item_print"))).alias("block"))
+    begun = written(heads.alias("h").join(pairs.select("pair", *_PAIR).alias("p").hint("merge"), same).select("p.pair", *[f"h.{c}" for c in _PAIR], "h.begin"), "heads")
+    printed = written(with_simhash(_windows(docs, begun, id_col, text_col), "window", "print").drop("window"), "windows")
+    index = items.select(F.col("item_id").alias("id"), F.col("item_body").alias("of_body"), "item_print", F.explode(blocks(F.col("item_print"))).alias("of_block"))
     asked = printed.withColumn("block", F.explode(blocks(F.col("print"))))
-    met = asked.join(index, (F.col("item_id").eqNullSafe(F.col("id"))) & (asked["item_body"] == index["item_body"]) & (asked["block"] == index["block"]))
+    met = asked.join(_held(index), F.col("item_id").eqNullSafe(F.col("id")) & (F.col("item_body") == F.col("of_body")) & (F.col("block") == F.col("of_block")))
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).cast("long")
     near = met.select("pair", distance.alias("distance")).where(F.col("distance") <= RADIUS).groupBy("pair").agg(F.min("distance").alias("distance"))
 
-    # written, so that spans are tried once
-    tried = written(pairs.join(near, "pair").select(*_PAIR, "distance", _best_span(F.col("matches"), m, percent).alias("b")), "spans")
+    # pairs are small and the work on them isn't, so they are dealt out by number; written, so that spans are tried once
+    spread = pairs.join(near.hint("merge"), "pair").repartition(parts(docs.sparkSession))
+    tried = written(spread.select(*_PAIR, "distance", _best_span(F.col("matches"), m, percent).alias("b")), "spans")
     sure = tried.where(100 * F.col("b.shared") >= percent * (m - F.col("b.size") - F.col("b.shared")))
     start, size = (-F.col("b.start")).cast("long"), (-F.col("b.size") - 1 + F.least("n", F.lit(SHINGLE_WORDS))).cast("long")
     out = written(sure.select("doc_id", "body", "item_id", start.alias("start_word"), size.alias("n_words"), "distance", "b.similarity"), "similar")
-    deleted(items, own, matches, pairs, printed, tried)
+    deleted(items, own, matches, pairs, begun, printed, tried)
     return out
 
 
