@@ -124,26 +124,46 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(x[0] == y[0], F.lit(1.0)).otherwise(share)
 
 
+def _edges(ids: list[int], nulls: int) -> list[tuple[int | None, int]]:
+    """Where buckets begin, as (id, hash of the text): at quantiles of the ids. An id that is several of them, as null ids are, begins so many, cut by the hash."""
+
+    def cut(key: int | None, n: int) -> list[tuple[int | None, int]]:
+        return [(key, (k << 64) // n - (1 << 63)) for k in range(n)]
+
+    return [*cut(None, max(nulls, 1))[1:], *(e for key in sorted(set(ids)) for e in cut(key, ids.count(key)))]
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with bucket and halo, so that in each bucket, by halo, doc_id and text, every row is followed by the next of the whole table.
+    """(doc_id, tie, text) with bucket and halo, so that in each bucket, by halo, doc_id, tie (a hash of the text) and text, every row is followed by the next of the whole table.
 
-    Buckets are ranges of doc_id from its quantiles. The rows that a bucket begins with also stand, as halo, at the end of the bucket
-    before; the first of all at the end of the last. So one shuffle by bucket is enough, and no task has more than a few buckets.
+    Buckets are ranges of doc_id and tie from the ids' quantiles, so many texts under one id, or none, fill several. The rows that a bucket begins
+    with also stand, as halo, at the end of the bucket before; the first of all at the end of the last. So one shuffle by bucket is
+    enough. Only copies of one text under one id can't be parted.
     """
     wanted = 4 * parts(docs.sparkSession)
-    edges = docs.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0] or []
-    edges = sorted(set(edges))
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.lit(edges).cast("array<bigint>"), lambda e: e < F.col("doc_id")))) if edges else F.lit(0)
-    dealt = docs.withColumn("bucket", bucket.cast("int"))
-    rows = dealt.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).orderBy("bucket").collect()
-    low: list[int | None] = [None] * (len(edges) + 1)
+    tied = docs.withColumn("tie", F.xxhash64("text"))
+    seen = docs.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 10 * wanted).alias("ids"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    given = seen.n - seen.nulls
+    ids = [k for i, k in enumerate(seen.ids or []) if i % max(1, round(seen.n / given)) == 0] if given else []
+    edges = _edges(ids, -(-seen.nulls * wanted // max(seen.n, 1)))
+    key, tie = F.col("doc_id"), F.col("tie")
+    known = F.arrays_zip(F.lit([k for k, _ in edges]).cast("array<bigint>").alias("id"), F.lit([t for _, t in edges]).cast("array<bigint>").alias("tie"))
+
+    def begun(e: Column) -> Column:
+        return F.when(e["id"].isNull(), key.isNotNull() | (e["tie"] <= tie)).otherwise(F.coalesce((e["id"] < key) | ((e["id"] == key) & (e["tie"] <= tie)), F.lit(False)))
+
+    dealt = tied.withColumn("bucket", (F.size(F.filter(known, begun)) if edges else F.lit(0)).cast("int"))
+    rows = dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("low")).orderBy("bucket").collect()
+    low_id: list[int | None] = [None] * (len(edges) + 1)
+    low_tie: list[int | None] = [None] * (len(edges) + 1)
     before = [0] * (len(edges) + 1)
     for i, r in enumerate(rows):
-        low[r.bucket], before[r.bucket] = None if r.nulls else r.low, rows[i - 1].bucket
-    own, first, to = F.col("bucket"), F.lit(low).cast("array<bigint>"), F.lit(before).cast("array<int>")
-    # ranges that a long id fills: its rows may be many, and all of them stand in the halo, in order
-    at = F.when(first[own].eqNullSafe(F.col("doc_id")), F.array(F.struct(own.alias("bucket"), F.lit(0).alias("halo")), F.struct(to[own].alias("bucket"), F.lit(1).alias("halo")))).otherwise(F.array(F.struct(own.alias("bucket"), F.lit(0).alias("halo"))))
-    return dealt.select("doc_id", "text", F.explode(at).alias("at")).select("doc_id", "text", "at.bucket", "at.halo")
+        low_id[r.bucket], low_tie[r.bucket], before[r.bucket] = r.low.doc_id, r.low.tie, rows[i - 1].bucket
+    own = F.col("bucket")
+    first_id, first_tie, to = (F.lit(v).cast(f"array<{t}>") for v, t in ((low_id, "bigint"), (low_tie, "bigint"), (before, "int")))
+    here, there = F.struct(own.alias("bucket"), F.lit(0).alias("halo")), F.struct(to[own].alias("bucket"), F.lit(1).alias("halo"))
+    at = F.when(first_id[own].eqNullSafe(key) & (first_tie[own] == tie), F.array(here, there)).otherwise(F.array(here))
+    return dealt.select("doc_id", "tie", "text", F.explode(at).alias("at")).select("doc_id", "tie", "text", "at.bucket", "at.halo")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,12 +172,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has, for the last half of the text's code points, the first as many of the next text in ascending order of id, of the
     first after the last; near_next is the likeness to that text. One shuffle moves texts; all that follows is done within its buckets.
 
-    Null text: empty. Empty texts are alike. Very long texts are taken whole. Null ids come first. Rows that share an id are in order of text, and so repeated rows
+    Null text: empty. Empty texts are alike. Very long texts are taken whole. Null ids come first. Rows that share an id are in order of a hash of their text, and so repeated rows
     follow one another. A table of one row: it is its own next. Empty table: no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lex = lexicon(rows)
-    order = Window.partitionBy("bucket").orderBy("halo", F.col("doc_id").asc_nulls_first(), "text")
+    order = Window.partitionBy("bucket").orderBy("halo", F.col("doc_id").asc_nulls_first(), "tie", "text")
     follows = _in_order(rows).withColumns({"row": F.row_number().over(order), "next": F.lead("text").over(order), "n_chars": F.char_length("text").cast("long")})
     half = "cast(n_chars div 2 as int)"
     edited = F.when(F.col("halo") == 0, F.concat(F.expr(f"substring(text, 1, cast(n_chars as int) - {half})"), F.expr(f"substring(coalesce(next, ''), 1, {half})")))

@@ -107,6 +107,26 @@ def test_fingerprints_against_plain_loops(spark, monkeypatch):
         assert sorted(imatch.fingerprints(docs).collect()) == sorted(got)
 
 
+def test_texts_under_one_id_fill_several_buckets(spark):
+    """Texts without an id, and many under one: every row is followed by the next of all, and no bucket has more than its share."""
+    rng = random.Random(3)
+    rows = [(None, prose(rng, 5)) for _ in range(150)] + [(7, prose(rng, 5)) for _ in range(200)] + [(i, prose(rng, 5)) for i in range(20, 60)] + [(7, "a copy")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = imatch._in_order(docs).collect()
+    sizes = Counter(r.bucket for r in dealt if r.halo == 0)
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 60
+    every = sorted((r.doc_id is not None, r.doc_id or 0, r.tie, r.text) for r in dealt if r.halo == 0)
+    follows = {}
+    for bucket in sizes:
+        own = sorted((r.halo, r.doc_id is not None, r.doc_id or 0, r.tie, r.text) for r in dealt if r.bucket == bucket)
+        for a, b in zip(own, own[1:]):
+            if a[0] == 0:
+                follows.setdefault(a[1:], set()).add(b[1:])
+    for a, b in zip(every, [*every[1:], every[0]], strict=True):
+        assert b in follows[a]
+    assert imatch.fingerprints(docs).count() == len(rows)
+
+
 def test_half_an_edit_is_nearer_than_the_next_document(spark):
     rows = imatch.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     assert np.mean([r.near_edited > r.near_next for r in rows]) >= 0.95
