@@ -17,7 +17,8 @@ from .test_tokens_packing_rans import library_ids
 def test_pipeline_against_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    rows = {r.doc_id: r.text for r in langid.identify(docs, langid.learn(docs)).where("lang_pred <> 'und'").collect()}
+    judged = loops_of_the_language_stage([(r.doc_id, r.text, r.lang) for r in docs.collect()])
+    rows = {r.doc_id: r.text for r in docs.collect() if judged[r.doc_id][1] >= langid.LEAST_SHARE}
     lines = brute_lines(list(rows.items()))
     out = {}
     for k, text in rows.items():
@@ -83,18 +84,96 @@ def test_language_rejects_short_junk(spark):
     assert stay[0] <= 0.05 and stay[1] >= 0.99, stay
 
 
-def test_the_share_of_trigrams_against_sets(spark):
-    """Trigrams of the sample, in wide scripts too, and a text's share of them, counted with Python's sets."""
-    texts = [("xx", "一二三 四五"), ("xx", "𝒳𝒴 ab"), ("yy", "ab cd"), (None, "zz")]
-    labelled = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts)], "doc_id long, text string, lang string")
-    profiles = langid.learn(labelled)
+def loops_of_the_language_stage(docs):
+    """Of each document, by loops: the language and share by prototypes that all other labelled documents teach."""
+    grams, known = langid.Trigrams(langid.STRETCH_DIMENSIONS), {}
 
-    def grams(text):
-        padded = f" {langid.letters_of(text.lower()).strip()} "
-        return {padded[i : i + 3] for i in range(len(padded) - 2)}
+    def stretches(text):
+        codes = grams.codes([text])[0].tolist()
+        n = max(len(codes) // langid.STRETCH, 1)
+        out = [[] for _ in range(n)]
+        for i, c in enumerate(codes):
+            out[i * n // len(codes)].append(c)
+        return out
 
-    known = {k: set().union(*[grams(t) for own, t in texts if own == k]) for k in profiles.languages}
-    for text in ("一二三", "ab", "ab 四五 q", "zz", "𝒳𝒴"):
-        own = grams(text)
-        assert profiles.share(text) == max(len(own & known[k]) / len(own) for k in known), text
-    assert profiles.share("") == 0 == profiles.share(None)
+    def total(codes):
+        codes = np.array(sorted(codes), np.int64)
+        return sum((grams.vectors(codes[i : i + 500]).astype(float).sum(axis=0) for i in range(0, len(codes), 500)), np.zeros(langid.STRETCH_DIMENSIONS))
+
+    for k, text, lang in docs:
+        cut = stretches(text or "")
+        bundle = total({c for s in cut for c in s})
+        known[k] = cut, lang, bundle / max(np.linalg.norm(bundle), 1e-12), sum(total(set(s)) for s in cut), sum(len(set(s)) for s in cut)
+    langs = sorted({v[1] for v in known.values() if v[1] is not None and v[4]})
+    sums = {x: [sum(v[i] for v in known.values() if v[1] == x) for i in (2, 3, 4)] for x in langs}
+    out = {}
+    for k, (cut, lang, *own) in known.items():
+        votes = dict.fromkeys(langs, 0)
+        for s in cut:
+            best, which = -np.inf, None
+            vector = total(set(s)) / max(len(set(s)), 1)
+            for x in langs:
+                bundle, stretch, n = (a - b if x == lang else a for a, b in zip(sums[x], own, strict=True))
+                p = bundle / max(np.linalg.norm(bundle), 1e-12)
+                usual = stretch @ p / max(n, 1)
+                ratio = vector @ p / usual if usual > 0 else -np.inf
+                if ratio > best:
+                    best, which = ratio, x
+            if best >= langid.NEAR_ENOUGH:
+                votes[which] += len(s)
+        n = sum(map(len, cut))
+        out[k] = max(langs, key=lambda x: (votes[x], -langs.index(x))) if any(votes.values()) else None, sum(votes.values()) / max(n, 1)
+    return out
+
+
+def test_shares_against_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect() if len(r.text or "") < 3000][:60]
+    rows += [(9001, "zq xj " * 100 + (rows[0][1] or "") * 2, None), (9002, None, "en"), (9003, "1 2 3", "en"), (9004, "", None), (9005, "der die das und ist", "xx"), (9006, "ωψ" * 400, "yy")]
+    want = loops_of_the_language_stage(rows)
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = langid.within(given, langid.learn_stretches(given), least=0.0).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lang, share = want[r.doc_id]
+        assert abs(r.share - share) < 1e-9 and r.lang_pred == (lang or "und"), r
+    # what a document alone has taught doesn't speak for it
+    assert want[9005][0] != "xx" and want[9006][0] != "yy"
+
+
+def test_language_stage_takes_labelled_junk_like_other_junk(spark):
+    """Short junk under a label of a language teaches nothing about itself."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(8)
+    junk = [(100_000 + i, prose(rng, rng.randint(2, 5)), "en" if i % 2 else None, "planted", 9) for i in range(400)]
+    both = docs.select(*corpus_pipeline.COLUMNS).unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = [r.doc_id for r in corpus_pipeline.language(spark, both, "").where("source = 'planted'").collect()]
+    labelled, plain = len([i for i in kept if i % 2]) / 200, len([i for i in kept if i % 2 == 0]) / 200
+    assert labelled <= 0.05 and plain <= 0.05, (labelled, plain)
+
+
+def test_language_stage_decides_by_the_share_of_a_text(spark):
+    """Texts that are mostly junk go and texts with some junk stay; each has the language found, and only wanted languages count."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rng = random.Random(9)
+    clean = [(r.text.split(), r.lang) for r in docs.where(langid.held_out()).where("length(text) > 600").limit(120).collect()]
+    rows = []
+    for i, (words, lang) in enumerate(clean):
+        half = words[:60]
+        rows.append((200_000 + i, " ".join(half[:20]) + " " + prose(rng, 180), None, "mostly junk", 1))
+        rows.append((300_000 + i, " ".join(half) + " " + prose(rng, 12), lang, "some junk", 1))
+    planted = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    both = docs.where(~langid.held_out()).unionByName(planted.withColumn("lang", F.lit(None).cast("string")))
+    got = corpus_pipeline.language(spark, both, "").where("doc_id >= 200000").collect()
+    assert len([r for r in got if r.source == "mostly junk"]) <= 0.03 * len(clean)
+    some = {r.doc_id: r.lang for r in got if r.source == "some junk"}
+    assert len(some) >= 0.98 * len(clean)
+    assert sum(some.get(300_000 + i) == lang for i, (_, lang) in enumerate(clean)) >= 0.97 * len(clean)
+    french = langid.within(docs, langid.learn_stretches(docs), ("fr",)).where("lang_pred <> 'und'").select("lang", "lang_pred").collect()
+    assert {r.lang_pred for r in french} == {"fr"} and sum(r.lang == "fr" for r in french) >= 0.95 * len(french)
+
+
+def test_stretches_are_even():
+    codes, of = np.arange(700), np.repeat([0, 2, 3], [10, 520, 170])
+    stretch, text = langid.stretched(codes, of, 5)
+    assert np.bincount(stretch, minlength=len(text)).tolist() == [10, 0, 174, 173, 173, 170, 0] and text.tolist() == [0, 1, 2, 2, 2, 3, 4]
