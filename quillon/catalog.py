@@ -61,7 +61,11 @@ def asof_truncate(spark, sf_dir):
 
 @query
 def half_open_range(spark, sf_dir):
-    return rounded(source.within(source.bars(spark, sf_dir), "1996-01-01", "1997-01-06", half_open=True).select("ticker", "date", "close"))
+    return rounded(
+        source.within(source.bars(spark, sf_dir), "1996-01-01", "1997-01-06", half_open=True).select(
+            "ticker", "date", "close"
+        )
+    )
 
 
 @query
@@ -81,7 +85,11 @@ def returns(spark, sf_dir):
 
 @query
 def beta_residual(spark, sf_dir):
-    return rounded(features.residuals(dense(spark, sf_dir), source.market(spark, sf_dir)).select("ticker", "date", "bench", "beta", "resid"))
+    return rounded(
+        features.residuals(dense(spark, sf_dir), source.market(spark, sf_dir)).select(
+            "ticker", "date", "bench", "beta", "resid"
+        )
+    )
 
 
 @query
@@ -110,17 +118,34 @@ def rolling_median_correlation(spark, sf_dir):
 
 
 def log_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.market(spark, sf_dir).select("date", (F.ln("market") - F.ln(F.lag("market").over(by_date()))).alias("f"))
+    return source.market(spark, sf_dir).select(
+        "date", (F.ln("market") - F.ln(F.lag("market").over(by_date()))).alias("f")
+    )
 
 
 @query
 def residualize(spark, sf_dir):
-    return rounded(correlation.residualize(features.returns(dense(spark, sf_dir)), log_factor(spark, sf_dir)).select("ticker", "date", "resid"))
+    return rounded(
+        correlation.residualize(features.returns(dense(spark, sf_dir)), log_factor(spark, sf_dir)).select(
+            "ticker", "date", "resid"
+        )
+    )
 
 
 @query
 def indicators_(spark, sf_dir):
-    return rounded(indicators.indicators(source.bars(spark, sf_dir)).select("ticker", "date", "rsi", "williams_r", "stretch_z", "volume_signal", "divergence", "confirmed"))
+    return rounded(
+        indicators.indicators(source.bars(spark, sf_dir)).select(
+            "ticker",
+            "date",
+            "rsi",
+            "williams_r",
+            "stretch_z",
+            "volume_signal",
+            "divergence",
+            "confirmed",
+        )
+    )
 
 
 QUERIES["indicators"] = QUERIES.pop("indicators_")
@@ -133,7 +158,9 @@ def cluster_washout(spark, sf_dir):
 
 def alarmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = held(spark, sf_dir)
-    return indicators.alarms(own, source.panel(own, values=("close", "volume", "high", "low")), alarm_gate=20.0, washout_gate=-0.5)
+    return indicators.alarms(
+        own, source.panel(own, values=("close", "volume", "high", "low")), alarm_gate=20.0, washout_gate=-0.5
+    )
 
 
 @query
@@ -196,7 +223,14 @@ def first_hit_labels(spark, sf_dir):
 @query
 def forward_returns(spark, sf_dir):
     rows, w = features.returns(dense(spark, sf_dir)), by_ticker()
-    return rounded(rows.select("ticker", "date", labels.forward_return(F.col("close"), w, 5).alias("forward_5"), forward_compound(F.col("ret"), w, 5).alias("compound_5")))
+    return rounded(
+        rows.select(
+            "ticker",
+            "date",
+            labels.forward_return(F.col("close"), w, 5).alias("forward_5"),
+            forward_compound(F.col("ret"), w, 5).alias("compound_5"),
+        )
+    )
 
 
 @query
@@ -210,7 +244,9 @@ def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def signal_matches(spark, sf_dir):
-    return rounded(evaluate.matches(signalled(spark, sf_dir), 10).select("ticker", "pos", "label_pos", "lead", "matched"))
+    return rounded(
+        evaluate.matches(signalled(spark, sf_dir), 10).select("ticker", "pos", "label_pos", "lead", "matched")
+    )
 
 
 @query
@@ -237,7 +273,15 @@ def folds(spark, sf_dir):
 
 @query
 def gate_search(spark, sf_dir):
-    return rounded(evaluate.gate_search(signalled(spark, sf_dir), evaluate.expanding_folds(spark, "1995-01-02", "2001-06-30", 3), (5, 10, 15, 20, 25), 10, -0.5))
+    return rounded(
+        evaluate.gate_search(
+            signalled(spark, sf_dir),
+            evaluate.expanding_folds(spark, "1995-01-02", "2001-06-30", 3),
+            (5, 10, 15, 20, 25),
+            10,
+            -0.5,
+        )
+    )
 
 
 @query
@@ -247,13 +291,19 @@ def purged_splits(spark, sf_dir):
 
 @query
 def prediction_metrics(spark, sf_dir):
-    rows = source.table(spark, sf_dir, "orders").select((F.col("o_totalprice") % 101 / 101).alias("x"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("target"), (F.col("o_custkey") % 21 / 100.0 - 0.1).alias("future"))
+    rows = source.table(spark, sf_dir, "orders").select(
+        (F.col("o_totalprice") % 101 / 101).alias("x"),
+        (F.col("o_orderkey") % 3 == 0).cast("int").alias("target"),
+        (F.col("o_custkey") % 21 / 100.0 - 0.1).alias("future"),
+    )
     return rounded(evaluate.prediction_metrics(rows.withColumn("probability", F.round("x", 2))))
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("ts").cast("date")
-    return source.table(spark, sf_dir, "events").select("user_id", day.alias("start"), F.date_add(day, (F.col("event_id") % 4).cast("int")).alias("end"))
+    return source.table(spark, sf_dir, "events").select(
+        "user_id", day.alias("start"), F.date_add(day, (F.col("event_id") % 4).cast("int")).alias("end")
+    )
 
 
 @query
@@ -263,7 +313,9 @@ def interval_union(spark, sf_dir):
 
 @query
 def interval_gaps(spark, sf_dir):
-    wanted = coverage(spark, sf_dir).select("user_id").distinct().select("user_id", F.lit("2024-01-01").cast("date").alias("low"), F.lit("2024-02-01").cast("date").alias("high"))
+    wanted = coverage(spark, sf_dir).select("user_id").distinct().select(
+        "user_id", F.lit("2024-01-01").cast("date").alias("low"), F.lit("2024-02-01").cast("date").alias("high")
+    )
     return intervals.missing(coverage(spark, sf_dir), wanted, "user_id")
 
 
@@ -275,7 +327,11 @@ def refresh_gaps(spark, sf_dir):
 @query
 def merge_keep_last(spark, sf_dir):
     own = source.bars(spark, sf_dir)
-    return rounded(source.merged(source.as_of(own, "1999-12-31"), own.where("date >= '1999-06-01'").withColumn("close", F.col("close") * 2)).select("ticker", "date", "close"))
+    return rounded(
+        source.merged(
+            source.as_of(own, "1999-12-31"), own.where("date >= '1999-06-01'").withColumn("close", F.col("close") * 2)
+        ).select("ticker", "date", "close")
+    )
 
 
 @query
@@ -286,7 +342,16 @@ def checksums(spark, sf_dir):
 
 #: What a share of the exported names has before and after it, by p_partkey % 13.
 PREFIXES = {3: "United ", 8: "Bright "}
-SUFFIXES = {0: " Warrant", 1: " Warrants", 2: " Rights", 4: " Unit", 5: " Preference Shares", 6: " Depositary Shares", 7: " Notes Due 2030", 9: " Bonds"}
+SUFFIXES = {
+    0: " Warrant",
+    1: " Warrants",
+    2: " Rights",
+    4: " Unit",
+    5: " Preference Shares",
+    6: " Depositary Shares",
+    7: " Notes Due 2030",
+    9: " Bonds",
+}
 
 
 def _by_number(parts: dict[int, str]) -> Column:
@@ -299,11 +364,21 @@ def _by_number(parts: dict[int, str]) -> Column:
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as a screener's export: place, symbol, name, industry, sector, country, market_cap as text. Some symbols are odd, some names no stock's."""
     part, k = source.table(spark, sf_dir, "part"), F.col("p_partkey")
-    symbol = F.concat(F.when(k % 29 == 0, "9").otherwise("s"), k % 700, F.when(k % 5 == 0, "/b").when(k % 7 == 0, ".c").otherwise(""))
+    symbol = F.concat(
+        F.when(k % 29 == 0, "9").otherwise("s"), k % 700, F.when(k % 5 == 0, "/b").when(k % 7 == 0, ".c").otherwise("")
+    )
     name = F.concat(_by_number(PREFIXES), F.col("p_name"), _by_number(SUFFIXES))
     country = F.when(F.col("p_size") % 2 == 0, "France").otherwise("Japan")
     cap = F.concat(F.lit("$"), (F.col("p_retailprice") * 100).cast("long"))
-    return part.select(k.alias("place"), symbol.alias("symbol"), name.alias("name"), F.col("p_type").alias("industry"), F.col("p_brand").alias("sector"), country.alias("country"), cap.alias("market_cap"))
+    return part.select(
+        k.alias("place"),
+        symbol.alias("symbol"),
+        name.alias("name"),
+        F.col("p_type").alias("industry"),
+        F.col("p_brand").alias("sector"),
+        country.alias("country"),
+        cap.alias("market_cap"),
+    )
 
 
 @query
@@ -331,7 +406,9 @@ def universe_screen(spark, sf_dir):
 
 @query
 def universe_edit(spark, sf_dir):
-    nation = source.table(spark, sf_dir, "nation").select(F.col("n_name").alias("ticker"), F.col("n_nationkey").alias("place"))
+    nation = source.table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("ticker"), F.col("n_nationkey").alias("place")
+    )
     return universe.resolved(nation, ["atlantis", "FRANCE"], ["japan"], 20)
 
 
@@ -353,35 +430,73 @@ THEMES = {"metal": ["steel", "tin", "copper"], "shape": ["ring", "bolt", "gear"]
 def theme_scope(spark, sf_dir):
     part = source.table(spark, sf_dir, "part")
     found = universe.themes(F.concat_ws(" ", "p_name", "p_type"), THEMES)
-    return part.select("p_partkey", F.concat_ws("|", found).alias("themes"), universe.in_scope(F.col("p_brand"), found, ["Brand#1"]).alias("in_scope"))
+    return part.select(
+        "p_partkey",
+        F.concat_ws("|", found).alias("themes"),
+        universe.in_scope(F.col("p_brand"), found, ["Brand#1"]).alias("in_scope"),
+    )
 
 
 def symbols_and_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers as listed symbols (ticker, name, exchange, etf), parts as the profiles of some of them (ticker, long_name, industry, summary)."""
     supplier, part = source.table(spark, sf_dir, "supplier"), source.table(spark, sf_dir, "part")
     k, p = F.col("s_suppkey"), F.col("p_partkey")
-    name = F.concat(F.when(k % 4 == 0, "Tin Gear ").otherwise(""), "s_name", F.when(k % 9 == 0, " Warrant").otherwise(""))
-    listed = supplier.select(F.concat(F.lit("S"), k).alias("ticker"), name.alias("name"), F.when(k % 3 == 0, "NYSE").when(k % 3 == 1, "NASDAQ").alias("exchange"), (k % 11 == 0).alias("etf"))
-    known = part.where(p % 3 != 0).select(F.concat(F.lit("S"), p).alias("ticker"), F.when(p % 4 > 0, F.col("p_name")).alias("long_name"), F.col("p_brand").alias("industry"), F.col("p_type").alias("summary"))
+    name = F.concat(
+        F.when(k % 4 == 0, "Tin Gear ").otherwise(""), "s_name", F.when(k % 9 == 0, " Warrant").otherwise("")
+    )
+    listed = supplier.select(
+        F.concat(F.lit("S"), k).alias("ticker"),
+        name.alias("name"),
+        F.when(k % 3 == 0, "NYSE").when(k % 3 == 1, "NASDAQ").alias("exchange"),
+        (k % 11 == 0).alias("etf"),
+    )
+    known = part.where(p % 3 != 0).select(
+        F.concat(F.lit("S"), p).alias("ticker"),
+        F.when(p % 4 > 0, F.col("p_name")).alias("long_name"),
+        F.col("p_brand").alias("industry"),
+        F.col("p_type").alias("summary"),
+    )
     return listed, known
 
 
 def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, date, close, volume: a supplier's weeks."""
-    line = source.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), "l_extendedprice", "l_quantity")
+    line = source.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("S"), "l_suppkey").alias("ticker"),
+        F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
+        "l_extendedprice",
+        "l_quantity",
+    )
     total = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
-    return line.groupBy("ticker", "date").agg((total / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
+    return line.groupBy("ticker", "date").agg(
+        (total / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume")
+    )
 
 
 @query
 def universe_built(spark, sf_dir):
     listed, known = symbols_and_profiles(spark, sf_dir)
-    return rounded(universe.built(listed, known, supplier_bars(spark, sf_dir), THEMES, ["Brand#1", "Brand#23"], 1400.0, 60000.0, 160), last_close=9, median_dollar_volume=3)
+    return rounded(
+        universe.built(
+            listed,
+            known,
+            supplier_bars(spark, sf_dir),
+            THEMES,
+            ["Brand#1", "Brand#23"],
+            1400.0,
+            60000.0,
+            160,
+        ),
+        last_close=9,
+        median_dollar_volume=3,
+    )
 
 
 @query
 def enrichment_candidates(spark, sf_dir):
-    return universe.candidates(symbols_and_profiles(spark, sf_dir)[0], THEMES, ["S11", "S22"], ["S5", "S9", "S33"]).select("ticker", "name", "exchange")
+    return universe.candidates(
+        symbols_and_profiles(spark, sf_dir)[0], THEMES, ["S11", "S22"], ["S5", "S9", "S33"]
+    ).select("ticker", "name", "exchange")
 
 
 @query
@@ -389,20 +504,35 @@ def day_files(spark, sf_dir):
     """The bars as binary day files, of which some tickers' days are read back by a provider's range."""
     path = f"{root(spark)}/quillon-dayfiles-{uuid.uuid4().hex}"
     dayfiles.write(source.bars(spark, sf_dir), path)
-    back = provider.prices(spark, "dayfiles", "1995-01-02", "1997-06-30", ["NATION_3", "nation_7", "NATION_11", "NATION_24"], path)
+    back = provider.prices(
+        spark, "dayfiles", "1995-01-02", "1997-06-30", ["NATION_3", "nation_7", "NATION_11", "NATION_24"], path
+    )
     return rounded(back.where("close is not null"), 3)
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     customer = source.table(spark, sf_dir, "customer")
-    rows = customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("symbol"), F.concat(F.lit("N"), "c_custkey").alias("name"), F.lit("tech").alias("sector"), F.col("c_mktsegment").alias("industry"), F.lit("US").alias("country"), F.when(F.col("c_custkey") % 4 > 0, 2010 + F.col("c_custkey") % 14).alias("ipo_year"), F.abs("c_acctbal").alias("market_cap"))
-    return rows.where("k % 3 <> 0").drop("k"), rows.where("k % 5 <> 0").withColumn("market_cap", F.col("market_cap") + 1).drop("k")
+    rows = customer.select(
+        F.col("c_custkey").alias("k"),
+        F.col("c_name").alias("symbol"),
+        F.concat(F.lit("N"), "c_custkey").alias("name"),
+        F.lit("tech").alias("sector"),
+        F.col("c_mktsegment").alias("industry"),
+        F.lit("US").alias("country"),
+        F.when(F.col("c_custkey") % 4 > 0, 2010 + F.col("c_custkey") % 14).alias("ipo_year"),
+        F.abs("c_acctbal").alias("market_cap"),
+    )
+    return rows.where("k % 3 <> 0").drop("k"), rows.where("k % 5 <> 0").withColumn(
+        "market_cap", F.col("market_cap") + 1
+    ).drop("k")
 
 
 @query
 def universe_sync(spark, sf_dir):
     first, second = manifests(spark, sf_dir)
-    return rounded(universe.synced(universe.synced(None, first, "2024-01-15", "2018-01-01"), second, "2024-02-15", "2018-01-01"))
+    return rounded(
+        universe.synced(universe.synced(None, first, "2024-01-15", "2018-01-01"), second, "2024-02-15", "2018-01-01")
+    )
 
 
 @query
@@ -421,7 +551,12 @@ def membership_mask(spark, sf_dir):
 @query
 def set_changes(spark, sf_dir):
     first, second = (d.select("symbol") for d in manifests(spark, sf_dir))
-    marked = [d.withColumn("change", F.lit(c)) for d, c in ((second.exceptAll(first), "added"), (first.exceptAll(second), "removed"), (first.intersect(second), "kept"))]
+    marked = [
+        d.withColumn("change", F.lit(c))
+        for d, c in (
+            (second.exceptAll(first), "added"), (first.exceptAll(second), "removed"), (first.intersect(second), "kept")
+        )
+    ]
     return marked[0].unionByName(marked[1]).unionByName(marked[2])
 
 
@@ -429,23 +564,53 @@ def set_changes(spark, sf_dir):
 def signals(spark, sf_dir):
     rows = features.group_features(dense(spark, sf_dir), source.market(spark, sf_dir))
     k = F.row_number().over(Window.orderBy("date"))
-    given = rows.withColumns({"k": k}).withColumns({"p": F.when(F.col("k") % 7 > 0, F.col("k") % 10 / 10.0), "bull": F.col("k") % 3 / 2.0, "bear": F.col("k") % 4 / 3.0})
-    return given.select("date", models.signal(F.col("p"), F.col("bull"), F.col("bear"), F.col("breadth_above_ma20"), F.col("relative_return_20"), wide=0.5, narrow=0.5).alias("signal"))
+    given = rows.withColumns({"k": k}).withColumns(
+        {
+            "p": F.when(F.col("k") % 7 > 0, F.col("k") % 10 / 10.0),
+            "bull": F.col("k") % 3 / 2.0,
+            "bear": F.col("k") % 4 / 3.0,
+        }
+    )
+    return given.select(
+        "date",
+        models.signal(
+            F.col("p"),
+            F.col("bull"),
+            F.col("bear"),
+            F.col("breadth_above_ma20"),
+            F.col("relative_return_20"),
+            wide=0.5,
+            narrow=0.5,
+        ).alias("signal"),
+    )
 
 
 @query
 def alerts(spark, sf_dir):
     own = dense(spark, sf_dir)
     rows = features.sector_features(own).join(correlation.rolling_median(features.returns(own)), "date", "left")
-    given = rows.select("date", F.col("drawdown_60d").alias("drawdown"), F.col("median_pairwise_correlation").alias("correlation"), F.col("breadth_thrust_5d").alias("thrust"))
-    given = given.withColumn("probability", models.heuristic_probability(F.col("drawdown"), F.col("thrust"), F.lit(0.3)))
-    return rounded(models.alert(given, least_correlation=-0.05, least_probability=0.6).select("date", "probability", "watch", "triggered"))
+    given = rows.select(
+        "date",
+        F.col("drawdown_60d").alias("drawdown"),
+        F.col("median_pairwise_correlation").alias("correlation"),
+        F.col("breadth_thrust_5d").alias("thrust"),
+    )
+    given = given.withColumn(
+        "probability", models.heuristic_probability(F.col("drawdown"), F.col("thrust"), F.lit(0.3))
+    )
+    return rounded(
+        models.alert(given, least_correlation=-0.05, least_probability=0.6).select(
+            "date", "probability", "watch", "triggered"
+        )
+    )
 
 
 @query
 def latest_signal(spark, sf_dir):
     """The last date that has a signal, as one row."""
-    return signals(spark, sf_dir).where("signal <> 'unavailable'").agg(F.max("date").alias("date"), F.max_by("signal", "date").alias("signal"))
+    return signals(spark, sf_dir).where("signal <> 'unavailable'").agg(
+        F.max("date").alias("date"), F.max_by("signal", "date").alias("signal")
+    )
 
 
 @query
@@ -455,7 +620,11 @@ def top_strength(spark, sf_dir):
 
 
 #: The plans over the test tables: weeks for days, regions for clusters.
-SETTINGS = Config(washout_gate=-0.5, alarm_gate=20.0, backtest=Backtest("1995-01-02", "2001-06-30", 3, 1, 5, 20, 0.05, (5, 10, 20), (5, 10, 15, 20, 25), 50))
+SETTINGS = Config(
+    washout_gate=-0.5,
+    alarm_gate=20.0,
+    backtest=Backtest("1995-01-02", "2001-06-30", 3, 1, 5, 20, 0.05, (5, 10, 20), (5, 10, 15, 20, 25), 50),
+)
 
 
 @query
@@ -467,12 +636,16 @@ def screen(spark, sf_dir):
 
 @query
 def correlation_clusters(spark, sf_dir):
-    return rounded(correlation.clusters(correlation.correlation(features.returns(dense(spark, sf_dir)), "log_ret"), 0.05, 3))
+    return rounded(
+        correlation.clusters(correlation.correlation(features.returns(dense(spark, sf_dir)), "log_ret"), 0.05, 3)
+    )
 
 
 @query
 def rolling_pca_residual(spark, sf_dir):
-    return rounded(correlation.rolling_pca(features.residuals(dense(spark, sf_dir), source.market(spark, sf_dir)), 126, "resid"))
+    return rounded(
+        correlation.rolling_pca(features.residuals(dense(spark, sf_dir), source.market(spark, sf_dir)), 126, "resid")
+    )
 
 
 @query
@@ -483,11 +656,15 @@ def rolling_pca_sector(spark, sf_dir):
 @query
 def hmm_regimes(spark, sf_dir):
     rows = features.group_features(dense(spark, sf_dir), source.market(spark, sf_dir))
-    return rounded(models.walk_forward_regimes(rows, ["group_return", "realized_volatility", "breadth_above_ma20"], 200, 42))
+    return rounded(
+        models.walk_forward_regimes(rows, ["group_return", "realized_volatility", "breadth_above_ma20"], 200, 42)
+    )
 
 
 def regimes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return regime.run(dense(spark, sf_dir), source.market(spark, sf_dir), horizon=10, pca_window=60, least=120, learn=60)
+    return regime.run(
+        dense(spark, sf_dir), source.market(spark, sf_dir), horizon=10, pca_window=60, least=120, learn=60
+    )
 
 
 @query
@@ -503,12 +680,14 @@ def regime_importance(spark, sf_dir):
 @query
 def causal_regimes(spark, sf_dir):
     rows = features.sector_features(dense(spark, sf_dir))
-    return rounded(models.causal_regimes(rows, ["sector_return_5d", "sector_return_20d", "realized_vol_20d", "drawdown_60d"]))
+    return rounded(
+        models.causal_regimes(rows, ["sector_return_5d", "sector_return_20d", "realized_vol_20d", "drawdown_60d"])
+    )
 
 
 @query
 def sector_alert(spark, sf_dir):
-    rows = dense(spark, sf_dir)
+    rows = written(dense(spark, sf_dir), "panel")
     return rounded(sector.latest_alert(sector.analyse(rows), sector.ranking(rows)))
 
 
@@ -551,10 +730,18 @@ def screen_clusters(spark, sf_dir):
 def large_split(spark, sf_dir):
     """The first split of boosted trees over all line items: whether one is returned, from four columns."""
     columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
-    rows = source.table(spark, sf_dir, "lineitem").select(*columns, (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+    rows = source.table(spark, sf_dir, "lineitem").select(
+        *columns, (F.col("l_returnflag") == "R").cast("int").alias("returned")
+    )
     model = largeboost.fit_large(rows, columns, "returned", BoostedTrees(1, 1, rows=1.0, columns=1.0))
-    found = [(columns[t.feature], t.cut, float(model.gain[t.feature]), t.left.weight, t.right.weight) for t in model.grown if t.feature >= 0]
-    return rounded(spark.createDataFrame(found, "feature string, cut double, gain double, left_weight double, right_weight double"))
+    found = [
+        (columns[t.feature], t.cut, float(model.gain[t.feature]), t.left.weight, t.right.weight)
+        for t in model.grown
+        if t.feature >= 0
+    ]
+    return rounded(
+        spark.createDataFrame(found, "feature string, cut double, gain double, left_weight double, right_weight double")
+    )
 
 
 @query
@@ -562,6 +749,14 @@ def large_importance(spark, sf_dir):
     """Importance in boosted trees of all line items, with columns of many values in bins by quantiles."""
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "day"]
     day = F.unix_date(F.col("l_shipdate").cast("date")).alias("day")
-    rows = source.table(spark, sf_dir, "lineitem").select(*columns[:-1], day, (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+    rows = source.table(spark, sf_dir, "lineitem").select(
+        *columns[:-1], day, (F.col("l_returnflag") == "R").cast("int").alias("returned")
+    )
     model = largeboost.fit_large(rows, columns, "returned", BoostedTrees(4, 3, 0.3))
-    return rounded(spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.importance(), strict=True)], "feature string, importance double"), 4)
+    return rounded(
+        spark.createDataFrame(
+            [(c, float(v)) for c, v in zip(columns, model.importance(), strict=True)],
+            "feature string, importance double",
+        ),
+        4,
+    )

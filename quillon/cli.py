@@ -19,8 +19,20 @@ from quillon.sources import provider, report, store, synthetic
 Command = Callable[[argparse.Namespace, SparkSession], int]
 COMMANDS: dict[str, tuple[Command, str, dict[str, dict]]] = {}
 
-_PLAN = {"--bars": {"help": "a store or a CSV file of bars", "required": True}, "--config": {}, "--profile": {}, "--as-of": {}, "--out": {"required": True}}
-_STORE = {"--store": {"required": True}, "--tickers": {"help": "names with commas, or a text file of a pool", "required": True}, "--start": {"required": True}, "--end": {"required": True}, "--fetcher": {"help": "module:function", "required": True}}
+_PLAN = {
+    "--bars": {"help": "a store or a CSV file of bars", "required": True},
+    "--config": {},
+    "--profile": {},
+    "--as-of": {},
+    "--out": {"required": True},
+}
+_STORE = {
+    "--store": {"required": True},
+    "--tickers": {"help": "names with commas, or a text file of a pool", "required": True},
+    "--start": {"required": True},
+    "--end": {"required": True},
+    "--fetcher": {"help": "module:function", "required": True},
+}
 
 
 def command(name: str, options: dict[str, dict]) -> Callable[[Command], Command]:
@@ -50,7 +62,9 @@ def _export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _bars(spark: SparkSession, path: str) -> DataFrame:
-    return source.cleaned(spark.read.csv(path, header=True)) if path.endswith(".csv") else source.read_store(spark, path)
+    return source.cleaned(
+        spark.read.csv(path, header=True)
+    ) if path.endswith(".csv") else source.read_store(spark, path)
 
 
 def _tickers(spark: SparkSession, given: str) -> list[str]:
@@ -66,7 +80,9 @@ def _fetch(spark: SparkSession, fetcher: str) -> Callable[[DataFrame], DataFrame
     def fetch(gaps: DataFrame) -> DataFrame:
         out = spark.createDataFrame([], source.BARS)
         for (low, high), names in _by_range(gaps).items():
-            got = spark.read.format("bars").options(tickers=",".join(names), start=str(low), end=str(high), fetcher=fetcher).load()
+            got = spark.read.format("bars").options(
+                tickers=",".join(names), start=str(low), end=str(high), fetcher=fetcher
+            ).load()
             out = out.unionByName(got)
         return out
 
@@ -142,14 +158,31 @@ def _leaders(given, spark):
     """Ranked rebound leaders of each cluster: printed, and as CSV."""
     found = screen.screen(*_planned(given, spark))["leaders"]
     report.write_csvs({"rebound_leaders": found}, given.out)
-    found.orderBy("cluster", F.col("rank_in_cluster").asc_nulls_last(), "ticker").select("cluster", "ticker", "rank_in_cluster", "events", "median_rebound_20d", "rebound_ratio_20d", "consistency").show(1000, False)
+    found.orderBy("cluster", F.col("rank_in_cluster").asc_nulls_last(), "ticker").select(
+        "cluster",
+        "ticker",
+        "rank_in_cluster",
+        "events",
+        "median_rebound_20d",
+        "rebound_ratio_20d",
+        "consistency",
+    ).show(1000, False)
     return 0
 
 
-@command("generate-sample", {"--out": {"required": True}, "--periods": {"type": int, "default": 1250}, "--seed": {"type": int, "default": 42}})
+@command(
+    "generate-sample",
+    {"--out": {"required": True}, "--periods": {"type": int, "default": 1250}, "--seed": {"type": int, "default": 42}},
+)
 def _sample(given, spark):
     """Deterministic bars of five tickers and a benchmark, as CSV."""
-    rows = synthetic.bars(spark, ["ALPHA", "BETA", "GAMMA", "DELTA", "EPSILON"], benchmark="MARKET", periods=given.periods, seed=given.seed)
+    rows = synthetic.bars(
+        spark,
+        ["ALPHA", "BETA", "GAMMA", "DELTA", "EPSILON"],
+        benchmark="MARKET",
+        periods=given.periods,
+        seed=given.seed,
+    )
     rows.coalesce(1).write.mode("overwrite").csv(given.out, header=True)
     _say(out=given.out)
     return 0
@@ -158,7 +191,13 @@ def _sample(given, spark):
 @command("demo", {"--out": {"required": True}, "--config": {}, "--profile": {}})
 def _demo(given, spark):
     """The screen of generated bars."""
-    return _written(screen.screen(synthetic.bars(spark, ["AAA", "BBB", "CCC", "DDD", "EEE"], benchmark=None), load(given.config, given.profile)), given.out)
+    return _written(
+        screen.screen(
+            synthetic.bars(spark, ["AAA", "BBB", "CCC", "DDD", "EEE"], benchmark=None),
+            load(given.config, given.profile),
+        ),
+        given.out,
+    )
 
 
 @command("validate", {"--config": {"required": True}, "--profile": {}})
@@ -179,18 +218,40 @@ def _info(given, spark):
 @command("fetch", {**_STORE, "--manifest": {}})
 def _fetched(given, spark):
     """Refreshes a store with what it lacks of a range."""
-    status = store.refresh(spark, given.store, _tickers(spark, given.tickers), given.start, given.end, _fetch(spark, given.fetcher)).groupBy("status").count().collect()
+    status = store.refresh(
+        spark, given.store, _tickers(spark, given.tickers), given.start, given.end, _fetch(spark, given.fetcher)
+    ).groupBy("status").count().collect()
     if given.manifest:
         store.record_stage(given.manifest, "fetch")
     _say(**{r.status: r["count"] for r in status})
     return 0
 
 
-@command("download", {**_STORE, "--least-share": {"type": float, "default": 0.8}, "--summary": {}, "--tail-days": {"type": int, "default": 0}, "--force": {"action": "store_true"}})
+@command(
+    "download",
+    {
+        **_STORE,
+        "--least-share": {"type": float, "default": 0.8},
+        "--summary": {},
+        "--tail-days": {"type": int, "default": 0},
+        "--force": {"action": "store_true"},
+    },
+)
 def _download(given, spark):
     """A refresh with a coverage gate and a summary."""
     try:
-        found = store.download(spark, given.store, _tickers(spark, given.tickers), given.start, given.end, _fetch(spark, given.fetcher), given.least_share, given.summary, given.tail_days, given.force)
+        found = store.download(
+            spark,
+            given.store,
+            _tickers(spark, given.tickers),
+            given.start,
+            given.end,
+            _fetch(spark, given.fetcher),
+            given.least_share,
+            given.summary,
+            given.tail_days,
+            given.force,
+        )
     except RuntimeError as e:
         print(e)
         return 1
@@ -205,7 +266,15 @@ def _industries(given, spark):
     return 0
 
 
-@command("refresh-universe", {"--export": {"required": True}, "--out": {"required": True}, "--least-rows": {"type": int, "default": 1000}, "--most-shrink": {"type": float, "default": 0.30}})
+@command(
+    "refresh-universe",
+    {
+        "--export": {"required": True},
+        "--out": {"required": True},
+        "--least-rows": {"type": int, "default": 1000},
+        "--most-shrink": {"type": float, "default": 0.30},
+    },
+)
 def _refresh_universe(given, spark):
     """A checked export becomes the table of all listed stocks, unless it shrank too much."""
     new = universe.normalised(universe.checked_export(_export(spark, given.export), given.least_rows))
@@ -219,31 +288,64 @@ def _refresh_universe(given, spark):
     return 0
 
 
-@command("resolve", {"--universe": {"required": True}, "--industry": {"required": True}, "--include": {"default": ""}, "--exclude": {"default": ""}, "--most": {"type": int}})
+@command(
+    "resolve",
+    {
+        "--universe": {"required": True},
+        "--industry": {"required": True},
+        "--include": {"default": ""},
+        "--exclude": {"default": ""},
+        "--most": {"type": int},
+    },
+)
 def _resolve(given, spark):
     """The tickers of an industry of the table, with those to include and without those to exclude."""
     rows = universe.by_industry(spark.read.parquet(given.universe), given.industry)
-    base = spark.createDataFrame([(r.symbol, i) for i, r in enumerate(rows.select("symbol").collect())], "ticker string, place long")
-    out = universe.resolved(base, [t for t in given.include.split(",") if t], [t for t in given.exclude.split(",") if t], given.most)
+    base = spark.createDataFrame(
+        [(r.symbol, i) for i, r in enumerate(rows.select("symbol").collect())], "ticker string, place long"
+    )
+    out = universe.resolved(
+        base, [t for t in given.include.split(",") if t], [t for t in given.exclude.split(",") if t], given.most
+    )
     _say(tickers=[r.ticker for r in out.orderBy("place").collect()])
     return 0
 
 
-@command("build-universe", {"--nasdaq": {"required": True}, "--other": {"required": True}, "--profiles": {"required": True}, "--bars": {"required": True}, "--rules": {"help": "YAML or JSON: industry_allow_list, theme_keywords, seed_etfs, seed_tickers, exchanges", "required": True}, "--out": {}, "--dry-run": {"action": "store_true"}})
+@command(
+    "build-universe",
+    {
+        "--nasdaq": {"required": True},
+        "--other": {"required": True},
+        "--profiles": {"required": True},
+        "--bars": {"required": True},
+        "--rules": {
+            "help": "YAML or JSON: industry_allow_list, theme_keywords, seed_etfs, seed_tickers, exchanges",
+            "required": True,
+        },
+        "--out": {},
+        "--dry-run": {"action": "store_true"},
+    },
+)
 def _build(given, spark):
     """Listed symbols with profiles, themes and liquidity: who is in, and why others aren't."""
     rules = store.industries(given.rules)
     nasdaq, other = (spark.read.csv(p, header=True, sep="|") for p in (given.nasdaq, given.other))
     symbols = universe.all_listed(nasdaq, other)
     symbols = symbols.where(F.col("exchange").isin(rules["exchanges"])) if rules.get("exchanges") else symbols
-    found = universe.candidates(symbols, rules["theme_keywords"], rules.get("seed_etfs", []), rules.get("seed_tickers", []))
+    found = universe.candidates(
+        symbols, rules["theme_keywords"], rules.get("seed_etfs", []), rules.get("seed_tickers", [])
+    )
     if given.dry_run or not given.out:
         _say(symbols=symbols.count(), candidates=[r.ticker for r in found.select("ticker").orderBy("ticker").collect()])
         return 0
     profiles = spark.read.parquet(given.profiles)
-    built = universe.built(symbols, profiles, _bars(spark, given.bars), rules["theme_keywords"], rules["industry_allow_list"])
+    built = universe.built(
+        symbols, profiles, _bars(spark, given.bars), rules["theme_keywords"], rules["industry_allow_list"]
+    )
     built.write.mode("overwrite").parquet(given.out)
-    made = spark.read.parquet(given.out).agg(F.count_if("included").alias("included"), F.count("*").alias("evaluated")).first()
+    made = spark.read.parquet(given.out).agg(
+        F.count_if("included").alias("included"), F.count("*").alias("evaluated")
+    ).first()
     _say(included=made.included, evaluated=made.evaluated, out=given.out)
     return 0
 
@@ -259,7 +361,9 @@ def _sync(given, spark):
     """The manifest after an export: screened by the configuration's universe, numbers parsed, and refused if it lost too many members."""
     own = load(given.config, given.profile).universe
     raw = _export(spark, given.export)
-    new = universe.screened(raw, list(own.industries) or None, list(own.countries) or None, own.sector, own.least_cap, top=own.most)
+    new = universe.screened(
+        raw, list(own.industries) or None, list(own.countries) or None, own.sector, own.least_cap, top=own.most
+    )
     new = new.withColumn("ipo_year", F.col("ipo_year").cast("string").try_cast("int"))
     old = _read(spark, given.manifest)
     share = None if old is None else universe.retention(old, new).first()["share"]

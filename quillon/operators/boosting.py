@@ -66,7 +66,11 @@ class BoostedTrees:
         for j in picked:
             rows = order[:, j][inside[order[:, j]]]
             v, left_g, left_h = x[rows, j], np.cumsum(g[rows])[:-1], np.cumsum(h[rows])[:-1]
-            gain = (self.worth(left_g, left_h) + self.worth(total_g - left_g, total_h - left_h) - self.worth(np.array(total_g), np.array(total_h))) / 2
+            gain = (
+                self.worth(left_g, left_h)
+                + self.worth(total_g - left_g, total_h - left_h)
+                - self.worth(np.array(total_g), np.array(total_h))
+            ) / 2
             fit = (v[1:] > v[:-1]) & (left_h >= self.least_weight) & (total_h - left_h >= self.least_weight)
             gain = np.where(fit, gain, 0.0)
             if len(gain) and gain[at := int(gain.argmax())] > best + 1e-12:

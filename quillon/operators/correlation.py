@@ -14,7 +14,17 @@ from quillon.operators.graph import components
 from quillon.operators.pairs import Moving, correlation, pair_values, upper
 from quillon.scratch import dropped, written
 
-__all__ = ["average_linkage", "clusters", "correlation", "distance", "pair_values", "residualize", "rolling_mean", "rolling_median", "rolling_pca"]
+__all__ = [
+    "average_linkage",
+    "clusters",
+    "correlation",
+    "distance",
+    "pair_values",
+    "residualize",
+    "rolling_mean",
+    "rolling_median",
+    "rolling_pca",
+]
 
 
 def distance(rho_pairs: DataFrame) -> DataFrame:
@@ -46,7 +56,9 @@ def _ends(part: pd.DataFrame, window: int) -> tuple[np.ndarray, list[tuple[objec
     wide = part.pivot(index="k", columns="ticker", values="v").sort_index()
     date = part.drop_duplicates("k").set_index("k")["date"]
     first = int(part["chunk"].iloc[0]) * window
-    return wide.to_numpy(float), [(date[k], at) for at, k in enumerate(wide.index) if first <= k < first + window and k >= window - 1]
+    return wide.to_numpy(float), [
+        (date[k], at) for at, k in enumerate(wide.index) if first <= k < first + window and k >= window - 1
+    ]
 
 
 def rolling_mean(returns: DataFrame, window: int = 60) -> DataFrame:
@@ -70,7 +82,9 @@ def rolling_mean(returns: DataFrame, window: int = 60) -> DataFrame:
                 out.append((date, total / n if n else None))
         return pd.DataFrame(out, columns=["date", "average_pairwise_correlation"])
 
-    return _chunked(returns, window, "ret").groupBy("chunk").applyInPandas(mean, "date date, average_pairwise_correlation double")
+    return _chunked(returns, window, "ret").groupBy("chunk").applyInPandas(
+        mean, "date date, average_pairwise_correlation double"
+    )
 
 
 def rolling_median(returns: DataFrame, window: int = 60) -> DataFrame:
@@ -90,7 +104,9 @@ def rolling_median(returns: DataFrame, window: int = 60) -> DataFrame:
                 out.append((date, float(np.median(every)) if len(every) else None))
         return pd.DataFrame(out, columns=["date", "median_pairwise_correlation"])
 
-    return _chunked(returns, window, "ret").groupBy("chunk").applyInPandas(median, "date date, median_pairwise_correlation double")
+    return _chunked(returns, window, "ret").groupBy("chunk").applyInPandas(
+        median, "date date, median_pairwise_correlation double"
+    )
 
 
 def residualize(returns: DataFrame, factor: DataFrame, value: str = "log_ret", least: int = 30) -> DataFrame:
@@ -98,10 +114,18 @@ def residualize(returns: DataFrame, factor: DataFrame, value: str = "log_ret", l
     both = returns.join(F.broadcast(factor), "date", "left")
     used = F.col(value).isNotNull() & F.col("f").isNotNull()
     x, y = F.when(used, F.col("f")), F.when(used, F.col(value))
-    fit = both.groupBy("ticker").agg(F.count(x).alias("n"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("v"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    fit = both.groupBy("ticker").agg(
+        F.count(x).alias("n"),
+        F.covar_pop(x, y).alias("c"),
+        F.var_pop(x).alias("v"),
+        F.avg(x).alias("mx"),
+        F.avg(y).alias("my"),
+    )
     fitted = both.join(fit, "ticker").withColumn("slope", ratio(F.col("c"), F.col("v")))
     line = F.col("my") + F.col("slope") * (F.col("f") - F.col("mx"))
-    return fitted.withColumn("resid", F.when((F.col("n") < least) | F.col("slope").isNull(), F.col(value)).otherwise(F.col(value) - line)).drop("n", "c", "v", "mx", "my", "slope")
+    return fitted.withColumn(
+        "resid", F.when((F.col("n") < least) | F.col("slope").isNull(), F.col(value)).otherwise(F.col(value) - line)
+    ).drop("n", "c", "v", "mx", "my", "slope")
 
 
 def average_linkage(names: list[str], dist: np.ndarray, cut: float) -> list[list[str]]:
@@ -166,10 +190,17 @@ def clusters(rho_pairs: DataFrame, threshold: float = 0.60, least: int = 3) -> D
 
     every = written(distance(rho_pairs), "pairs")
     found = components(every.where(F.col("distance") <= cut).select("a", "b"))
-    inside = every.join(found.select(F.col("node").alias("a"), "component"), "a").join(found.select(F.col("node").alias("b"), "component"), ["b", "component"])
-    linked = written(inside.groupBy("component").applyInPandas(link, "first string, ticker string, mean_correlation double"), "linked")
+    inside = every.join(found.select(F.col("node").alias("a"), "component"), "a").join(
+        found.select(F.col("node").alias("b"), "component"), ["b", "component"]
+    )
+    linked = written(
+        inside.groupBy("component").applyInPandas(link, "first string, ticker string, mean_correlation double"),
+        "linked",
+    )
     # a row a cluster
-    numbered = linked.select("first").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("first")) - 1).cast("int"))
+    numbered = linked.select("first").distinct().withColumn(
+        "cluster", (F.row_number().over(Window.orderBy("first")) - 1).cast("int")
+    )
     dropped(every, found)
     return linked.join(numbered, "first").select("cluster", "ticker", "mean_correlation")
 
@@ -198,6 +229,10 @@ def rolling_pca(returns: DataFrame, window: int, value: str = "ret", complete: b
 
     def component(part: pd.DataFrame) -> pd.DataFrame:
         found = [(date, one(x)) for date, x in _windows(part, window)]
-        return pd.DataFrame([(date, *f) for date, f in found if f is not None], columns=["date", "pca_factor", "pca_explained_variance"])
+        return pd.DataFrame(
+            [(date, *f) for date, f in found if f is not None], columns=["date", "pca_factor", "pca_explained_variance"]
+        )
 
-    return _chunked(returns, window, value).groupBy("chunk").applyInPandas(component, "date date, pca_factor double, pca_explained_variance double")
+    return _chunked(returns, window, value).groupBy("chunk").applyInPandas(
+        component, "date date, pca_factor double, pca_explained_variance double"
+    )

@@ -50,7 +50,14 @@ def boosted_model(parameters: str) -> BoostedTrees:
 
 
 def regimes_row(model: GaussianHmm, columns: list[str], mean: np.ndarray, spread: np.ndarray) -> tuple:
-    arrays = {"start": model.start, "step": model.step, "means": model.means, "covs": model.covs, "mean": mean, "spread": spread}
+    arrays = {
+        "start": model.start,
+        "step": model.step,
+        "means": model.means,
+        "covs": model.covs,
+        "mean": mean,
+        "spread": spread,
+    }
     return REGIMES, VERSION, columns, json.dumps({k: np.asarray(v).tolist() for k, v in arrays.items()}), None
 
 
@@ -79,7 +86,9 @@ def _only(models: DataFrame, kind: str):
     return found[0] if found else None
 
 
-def score_boosted(rows: DataFrame, models: DataFrame, keep: tuple[str, ...] = ("date",), to: str = "probability") -> DataFrame:
+def score_boosted(
+    rows: DataFrame, models: DataFrame, keep: tuple[str, ...] = ("date",), to: str = "probability"
+) -> DataFrame:
     """keep and the probability of 1 by the table's boosted trees, in Arrow batches; null for rows with a null or NaN input. No model: no rows."""
     kinds = {c: rows.schema[c].dataType.simpleString() for c in keep}
     schema = ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), f"`{to}` double"])
@@ -92,9 +101,13 @@ def score_boosted(rows: DataFrame, models: DataFrame, keep: tuple[str, ...] = ("
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = boosted_model(parameters)
         for batch in batches:
-            x = np.column_stack([batch.column(len(keep) + i).to_numpy(zero_copy_only=False) for i in range(len(columns))]) if batch.num_rows else np.empty((0, len(columns)))
+            x = np.column_stack(
+                [batch.column(len(keep) + i).to_numpy(zero_copy_only=False) for i in range(len(columns))]
+            ) if batch.num_rows else np.empty((0, len(columns)))
             p = model.probability(x)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(p, mask=np.isnan(x).any(axis=1))], [*keep, to])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(len(keep))), pa.array(p, mask=np.isnan(x).any(axis=1))], [*keep, to]
+            )
 
     return slim.mapInArrow(run, schema)
 
@@ -123,7 +136,9 @@ def score_regimes(features: DataFrame, models: DataFrame) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("date")
         model, mean, spread = regimes_model(parameters)
-        return named_regimes(part["date"], model.filtered((part[columns].to_numpy(float) - mean) / spread), model.means[:, 0])
+        return named_regimes(
+            part["date"], model.filtered((part[columns].to_numpy(float) - mean) / spread), model.means[:, 0]
+        )
 
     return features.select("date", *columns).dropna().groupBy().applyInPandas(run, schema)
 
@@ -133,4 +148,12 @@ def named_regimes(dates, filtered: np.ndarray, means: np.ndarray) -> pd.DataFram
     order = np.argsort(means)
     bear, bull, neutral = filtered[:, order[0]], filtered[:, order[-1]], filtered[:, order[1:-1]].sum(axis=1)
     names = np.array(["bear", "neutral", "bull"])[np.argmax(np.c_[bear, neutral, bull], axis=1)]
-    return pd.DataFrame({"date": dates, "bear_probability": bear, "neutral_probability": neutral, "bull_probability": bull, "regime": names})
+    return pd.DataFrame(
+        {
+            "date": dates,
+            "bear_probability": bear,
+            "neutral_probability": neutral,
+            "bull_probability": bull,
+            "regime": names,
+        }
+    )

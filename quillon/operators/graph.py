@@ -16,12 +16,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.where("a <> b").select("a", "b")
     both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    now = written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    now = written(
+        both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels"
+    )
     for _ in range(most_rounds):
-        seen = both.join(now.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        better = written(now.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "nearer")
+        seen = both.join(now.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(
+            F.min("label").alias("near")
+        ).withColumnRenamed("a", "node")
+        better = written(
+            now.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")),
+            "nearer",
+        )
         of_label = better.select(F.col("node").alias("label"), F.col("label").alias("farther"))
-        new = written(better.join(of_label, "label", "left").select("node", "old", F.coalesce("farther", "label").alias("label")), "labels")
+        new = written(
+            better.join(of_label, "label", "left").select("node", "old", F.coalesce("farther", "label").alias("label")),
+            "labels",
+        )
         moved = new.where("label <> old").limit(1).count()
         dropped(better, now)
         now = new.select("node", "label")

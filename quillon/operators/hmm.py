@@ -22,7 +22,9 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 class GaussianHmm:
     """Baum-Welch on standardised rows; the best likelihood of several seeds. Full or diagonal covariances."""
 
-    def __init__(self, states: int = 3, rounds: int = 100, tolerance: float = 1e-4, floor: float = 1e-3, diagonal: bool = False):
+    def __init__(
+        self, states: int = 3, rounds: int = 100, tolerance: float = 1e-4, floor: float = 1e-3, diagonal: bool = False
+    ):
         self.states, self.rounds, self.tolerance, self.floor, self.diagonal = states, rounds, tolerance, floor, diagonal
 
     def fit(self, x: np.ndarray, seeds: tuple[int, ...] = (7, 17, 29)) -> GaussianHmm:

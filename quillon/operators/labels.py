@@ -24,7 +24,16 @@ def bottoms(bars: DataFrame, k: int = 10, ahead: int = 20, least: float = 0.08)
     return bars.withColumn("label", bottom(F.col("close"), by_ticker(), k, ahead, least))
 
 
-def first_hit(index: DataFrame, horizon: int = 10, target: float = 0.05, adverse: float = -0.03, correction: float = -0.08, value: str = "sector_index", drawdown: str = "drawdown_60d", bear: str | None = None) -> DataFrame:
+def first_hit(
+    index: DataFrame,
+    horizon: int = 10,
+    target: float = 0.05,
+    adverse: float = -0.03,
+    correction: float = -0.08,
+    value: str = "sector_index",
+    drawdown: str = "drawdown_60d",
+    bear: str | None = None,
+) -> DataFrame:
     """date, label: in a correction (drawdown at most ``correction``, or bear probability 0.6), 1 if the target comes before the adverse
     move within the horizon, 0 if not; null elsewhere and for the last rows."""
     w = by_date()
@@ -35,10 +44,19 @@ def first_hit(index: DataFrame, horizon: int = 10, target: float = 0.05, adverse
     up = F.array_position(F.transform(moves, lambda m: m >= target), True)
     down = F.array_position(F.transform(moves, lambda m: m <= adverse), True)
     hit = (up > 0) & ((down == 0) | (up < down))
-    return index.withColumns({"__up": up, "__n": F.size(ahead)}).select("date", F.when(eligible & (F.col("__n") == horizon), hit.cast("double")).alias("label"))
+    return index.withColumns({"__up": up, "__n": F.size(ahead)}).select(
+        "date", F.when(eligible & (F.col("__n") == horizon), hit.cast("double")).alias("label")
+    )
 
 
-def rebound_leaders(panel: DataFrame, k: int = 10, ahead: int = 20, least: float = 0.08, horizons: tuple[int, ...] = (5, 10, 20), least_events: int = 3) -> DataFrame:
+def rebound_leaders(
+    panel: DataFrame,
+    k: int = 10,
+    ahead: int = 20,
+    least: float = 0.08,
+    horizons: tuple[int, ...] = (5, 10, 20),
+    least_events: int = 3,
+) -> DataFrame:
     """How each ticker rebounds from the bottoms of its cluster's mean price, ranked in the cluster. panel: ticker, cluster, date, close, dense.
 
     Columns: ticker, cluster, events, median_rebound_5d/10d/20d, rebound_ratio_20d, recovery_efficiency, consistency,
@@ -46,18 +64,48 @@ def rebound_leaders(panel: DataFrame, k: int = 10, ahead: int = 20, least: float
     """
     c, t = Window.partitionBy("cluster").orderBy("date"), Window.partitionBy("cluster", "ticker").orderBy("date")
     index = panel.groupBy("cluster", "date").agg(F.avg("close").alias("level"))
-    index = index.withColumns({"bottom": bottom(F.col("level"), c, k, ahead, least), "ahead": forward_return(F.col("level"), c, ahead)})
+    index = index.withColumns(
+        {"bottom": bottom(F.col("level"), c, k, ahead, least), "ahead": forward_return(F.col("level"), c, ahead)}
+    )
     events = index.where("bottom")
     typical = events.where("level > 0").groupBy("cluster").agg(F.median("ahead").alias("typical"))
 
     future = F.collect_list(F.struct(F.col("close").alias("v"))).over(t.rowsBetween(1, ahead))  # the struct keeps nulls
-    rows = panel.withColumns({**{f"r{h}": forward_return(F.col("close"), t, h) for h in horizons}, "forward": forward_return(F.col("close"), t, ahead), "peak": F.max("close").over(t.rowsBetween(Window.unboundedPreceding, -1)), "future": future})
-    at = rows.join(events.select("cluster", "date"), ["cluster", "date"]).where((F.col("close") > 0) & (F.size("future") == ahead)).join(F.broadcast(typical), "cluster")
+    rows = panel.withColumns(
+        {
+            **{f"r{h}": forward_return(F.col("close"), t, h) for h in horizons},
+            "forward": forward_return(F.col("close"), t, ahead),
+            "peak": F.max("close").over(t.rowsBetween(Window.unboundedPreceding, -1)),
+            "future": future,
+        }
+    )
+    at = rows.join(events.select("cluster", "date"), ["cluster", "date"]).where(
+        (F.col("close") > 0) & (F.size("future") == ahead)
+    ).join(typical, "cluster")
     depth = F.col("close") / F.col("peak") - 1
-    recovered = F.array_position(F.transform("future", lambda x: F.coalesce(x["v"] >= F.col("peak"), F.lit(False))), True)
-    at = at.withColumns({"efficiency": F.when((F.col("peak") > 0) & (depth < 0), F.col("forward") / F.abs(depth)), "beat": true(F.col("forward") > F.col("typical")), "days": F.when(F.col("peak") > 0, F.nullif(recovered, F.lit(0)) - 1)})
-    out = at.groupBy("cluster", "ticker").agg(F.count("*").alias("events"), *[F.median(f"r{h}").alias(f"median_rebound_{h}d") for h in horizons], F.median("efficiency").alias("recovery_efficiency"), F.avg(F.col("beat").cast("int")).alias("consistency"), F.coalesce(F.median("days"), F.lit(-1.0)).alias("median_days_to_recover"), F.first("typical").alias("typical"))
-    out = out.withColumn("rebound_ratio_20d", ratio(F.col(f"median_rebound_{horizons[-1]}d"), F.col("typical"))).drop("typical")
+    recovered = F.array_position(
+        F.transform("future", lambda x: F.coalesce(x["v"] >= F.col("peak"), F.lit(False))), True
+    )
+    at = at.withColumns(
+        {
+            "efficiency": F.when((F.col("peak") > 0) & (depth < 0), F.col("forward") / F.abs(depth)),
+            "beat": true(F.col("forward") > F.col("typical")),
+            "days": F.when(F.col("peak") > 0, F.nullif(recovered, F.lit(0)) - 1),
+        }
+    )
+    out = at.groupBy("cluster", "ticker").agg(
+        F.count("*").alias("events"),
+        *[F.median(f"r{h}").alias(f"median_rebound_{h}d") for h in horizons],
+        F.median("efficiency").alias("recovery_efficiency"),
+        F.avg(F.col("beat").cast("int")).alias("consistency"),
+        F.coalesce(F.median("days"), F.lit(-1.0)).alias("median_days_to_recover"),
+        F.first("typical").alias("typical"),
+    )
+    out = out.withColumn(
+        "rebound_ratio_20d", ratio(F.col(f"median_rebound_{horizons[-1]}d"), F.col("typical"))
+    ).drop("typical")
     rankable = F.col("events") >= least_events
-    order = Window.partitionBy("cluster", rankable).orderBy(F.desc_nulls_last("rebound_ratio_20d"), F.desc_nulls_last("consistency"), "ticker")
+    order = Window.partitionBy("cluster", rankable).orderBy(
+        F.desc_nulls_last("rebound_ratio_20d"), F.desc_nulls_last("consistency"), "ticker"
+    )
     return out.withColumn("rank_in_cluster", F.when(rankable, F.row_number().over(order)).cast("long"))

@@ -33,7 +33,9 @@ class Bins:
 
     def cut(self, low: int, high: int) -> float:
         """What parts bin ``low`` from the next that has rows: a value below it goes left."""
-        return float(self.values[low] + self.values[high]) / 2 if self.whole else float(np.nextafter(self.values[low], np.inf))
+        return float(self.values[low] + self.values[high]) / 2 if self.whole else float(
+            np.nextafter(self.values[low], np.inf)
+        )
 
 
 def bins(rows: DataFrame, columns: list[str]) -> list[Bins]:
@@ -41,9 +43,13 @@ def bins(rows: DataFrame, columns: list[str]) -> list[Bins]:
     guess = rows.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
     few = [c for c in columns if guess[c] <= BINS * 0.9]
     shares = [i / (BINS - 1) for i in range(BINS - 1)] + [1.0]
-    asked = [F.collect_set(c).alias(c) if c in few else F.percentile_approx(c, shares, 20 * BINS).alias(c) for c in columns]
+    asked = [
+        F.collect_set(c).alias(c) if c in few else F.percentile_approx(c, shares, 20 * BINS).alias(c) for c in columns
+    ]
     found = rows.agg(*asked).first()
-    return [Bins(np.unique(np.array(found[c] or [0.0], float))[:BINS], c in few and len(found[c]) <= BINS) for c in columns]
+    return [
+        Bins(np.unique(np.array(found[c] or [0.0], float))[:BINS], c in few and len(found[c]) <= BINS) for c in columns
+    ]
 
 
 @dataclass
@@ -87,7 +93,10 @@ def _binned(found: list[Bins], names: list[str]):
         for batch in batches:
             x = np.column_stack([b.of(batch.column(c).to_numpy()) for b, c in zip(found, names, strict=True)])
             rows = pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("target"), rows, pa.array(np.zeros(len(x)))], ["id", "target", "bins", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("target"), rows, pa.array(np.zeros(len(x)))],
+                ["id", "target", "bins", "score"],
+            )
 
     return run
 
@@ -97,7 +106,10 @@ def _scored(trees: list[_Tree], rate: float, width: int):
         for batch in batches:
             x = _matrix(batch, width)
             score = batch.column("score").to_numpy() + rate * sum((t.scores(x) for t in trees), np.zeros(len(x)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("target"), batch.column("bins"), pa.array(score)], ["id", "target", "bins", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("target"), batch.column("bins"), pa.array(score)],
+                ["id", "target", "bins", "score"],
+            )
 
     return run
 
@@ -122,7 +134,10 @@ def _histograms(trees: list[_Tree], tree: _Tree, open_: list[int], model: Booste
                     for k, values in enumerate((g, h, None)):
                         total[i, j, :, k] += np.bincount(b, values, BINS)
         used = [i for i in range(len(open_)) if total[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([open_[i] for i in used], pa.int32()), pa.array([total[i].tobytes() for i in used], pa.binary())], ["node", "sums"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([open_[i] for i in used], pa.int32()), pa.array([total[i].tobytes() for i in used], pa.binary())],
+            ["node", "sums"],
+        )
 
     return run
 
@@ -132,7 +147,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for node, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             total[node] = total.get(node, 0.0) + np.frombuffer(sums.as_py())
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["node", "sums"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())],
+        ["node", "sums"],
+    )
 
 
 def _best(model: BoostedTrees, sums: np.ndarray, found: list[Bins], picked: np.ndarray) -> tuple | None:
@@ -144,11 +162,15 @@ def _best(model: BoostedTrees, sums: np.ndarray, found: list[Bins], picked: np.n
         if len(used) < 2:
             continue
         left_g, left_h = np.cumsum(sums[j, used, 0])[:-1], np.cumsum(sums[j, used, 1])[:-1]
-        gain = (model.worth(left_g, left_h) + model.worth(g - left_g, h - left_h) - model.worth(np.array(g), np.array(h))) / 2
+        gain = (
+            model.worth(left_g, left_h) + model.worth(g - left_g, h - left_h) - model.worth(np.array(g), np.array(h))
+        ) / 2
         gain = np.where((left_h >= model.least_weight) & (h - left_h >= model.least_weight), gain, 0.0)
         if gain[at := int(gain.argmax())] > best + 1e-12:
             best = float(gain[at])
-            out = best, int(j), int(used[at]), found[j].cut(used[at], used[at + 1]), (left_g[at], left_h[at]), (g - left_g[at], h - left_h[at])
+            out = best, int(j), int(used[at]), found[j].cut(used[at], used[at + 1]), (left_g[at], left_h[at]), (
+                g - left_g[at], h - left_h[at]
+            )
     return out
 
 
@@ -160,7 +182,10 @@ def fit_large(rows: DataFrame, columns: list[str], target: str, model: BoostedTr
     """
     model = model or BoostedTrees()
     names = [f"c{i}" for i in range(len(columns))]
-    kept = rows.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)], F.col(target).cast("double").alias("target")).where("target is not null")
+    kept = rows.select(
+        *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True)],
+        F.col(target).cast("double").alias("target"),
+    ).where("target is not null")
     for n in names:
         kept = kept.where(F.abs(F.col(n)) < float("inf"))
     kept = written(kept.withColumn("id", F.monotonically_increasing_id()), "training")
@@ -179,7 +204,12 @@ def fit_large(rows: DataFrame, columns: list[str], target: str, model: BoostedTr
         tree, nodes, open_ = _Tree([-1], [0], [0], [0], [0.0]), [Node(0.0)], [0]
         for depth in range(model.depth):
             made = table.mapInArrow(_histograms(pending, tree, open_, model, number, width), "node int, sums binary")
-            sums = {r.node: np.frombuffer(r.sums).reshape(width, BINS, 3) for r in made.repartition(min(spread, len(open_)), "node").mapInArrow(_added, "node int, sums binary").collect()}
+            sums = {
+                r.node: np.frombuffer(r.sums).reshape(width, BINS, 3)
+                for r in made.repartition(min(spread, len(open_)), "node").mapInArrow(
+                    _added, "node int, sums binary"
+                ).collect()
+            }
             following = []
             for n in open_:
                 if n not in sums:
@@ -200,7 +230,9 @@ def fit_large(rows: DataFrame, columns: list[str], target: str, model: BoostedTr
                     following.append(len(nodes))
                     setattr(nodes[n], side, child)
                     nodes.append(child)
-                    for a, v in ((tree.column, -1), (tree.last, 0), (tree.left, 0), (tree.right, 0), (tree.weight, child.weight)):
+                    for a, v in (
+                        (tree.column, -1), (tree.last, 0), (tree.left, 0), (tree.right, 0), (tree.weight, child.weight)
+                    ):
                         a.append(v)
             open_ = following
             if not open_:

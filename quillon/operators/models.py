@@ -17,7 +17,9 @@ from quillon.operators.hmm import _log_density as _log_density  # tests take it
 from quillon.scratch import written
 
 
-def walk_forward_regimes(features: DataFrame, columns: list[str], least: int = 252, refit: int = 21, states: int = 3) -> DataFrame:
+def walk_forward_regimes(
+    features: DataFrame, columns: list[str], least: int = 252, refit: int = 21, states: int = 3
+) -> DataFrame:
     """date, bear_probability, neutral_probability, bull_probability, regime: filtered, each block of ``refit`` rows by a model of all rows before.
 
     Blocks are independent, so each is a group of its own: the rows up to its end. States are named by their mean of the first
@@ -26,8 +28,12 @@ def walk_forward_regimes(features: DataFrame, columns: list[str], least: int = 2
     rows = features.select("date", *columns).dropna().withColumn("k", F.row_number().over(Window.orderBy("date")) - 1)
     n = rows.count()
     if n <= least:
-        return rows.sparkSession.createDataFrame([], "date date, bear_probability double, neutral_probability double, bull_probability double, regime string")
-    blocks = rows.sparkSession.range(-(-(n - least) // refit)).select(F.col("id").alias("block"), (F.lit(least) + F.col("id") * refit).alias("first"))
+        return rows.sparkSession.createDataFrame(
+            [], "date date, bear_probability double, neutral_probability double, bull_probability double, regime string"
+        )
+    blocks = rows.sparkSession.range(-(-(n - least) // refit)).select(
+        F.col("id").alias("block"), (F.lit(least) + F.col("id") * refit).alias("first")
+    )
     fold = rows.join(F.broadcast(blocks), F.col("k") < F.col("first") + refit)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -42,21 +48,35 @@ def walk_forward_regimes(features: DataFrame, columns: list[str], least: int = 2
         found = model.filtered((test[columns].to_numpy(float) - mean) / spread, prior)
         return dumps.named_regimes(test["date"], found, model.means[:, 0])
 
-    return fold.repartition("block").groupBy("block").applyInPandas(run, "date date, bear_probability double, neutral_probability double, bull_probability double, regime string")
+    return fold.repartition("block").groupBy("block").applyInPandas(
+        run, "date date, bear_probability double, neutral_probability double, bull_probability double, regime string"
+    )
 
 
-def causal_regimes(features: DataFrame, columns: list[str], named_by: str = "sector_return_20d", least: int = 160, refit: int = 20, states: int = 3, context: int = 31) -> DataFrame:
+def causal_regimes(
+    features: DataFrame,
+    columns: list[str],
+    named_by: str = "sector_return_20d",
+    least: int = 160,
+    refit: int = 20,
+    states: int = 3,
+    context: int = 31,
+) -> DataFrame:
     """date, hmm_state, hmm_bear_probability, hmm_bull_probability: each block of ``refit`` rows by a model with diagonal covariances of all rows before.
 
     A row's probabilities are those of the last of the ``context`` rows up to it, begun anew. The states with the least and the largest mean of
     ``named_by`` over the rows that the model was fitted on are bear and bull. Rows with a null in a column are left out; the first ``least`` have none.
     """
-    rows = features.select("date", *dict.fromkeys([*columns, named_by])).dropna().withColumn("k", F.row_number().over(Window.orderBy("date")) - 1)
+    rows = features.select("date", *dict.fromkeys([*columns, named_by])).dropna().withColumn(
+        "k", F.row_number().over(Window.orderBy("date")) - 1
+    )
     n = rows.count()
     schema = "date date, hmm_state int, hmm_bear_probability double, hmm_bull_probability double"
     if n <= least:
         return rows.sparkSession.createDataFrame([], schema)
-    blocks = rows.sparkSession.range(-(-(n - least) // refit)).select(F.col("id").alias("block"), (F.lit(least) + F.col("id") * refit).alias("first"))
+    blocks = rows.sparkSession.range(-(-(n - least) // refit)).select(
+        F.col("id").alias("block"), (F.lit(least) + F.col("id") * refit).alias("first")
+    )
     fold = rows.join(F.broadcast(blocks), F.col("k") < F.col("first") + refit)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +91,14 @@ def causal_regimes(features: DataFrame, columns: list[str], named_by: str = "sec
         means = np.array([value[own == s].mean() if (own == s).any() else 0.0 for s in range(states)])
         bear, bull = int(means.argmin()), int(means.argmax())
         last = np.array([model.filtered(z[max(0, k - context + 1) : k + 1])[-1] for k in range(first, len(z))])
-        return pd.DataFrame({"date": part["date"].iloc[first:], "hmm_state": last.argmax(axis=1), "hmm_bear_probability": last[:, bear], "hmm_bull_probability": last[:, bull]})
+        return pd.DataFrame(
+            {
+                "date": part["date"].iloc[first:],
+                "hmm_state": last.argmax(axis=1),
+                "hmm_bear_probability": last[:, bear],
+                "hmm_bull_probability": last[:, bull],
+            }
+        )
 
     return fold.repartition("block").groupBy("block").applyInPandas(run, schema)
 
@@ -87,13 +114,24 @@ def _finite_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def _complete(features: DataFrame, columns: list[str], future: str) -> DataFrame:
     """date, columns, future, target (its sign), and k, the number of a row among those with a target; rows with a null or no finite column go."""
-    rows = _finite_rows(features, columns).select("date", *[F.col(c).cast("double").alias(c) for c in columns], F.col(future).alias("future"))
+    rows = _finite_rows(features, columns).select(
+        "date", *[F.col(c).cast("double").alias(c) for c in columns], F.col(future).alias("future")
+    )
     rows = rows.withColumn("target", (F.col("future") > 0).cast("double"))
     labelled = F.count("target").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) - 1
     return rows.withColumn("k", F.when(F.col("target").isNotNull(), labelled))
 
 
-def walk_forward_boosted(features: DataFrame, columns: list[str], future: str, horizon: int = 20, least: int = 504, refit: int = 21, trees: int = 400, depth: int = 3) -> DataFrame:
+def walk_forward_boosted(
+    features: DataFrame,
+    columns: list[str],
+    future: str,
+    horizon: int = 20,
+    least: int = 504,
+    refit: int = 21,
+    trees: int = 400,
+    depth: int = 3,
+) -> DataFrame:
     """date, probability, target, future: each block of ``refit`` rows by boosted trees learned from rows that end ``horizon`` before it.
 
     Rows with a target are counted, the first block begins after ``least`` and the horizon. A block whose rows to learn from have one
@@ -103,8 +141,13 @@ def walk_forward_boosted(features: DataFrame, columns: list[str], future: str, h
     n, schema = rows.count(), "date date, probability double, target double, future double"
     if n <= least + horizon:
         return rows.sparkSession.createDataFrame([], schema)
-    blocks = rows.sparkSession.range(-(-(n - least - horizon) // refit)).select(F.col("id").alias("block"), (F.lit(least + horizon) + F.col("id") * refit).alias("first"))
-    fold = rows.join(F.broadcast(blocks), (F.col("k") < F.col("first") - horizon) | F.col("k").between(F.col("first"), F.col("first") + refit - 1))
+    blocks = rows.sparkSession.range(-(-(n - least - horizon) // refit)).select(
+        F.col("id").alias("block"), (F.lit(least + horizon) + F.col("id") * refit).alias("first")
+    )
+    fold = rows.join(
+        F.broadcast(blocks),
+        (F.col("k") < F.col("first") - horizon) | F.col("k").between(F.col("first"), F.col("first") + refit - 1),
+    )
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("k")
@@ -113,7 +156,14 @@ def walk_forward_boosted(features: DataFrame, columns: list[str], future: str, h
         if train["target"].nunique() < 2:
             return pd.DataFrame(columns=["date", "probability", "target", "future"])
         model = BoostedTrees(trees, depth, lasso=0.05).fit(train[columns].to_numpy(), train["target"].to_numpy())
-        return pd.DataFrame({"date": test["date"], "probability": model.probability(test[columns].to_numpy()), "target": test["target"], "future": test["future"]})
+        return pd.DataFrame(
+            {
+                "date": test["date"],
+                "probability": model.probability(test[columns].to_numpy()),
+                "target": test["target"],
+                "future": test["future"],
+            }
+        )
 
     return fold.repartition("block").groupBy("block").applyInPandas(run, schema)
 
@@ -129,7 +179,10 @@ def fit_boosted(features: DataFrame, columns: list[str], future: str, trees: int
         train = part.sort_values("date")
         row = (dumps.BOOSTED, dumps.VERSION, columns, None, dict.fromkeys(columns, 0.0))
         if train["target"].nunique() == 2:
-            row = dumps.boosted_row(BoostedTrees(trees, depth, lasso=0.05).fit(train[columns].to_numpy(), train["target"].to_numpy()), columns)
+            row = dumps.boosted_row(
+                BoostedTrees(trees, depth, lasso=0.05).fit(train[columns].to_numpy(), train["target"].to_numpy()),
+                columns,
+            )
         return pd.DataFrame([row], columns=["kind", "version", "columns", "parameters", "importance"])
 
     return rows.groupBy().applyInPandas(run, dumps.SCHEMA)
@@ -137,31 +190,43 @@ def fit_boosted(features: DataFrame, columns: list[str], future: str, trees: int
 
 def importances(models: DataFrame) -> DataFrame:
     """feature, importance of a model table, the largest first."""
-    return models.where("importance is not null").select(F.explode("importance").alias("feature", "importance")).orderBy(F.desc("importance"), "feature")
+    return models.where("importance is not null").select(
+        F.explode("importance").alias("feature", "importance")
+    ).orderBy(F.desc("importance"), "feature")
 
 
-def live_boosted(features: DataFrame, columns: list[str], future: str, trees: int = 400, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def live_boosted(
+    features: DataFrame, columns: list[str], future: str, trees: int = 400, depth: int = 3
+) -> tuple[DataFrame, DataFrame]:
     """The model of all rows with a target, fitted once: date, live_probability of all complete rows, and feature, importance, the largest first.
 
     With one target only there is no live probability, and as no split gains anything then, each importance is 0. Without a target neither has a row.
     """
     model = written(fit_boosted(features, columns, future, trees, depth), "model")
-    return dumps.score_boosted(_finite_rows(features, columns), model, ("date",), "live_probability"), importances(model)
+    return dumps.score_boosted(
+        _finite_rows(features, columns), model, ("date",), "live_probability"
+    ), importances(model)
 
 
-def rebound_probability(rows: DataFrame, columns: list[str], horizon: int = 10, splits: int = 4, trees: int = 120, least: int = 60) -> DataFrame:
+def rebound_probability(
+    rows: DataFrame, columns: list[str], horizon: int = 10, splits: int = 4, trees: int = 120, least: int = 60
+) -> DataFrame:
     """date, split, probability, target, importance: a rebound's probability by class-weighted boosted trees over splits with a gap.
 
     rows: date, columns, label (null: not eligible). Labelled complete rows are cut into equal test blocks at their end, each learned from the rows that end ``horizon`` before
     it, with class weights of these rows alone; split is the block's number, and splits the row of the final model, of all labelled rows, for the last complete date, with importance as a
     map of columns. With under ``least`` labelled rows or one class only there is no row, and the caller takes the heuristic.
     """
-    own = _finite_rows(rows, columns).select("date", *[F.col(c).cast("double").alias(c) for c in columns], F.col("label").alias("target"))
+    own = _finite_rows(rows, columns).select(
+        "date", *[F.col(c).cast("double").alias(c) for c in columns], F.col("label").alias("target")
+    )
 
     def model(train: pd.DataFrame) -> BoostedTrees:
         positives = int(train["target"].sum())
         weight = max(1.0, (len(train) - positives) / max(1, positives))
-        return BoostedTrees(trees, 3, 0.05, 0.85, 0.85, 3.0, 2.0, positive=weight).fit(train[columns].to_numpy(), train["target"].to_numpy())
+        return BoostedTrees(trees, 3, 0.05, 0.85, 0.85, 3.0, 2.0, positive=weight).fit(
+            train[columns].to_numpy(), train["target"].to_numpy()
+        )
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("date")
@@ -175,13 +240,20 @@ def rebound_probability(rows: DataFrame, columns: list[str], horizon: int = 10,
                 train, test = known.iloc[: max(start - horizon, 0)], known.iloc[start : start + size]
                 if train["target"].nunique() == 2:
                     found = model(train).probability(test[columns].to_numpy())
-                    out += [(d, i, float(p), float(t), None) for d, p, t in zip(test["date"], found, test["target"], strict=True)]
+                    out += [
+                        (d, i, float(p), float(t), None)
+                        for d, p, t in zip(test["date"], found, test["target"], strict=True)
+                    ]
             final, last = model(known), part.iloc[[-1]]
             shares = {c: float(v) for c, v in zip(columns, final.importance(), strict=True)}
-            out.append((last["date"].iloc[0], blocks, float(final.probability(last[columns].to_numpy())[0]), None, shares))
+            out.append(
+                (last["date"].iloc[0], blocks, float(final.probability(last[columns].to_numpy())[0]), None, shares)
+            )
         return pd.DataFrame(out, columns=["date", "split", "probability", "target", "importance"])
 
-    return own.groupBy().applyInPandas(run, "date date, split int, probability double, target double, importance map<string,double>")
+    return own.groupBy().applyInPandas(
+        run, "date date, split int, probability double, target double, importance map<string,double>"
+    )
 
 
 def heuristic_probability(drawdown: Column, thrust: Column, bull: Column) -> Column:
@@ -190,17 +262,39 @@ def heuristic_probability(drawdown: Column, thrust: Column, bull: Column) -> Col
     return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(10.0)), F.lit(-10.0))))
 
 
-def signal(probability: Column, bull: Column, bear: Column, breadth: Column, trend: Column, high: float = 0.60, low: float = 0.40, regime: float = 0.50, wide: float = 0.60, narrow: float = 0.40) -> Column:
+def signal(
+    probability: Column,
+    bull: Column,
+    bear: Column,
+    breadth: Column,
+    trend: Column,
+    high: float = 0.60,
+    low: float = 0.40,
+    regime: float = 0.50,
+    wide: float = 0.60,
+    narrow: float = 0.40,
+) -> Column:
     """bullish, bearish, neutral, or unavailable without a probability; bearish goes before bullish."""
     up = (probability >= high) & (bull >= regime) & (breadth >= wide) & (trend > 0)
     down = (probability <= low) & (bear >= regime) & (breadth <= narrow) & (trend < 0)
-    return F.when(probability.isNull(), "unavailable").when(true(down), "bearish").when(true(up), "bullish").otherwise("neutral")
-
-
-def alert(rows: DataFrame, correction: float = -0.08, least_correlation: float = 0.55, least_probability: float = 0.70, least_thrust: float = 0.10) -> DataFrame:
+    return F.when(
+        probability.isNull(), "unavailable"
+    ).when(true(down), "bearish").when(true(up), "bullish").otherwise("neutral")
+
+
+def alert(
+    rows: DataFrame,
+    correction: float = -0.08,
+    least_correlation: float = 0.55,
+    least_probability: float = 0.70,
+    least_thrust: float = 0.10,
+) -> DataFrame:
     """rows with watch (a correction in step) and triggered (and a likely rebound with breadth thrust)."""
     watch = true((F.col("drawdown") <= correction) & (F.col("correlation") >= least_correlation))
-    return rows.withColumn("watch", watch).withColumn("triggered", F.col("watch") & true((F.col("probability") >= least_probability) & (F.col("thrust") >= least_thrust)))
+    return rows.withColumn("watch", watch).withColumn(
+        "triggered",
+        F.col("watch") & true((F.col("probability") >= least_probability) & (F.col("thrust") >= least_thrust)),
+    )
 
 
 def finite(x: Column) -> Column:

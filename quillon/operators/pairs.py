@@ -126,7 +126,14 @@ def _chunk_sums(side: int):
             x[place[own], frame["i"].to_numpy()[own] - block * side] = frame["v"].to_numpy()[own]
             both.append(x)
         sums = np.stack(Sums(*both).all)
-        return pa.table({"p": pa.array([p], pa.int32()), "q": pa.array([q], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+        return pa.table(
+            {
+                "p": pa.array([p], pa.int32()),
+                "q": pa.array([q], pa.int32()),
+                "chunk": pa.array([chunk], pa.int32()),
+                "sums": pa.array([sums.tobytes()], pa.binary()),
+            }
+        )
 
     return run
 
@@ -143,7 +150,12 @@ def _tile_pairs(side: int, least: int):
         n, rho = total.all[0], total.correlations(least)
         i, j = np.nonzero((n > 0) & (np.arange(side)[:, None] < np.arange(side)[None, :] if p == q else True))
         value = rho[i, j]
-        columns = [pa.array(i + p * side, pa.int32()), pa.array(j + q * side, pa.int32()), pa.array(n[i, j].astype(np.int64)), pa.array(value, mask=np.isnan(value))]
+        columns = [
+            pa.array(i + p * side, pa.int32()),
+            pa.array(j + q * side, pa.int32()),
+            pa.array(n[i, j].astype(np.int64)),
+            pa.array(value, mask=np.isnan(value)),
+        ]
         return pa.Table.from_arrays(columns, ["i", "j", "n", "rho"])
 
     return run
@@ -158,15 +170,32 @@ def correlation(returns: DataFrame, value: str = "ret", least: int = 30) -> Data
     """
     own = returns.where(F.col(value).isNotNull()).select("ticker", "date", F.col(value).cast("double").alias("v"))
     # a row a ticker, numbered by name
-    names = written(own.groupBy("ticker").agg(F.avg("v").alias("mean")).withColumn("i", F.row_number().over(Window.orderBy("ticker")) - 1), "tickers")
+    names = written(
+        own.groupBy("ticker").agg(F.avg("v").alias("mean")).withColumn(
+            "i", F.row_number().over(Window.orderBy("ticker")) - 1
+        ),
+        "tickers",
+    )
     n = names.count()
     side = max(1, min(TILE, n))
     blocks = -(-n // side)
-    rows = own.join(names, "ticker").select("date", "i", (F.col("v") - F.col("mean")).alias("v"), F.floor(F.unix_date("date") / CHUNK_DAYS).cast("int").alias("chunk"))
+    rows = own.join(names, "ticker").select(
+        "date",
+        "i",
+        (F.col("v") - F.col("mean")).alias("v"),
+        F.floor(F.unix_date("date") / CHUNK_DAYS).cast("int").alias("chunk"),
+    )
     block = F.floor(F.col("i") / side).cast("int")
-    met = F.explode(F.transform(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))), lambda o: F.struct(F.least(block, o).alias("p"), F.greatest(block, o).alias("q"))))
+    met = F.explode(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))),
+            lambda o: F.struct(F.least(block, o).alias("p"), F.greatest(block, o).alias("q")),
+        )
+    )
     dealt = rows.withColumn("tile", met).select("date", "i", "v", "chunk", "tile.p", "tile.q")
     sums = dealt.groupBy("chunk", "p", "q").applyInArrow(_chunk_sums(side), "p int, q int, chunk int, sums binary")
     found = sums.groupBy("p", "q").applyInArrow(_tile_pairs(side, least), "i int, j int, n long, rho double")
-    first, second = names.select("i", F.col("ticker").alias("a")), names.select(F.col("i").alias("j"), F.col("ticker").alias("b"))
+    first, second = names.select("i", F.col("ticker").alias("a")), names.select(
+        F.col("i").alias("j"), F.col("ticker").alias("b")
+    )
     return found.join(first, "i").join(second, "j").select("a", "b", "n", "rho")

@@ -20,18 +20,29 @@ def capture(rows: DataFrame, keys: list[str], own: str, group: str) -> DataFrame
     both = rows.where(F.col(own).isNotNull() & F.col(group).isNotNull())
     g, t = F.col(group), F.col(own)
     up, down = g > 0, g < 0
-    return both.groupBy(*keys).agg(ratio(F.avg(F.when(up, t)), F.avg(F.when(up, g))).alias("up_capture"), ratio(F.avg(F.when(down, t)), F.avg(F.when(down, g))).alias("down_capture"), F.count_if(up).alias("up_days"), F.count_if(down).alias("down_days"))
+    return both.groupBy(*keys).agg(
+        ratio(F.avg(F.when(up, t)), F.avg(F.when(up, g))).alias("up_capture"),
+        ratio(F.avg(F.when(down, t)), F.avg(F.when(down, g))).alias("down_capture"),
+        F.count_if(up).alias("up_days"),
+        F.count_if(down).alias("down_days"),
+    )
 
 
 def drawdowns(prices: DataFrame) -> DataFrame:
     """ticker, max_drawdown, recovery_days: bars from the deepest trough to the first close at its peak again, -1 for never."""
     w = Window.partitionBy("ticker").orderBy("date")
-    rows = prices.where("close is not null").withColumns({"pos": F.row_number().over(w), "peak": F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = prices.where("close is not null").withColumns(
+        {"pos": F.row_number().over(w), "peak": F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0))}
+    )
     rows = rows.withColumn("dd", F.col("close") / F.col("peak") - 1)
-    trough = rows.groupBy("ticker").agg(F.min(F.struct("dd", "pos", "peak")).alias("t"))
-    back = rows.join(F.broadcast(trough), "ticker").where((F.col("pos") >= F.col("t.pos")) & (F.col("close") >= F.col("t.peak")))
-    first = back.groupBy("ticker").agg(F.min(F.col("pos") - F.col("t.pos")).alias("days"))
-    return trough.join(first, "ticker", "left").select("ticker", F.col("t.dd").alias("max_drawdown"), F.coalesce("days", F.lit(-1)).cast("long").alias("recovery_days"))
+    # the windows have the same key, so there is one shuffle and no join
+    rows = rows.withColumn("t", F.min(F.struct("dd", "pos", "peak")).over(Window.partitionBy("ticker")))
+    days = F.min(
+        F.when((F.col("pos") >= F.col("t.pos")) & (F.col("close") >= F.col("t.peak")), F.col("pos") - F.col("t.pos"))
+    )
+    return rows.groupBy("ticker").agg(
+        F.first("t.dd").alias("max_drawdown"), F.coalesce(days, F.lit(-1)).cast("long").alias("recovery_days")
+    )
 
 
 def strength_table(panel: DataFrame, n: int = 120) -> DataFrame:
@@ -40,7 +51,10 @@ def strength_table(panel: DataFrame, n: int = 120) -> DataFrame:
     group = rows.groupBy("cluster", "date").agg(F.avg("log_ret").alias("group_ret"))
     own = capture(rows.join(group, ["cluster", "date"]), ["cluster", "ticker"], "log_ret", "group_ret")
     out = own.withColumn("capture_spread", F.col("up_capture") - F.col("down_capture")).join(drawdowns(rows), "ticker")
-    rank = F.when(F.col("capture_spread").isNotNull(), F.rank().over(Window.partitionBy("cluster").orderBy(F.desc_nulls_last("capture_spread"))))
+    rank = F.when(
+        F.col("capture_spread").isNotNull(),
+        F.rank().over(Window.partitionBy("cluster").orderBy(F.desc_nulls_last("capture_spread"))),
+    )
     return out.withColumn("rank_in_cluster", rank.cast("long")).drop("up_days", "down_days")
 
 
@@ -64,8 +78,18 @@ def rank_tickers(panel: DataFrame, n: int = 60, momentum: int = 20) -> DataFrame
     sector = full.groupBy("date").agg(F.avg("ret").alias("sector"))
     rows = last_dates(full, n).join(F.broadcast(sector), "date")
     all_up = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"own_index": F.product(1 + F.coalesce("ret", F.lit(0.0))).over(all_up), "sector_index": F.product(1 + F.coalesce("sector", F.lit(0.0))).over(all_up)})
-    rows = rows.withColumns({"own_dd": F.col("own_index") / F.max("own_index").over(all_up) - 1, "sector_dd": F.col("sector_index") / F.max("sector_index").over(all_up) - 1})
+    rows = rows.withColumns(
+        {
+            "own_index": F.product(1 + F.coalesce("ret", F.lit(0.0))).over(all_up),
+            "sector_index": F.product(1 + F.coalesce("sector", F.lit(0.0))).over(all_up),
+        }
+    )
+    rows = rows.withColumns(
+        {
+            "own_dd": F.col("own_index") / F.max("own_index").over(all_up) - 1,
+            "sector_dd": F.col("sector_index") / F.max("sector_index").over(all_up) - 1,
+        }
+    )
     up, down, g = F.col("sector") > 0, F.col("sector") < 0, F.col("sector")
     used = F.col("ret").isNotNull() & g.isNotNull()
     x, y = F.when(used, F.col("ret")), F.when(used, g)
@@ -76,5 +100,19 @@ def rank_tickers(panel: DataFrame, n: int = 60, momentum: int = 20) -> DataFrame
         F.max_by("momentum", "date").alias("momentum_20d"),
         ratio(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)).alias("sector_correlation"),
     )
-    out = out.withColumns({"fall_resistance_score": F.round(-rank_share(F.round("downside_capture", 9)) + rank_share(F.round("relative_drawdown", 9)), 9), "rise_strength_score": F.round(rank_share(F.round("upside_capture", 9)) + rank_share(F.round("momentum_20d", 9)), 9)})
-    return out.withColumns({"fall_resistance_rank": least_rank(F.col("fall_resistance_score")), "rise_strength_rank": least_rank(F.col("rise_strength_score"))})
+    out = out.withColumns(
+        {
+            "fall_resistance_score": F.round(
+                -rank_share(F.round("downside_capture", 9)) + rank_share(F.round("relative_drawdown", 9)), 9
+            ),
+            "rise_strength_score": F.round(
+                rank_share(F.round("upside_capture", 9)) + rank_share(F.round("momentum_20d", 9)), 9
+            ),
+        }
+    )
+    return out.withColumns(
+        {
+            "fall_resistance_rank": least_rank(F.col("fall_resistance_score")),
+            "rise_strength_rank": least_rank(F.col("rise_strength_score")),
+        }
+    )

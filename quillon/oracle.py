@@ -141,7 +141,9 @@ def _drawdown(source: str) -> str:
 
 
 _BOTTOM = """coalesce(count({x}) OVER ({by} ORDER BY date ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING) = 2 * {k} + 1 AND {x} = min({x}) OVER ({by} ORDER BY date ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING) AND lead({x}, {h}) OVER ({by} ORDER BY date) / {x} - 1 >= {r}, false)"""
-_SIGNAL = _ALARM + ", sig AS (SELECT ticker, date, close, washout, alarm, confirmed, fired, " + _BOTTOM.format(x="close", by="PARTITION BY ticker", k=5, h=10, r=0.05) + " AS label, row_number() OVER (PARTITION BY ticker ORDER BY date) AS pos FROM al)"
+_SIGNAL = _ALARM + ", sig AS (SELECT ticker, date, close, washout, alarm, confirmed, fired, " + _BOTTOM.format(
+    x="close", by="PARTITION BY ticker", k=5, h=10, r=0.05
+) + " AS label, row_number() OVER (PARTITION BY ticker ORDER BY date) AS pos FROM al)"
 _FORWARD = ", ".join(f"lead(close, {h}) OVER t / close - 1 AS h{h}" for h in (5, 10, 20))
 _SAMPLES = _ALARM + f", fw AS (SELECT *, {_FORWARD} FROM al WINDOW t AS (PARTITION BY ticker ORDER BY date)), smp AS (SELECT h AS horizon, v AS value FROM (SELECT unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM fw WHERE fired) WHERE v IS NOT NULL)"
 _ECON = "count(*) AS n, avg(value) AS mean_return, median(value) AS median_return, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate"
@@ -232,10 +234,17 @@ ORACLE_SQL |= {
 }
 _SIGNALS = _GROUP + f", gf AS (SELECT date, breadth_above_ma20 AS br, {_roll('product(1 + {})', 'group_excess_return', 20, '')} - 1 AS tr, row_number() OVER (ORDER BY date) AS k FROM kept), given AS (SELECT date, br, tr, CASE WHEN k % 7 > 0 THEN (k % 10) / 10.0 END AS p, (k % 3) / 2.0 AS bull, (k % 4) / 3.0 AS bear FROM gf), sgn AS (SELECT date, CASE WHEN p IS NULL THEN 'unavailable' WHEN p <= 0.4 AND bear >= 0.5 AND br <= 0.5 AND tr < 0 THEN 'bearish' WHEN p >= 0.6 AND bull >= 0.5 AND br >= 0.5 AND tr > 0 THEN 'bullish' ELSE 'neutral' END AS signal FROM given)"
 ORACLE_SQL["signals"] = _q(_SIGNALS, "SELECT date, signal FROM sgn")
-ORACLE_SQL["latest_signal"] = _q(_SIGNALS, "SELECT date, signal FROM sgn WHERE signal <> 'unavailable' ORDER BY date DESC LIMIT 1")
+ORACLE_SQL["latest_signal"] = _q(
+    _SIGNALS, "SELECT date, signal FROM sgn WHERE signal <> 'unavailable' ORDER BY date DESC LIMIT 1"
+)
 _RANKS = ORACLE_SQL["rank_tickers"]
-ORACLE_SQL["top_strength"] = f"SELECT ticker, rise_strength_rank FROM ({_RANKS}) ORDER BY rise_strength_rank NULLS FIRST, ticker LIMIT 3"
-ORACLE_SQL["alerts"] = _q(_SECTOR + _pairs(60)[len(_PANEL) :] + ", med AS (SELECT date, median(CASE WHEN n >= 30 THEN rho END) AS c FROM rolled WHERE k >= 60 GROUP BY date), gv AS (SELECT s.date, drawdown_60d AS d, breadth_thrust_5d AS t, c, 1 / (1 + exp(-greatest(least(-4 * coalesce(drawdown_60d, 0) + 2 * coalesce(breadth_thrust_5d, 0) + 0.3, 10), -10))) AS p FROM sector s LEFT JOIN med ON s.date = med.date)", "SELECT date, round(p, 6) AS probability, coalesce(d <= -0.08 AND c >= -0.05, false) AS watch, coalesce(d <= -0.08 AND c >= -0.05 AND p >= 0.6 AND t >= 0.10, false) AS triggered FROM gv")
+ORACLE_SQL[
+    "top_strength"
+] = f"SELECT ticker, rise_strength_rank FROM ({_RANKS}) ORDER BY rise_strength_rank NULLS FIRST, ticker LIMIT 3"
+ORACLE_SQL["alerts"] = _q(
+    _SECTOR + _pairs(60)[len(_PANEL) :] + ", med AS (SELECT date, median(CASE WHEN n >= 30 THEN rho END) AS c FROM rolled WHERE k >= 60 GROUP BY date), gv AS (SELECT s.date, drawdown_60d AS d, breadth_thrust_5d AS t, c, 1 / (1 + exp(-greatest(least(-4 * coalesce(drawdown_60d, 0) + 2 * coalesce(breadth_thrust_5d, 0) + 0.3, 10), -10))) AS p FROM sector s LEFT JOIN med ON s.date = med.date)",
+    "SELECT date, round(p, 6) AS probability, coalesce(d <= -0.08 AND c >= -0.05, false) AS watch, coalesce(d <= -0.08 AND c >= -0.05 AND p >= 0.6 AND t >= 0.10, false) AS triggered FROM gv",
+)
 ORACLE_SQL["rebound_leaders"] = _q(
     _PANEL + ", lv AS (SELECT cluster, date, avg(close) AS level FROM panel GROUP BY cluster, date), ev AS (SELECT *, " + _BOTTOM.format(x="level", by="PARTITION BY cluster", k=5, h=20, r=0.05) + """ AS bottom, lead(level, 20) OVER (PARTITION BY cluster ORDER BY date) / level - 1 AS ahead FROM lv), ty AS (SELECT cluster, median(ahead) AS typical FROM ev WHERE bottom AND level > 0 GROUP BY cluster),
   pr AS (SELECT *, lead(close, 5) OVER t / close - 1 AS r5, lead(close, 10) OVER t / close - 1 AS r10, lead(close, 20) OVER t / close - 1 AS r20, max(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS fut FROM panel WINDOW t AS (PARTITION BY ticker ORDER BY date)),
@@ -244,7 +253,13 @@ ORACLE_SQL["rebound_leaders"] = _q(
     "SELECT cluster, ticker, events, round(m5, 6) AS median_rebound_5d, round(m10, 6) AS median_rebound_10d, round(m20, 6) AS median_rebound_20d, round(e, 6) AS recovery_efficiency, round(c, 6) AS consistency, d AS median_days_to_recover, round(ratio, 6) AS rebound_ratio_20d, CASE WHEN events >= 3 THEN row_number() OVER (PARTITION BY cluster, events >= 3 ORDER BY ratio DESC NULLS LAST, c DESC NULLS LAST, ticker) END AS rank_in_cluster FROM ag",
 )
 _SCREEN = _ALARM + _ADX[len(_BARS) :] + ", " + _score(20, "a20") + ", " + _score(60, "a60") + _GROUPED[len(_PANEL) :] + ", lastd AS (SELECT * FROM both_ WHERE date IN (SELECT DISTINCT date FROM panel ORDER BY date DESC LIMIT 120)), " + _drawdown("lastd") + ", cap AS (SELECT cluster, ticker, avg(CASE WHEN g > 0 THEN log_ret END) / avg(CASE WHEN g > 0 THEN g END) - avg(CASE WHEN g < 0 THEN log_ret END) / avg(CASE WHEN g < 0 THEN g END) AS spread FROM lastd WHERE log_ret IS NOT NULL AND g IS NOT NULL GROUP BY cluster, ticker), newest AS (SELECT ticker, alarm, washout, fired FROM al QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1)"
-ORACLE_SQL["screen"] = _r(_SCREEN.replace("JOIN region ON n_regionkey = r_regionkey)", "JOIN region ON n_regionkey = r_regionkey WHERE CAST(date_trunc('week', l_shipdate) AS DATE) <= DATE '2001-06-30')"), "SELECT a.ticker, round(a.score, 6) AS short_score, round(b.score, 6) AS mid_score, round(a.r2, 6) AS short_r2, round(b.r2, 6) AS mid_r2, round(b.adx, 6) AS adx, b.ma_stack, cap.cluster, round(spread, 6) AS capture_spread, round(max_drawdown, 6) AS max_drawdown, recovery_days, rank() OVER (PARTITION BY cap.cluster ORDER BY spread DESC) AS rank_in_cluster, round(alarm, 6) AS alarm, round(washout, 6) AS washout, fired FROM a20 a JOIN a60 b ON a.ticker = b.ticker JOIN cap ON cap.ticker = a.ticker JOIN dd ON dd.ticker = a.ticker JOIN newest n ON n.ticker = a.ticker WHERE a.ticker IN (SELECT ticker FROM bars GROUP BY ticker HAVING count(*) >= 65)")
+ORACLE_SQL["screen"] = _r(
+    _SCREEN.replace(
+        "JOIN region ON n_regionkey = r_regionkey)",
+        "JOIN region ON n_regionkey = r_regionkey WHERE CAST(date_trunc('week', l_shipdate) AS DATE) <= DATE '2001-06-30')",
+    ),
+    "SELECT a.ticker, round(a.score, 6) AS short_score, round(b.score, 6) AS mid_score, round(a.r2, 6) AS short_r2, round(b.r2, 6) AS mid_r2, round(b.adx, 6) AS adx, b.ma_stack, cap.cluster, round(spread, 6) AS capture_spread, round(max_drawdown, 6) AS max_drawdown, recovery_days, rank() OVER (PARTITION BY cap.cluster ORDER BY spread DESC) AS rank_in_cluster, round(alarm, 6) AS alarm, round(washout, 6) AS washout, fired FROM a20 a JOIN a60 b ON a.ticker = b.ticker JOIN cap ON cap.ticker = a.ticker JOIN dd ON dd.ticker = a.ticker JOIN newest n ON n.ticker = a.ticker WHERE a.ticker IN (SELECT ticker FROM bars GROUP BY ticker HAVING count(*) >= 65)",
+)
 
 
 def _near(source: str, keys: str, tolerance: int, name: str) -> str:
@@ -264,10 +279,15 @@ _BACKTEST = (
     + ", tst AS (SELECT f.fold, ticker, label, washout > -0.5 AND alarm > gate AND confirmed AS s, row_number() OVER (PARTITION BY f.fold, ticker ORDER BY date) AS p FROM sig, folds f JOIN best ON best.fold = f.fold WHERE date BETWEEN test_start AND test_end), "
     + _near("tst", "fold", 5, "tr")
 )
-ORACLE_SQL["backtest_folds"] = _r(_BACKTEST, f"SELECT f.*, gate, labels, signals, true_positives, matched_labels, round(mean_lead_days, 6) AS mean_lead_days, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_F1}, 6) AS f1 FROM folds f JOIN best ON best.fold = f.fold LEFT JOIN tr ON tr.fold = f.fold")
+ORACLE_SQL["backtest_folds"] = _r(
+    _BACKTEST,
+    f"SELECT f.*, gate, labels, signals, true_positives, matched_labels, round(mean_lead_days, 6) AS mean_lead_days, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_F1}, 6) AS f1 FROM folds f JOIN best ON best.fold = f.fold LEFT JOIN tr ON tr.fold = f.fold",
+)
 
 _TESTED = _BACKTEST + f", fw AS (SELECT ticker, date, fired, {_FORWARD} FROM (SELECT ticker, date, close, washout > -0.5 AND alarm > gate AND confirmed AS fired FROM al, folds f JOIN best ON best.fold = f.fold WHERE date BETWEEN test_start AND test_end) WINDOW t AS (PARTITION BY ticker ORDER BY date)), smp AS (SELECT h AS horizon, v AS value FROM (SELECT unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM fw WHERE fired) WHERE v IS NOT NULL), ecos AS (SELECT h::INT AS horizon, coalesce(n, 0) AS n, mean_return, median_return, hit_rate FROM (SELECT unnest([5, 10, 20]) AS h) LEFT JOIN (SELECT horizon, {_ECON} FROM smp GROUP BY horizon) ON horizon = h)"
-ORACLE_SQL["backtest_economics"] = _r(_TESTED, "SELECT horizon, n, " + _rounded("mean_return", "median_return", "hit_rate") + " FROM ecos")
+ORACLE_SQL["backtest_economics"] = _r(
+    _TESTED, "SELECT horizon, n, " + _rounded("mean_return", "median_return", "hit_rate") + " FROM ecos"
+)
 ORACLE_SQL["backtest_edges"] = _r(
     _TESTED + ", " + _drawn(50) + f", bsm AS (SELECT h AS horizon, v AS value FROM (SELECT unnest([5, 10, 20]) AS h, unnest([h5, h10, h20]) AS v FROM drw) WHERE v IS NOT NULL), chance AS (SELECT h::INT AS horizon, coalesce(n, 0) AS n, mean_return, median_return, hit_rate FROM (SELECT unnest([5, 10, 20]) AS h) LEFT JOIN (SELECT horizon, {_ECON} FROM bsm GROUP BY horizon) ON horizon = h)",
     "SELECT o.horizon, o.n, " + ", ".join(f"round(o.{c}, 6) AS {c}" for c in ("mean_return", "median_return", "hit_rate")) + ", c.n AS n_baseline, " + ", ".join(f"round(c.{c}, 6) AS {c}_baseline" for c in ("mean_return", "median_return", "hit_rate")) + ", round(o.mean_return - c.mean_return, 6) AS mean_edge, round(o.hit_rate - c.hit_rate, 6) AS hit_rate_edge FROM ecos o JOIN chance c ON o.horizon = c.horizon",
@@ -284,8 +304,14 @@ ORACLE_SQL["universe_built"] = _q(
   why AS (SELECT *, concat_ws('; ', CASE WHEN NOT (industry IN ('Brand#1', 'Brand#23') OR themes <> '') THEN 'off theme' END, CASE WHEN hd < 160 THEN printf('insufficient history (%dd)', hd) END, CASE WHEN lc < 1400 THEN printf('price below floor (%.2f)', lc) END, CASE WHEN dv < 60000 THEN printf('dollar_volume below floor (%.0f)', dv) END) AS reason FROM thm)""",
     "SELECT ticker, name, industry, themes, exchange, round(dv, 3) AS median_dollar_volume, round(lc, 9) AS last_close, hd AS history_days, reason = '' AS included, reason FROM why",
 )
-ORACLE_SQL["enrichment_candidates"] = _q(_SYMBOLS, "SELECT ticker, name, exchange FROM (SELECT *, lower(name) AS t FROM syms) WHERE CASE WHEN ticker IN ('S11', 'S22') THEN true WHEN etf THEN false WHEN regexp_matches(name, '(?i)\\b(warrant|right|unit|preferred|notes\\s+due)s?\\b') THEN false WHEN ticker IN ('S5', 'S9', 'S33') THEN true ELSE " + _THEMED + " <> '' END")
-ORACLE_SQL["day_files"] = _q(_BARS, "SELECT ticker, date, round(CAST(CAST(close AS FLOAT) AS DOUBLE), 3) AS close, round(CAST(CAST(volume AS FLOAT) AS DOUBLE), 3) AS volume FROM bars WHERE ticker IN ('NATION_3', 'NATION_7', 'NATION_11', 'NATION_24') AND date BETWEEN DATE '1995-01-02' AND DATE '1997-06-30'")
+ORACLE_SQL["enrichment_candidates"] = _q(
+    _SYMBOLS,
+    "SELECT ticker, name, exchange FROM (SELECT *, lower(name) AS t FROM syms) WHERE CASE WHEN ticker IN ('S11', 'S22') THEN true WHEN etf THEN false WHEN regexp_matches(name, '(?i)\\b(warrant|right|unit|preferred|notes\\s+due)s?\\b') THEN false WHEN ticker IN ('S5', 'S9', 'S33') THEN true ELSE " + _THEMED + " <> '' END",
+)
+ORACLE_SQL["day_files"] = _q(
+    _BARS,
+    "SELECT ticker, date, round(CAST(CAST(close AS FLOAT) AS DOUBLE), 3) AS close, round(CAST(CAST(volume AS FLOAT) AS DOUBLE), 3) AS volume FROM bars WHERE ticker IN ('NATION_3', 'NATION_7', 'NATION_11', 'NATION_24') AND date BETWEEN DATE '1995-01-02' AND DATE '1997-06-30'",
+)
 _SPLITS = "; ".join(("l_quantity", "l_discount", "l_tax", "l_linenumber"))
 ORACLE_SQL["large_split"] = (
     "WITH li AS (SELECT l_quantity, l_discount, l_tax, CAST(l_linenumber AS DOUBLE) AS l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), vals AS ("

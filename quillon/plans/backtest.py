@@ -18,13 +18,26 @@ def run(bars: DataFrame, panel: DataFrame, config: Config) -> dict[str, DataFram
     """
     b, w, spark = config.backtest, config.windows, bars.sparkSession
     alarms = indicators.alarms(bars, panel, w.short, w.mid, config.washout_gate, config.alarm_gate)
-    rows = labels.bottoms(alarms, b.half_window, b.ahead, b.least_return).select("ticker", "date", "close", "washout", "alarm", "confirmed", "label")
+    rows = labels.bottoms(alarms, b.half_window, b.ahead, b.least_return).select(
+        "ticker",
+        "date",
+        "close",
+        "washout",
+        "alarm",
+        "confirmed",
+        "label",
+    )
     rows = written(rows, "alarms")
     folds = evaluate.expanding_folds(spark, b.start, b.end, b.initial_years, b.step_years)
     gates = evaluate.gate_search(rows, folds, b.gates, b.half_window, config.washout_gate)
     plan = folds.join(gates.select("fold", "gate"), "fold")
-    test = rows.join(F.broadcast(plan.select("fold", "gate", "test_start", "test_end")), F.col("date").between(F.col("test_start"), F.col("test_end")))
-    test = test.withColumn("signal", (F.col("washout") > config.washout_gate) & (F.col("alarm") > F.col("gate")) & F.col("confirmed"))
+    test = rows.join(
+        F.broadcast(plan.select("fold", "gate", "test_start", "test_end")),
+        F.col("date").between(F.col("test_start"), F.col("test_end")),
+    )
+    test = test.withColumn(
+        "signal", (F.col("washout") > config.washout_gate) & (F.col("alarm") > F.col("gate")) & F.col("confirmed")
+    )
     per_fold = plan.join(evaluate.scores(test, b.half_window, ["fold"]), "fold", "left")
     own = evaluate.economics(evaluate.samples(test, F.col("signal"), b.horizons), b.horizons)
     chance = evaluate.economics(evaluate.baseline(test, F.col("signal"), b.horizons, b.draws), b.horizons)

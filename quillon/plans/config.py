@@ -9,11 +9,20 @@ from datetime import UTC, date, datetime, timedelta
 from pathlib import Path
 
 
-def bounded(what: str, value: float | None, low: float | None = None, high: float | None = None, above: float | None = None, below: float | None = None) -> None:
+def bounded(
+    what: str,
+    value: float | None,
+    low: float | None = None,
+    high: float | None = None,
+    above: float | None = None,
+    below: float | None = None,
+) -> None:
     """An error unless low <= value <= high and above < value < below, as far as these are given. None is no value."""
     if value is None:
         return
-    if (low is not None and value < low) or (high is not None and value > high) or (above is not None and value <= above) or (below is not None and value >= below):
+    if (low is not None and value < low) or (high is not None and value > high) or (
+        above is not None and value <= above
+    ) or (below is not None and value >= below):
         limits = [f"{sign} {v}" for sign, v in ((">=", low), ("<=", high), (">", above), ("<", below)) if v is not None]
         raise ValueError(f"{what} must be {' and '.join(limits)}, not {value}")
 
@@ -212,7 +221,9 @@ class Config:
 
 def _merged(base: dict, more: dict) -> dict:
     """more over base, level by level."""
-    return base | {k: _merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in more.items()}
+    return base | {
+        k: _merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in more.items()
+    }
 
 
 def load(path: str | None = None, profile: str | None = None) -> Config:
@@ -235,7 +246,10 @@ def _made(kind: type, base: dict, more: dict):
     known = {f.name: getattr(kind(), f.name) for f in fields(kind)}
     if unknown := set(more) - set(known):
         raise ValueError(f"unknown parameters: {sorted(unknown)}")
-    own = {k: _made(type(v), base[k], more.get(k, {})) if is_dataclass(v) else more.get(k, base[k]) for k, v in known.items()}
+    own = {
+        k: _made(type(v), base[k], more.get(k, {})) if is_dataclass(v) else more.get(k, base[k])
+        for k, v in known.items()
+    }
     return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in own.items()})
 
 

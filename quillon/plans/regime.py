@@ -28,20 +28,46 @@ INPUTS = (
 )
 
 
-def configured(panel: DataFrame, market: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def configured(panel: DataFrame, market: DataFrame, config: Config) -> tuple[
+    DataFrame, DataFrame, DataFrame, DataFrame
+]:
     """``run`` by a configuration, and the table of the final models, which ``dumps`` keeps, loads and applies."""
     b, s = config.boosting, config.signals
-    frame, metrics, importance = run(panel, market, b.horizon, config.features.component, config.regimes.least, b.least, b.refit, b.trees, signals=(s.high, s.low, s.regime, s.wide, s.narrow))
+    frame, metrics, importance = run(
+        panel,
+        market,
+        b.horizon,
+        config.features.component,
+        config.regimes.least,
+        b.least,
+        b.refit,
+        b.trees,
+        signals=(s.high, s.low, s.regime, s.wide, s.narrow),
+    )
     frame = written(frame, "regimes")
     fitted = models.fit_boosted(frame, list(INPUTS), "future_excess_return", b.trees, b.depth)
-    return frame, metrics, importance, fitted.unionByName(dumps.fit_regimes(frame, list(REGIMES), config.regimes.states))
+    return frame, metrics, importance, fitted.unionByName(
+        dumps.fit_regimes(frame, list(REGIMES), config.regimes.states)
+    )
 
 
 #: What regimes are found from.
 REGIMES = ("group_excess_return", "realized_volatility", "breadth_above_ma20")
 
 
-def run(panel: DataFrame, market: DataFrame, horizon: int = 20, pca_window: int = 126, least: int = 252, learn: int = 504, refit: int = 21, trees: int = 400, regimes: tuple[str, ...] = REGIMES, inputs: tuple[str, ...] = INPUTS, signals: tuple[float, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run(
+    panel: DataFrame,
+    market: DataFrame,
+    horizon: int = 20,
+    pca_window: int = 126,
+    least: int = 252,
+    learn: int = 504,
+    refit: int = 21,
+    trees: int = 400,
+    regimes: tuple[str, ...] = REGIMES,
+    inputs: tuple[str, ...] = INPUTS,
+    signals: tuple[float, ...] = (),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The frame with probabilities and signal, the metrics of its predictions (one row), and the final model's feature importance.
 
     Regimes and classifier are fitted anew every ``refit`` rows, from ``least`` and ``learn`` rows on. probability is of models that never saw returns past their fit, and the metrics are of it;
@@ -51,8 +77,18 @@ def run(panel: DataFrame, market: DataFrame, horizon: int = 20, pca_window: int
     frame = written(group_frame(panel, market, horizon, pca_window), "group-frame")
     states = models.walk_forward_regimes(frame, list(regimes), least, refit)
     frame = written(frame.join(states, "date", "left"), "states")
-    boosted = written(models.walk_forward_boosted(frame, list(inputs), "future_excess_return", horizon, learn, refit, trees), "boosted")
+    boosted = written(
+        models.walk_forward_boosted(frame, list(inputs), "future_excess_return", horizon, learn, refit, trees),
+        "boosted",
+    )
     live, importance = models.live_boosted(frame, list(inputs), "future_excess_return", trees)
     out = frame.join(boosted.select("date", "probability", "target"), "date", "left").join(live, "date", "left")
-    signal = models.signal(F.col("live_probability"), F.col("bull_probability"), F.col("bear_probability"), F.col("breadth_above_ma20"), F.col("relative_return_20"), *signals)
+    signal = models.signal(
+        F.col("live_probability"),
+        F.col("bull_probability"),
+        F.col("bear_probability"),
+        F.col("breadth_above_ma20"),
+        F.col("relative_return_20"),
+        *signals,
+    )
     return out.withColumn("signal", signal), evaluate.prediction_metrics(boosted), importance

@@ -27,7 +27,9 @@ def found_clusters(panel: DataFrame, market: DataFrame, config: Config) -> DataF
     return correlation.clusters(rho, config.threshold, config.least_cluster)
 
 
-def screen(bars: DataFrame, config: Config, as_of: str | None = None, clusters: DataFrame | None = None) -> dict[str, DataFrame]:
+def screen(
+    bars: DataFrame, config: Config, as_of: str | None = None, clusters: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """trend, clusters, strength, rebound and leaders, as frames. Rows after as_of are cut at the scan, so nothing can look ahead.
 
     clusters (cluster, ticker): given, else found by correlation.
@@ -44,11 +46,25 @@ def screen(bars: DataFrame, config: Config, as_of: str | None = None, clusters:
     grouped = stocks.drop("cluster").join(groups.select("ticker", "cluster"), "ticker")
     alarms = indicators.alarms(grouped, panel, w.short, w.mid, config.washout_gate, config.alarm_gate)
     columns = ["cluster", "alarm", "washout", "stretch_z", "rsi", "volume_signal", "divergence", "confirmed", "fired"]
-    latest = alarms.groupBy("ticker").agg(F.max_by(F.struct("date", *columns), "date").alias("x")).select("ticker", "x.*")
+    latest = alarms.groupBy("ticker").agg(
+        F.max_by(F.struct("date", *columns), "date").alias("x")
+    ).select("ticker", "x.*")
     b = config.backtest
-    return {"trend": indicators.trend_table(stocks, w.short, w.mid), "clusters": groups, "strength": strength.strength_table(panel, w.long), "rebound": latest, "leaders": labels.rebound_leaders(panel, b.half_window, b.ahead, b.least_return, b.horizons)}
+    return {
+        "trend": indicators.trend_table(stocks, w.short, w.mid),
+        "clusters": groups,
+        "strength": strength.strength_table(panel, w.long),
+        "rebound": latest,
+        "leaders": labels.rebound_leaders(panel, b.half_window, b.ahead, b.least_return, b.horizons),
+    }
 
 
 def summary(tables: dict[str, DataFrame]) -> DataFrame:
     """A row a ticker: trend with strength and the latest alarm."""
-    return tables["trend"].join(tables["strength"].select("ticker", "cluster", "capture_spread", "max_drawdown", "recovery_days", "rank_in_cluster"), "ticker", "left").join(tables["rebound"].select("ticker", "alarm", "washout", "fired"), "ticker", "left")
+    return tables["trend"].join(
+        tables["strength"].select(
+            "ticker", "cluster", "capture_spread", "max_drawdown", "recovery_days", "rank_in_cluster"
+        ),
+        "ticker",
+        "left",
+    ).join(tables["rebound"].select("ticker", "alarm", "washout", "fired"), "ticker", "left")

@@ -8,7 +8,13 @@ from pyspark.sql import types as T
 
 from quillon.functions.digest import multiset_digest, row_digest
 
-BARS = T.StructType([T.StructField("ticker", T.StringType(), False), T.StructField("date", T.DateType(), False), *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")]])
+BARS = T.StructType(
+    [
+        T.StructField("ticker", T.StringType(), False),
+        T.StructField("date", T.DateType(), False),
+        *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")],
+    ]
+)
 REQUIRED = ("date", "open", "high", "low", "close", "volume")
 
 
@@ -18,18 +24,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as trades: ticker is the customer's nation, cluster its region, date the week of shipping."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        "l_linenumber",
+        "l_quantity",
+        "l_extendedprice",
+        "l_shipdate",
+    )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     # 25 nations and 5 regions at any scale factor
-    nation = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("ticker"), F.col("r_name").alias("cluster"))
-    full = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    return full.select("ticker", "cluster", F.date_trunc("week", "l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("amount"), F.col("l_quantity").alias("quantity"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("at"))
+    nation = table(spark, sf_dir, "nation").join(
+        F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select("n_nationkey", F.col("n_name").alias("ticker"), F.col("r_name").alias("cluster"))
+    full = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        customer, F.col("o_custkey") == F.col("c_custkey")
+    ).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    return full.select(
+        "ticker",
+        "cluster",
+        F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
+        F.col("l_extendedprice").alias("amount"),
+        F.col("l_quantity").alias("quantity"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("at"),
+    )
 
 
 def _bar_columns() -> list[Column]:
     price = F.col("amount") / F.col("quantity")
-    return [F.min_by(price, "at").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), (F.sum(F.col("amount").cast("decimal(18,2)")).cast("double") / F.sum("quantity")).alias("close"), F.sum("quantity").alias("volume")]
+    return [
+        F.min_by(price, "at").alias("open"),
+        F.max(price).alias("high"),
+        F.min(price).alias("low"),
+        (F.sum(F.col("amount").cast("decimal(18,2)")).cast("double") / F.sum("quantity")).alias("close"),
+        F.sum("quantity").alias("volume"),
+    ]
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +83,9 @@ def within(frame: DataFrame, start: str, end: str, half_open: bool = False) -> D
     return frame.where((day >= a) & ((day < b) if half_open else (day <= b)))
 
 
-def panel(frame: DataFrame, keep: tuple[str, ...] = ("cluster",), values: tuple[str, ...] = ("close", "volume")) -> DataFrame:
+def panel(
+    frame: DataFrame, keep: tuple[str, ...] = ("cluster",), values: tuple[str, ...] = ("close", "volume")
+) -> DataFrame:
     """Every ticker on every date of the table; values are null where there is no bar. The calendar is one row of dates."""
     calendar = frame.agg(F.array_sort(F.collect_set("date")).alias("dates"))
     tickers = frame.select("ticker", *keep).distinct()
@@ -69,7 +102,9 @@ def coverage_gate(frame: DataFrame, requested: int, least_rows: int, least_share
     """Tickers with enough rows and those without, and whether max(3, ceil(requested x share)) of them have enough."""
     own = frame.groupBy("ticker").agg(F.count("close").alias("n")).withColumn("enough", F.col("n") >= least_rows)
     total = own.agg(F.count_if("enough").alias("usable"))
-    return own.join(F.broadcast(total)).withColumn("gate", F.col("usable") >= F.greatest(F.lit(3), F.ceil(F.lit(requested * least_share))))
+    return own.join(F.broadcast(total)).withColumn(
+        "gate", F.col("usable") >= F.greatest(F.lit(3), F.ceil(F.lit(requested * least_share)))
+    )
 
 
 def cleaned(raw: DataFrame) -> DataFrame:
@@ -82,19 +117,25 @@ def cleaned(raw: DataFrame) -> DataFrame:
         raise ValueError(f"missing columns: {missing}")
     number = [F.expr(f"try_cast({c} AS DOUBLE)").alias(c) for c in REQUIRED[1:]]
     seq = F.col("seq") if "seq" in low.columns else F.lit(0)
-    rows = low.select(F.upper(F.trim("ticker")).alias("ticker"), F.to_date("date").alias("date"), *number, seq.alias("seq")).where("close is not null")
+    rows = low.select(
+        F.upper(F.trim("ticker")).alias("ticker"), F.to_date("date").alias("date"), *number, seq.alias("seq")
+    ).where("close is not null")
     return keep_last(rows, ["ticker", "date"], "seq").drop("seq")
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key. The aggregate combines before the shuffle, so a hot key costs a row for each task."""
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("__o"), *[F.col(c) for c in rest])).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+    return rows.groupBy(*keys).agg(
+        F.max(F.struct(F.col(order).alias("__o"), *[F.col(c) for c in rest])).alias("r")
+    ).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def merged(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Both tables' bars; where both have a day, the incoming one."""
-    both = existing.select(*BARS.names, F.lit(0).alias("seq")).unionByName(incoming.select(*BARS.names, F.lit(1).alias("seq")))
+    both = existing.select(*BARS.names, F.lit(0).alias("seq")).unionByName(
+        incoming.select(*BARS.names, F.lit(1).alias("seq"))
+    )
     return keep_last(both, ["ticker", "date"], "seq").select(*BARS.names)
 
 
@@ -103,7 +144,12 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, header=True)
     if missing := {"date", "ticker", "close", "volume"} - set(rows.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
-    out = rows.select(F.upper("ticker").alias("ticker"), F.to_date("date").alias("date"), F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"))
+    out = rows.select(
+        F.upper("ticker").alias("ticker"),
+        F.to_date("date").alias("date"),
+        F.col("close").cast("double").alias("close"),
+        F.col("volume").cast("double").alias("volume"),
+    )
     if out.groupBy("ticker", "date").count().where("count > 1").limit(1).count():
         raise ValueError("a ticker has a date twice")
     return out
@@ -111,10 +157,14 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def write_store(frame: DataFrame, path: str) -> None:
     """A folder for each ticker; only those that frame has are replaced."""
-    frame.repartition("ticker").sortWithinPartitions("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
+    frame.repartition("ticker").sortWithinPartitions("date").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("ticker").parquet(path)
 
 
-def read_store(spark: SparkSession, path: str, tickers: list[str] | None = None, cutoff: str | None = None) -> DataFrame:
+def read_store(
+    spark: SparkSession, path: str, tickers: list[str] | None = None, cutoff: str | None = None
+) -> DataFrame:
     """Bars of a store; tickers prune folders and the cutoff is pushed to the scan. Corrupt files count as absent; ``store.corrupt`` names their tickers."""
     out = spark.read.schema(BARS).option("ignoreCorruptFiles", True).parquet(path)
     out = out.where(F.col("ticker").isin(tickers)) if tickers else out
@@ -125,7 +175,10 @@ def refresh_gaps(frame: DataFrame, start: str, end: str) -> DataFrame:
     """What a store lacks of [start, end]: ticker, gap (leading or forward), gap_start, gap_end."""
     own = frame.groupBy("ticker").agg(F.min("date").alias("low"), F.max("date").alias("high"))
     a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
-    gaps = F.array(F.struct(F.lit("leading").alias("gap"), a.alias("gap_start"), F.date_sub("low", 1).alias("gap_end")), F.struct(F.lit("forward").alias("gap"), F.date_add("high", 1).alias("gap_start"), b.alias("gap_end")))
+    gaps = F.array(
+        F.struct(F.lit("leading").alias("gap"), a.alias("gap_start"), F.date_sub("low", 1).alias("gap_end")),
+        F.struct(F.lit("forward").alias("gap"), F.date_add("high", 1).alias("gap_start"), b.alias("gap_end")),
+    )
     return own.select("ticker", F.explode(gaps).alias("g")).select("ticker", "g.*").where("gap_start <= gap_end")
 
 
@@ -158,4 +211,6 @@ def close_panel(frame: DataFrame, tickers: list[str]) -> DataFrame:
 
 
 def ordered(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(value).desc()))).where(F.col("__n") <= n).drop("__n")
+    return rows.withColumn(
+        "__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(value).desc()))
+    ).where(F.col("__n") <= n).drop("__n")

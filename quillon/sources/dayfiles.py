@@ -61,7 +61,9 @@ class DayFileReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes bounds of date and choices of ticker; Spark applies all others."""
         for f in filters:
-            if getattr(f, "attribute", None) == ("date",) and isinstance(getattr(f, "value", None), dt.date) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+            if getattr(f, "attribute", None) == ("date",) and isinstance(
+                getattr(f, "value", None), dt.date
+            ) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
                 if isinstance(f, (EqualTo, GreaterThanOrEqual)):
                     self.low = max(self.low, f.value)
                 if isinstance(f, GreaterThan):
@@ -105,7 +107,10 @@ class DayFileReader(DataSourceReader):
             whole[first - begin : first - begin + len(values)] = values
             columns.append(pa.array(whole, mask=np.isnan(whole)))
         names = ["ticker", "date", *self.fields]
-        yield pa.RecordBatch.from_arrays([pa.array([partition.folder.upper()] * (end - begin)), pa.array(days[begin:end], pa.date32()), *columns], names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([partition.folder.upper()] * (end - begin)), pa.array(days[begin:end], pa.date32()), *columns],
+            names,
+        )
 
 
 class DayFiles(DataSource):
@@ -155,4 +160,6 @@ def write(frame: DataFrame, path: str, fields: Sequence[str] = FIELDS) -> int:
             files.move(draft, f"{folder}/{field}.day.bin")
         return pa.table({"n": pa.array([len(fields)], pa.int64())})
 
-    return frame.select("ticker", "date", *[F.col(f).cast("double").alias(f) for f in fields]).groupBy("ticker").applyInArrow(one, "n long").agg(F.sum("n")).first()[0] or 0
+    return frame.select(
+        "ticker", "date", *[F.col(f).cast("double").alias(f) for f in fields]
+    ).groupBy("ticker").applyInArrow(one, "n long").agg(F.sum("n")).first()[0] or 0

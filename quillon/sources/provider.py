@@ -67,7 +67,15 @@ class BarSource(DataSource):
 PROVIDERS = ("csv", "fetcher", "dayfiles")
 
 
-def prices(spark: SparkSession, provider: str, start: str, end: str | None = None, tickers: list[str] | None = None, path: str | None = None, fetcher: str | None = None) -> DataFrame:
+def prices(
+    spark: SparkSession,
+    provider: str,
+    start: str,
+    end: str | None = None,
+    tickers: list[str] | None = None,
+    path: str | None = None,
+    fetcher: str | None = None,
+) -> DataFrame:
     """ticker, date, close, volume of the days from start to end, both included, of the given tickers.
 
     csv: a long file. dayfiles: binary day files. fetcher: ``module:function`` of a network, asked a ticker a task. The range and the
@@ -86,7 +94,9 @@ def prices(spark: SparkSession, provider: str, start: str, end: str | None = Non
         if not fetcher or not names:
             raise ValueError("provider fetcher needs a fetcher and tickers")
         spark.dataSource.register(BarSource)
-        rows = spark.read.format("bars").options(tickers=",".join(names), start=start, end=end or "", fetcher=fetcher).load()
+        rows = spark.read.format("bars").options(
+            tickers=",".join(names), start=start, end=end or "", fetcher=fetcher
+        ).load()
     day = F.col("date")
     rows = rows.where(day >= F.lit(start).cast("date"))
     rows = rows.where(day <= F.lit(end).cast("date")) if end else rows

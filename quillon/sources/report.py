@@ -23,7 +23,12 @@ def _rows(frame: DataFrame) -> list[dict]:
 def write_csvs(tables: dict[str, DataFrame], folder: str) -> None:
     """A folder of CSV for each table, by the cluster."""
     for name, frame in tables.items():
-        flat = frame.selectExpr(*[f"`{c}`" if not t.startswith(("array", "struct", "map")) else f"to_json(`{c}`) AS `{c}`" for c, t in frame.dtypes])
+        flat = frame.selectExpr(
+            *[
+                f"`{c}`" if not t.startswith(("array", "struct", "map")) else f"to_json(`{c}`) AS `{c}`"
+                for c, t in frame.dtypes
+            ]
+        )
         flat.coalesce(1).write.mode("overwrite").csv(f"{folder}/{name}", header=True)
 
 
@@ -34,7 +39,17 @@ def write_json(frame: DataFrame, path: str) -> None:
 def markdown(frame: DataFrame, title: str) -> str:
     rows, names = _rows(frame), frame.columns
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "-|" * len(names)]
-    return "\n".join([*lines, *("| " + " | ".join("" if r[c] is None else f"{r[c]:.4g}" if isinstance(r[c], float) else str(r[c]) for c in names) + " |" for r in rows)]) + "\n"
+    return "\n".join(
+        [
+            *lines,
+            *(
+                "| " + " | ".join(
+                    "" if r[c] is None else f"{r[c]:.4g}" if isinstance(r[c], float) else str(r[c]) for c in names
+                ) + " |"
+                for r in rows
+            ),
+        ]
+    ) + "\n"
 
 
 def trend_label(score: float) -> str:
@@ -44,6 +59,11 @@ def trend_label(score: float) -> str:
 def page(tables: dict[str, DataFrame], title: str) -> str:
     parts = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for name, frame in tables.items():
-        cells = "".join("<tr>" + "".join(f"<td>{html.escape('' if r[c] is None else str(r[c]))}</td>" for c in frame.columns) + "</tr>" for r in _rows(frame))
+        cells = "".join(
+            "<tr>" + "".join(
+                f"<td>{html.escape('' if r[c] is None else str(r[c]))}</td>" for c in frame.columns
+            ) + "</tr>"
+            for r in _rows(frame)
+        )
         parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in frame.columns)}</tr>{cells}</table>")
     return "".join([*parts, "</body></html>"])

@@ -59,7 +59,9 @@ def _create_alone(spark: SparkSession, path: str, text: str) -> bool:
 
 
 @contextmanager
-def locked(spark: SparkSession, path: str, patience: float = 600.0, stale: float = STALE_LOCK, pause: float = 0.2) -> Iterator[None]:
+def locked(
+    spark: SparkSession, path: str, patience: float = 600.0, stale: float = STALE_LOCK, pause: float = 0.2
+) -> Iterator[None]:
     """One writer of a store at a time, by a file that is created exclusively. Waits for at most ``patience`` seconds.
 
     A lock older than ``stale`` is put aside by a rename, which one of those that wait can do. What a writer that died left half done is finished first.
@@ -94,7 +96,9 @@ def _staged(spark: SparkSession, path: str) -> list[str]:
     parent = p.getParent()
     if not fs.exists(parent):
         return []
-    return sorted(str(s.getPath()) for s in fs.listStatus(parent) if s.getPath().getName().startswith(f"{p.getName()}.staged-"))
+    return sorted(
+        str(s.getPath()) for s in fs.listStatus(parent) if s.getPath().getName().startswith(f"{p.getName()}.staged-")
+    )
 
 
 def recover(spark: SparkSession, path: str) -> None:
@@ -135,7 +139,9 @@ def _moved(fs, source_path, target) -> None:
 
 
 def _note(sums: DataFrame, path: str) -> None:
-    sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(f"{path}.checksums")
+    sums.write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("ticker").parquet(f"{path}.checksums")
 
 
 def replace_tickers(frame: DataFrame, path: str) -> None:
@@ -160,8 +166,12 @@ def corrupt(spark: SparkSession, path: str, tickers: list[str]) -> list[str]:
     """The tickers whose rows aren't what was written last: broken files, lost or altered rows. Stores without checksums are taken as they are."""
     if not _exists(spark, f"{path}.checksums"):
         return []
-    noted = spark.read.schema("ticker string, n long, digest string").parquet(f"{path}.checksums").where(F.col("ticker").isin(tickers))
-    found = source.checksums(source.read_store(spark, path, tickers)).select("ticker", F.col("n").alias("own_n"), F.col("digest").alias("own"))
+    noted = spark.read.schema("ticker string, n long, digest string").parquet(f"{path}.checksums").where(
+        F.col("ticker").isin(tickers)
+    )
+    found = source.checksums(source.read_store(spark, path, tickers)).select(
+        "ticker", F.col("n").alias("own_n"), F.col("digest").alias("own")
+    )
     same = F.col("digest").isNull() | true((F.col("own_n") == F.col("n")) & (F.col("own") == F.col("digest")))
     return sorted(r.ticker for r in noted.join(found, "ticker", "left").where(~same).select("ticker").collect())
 
@@ -179,7 +189,16 @@ def quarantine(spark: SparkSession, path: str, tickers: list[str]) -> list[str]:
     return moved
 
 
-def refresh(spark: SparkSession, path: str, tickers: list[str], start: str, end: str, fetch: Callable[[DataFrame], DataFrame], tail_days: int = 0, force: bool = False) -> DataFrame:
+def refresh(
+    spark: SparkSession,
+    path: str,
+    tickers: list[str],
+    start: str,
+    end: str,
+    fetch: Callable[[DataFrame], DataFrame],
+    tail_days: int = 0,
+    force: bool = False,
+) -> DataFrame:
     """Fetches what the store lacks of [start, end] and merges it; bars that are there are never lost. Returns ticker, status, n.
 
     fetch takes gaps (ticker, gap_start, gap_end) and returns bars. A ticker of which nothing came for a gap is ``failed``, one without
@@ -191,7 +210,16 @@ def refresh(spark: SparkSession, path: str, tickers: list[str], start: str, end:
         return _refreshed(spark, path, tickers, start, end, fetch, tail_days, force)
 
 
-def _refreshed(spark: SparkSession, path: str, tickers: list[str], start: str, end: str, fetch: Callable[[DataFrame], DataFrame], tail_days: int, force: bool) -> DataFrame:
+def _refreshed(
+    spark: SparkSession,
+    path: str,
+    tickers: list[str],
+    start: str,
+    end: str,
+    fetch: Callable[[DataFrame], DataFrame],
+    tail_days: int,
+    force: bool,
+) -> DataFrame:
     wanted = spark.createDataFrame([(t,) for t in tickers], "ticker string")
     there = _exists(spark, path)
     broken = corrupt(spark, path, tickers) if there else []
@@ -199,11 +227,17 @@ def _refreshed(spark: SparkSession, path: str, tickers: list[str], start: str, e
     old = source.read_store(spark, path, tickers) if there and not force else spark.createDataFrame([], source.BARS)
     low, high = F.lit(start).cast("date"), F.lit(end).cast("date")
     known = source.refresh_gaps(old, start, end).select("ticker", "gap_start", "gap_end")
-    fresh = wanted.join(old.select("ticker").distinct(), "ticker", "left_anti").select("ticker", low.alias("gap_start"), high.alias("gap_end"))
+    fresh = wanted.join(old.select("ticker").distinct(), "ticker", "left_anti").select(
+        "ticker", low.alias("gap_start"), high.alias("gap_end")
+    )
     gaps = fresh.unionByName(known)
     if tail_days:
         tail = wanted.join(old.select("ticker").distinct(), "ticker", "left_semi")
-        gaps = gaps.unionByName(tail.select("ticker", F.greatest(low, F.date_sub(high, tail_days)).alias("gap_start"), high.alias("gap_end")))
+        gaps = gaps.unionByName(
+            tail.select(
+                "ticker", F.greatest(low, F.date_sub(high, tail_days)).alias("gap_start"), high.alias("gap_end")
+            )
+        )
     gaps = gaps.cache()
     new = fetch(gaps).select(*source.BARS.names).where("close is not null").cache()
     try:
@@ -219,20 +253,42 @@ def _refreshed(spark: SparkSession, path: str, tickers: list[str], start: str, e
     return spark.createDataFrame(status, "ticker string, status string, n long")
 
 
-def download(spark: SparkSession, path: str, tickers: list[str], start: str, end: str, fetch: Callable[[DataFrame], DataFrame], least_share: float = 0.8, summary: str | None = None, tail_days: int = 0, force: bool = False) -> dict:
+def download(
+    spark: SparkSession,
+    path: str,
+    tickers: list[str],
+    start: str,
+    end: str,
+    fetch: Callable[[DataFrame], DataFrame],
+    least_share: float = 0.8,
+    summary: str | None = None,
+    tail_days: int = 0,
+    force: bool = False,
+) -> dict:
     """A refresh of a universe with its coverage gate, and what it did: as a dictionary, and as JSON in the file ``summary``.
 
     max(3, ceil(tickers x least_share)) of the tickers must have bars in [start, end] afterwards; fewer are an error that names the others.
     """
     status = refresh(spark, path, tickers, start, end, fetch, tail_days, force).collect()
     held = source.within(source.read_store(spark, path, tickers), start, end) if _exists(spark, path) else None
-    there = {r.ticker: r.n for r in held.groupBy("ticker").agg(F.count("*").alias("n")).collect()} if held is not None else {}
+    there = {
+        r.ticker: r.n for r in held.groupBy("ticker").agg(F.count("*").alias("n")).collect()
+    } if held is not None else {}
     failures = sorted(t for t in tickers if t not in there)
     least = max(3, math.ceil(len(tickers) * least_share))
     if len(there) < least:
-        raise RuntimeError(f"only {len(there)} of {len(tickers)} tickers have bars, {least} are needed; none of {failures}")
+        raise RuntimeError(
+            f"only {len(there)} of {len(tickers)} tickers have bars, {least} are needed; none of {failures}"
+        )
     own = {r.ticker: {"status": r.status, "fetched_rows": r.n, "rows": there.get(r.ticker, 0)} for r in status}
-    found = {"start": start, "end": end, "cache_hits": sum(r.status == "skipped" for r in status), "remote_fetches": sum(r.status == "fetched" for r in status), "tickers": own, "failures": failures}
+    found = {
+        "start": start,
+        "end": end,
+        "cache_hits": sum(r.status == "skipped" for r in status),
+        "remote_fetches": sum(r.status == "fetched" for r in status),
+        "tickers": own,
+        "failures": failures,
+    }
     if summary:
         draft = Path(f"{summary}.draft")
         draft.parent.mkdir(parents=True, exist_ok=True)
@@ -258,16 +314,22 @@ def load(spark: SparkSession, path: str, tickers: list[str], start: str, end: st
 
 def record_failures(status: DataFrame, path: str, reason: str) -> None:
     """Appends failed tickers to a log."""
-    status.where("status = 'failed'").select("ticker", F.lit(reason).alias("reason"), F.current_timestamp().alias("at")).write.mode("append").csv(path, header=True)
+    status.where("status = 'failed'").select(
+        "ticker", F.lit(reason).alias("reason"), F.current_timestamp().alias("at")
+    ).write.mode("append").csv(path, header=True)
 
 
-def enrich(spark: SparkSession, path: str, symbols: DataFrame, look_up: Callable[[DataFrame], DataFrame], flush: int = 25) -> DataFrame:
+def enrich(
+    spark: SparkSession, path: str, symbols: DataFrame, look_up: Callable[[DataFrame], DataFrame], flush: int = 25
+) -> DataFrame:
     """The profiles of all symbols (ticker); those that aren't in the table yet are looked up.
 
     Each ``flush`` of them are appended when they are there, so a run that broke goes on where it was. The listing of symbols (some thousands)
     is at the driver, as each look-up asks a provider.
     """
-    pending = symbols.join(spark.read.parquet(path).select("ticker"), "ticker", "left_anti") if _exists(spark, path) else symbols
+    pending = symbols.join(
+        spark.read.parquet(path).select("ticker"), "ticker", "left_anti"
+    ) if _exists(spark, path) else symbols
     rows = pending.orderBy("ticker").collect()
     for at in range(0, max(len(rows), 1), flush):
         look_up(spark.createDataFrame(rows[at : at + flush], symbols.schema)).write.mode("append").parquet(path)
@@ -297,8 +359,17 @@ def record_stage(path: str, stage: str, at: float | None = None) -> dict:
 class SnapshotCache:
     """A listing kept for a time: validated, refused if it shrank too much, and used when stale if there is no new one."""
 
-    def __init__(self, path: str, ttl: float = 86_400, least_rows: int = 1000, most_invalid: float = 0.10, most_shrink: float = 0.30):
-        self.path, self.ttl, self.least_rows, self.most_invalid, self.most_shrink = Path(path), ttl, least_rows, most_invalid, most_shrink
+    def __init__(
+        self,
+        path: str,
+        ttl: float = 86_400,
+        least_rows: int = 1000,
+        most_invalid: float = 0.10,
+        most_shrink: float = 0.30,
+    ):
+        self.path, self.ttl, self.least_rows, self.most_invalid, self.most_shrink = Path(
+            path
+        ), ttl, least_rows, most_invalid, most_shrink
 
     @staticmethod
     def digest(rows: list[dict]) -> str:

@@ -14,8 +14,22 @@ def bars_of_trades(trades: DataFrame, width: str = "1 day", late: str = "2 days"
     """ticker, date, open, high, low, close, volume of a stream of trades (ticker, ts, price, quantity); a bar is final once the watermark has passed."""
     at = F.struct("ts", "price")
     window = trades.withWatermark("ts", late).groupBy("ticker", F.window("ts", width).alias("w"))
-    out = window.agg(F.min(at).alias("first"), F.max("price").alias("high"), F.min("price").alias("low"), F.max(at).alias("last"), F.sum("quantity").alias("volume"))
-    return out.select("ticker", F.col("w.start").cast("date").alias("date"), F.col("first.price").alias("open"), "high", "low", F.col("last.price").alias("close"), F.col("volume").cast("double").alias("volume"))
+    out = window.agg(
+        F.min(at).alias("first"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max(at).alias("last"),
+        F.sum("quantity").alias("volume"),
+    )
+    return out.select(
+        "ticker",
+        F.col("w.start").cast("date").alias("date"),
+        F.col("first.price").alias("open"),
+        "high",
+        "low",
+        F.col("last.price").alias("close"),
+        F.col("volume").cast("double").alias("volume"),
+    )
 
 
 def upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -36,4 +50,6 @@ def upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
             old = spark.createDataFrame([], source.BARS)
         store.replace_tickers(source.merged(old, batch), path)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(merge).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()

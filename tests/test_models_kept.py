@@ -15,7 +15,14 @@ from quillon.operators.hmm import GaussianHmm
 def rows(seed, n=260):
     rng = np.random.default_rng(seed)
     a, b = rng.normal(size=n), rng.normal(size=n)
-    return pd.DataFrame({"date": [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)], "a": a, "b": b, "future": a * 0.5 + rng.normal(size=n) * 0.3})
+    return pd.DataFrame(
+        {
+            "date": [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)],
+            "a": a,
+            "b": b,
+            "future": a * 0.5 + rng.normal(size=n) * 0.3,
+        }
+    )
 
 
 def test_trees_score_after_loading_as_before(spark, tmp_path):
@@ -23,11 +30,16 @@ def test_trees_score_after_loading_as_before(spark, tmp_path):
     table = models.fit_boosted(spark.createDataFrame(frame), ["a", "b"], "future", 30)
     dumps.save(table, str(tmp_path / "models"))
     loaded = dumps.load(spark, str(tmp_path / "models"))
-    got = {r.date: r.probability for r in dumps.score_boosted(spark.createDataFrame(frame).repartition(5), loaded).collect()}
+    got = {
+        r.date: r.probability
+        for r in dumps.score_boosted(spark.createDataFrame(frame).repartition(5), loaded).collect()
+    }
     own = BoostedTrees(30, 3, lasso=0.05).fit(frame[["a", "b"]].to_numpy(), (frame["future"] > 0).to_numpy(float))
     assert np.array_equal([got[d] for d in frame["date"]], own.probability(frame[["a", "b"]].to_numpy()))
     assert loaded.first().importance == pytest.approx(dict(zip("ab", own.importance(), strict=True)))
-    odd = spark.createDataFrame([(dt.date(2021, 1, 1), None, 1.0), (dt.date(2021, 1, 2), float("nan"), 1.0)], "date date, a double, b double")
+    odd = spark.createDataFrame(
+        [(dt.date(2021, 1, 1), None, 1.0), (dt.date(2021, 1, 2), float("nan"), 1.0)], "date date, a double, b double"
+    )
     assert [r.probability for r in dumps.score_boosted(odd, loaded).collect()] == [None, None]
 
 
@@ -35,9 +47,17 @@ def test_regimes_score_after_loading_as_before(spark, tmp_path):
     rng = np.random.default_rng(2)
     n = 240
     level = np.repeat([-1.0, 0.0, 1.0, 0.0], n // 4)
-    frame = pd.DataFrame({"date": [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)], "r": level + rng.normal(size=n) * 0.3, "v": rng.normal(size=n)})
+    frame = pd.DataFrame(
+        {
+            "date": [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)],
+            "r": level + rng.normal(size=n) * 0.3,
+            "v": rng.normal(size=n),
+        }
+    )
     dumps.save(dumps.fit_regimes(spark.createDataFrame(frame), ["r", "v"]), str(tmp_path / "models"))
-    got = dumps.score_regimes(spark.createDataFrame(frame).repartition(3), dumps.load(spark, str(tmp_path / "models"))).orderBy("date").toPandas()
+    got = dumps.score_regimes(
+        spark.createDataFrame(frame).repartition(3), dumps.load(spark, str(tmp_path / "models"))
+    ).orderBy("date").toPandas()
     x = frame[["r", "v"]].to_numpy()
     z = (x - x.mean(axis=0)) / x.std(axis=0)
     model = GaussianHmm(3).fit(z)
@@ -63,12 +83,17 @@ def test_class_weights_are_of_the_rows_learned_from(spark):
     n = 200
     a = rng.normal(size=n)
     label = (a + rng.normal(size=n) * 0.5 > 0.8).astype(float)
-    frame = pd.DataFrame({"date": [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)], "a": a, "label": label})
+    frame = pd.DataFrame(
+        {"date": [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)], "a": a, "label": label}
+    )
     other = frame.copy()
     other.loc[n - 40 :, "label"] = 1.0
 
     def found(f):
-        return {(r.split, r.date): r.probability for r in models.rebound_probability(spark.createDataFrame(f), ["a"], 10, 4, 20).where("split < 4").collect()}
+        return {
+            (r.split, r.date): r.probability
+            for r in models.rebound_probability(spark.createDataFrame(f), ["a"], 10, 4, 20).where("split < 4").collect()
+        }
 
     x, y = found(frame), found(other)
     assert x == y and len(x) == 160
@@ -82,7 +107,12 @@ def test_large_trees_are_those_of_the_exact_search(spark, seed):
     x = np.column_stack([rng.integers(0, 12, n), rng.integers(0, 40, n) / 7, rng.integers(0, 3, n)]).astype(float)
     y = ((x[:, 0] > 6) ^ (x[:, 1] > 3) ^ (rng.random(n) < 0.1)).astype(float)
     frame = pd.DataFrame(x, columns=["a", "b", "c"]).assign(y=y)
-    given = spark.createDataFrame(frame).repartition(4).unionByName(spark.createDataFrame([(float("nan"), 1.0, 1.0, 1.0), (1.0, None, 1.0, 0.0), (1.0, 1.0, 1.0, None)], "a double, b double, c double, y double"))
+    given = spark.createDataFrame(frame).repartition(4).unionByName(
+        spark.createDataFrame(
+            [(float("nan"), 1.0, 1.0, 1.0), (1.0, None, 1.0, 0.0), (1.0, 1.0, 1.0, None)],
+            "a double, b double, c double, y double",
+        )
+    )
     kind = {"trees": 3, "depth": 3, "rate": 0.3, "rows": 1.0, "columns": 1.0, "lasso": 0.1, "positive": 1.5}
     own, exact = largeboost.fit_large(given, ["a", "b", "c"], "y", BoostedTrees(**kind)), BoostedTrees(**kind).fit(x, y)
 

@@ -31,7 +31,10 @@ def bars(spark, frame):
 
 def series(spark, values, ticker="A", start="2020-01-01"):
     days = pd.bdate_range(start, periods=len(values)).date
-    rows = [(ticker, d, float(v), float(v) * 1.01, float(v) * 0.99, float(v), 1e6) for d, v in zip(days, values, strict=True)]
+    rows = [
+        (ticker, d, float(v), float(v) * 1.01, float(v) * 0.99, float(v), 1e6)
+        for d, v in zip(days, values, strict=True)
+    ]
     return spark.createDataFrame(rows, source.BARS).withColumn("cluster", F.lit("x"))
 
 
@@ -39,7 +42,9 @@ def test_rsi_against_pandas_and_flat_series(spark, frame, bars):
     got = {(r.ticker, r.date): r.rsi for r in indicators.with_rsi(bars).collect()}
     one = frame[frame.ticker == "CCC"].sort_values("date")
     delta = one["close"].diff()
-    up, down = delta.clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean(), (-delta).clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean()
+    up, down = delta.clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean(), (-delta).clip(lower=0).ewm(
+        alpha=1 / 14, adjust=False
+    ).mean()
     want = 100 - 100 / (1 + up / down)
     for d, v in zip(one["date"][1:], want[1:], strict=True):
         assert got["CCC", d] == pytest.approx(v)
@@ -66,7 +71,9 @@ def test_bottom_of_a_v(spark):
 
 
 def test_forward_compound_by_hand(spark):
-    rows = series(spark, [1, 2, 3, 4]).withColumn("r", F.element_at(F.array(*map(F.lit, (0.10, 0.20, -0.10, 0.05))), F.col("close").cast("int")))
+    rows = series(spark, [1, 2, 3, 4]).withColumn(
+        "r", F.element_at(F.array(*map(F.lit, (0.10, 0.20, -0.10, 0.05))), F.col("close").cast("int"))
+    )
     got = [r.f for r in rows.withColumn("f", forward_compound(F.col("r"), by_ticker(), 2)).orderBy("date").collect()]
     assert got[:2] == pytest.approx([1.2 * 0.9 - 1, 0.9 * 1.05 - 1]) and got[2:] == [None, None]
 
@@ -76,7 +83,9 @@ def test_nothing_looks_ahead(spark, bars):
     panel = source.panel(bars)
     full = {r.ticker: r.alarm for r in indicators.alarms(bars, panel).where(F.col("date") == cutoff).collect()}
     cut = source.as_of(bars, cutoff)
-    part = {r.ticker: r.alarm for r in indicators.alarms(cut, source.panel(cut)).where(F.col("date") == cutoff).collect()}
+    part = {
+        r.ticker: r.alarm for r in indicators.alarms(cut, source.panel(cut)).where(F.col("date") == cutoff).collect()
+    }
     assert full == pytest.approx(part) and len(full) == len(NAMES) + 1
 
 
@@ -87,7 +96,10 @@ def test_three_blocks_make_three_clusters(spark):
         driver = rng.normal(0, 0.012, 600)
         for i in range(4):
             close = 100 * np.exp(np.cumsum(driver + rng.normal(0, 0.003, 600)))
-            rows += [(f"B{block}_{i}", d, float(c)) for d, c in zip(pd.bdate_range("2020-01-01", periods=600).date, close, strict=True)]
+            rows += [
+                (f"B{block}_{i}", d, float(c))
+                for d, c in zip(pd.bdate_range("2020-01-01", periods=600).date, close, strict=True)
+            ]
     frame = spark.createDataFrame(rows, "ticker string, date date, close double").withColumn("volume", F.lit(1.0))
     rho = correlation.correlation(features.returns(source.panel(frame, keep=())), "log_ret")
     got = correlation.clusters(rho).collect()
@@ -124,20 +136,30 @@ def test_residuals_of_a_line_are_flat(spark, bars):
 def test_hidden_states_are_filtered_and_named(spark):
     rng = np.random.default_rng(5)
     means = np.repeat([0.02, -0.02, 0.02, -0.02], 100)
-    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), float(m + rng.normal(0, 0.004)), float(abs(rng.normal(0, 1)))) for i, m in enumerate(means)]
+    rows = [
+        (dt.date(2020, 1, 1) + dt.timedelta(days=i), float(m + rng.normal(0, 0.004)), float(abs(rng.normal(0, 1))))
+        for i, m in enumerate(means)
+    ]
     frame = spark.createDataFrame(rows, "date date, r double, v double")
     got = models.walk_forward_regimes(frame, ["r", "v"], 250, 50, states=2).orderBy("date").collect()
     assert len(got) == 150
     assert all(abs(g.bear_probability + g.neutral_probability + g.bull_probability - 1) < 1e-9 for g in got)
     right = sum((g.regime == "bull") == (means[250 + i] > 0) for i, g in enumerate(got))
     assert right > 140
-    short = models.walk_forward_regimes(frame.where(F.col("date") < "2020-11-01"), ["r", "v"], 250, 50, states=2).collect()
-    assert {g.date: round(g.bull_probability, 9) for g in short}.items() <= {g.date: round(g.bull_probability, 9) for g in got}.items()
+    short = models.walk_forward_regimes(
+        frame.where(F.col("date") < "2020-11-01"), ["r", "v"], 250, 50, states=2
+    ).collect()
+    assert {g.date: round(g.bull_probability, 9) for g in short}.items() <= {
+        g.date: round(g.bull_probability, 9) for g in got
+    }.items()
 
 
 def test_nearest_labels_and_ties(spark):
     flags = [(0, 0), (0, 1), (1, 0), (0, 1), (0, 0), (0, 0), (0, 0), (1, 0)]
-    rows = spark.createDataFrame([("A", dt.date(2020, 1, 1 + i), bool(s), bool(x)) for i, (s, x) in enumerate(flags)], "ticker string, date date, signal boolean, label boolean")
+    rows = spark.createDataFrame(
+        [("A", dt.date(2020, 1, 1 + i), bool(s), bool(x)) for i, (s, x) in enumerate(flags)],
+        "ticker string, date date, signal boolean, label boolean",
+    )
     got = {r.pos: (r.label_pos, r.matched) for r in evaluate.matches(rows, 2).collect()}
     assert got == {3: (2, True), 8: (4, False)}
     s = evaluate.scores(rows, 2).first()
@@ -153,7 +175,9 @@ def test_folds(spark):
 
 
 def test_metrics_by_hand(spark):
-    rows = spark.createDataFrame([(0.1, 0, 0.0), (0.4, 0, -0.1), (0.35, 1, 0.2), (0.8, 1, 0.3)], "probability double, target int, future double")
+    rows = spark.createDataFrame(
+        [(0.1, 0, 0.0), (0.4, 0, -0.1), (0.35, 1, 0.2), (0.8, 1, 0.3)], "probability double, target int, future double"
+    )
     m = evaluate.prediction_metrics(rows).first()
     assert m.roc_auc == pytest.approx(0.75) and m.average_precision == pytest.approx(0.8333333)
 
@@ -165,20 +189,38 @@ def test_average_rank_of_ties(spark):
 
 
 def test_intervals(spark):
-    rows = spark.createDataFrame([("a", 1, 3), ("a", 3, 5), ("a", 8, 9), ("a", 2, 4), ("b", 1, 1)], "k string, start int, end int")
+    rows = spark.createDataFrame(
+        [("a", 1, 3), ("a", 3, 5), ("a", 8, 9), ("a", 2, 4), ("b", 1, 1)], "k string, start int, end int"
+    )
     assert sorted(map(tuple, intervals.union(rows, "k").collect())) == [("a", 1, 5), ("a", 8, 9)]
     wanted = spark.createDataFrame([("a", 0, 10), ("b", 2, 4)], "k string, low int, high int")
-    assert sorted(map(tuple, intervals.missing(rows, wanted, "k").collect())) == [("a", 0, 1), ("a", 5, 8), ("a", 9, 10), ("b", 2, 4)]
+    assert sorted(map(tuple, intervals.missing(rows, wanted, "k").collect())) == [
+        ("a", 0, 1), ("a", 5, 8), ("a", 9, 10), ("b", 2, 4)
+    ]
 
 
 def listing(spark, rows):
-    return spark.createDataFrame(rows, "symbol string, name string, industry string, sector string, country string, market_cap string")
+    return spark.createDataFrame(
+        rows, "symbol string, name string, industry string, sector string, country string, market_cap string"
+    )
 
 
 def test_universe_cleaning(spark):
-    rows = listing(spark, [(" aaa", "Alpha", "Chips & Tools", "Tech", "US", "$1,000"), ("BBB", "Beta", "Chips & Tools", "Tech", "US", "3000"), ("CCC", "Gamma", "Chips & Tools", "Tech", "US", "2000"), ("DDD", "Delta Warrant", "Chips & Tools", "Tech", "US", "9"), ("AAA", "Alpha old", "Other", "Tech", "US", "bad"), ("", "x", "y", "z", "US", "1")])
+    rows = listing(
+        spark,
+        [
+            (" aaa", "Alpha", "Chips & Tools", "Tech", "US", "$1,000"),
+            ("BBB", "Beta", "Chips & Tools", "Tech", "US", "3000"),
+            ("CCC", "Gamma", "Chips & Tools", "Tech", "US", "2000"),
+            ("DDD", "Delta Warrant", "Chips & Tools", "Tech", "US", "9"),
+            ("AAA", "Alpha old", "Other", "Tech", "US", "bad"),
+            ("", "x", "y", "z", "US", "1"),
+        ],
+    )
     out = universe.normalised(rows)
-    assert {r.symbol: (r.market_cap, r.eligible) for r in out.collect()} == {"AAA": (1000.0, True), "BBB": (3000.0, True), "CCC": (2000.0, True), "DDD": (9.0, False)}
+    assert {r.symbol: (r.market_cap, r.eligible) for r in out.collect()} == {
+        "AAA": (1000.0, True), "BBB": (3000.0, True), "CCC": (2000.0, True), "DDD": (9.0, False)
+    }
     assert [r.symbol for r in universe.by_industry(out, "chips tools").collect()] == ["BBB", "CCC", "AAA"]
     with pytest.raises(ValueError):
         universe.by_industry(out, "nothing")
@@ -186,52 +228,116 @@ def test_universe_cleaning(spark):
 
 def test_stocks_and_other_securities(spark):
     """Marks are words: United Airlines and depositary shares are stocks, plurals of marks aren't."""
-    names = {"UAL": "United Airlines", "BFAM": "Bright Horizons", "TSM": "Taiwan Semiconductor Depositary Shares", "W": "Alpha Warrants", "R": "Beta Right", "P": "Gamma Preference Shares", "N": "Delta 5% Notes due 2030", "D": "Debentures of Epsilon", "BRK/B": "Berkshire", "TWELVELETTER": "Long", "9X": "Nine", "NONAME": " "}
+    names = {
+        "UAL": "United Airlines",
+        "BFAM": "Bright Horizons",
+        "TSM": "Taiwan Semiconductor Depositary Shares",
+        "W": "Alpha Warrants",
+        "R": "Beta Right",
+        "P": "Gamma Preference Shares",
+        "N": "Delta 5% Notes due 2030",
+        "D": "Debentures of Epsilon",
+        "BRK/B": "Berkshire",
+        "TWELVELETTER": "Long",
+        "9X": "Nine",
+        "NONAME": " ",
+    }
     out = universe.normalised(listing(spark, [(k, n, "i", "s", "US", "1") for k, n in names.items()]))
     got = {r.symbol: r.eligible for r in out.collect()}
-    assert got == {"UAL": True, "BFAM": True, "TSM": True, "W": False, "R": False, "P": False, "N": False, "D": False, "BRK-B": True, "TWELVELETTER": True}
-    symbols = spark.createDataFrame([(k, f"{n} chip", False) for k, n in names.items()], "ticker string, name string, etf boolean")
+    assert got == {
+        "UAL": True,
+        "BFAM": True,
+        "TSM": True,
+        "W": False,
+        "R": False,
+        "P": False,
+        "N": False,
+        "D": False,
+        "BRK-B": True,
+        "TWELVELETTER": True,
+    }
+    symbols = spark.createDataFrame(
+        [(k, f"{n} chip", False) for k, n in names.items()], "ticker string, name string, etf boolean"
+    )
     kept = {r.ticker for r in universe.candidates(symbols, {"chip": ["chip"]}, [], []).collect()}
     assert kept == {"UAL", "BFAM", "TSM", "P", "D", "BRK/B", "TWELVELETTER", "9X", "NONAME"}
     with pytest.raises(ValueError):
         universe.checked_export(out, least_rows=100)
     with pytest.raises(ValueError):
-        universe.checked_export(listing(spark, [("9X", "n", "", "", "", "")] * 2 + [("A", "n", "", "", "", "")] * 8), least_rows=5)
+        universe.checked_export(
+            listing(spark, [("9X", "n", "", "", "", "")] * 2 + [("A", "n", "", "", "", "")] * 8), least_rows=5
+        )
 
 
 def test_the_screen_of_a_group_takes_first_rows(spark):
-    rows = listing(spark, [("aa", "first", "CHIPS", "Tech", "united states", "5"), ("AA", "larger", "chips", "Tech", "United States", "9"), ("BB", "b", "chips", "Tech", "France", "9"), ("CC", "c", "chips", "Tech", "United States", "n/a")]).coalesce(1)
+    rows = listing(
+        spark,
+        [
+            ("aa", "first", "CHIPS", "Tech", "united states", "5"),
+            ("AA", "larger", "chips", "Tech", "United States", "9"),
+            ("BB", "b", "chips", "Tech", "France", "9"),
+            ("CC", "c", "chips", "Tech", "United States", "n/a"),
+        ],
+    ).coalesce(1)
     out = universe.screened(rows, ["Chips"], ["UNITED STATES"], sector="tech").collect()
     assert sorted((r.symbol, r.name, r.market_cap) for r in out) == [("AA", "first", 5.0), ("CC", "c", 0.0)]
 
 
 def test_membership_over_time(spark):
     schema = "symbol string, name string, sector string, industry string, country string, ipo_year int, market_cap double"
-    first = spark.createDataFrame([("AAA", "a", "s", "i", "US", 2020, 1.0), ("BBB", "b", "s", "i", "US", 2010, 1.0)], schema)
+    first = spark.createDataFrame(
+        [("AAA", "a", "s", "i", "US", 2020, 1.0), ("BBB", "b", "s", "i", "US", 2010, 1.0)], schema
+    )
     one = universe.synced(None, first, "2024-01-15", "2018-01-01")
     assert {r.symbol: str(r.effective_from) for r in one.collect()} == {"AAA": "2020-01-01", "BBB": "2018-01-01"}
-    second = spark.createDataFrame([("AAA", "a", "s", "i", "US", 2020, 2.0), ("CCC", "c", "s", "i", "US", 2001, 1.0)], schema)
+    second = spark.createDataFrame(
+        [("AAA", "a", "s", "i", "US", 2020, 2.0), ("CCC", "c", "s", "i", "US", 2001, 1.0)], schema
+    )
     two = {r.symbol: r for r in universe.synced(one, second, "2024-02-15", "2018-01-01").collect()}
     assert str(two["CCC"].effective_from) == "2024-02-15" and not two["BBB"].active and two["AAA"].market_cap == 2.0
     assert universe.retention(one, second).first().share == 0.5
 
 
 def test_listed_symbols_themes_and_candidates(spark):
-    lines = spark.createDataFrame([("AAA", "Alpha Chip Co", "N", "N"), ("ETFX", "Some Fund", "N", "Y"), ("TST", "Test", "Y", "N"), ("WWW", "Chips Inc Warrant", "N", "N"), ("File Creation Time: 1", None, None, None)], "`Symbol` string, `Security Name` string, `Test Issue` string, `ETF` string")
+    lines = spark.createDataFrame(
+        [
+            ("AAA", "Alpha Chip Co", "N", "N"),
+            ("ETFX", "Some Fund", "N", "Y"),
+            ("TST", "Test", "Y", "N"),
+            ("WWW", "Chips Inc Warrant", "N", "N"),
+            ("File Creation Time: 1", None, None, None),
+        ],
+        "`Symbol` string, `Security Name` string, `Test Issue` string, `ETF` string",
+    )
     out = universe.listed(lines)
-    assert {r.ticker for r in out.collect()} == {"AAA", "ETFX", "WWW"} and {r.exchange for r in out.collect()} == {"NASDAQ"}
-    other = spark.createDataFrame([("AAA", "Twice", "N", "N", "N"), ("mkt.a", "Small", "A", "N", "N"), ("ARC", "Fund", "P", "N", "Y"), ("ODD", "x", "?", "N", "N"), ("A$B", "x", "N", "N", "N")], "`ACT Symbol` string, `Security Name` string, `Exchange` string, `Test Issue` string, `ETF` string")
+    assert {r.ticker for r in out.collect()} == {"AAA", "ETFX", "WWW"} and {
+        r.exchange for r in out.collect()
+    } == {"NASDAQ"}
+    other = spark.createDataFrame(
+        [
+            ("AAA", "Twice", "N", "N", "N"),
+            ("mkt.a", "Small", "A", "N", "N"),
+            ("ARC", "Fund", "P", "N", "Y"),
+            ("ODD", "x", "?", "N", "N"),
+            ("A$B", "x", "N", "N", "N"),
+        ],
+        "`ACT Symbol` string, `Security Name` string, `Exchange` string, `Test Issue` string, `ETF` string",
+    )
     every = {r.ticker: (r.name, r.exchange) for r in universe.all_listed(lines, other).collect()}
     assert every["AAA"] == ("Alpha Chip Co", "NASDAQ") and every["mkt.a"][1] == "NYSE MKT" and every["ARC"][1] == "NYSE ARCA" and every["ODD"][1] == "OTHER" and "A$B" not in every
     assert {r.ticker for r in universe.candidates(out, {"chip": ["chip"]}, [], []).collect()} == {"AAA"}
     assert {r.ticker for r in universe.candidates(out, {}, ["ETFX"], ["AAA"]).collect()} == {"AAA", "ETFX"}
-    found = spark.range(1).select(universe.themes(F.lit("Microchips and chips"), {"a": ["chip"], "b": ["microchip"], "c": ["micro"]}).alias("t")).first().t
+    found = spark.range(1).select(
+        universe.themes(F.lit("Microchips and chips"), {"a": ["chip"], "b": ["microchip"], "c": ["micro"]}).alias("t")
+    ).first().t
     assert found == ["a", "b"]
 
 
 def test_snapshot_rows(spark):
     text = '{"data":{"rows":[{"symbol":"A","name":"n","marketCap":"$1"},{"symbol":"B"}]},"status":{"rCode":200}}'
-    rows = universe.snapshot_rows(spark.createDataFrame([(text,), ('{"status":{"rCode":500}}',), ("broken",)], "payload string"))
+    rows = universe.snapshot_rows(
+        spark.createDataFrame([(text,), ('{"status":{"rCode":500}}',), ("broken",)], "payload string")
+    )
     assert [r.symbol for r in rows.orderBy("symbol").collect()] == ["A", "B"]
 
 
@@ -248,7 +354,13 @@ def test_config(tmp_path):
 
 
 def test_plans_run(spark, bars):
-    config = Config(threshold=0.2, benchmark="MARKET", backtest=Backtest("2020-01-01", "2021-12-31", 1, 1, 5, 10, 0.02, (5, 10), (20, 40), 3), washout_gate=-0.1, alarm_gate=10.0)
+    config = Config(
+        threshold=0.2,
+        benchmark="MARKET",
+        backtest=Backtest("2020-01-01", "2021-12-31", 1, 1, 5, 10, 0.02, (5, 10), (20, 40), 3),
+        washout_gate=-0.1,
+        alarm_gate=10.0,
+    )
     groups = bars.where("ticker <> 'MARKET'").select("cluster", "ticker").distinct()
     tables = screen.screen(bars, config, "2021-06-01", groups)
     assert screen.summary(tables).count() == len(NAMES)
@@ -262,7 +374,16 @@ def test_plans_run(spark, bars):
 
 def test_regime_plan(spark, bars):
     panel = source.panel(bars.where("ticker <> 'MARKET'"))
-    out, metrics, importance = regime.run(panel, screen.market_of(bars, "MARKET"), horizon=10, pca_window=60, least=150, learn=60, refit=60, trees=40)
+    out, metrics, importance = regime.run(
+        panel,
+        screen.market_of(bars, "MARKET"),
+        horizon=10,
+        pca_window=60,
+        least=150,
+        learn=60,
+        refit=60,
+        trees=40,
+    )
     rows = out.where("probability is not null").collect()
     assert rows and all(r.signal in ("bullish", "bearish", "neutral") for r in rows)
     assert metrics.first().n > 0
@@ -275,7 +396,10 @@ def test_regime_plan(spark, bars):
 
 def test_importance_of_a_model_with_one_target_or_none(spark):
     """All futures of one sign leave nothing to split: a row a column, each 0, and no live probability. Without a future there are no rows."""
-    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i % 7), float(i % 5), 0.01 if i < 50 else None) for i in range(60)]
+    rows = [
+        (dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i % 7), float(i % 5), 0.01 if i < 50 else None)
+        for i in range(60)
+    ]
     frame = spark.createDataFrame(rows, "date date, a double, b double, future double")
     for one in (frame, frame.withColumn("future", -F.col("future"))):
         live, importance = models.live_boosted(one, ["b", "a"], "future", trees=5)
@@ -293,8 +417,13 @@ def test_finite_rows_and_what_the_optimizer_keeps_of_them(spark, tmp_path):
     """Conditions kept for 12 columns are some dozens, not 2 to the power of 12."""
     columns = [f"c{i}" for i in range(12)]
     odd = [1.0, None, float("nan"), float("inf"), -float("inf"), -1e308]
-    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), 0.1, *[v if j == i else 0.0 for j in range(12)]) for i, v in enumerate(odd)]
-    spark.createDataFrame(rows, "date date, future double, " + ", ".join(f"{c} double" for c in columns)).write.parquet(str(tmp_path / "frame"))
+    rows = [
+        (dt.date(2020, 1, 1) + dt.timedelta(days=i), 0.1, *[v if j == i else 0.0 for j in range(12)])
+        for i, v in enumerate(odd)
+    ]
+    spark.createDataFrame(
+        rows, "date date, future double, " + ", ".join(f"{c} double" for c in columns)
+    ).write.parquet(str(tmp_path / "frame"))
     frame = spark.read.parquet(str(tmp_path / "frame"))
     complete = models._complete(frame, columns, "future")
     node, kept = complete._jdf.queryExecution().analyzed(), []
@@ -345,10 +474,17 @@ def test_the_first_split_against_brute_force():
     x, y = rng.normal(size=(60, 3)), (rng.random(60) > 0.4).astype(float)
     model = BoostedTrees(trees=1, depth=1, rate=1.0, rows=1.1, columns=1.0, ridge=2.0, least_weight=0.0).fit(x, y)
     g, h = 0.5 - y, np.full(60, 0.25)
-    best = max(((g[m].sum() ** 2 / (h[m].sum() + 2) + g[~m].sum() ** 2 / (h[~m].sum() + 2)), j, c) for j in range(3) for c in x[:, j] if (m := x[:, j] < c).any())
+    best = max(
+        ((g[m].sum() ** 2 / (h[m].sum() + 2) + g[~m].sum() ** 2 / (h[~m].sum() + 2)), j, c)
+        for j in range(3)
+        for c in x[:, j]
+        if (m := x[:, j] < c).any()
+    )
     root = model.grown[0]
     assert root.feature == best[1] and np.array_equal(x[:, root.feature] < root.cut, x[:, best[1]] < best[2])
-    assert root.left.weight == pytest.approx(-g[x[:, root.feature] < root.cut].sum() / (h[x[:, root.feature] < root.cut].sum() + 2))
+    assert root.left.weight == pytest.approx(
+        -g[x[:, root.feature] < root.cut].sum() / (h[x[:, root.feature] < root.cut].sum() + 2)
+    )
 
 
 def test_causal_regimes_look_at_the_past_only(spark):
@@ -356,12 +492,17 @@ def test_causal_regimes_look_at_the_past_only(spark):
     calm = np.r_[rng.normal(0.02, 0.01, 120), rng.normal(-0.03, 0.03, 60), rng.normal(0.02, 0.01, 70)]
     rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), float(v), float(abs(v))) for i, v in enumerate(calm)]
     frame = spark.createDataFrame(rows, "date date, sector_return_20d double, v double")
-    got = {r.date: r for r in models.causal_regimes(frame, ["sector_return_20d", "v"], least=160, refit=20, states=2).collect()}
+    got = {
+        r.date: r
+        for r in models.causal_regimes(frame, ["sector_return_20d", "v"], least=160, refit=20, states=2).collect()
+    }
     assert len(got) == 90
     bear = [got[rows[i][0]].hmm_bear_probability for i in range(160, 178)]
     bull = [got[rows[i][0]].hmm_bull_probability for i in range(200, 250)]
     assert np.mean(bear) > 0.8 and np.mean(bull) > 0.8
-    short = models.causal_regimes(frame.where(F.col("date") < rows[220][0]), ["sector_return_20d", "v"], least=160, refit=20, states=2).collect()
+    short = models.causal_regimes(
+        frame.where(F.col("date") < rows[220][0]), ["sector_return_20d", "v"], least=160, refit=20, states=2
+    ).collect()
     assert all(abs(r.hmm_bear_probability - got[r.date].hmm_bear_probability) < 1e-9 for r in short)
 
 
@@ -373,7 +514,14 @@ def test_a_filtered_state_against_all_paths():
     tail = x[:5]
     density = models._log_density(tail, model.means, model.covs)
     paths = list(itertools.product(range(3), repeat=5))
-    logs = np.array([np.log(model.start[p[0]] + 1e-300) + sum(density[t, s] for t, s in enumerate(p)) + sum(np.log(model.step[a, b] + 1e-300) for a, b in zip(p, p[1:])) for p in paths])
+    logs = np.array(
+        [
+            np.log(model.start[p[0]] + 1e-300) + sum(density[t, s] for t, s in enumerate(p)) + sum(
+                np.log(model.step[a, b] + 1e-300) for a, b in zip(p, p[1:])
+            )
+            for p in paths
+        ]
+    )
     share = np.exp(logs - logs.max())
     last = np.array([share[[p[-1] == s for p in paths]].sum() for s in range(3)]) / share.sum()
     assert np.allclose(model.filtered(tail)[-1], last)
@@ -413,7 +561,11 @@ def test_pair_values_against_pandas():
 def test_the_component_of_more_tickers_than_dates(spark):
     rng = np.random.default_rng(9)
     common = rng.normal(size=30)
-    rows = [(f"T{j:02}", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(common[i] + 0.5 * rng.normal())) for j in range(40) for i in range(30)]
+    rows = [
+        (f"T{j:02}", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(common[i] + 0.5 * rng.normal()))
+        for j in range(40)
+        for i in range(30)
+    ]
     got = correlation.rolling_pca(spark.createDataFrame(rows, "ticker string, date date, ret double"), 20).collect()
     wide = pd.DataFrame(rows, columns=["t", "d", "v"]).pivot(index="d", columns="t", values="v")
     for r in got:
@@ -421,4 +573,6 @@ def test_the_component_of_more_tickers_than_dates(spark):
         z = ((x - x.mean()) / x.std(ddof=0)).to_numpy()
         _, scale, axes = np.linalg.svd(z, full_matrices=False)
         sign = 1 if axes[0].sum() >= 0 else -1
-        assert r.pca_explained_variance == pytest.approx(scale[0] ** 2 / (scale**2).sum()) and r.pca_factor == pytest.approx(sign * (z @ axes[0])[-1])
+        assert r.pca_explained_variance == pytest.approx(
+            scale[0] ** 2 / (scale**2).sum()
+        ) and r.pca_factor == pytest.approx(sign * (z @ axes[0])[-1])

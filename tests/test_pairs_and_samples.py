@@ -18,7 +18,9 @@ def days(n):
 
 def test_a_key_permutes_every_range(spark):
     rows = [(n, k, a) for n in (1, 2, 3, 7, 50, 357) for k in (0, 5, 123_456_789) for a in range(n)]
-    got = spark.createDataFrame(rows, "n int, k long, a int").select("n", "k", permute.permuted(F.col("a"), F.col("n"), F.col("k")).alias("p")).collect()
+    got = spark.createDataFrame(rows, "n int, k long, a int").select(
+        "n", "k", permute.permuted(F.col("a"), F.col("n"), F.col("k")).alias("p")
+    ).collect()
     taken = {}
     for r in got:
         taken.setdefault((r.n, r.k), []).append(r.p)
@@ -27,8 +29,12 @@ def test_a_key_permutes_every_range(spark):
 
 
 def test_each_position_is_drawn_as_often(spark):
-    keys = spark.range(4000).select(permute.key_of(F.lit(0), F.col("id")).alias("key"), F.explode(F.array(F.lit(0), F.lit(1))).alias("a"))
-    counts = keys.select(permute.permuted(F.col("a"), F.lit(20), F.col("key")).alias("p")).groupBy("p").count().collect()
+    keys = spark.range(4000).select(
+        permute.key_of(F.lit(0), F.col("id")).alias("key"), F.explode(F.array(F.lit(0), F.lit(1))).alias("a")
+    )
+    counts = keys.select(
+        permute.permuted(F.col("a"), F.lit(20), F.col("key")).alias("p")
+    ).groupBy("p").count().collect()
     assert len(counts) == 20
     assert sum((r["count"] - 400) ** 2 / 400 for r in counts) < 45  # chi squared of 19 degrees, beyond a thousandth
 
@@ -47,7 +53,11 @@ def test_a_draw_has_no_day_twice_and_as_many_as_signals(spark):
 
 def returns(seed, tickers, n, gap=0.2):
     rng = np.random.default_rng(seed)
-    wide = pd.DataFrame(rng.normal(size=(n, tickers)) + rng.normal(size=(n, 1)), index=days(n), columns=[f"T{j:03}" for j in range(tickers)])
+    wide = pd.DataFrame(
+        rng.normal(size=(n, tickers)) + rng.normal(size=(n, 1)),
+        index=days(n),
+        columns=[f"T{j:03}" for j in range(tickers)],
+    )
     return wide.mask(rng.random((n, tickers)) < gap)
 
 
@@ -93,7 +103,12 @@ def test_moving_sums_against_whole_products():
 def naive_linkage(dist, cut):
     groups = [[i] for i in range(len(dist))]
     while len(groups) > 1:
-        best = min((np.mean([dist[a, b] for a in g for b in h]), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+        best = min(
+            (np.mean([dist[a, b] for a in g for b in h]), i, j)
+            for i, g in enumerate(groups)
+            for j, h in enumerate(groups)
+            if i < j
+        )
         if best[0] > cut:
             break
         groups[best[1]] += groups.pop(best[2])
@@ -138,9 +153,13 @@ def test_clusters_against_the_whole_matrix(spark):
 
 
 def test_components(spark):
-    edges = [(f"n{a:03}", f"n{a + 1:03}") for a in range(100, 140)] + [("b", "a"), ("c", "b"), ("z", "z")] + [("hub", f"x{i}") for i in range(30)]
+    edges = [(f"n{a:03}", f"n{a + 1:03}") for a in range(100, 140)] + [("b", "a"), ("c", "b"), ("z", "z")] + [
+        ("hub", f"x{i}") for i in range(30)
+    ]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a string, b string")).collect()}
-    assert {got[f"n{a}"] for a in range(100, 141)} == {"n100"} and got["c"] == "a" and got["x29"] == "hub" and "z" not in got
+    assert {
+        got[f"n{a}"] for a in range(100, 141)
+    } == {"n100"} and got["c"] == "a" and got["x29"] == "hub" and "z" not in got
 
 
 @pytest.mark.parametrize("n", [1, 2, 14])
@@ -157,7 +176,9 @@ def test_smoothing_against_pandas_with_gaps_and_across_blocks(spark, n):
             x[200:1400] = np.nan
         if t == "E":
             x[:] = np.nan
-        rows += [(t, d, None if np.isnan(v) else float(v), i) for i, (d, v) in enumerate(zip(days(size), x, strict=True))]
+        rows += [
+            (t, d, None if np.isnan(v) else float(v), i) for i, (d, v) in enumerate(zip(days(size), x, strict=True))
+        ]
         want[t] = pd.Series(x).ewm(alpha=1 / n, adjust=False).mean().to_numpy()
     frame = spark.createDataFrame(rows, "ticker string, date date, x double, k int")
     got = indicators.smoothed(frame, {"x": "y"}, n)
@@ -168,7 +189,9 @@ def test_smoothing_against_pandas_with_gaps_and_across_blocks(spark, n):
 
 
 def test_digests_of_rows_in_any_order(spark):
-    rows = [("A", d, 1.0, 2.0, 3.0, 4.0 + i, None) for i, d in enumerate(days(40))] + [("B", days(1)[0], None, None, None, 1.0, 2.0)]
+    rows = [("A", d, 1.0, 2.0, 3.0, 4.0 + i, None) for i, d in enumerate(days(40))] + [
+        ("B", days(1)[0], None, None, None, 1.0, 2.0)
+    ]
     frame = spark.createDataFrame(rows, source.BARS)
 
     def sums(f):
@@ -177,8 +200,15 @@ def test_digests_of_rows_in_any_order(spark):
     own = sums(frame)
     assert sums(frame.repartition(7).orderBy(F.rand(3))) == own
     assert sums(frame.unionByName(frame.where("ticker = 'B'")))["B"] != own["B"]
-    assert sums(frame.withColumn("close", F.when(F.col("date") == days(3)[2], 9.5).otherwise(F.col("close"))))["A"] != own["A"]
+    assert sums(
+        frame.withColumn("close", F.when(F.col("date") == days(3)[2], 9.5).otherwise(F.col("close")))
+    )["A"] != own["A"]
     pair = spark.createDataFrame([("a", "bc"), ("ab", "c"), ("", None), (None, "")], "x string, y string")
     assert pair.select(row_digest(F.col("x"), F.col("y")).alias("d")).distinct().count() == 4
-    one, two = (spark.createDataFrame([(x,) for x in xs], "x string").agg(multiset_digest(row_digest(F.col("x"))).alias("d")).first().d for xs in (["a", "a", "b"], ["a", "b", "b"]))
+    one, two = (
+        spark.createDataFrame([(x,) for x in xs], "x string").agg(
+            multiset_digest(row_digest(F.col("x"))).alias("d")
+        ).first().d
+        for xs in (["a", "a", "b"], ["a", "b", "b"])
+    )
     assert one != two

@@ -25,7 +25,9 @@ def bar(ticker, day, close=1.0):
 
 def test_a_provider_is_a_data_source(spark):
     spark.dataSource.register(provider.BarSource)
-    rows = spark.read.format("bars").options(tickers="A,B", start="2024-01-01", end="2024-02-01", fetcher="tests.test_sources:fake_bars").load()
+    rows = spark.read.format("bars").options(
+        tickers="A,B", start="2024-01-01", end="2024-02-01", fetcher="tests.test_sources:fake_bars"
+    ).load()
     assert rows.count() == 6 and {r.ticker for r in rows.select("ticker").distinct().collect()} == {"A", "B"}
 
 
@@ -42,7 +44,14 @@ def test_retries():
 
 
 def test_cleaning(spark):
-    raw = spark.createDataFrame([(" a ", "2024-01-01", "1", "2", "0", "1.5", "10", 1), ("A", "2024-01-01", "1", "2", "0", "1.7", "10", 2), ("A", "2024-01-02", "1", "2", "0", "bad", "10", 3)], "Ticker string, Date string, Open string, HIGH string, Low string, Close string, Volume string, seq int")
+    raw = spark.createDataFrame(
+        [
+            (" a ", "2024-01-01", "1", "2", "0", "1.5", "10", 1),
+            ("A", "2024-01-01", "1", "2", "0", "1.7", "10", 2),
+            ("A", "2024-01-02", "1", "2", "0", "bad", "10", 3),
+        ],
+        "Ticker string, Date string, Open string, HIGH string, Low string, Close string, Volume string, seq int",
+    )
     assert [(r.ticker, r.close) for r in source.cleaned(raw).collect()] == [("A", 1.7)]
     with pytest.raises(ValueError):
         source.cleaned(raw.drop("Close"))
@@ -61,9 +70,13 @@ def test_store_is_refreshed_and_never_cut(spark, tmp_path):
 
     def fetch(gaps):
         asked.append(sorted(map(tuple, gaps.collect())))
-        return spark.createDataFrame([bar("A", d, float(d)) for d in range(3)] if len(asked) == 1 else [bar("A", 3, 9.0)], source.BARS)
+        return spark.createDataFrame(
+            [bar("A", d, float(d)) for d in range(3)] if len(asked) == 1 else [bar("A", 3, 9.0)], source.BARS
+        )
 
-    first = {r.ticker: r.status for r in store.refresh(spark, path, ["A", "B"], "2024-01-01", "2024-01-03", fetch).collect()}
+    first = {
+        r.ticker: r.status for r in store.refresh(spark, path, ["A", "B"], "2024-01-01", "2024-01-03", fetch).collect()
+    }
     assert first == {"A": "fetched", "B": "failed"}
     store.refresh(spark, path, ["A"], "2024-01-01", "2024-01-04", fetch)
     assert asked[1] == [("A", dt.date(2024, 1, 4), dt.date(2024, 1, 4))]
@@ -127,7 +140,12 @@ def test_reports(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    trades = spark.createDataFrame([("A", dt.datetime(2024, 1, 1, h), float(h), 1) for h in range(1, 5)] + [("A", dt.datetime(2024, 1, 9), 1.0, 1)], "ticker string, ts timestamp, price double, quantity int")
+    trades = spark.createDataFrame(
+        [("A", dt.datetime(2024, 1, 1, h), float(h), 1) for h in range(1, 5)] + [
+            ("A", dt.datetime(2024, 1, 9), 1.0, 1)
+        ],
+        "ticker string, ts timestamp, price double, quantity int",
+    )
     trades.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(trades.schema).parquet(str(tmp_path / "in"))
     bars = incremental.bars_of_trades(stream)
@@ -137,9 +155,13 @@ def test_streams(spark, tmp_path):
     assert (first.open, first.high, first.low, first.close, first.volume) == (1.0, 4.0, 1.0, 4.0, 4.0)
     spark.createDataFrame([bar("A", 0), bar("B", 0)], source.BARS).write.parquet(str(tmp_path / "new"))
     path = str(tmp_path / "bars")
-    incremental.upsert(spark.readStream.schema(source.BARS).parquet(str(tmp_path / "new")), path, str(tmp_path / "cp")).awaitTermination(120)
+    incremental.upsert(
+        spark.readStream.schema(source.BARS).parquet(str(tmp_path / "new")), path, str(tmp_path / "cp")
+    ).awaitTermination(120)
     spark.createDataFrame([bar("A", 0, 5.0)], source.BARS).write.mode("append").parquet(str(tmp_path / "new"))
-    incremental.upsert(spark.readStream.schema(source.BARS).parquet(str(tmp_path / "new")), path, str(tmp_path / "cp")).awaitTermination(120)
+    incremental.upsert(
+        spark.readStream.schema(source.BARS).parquet(str(tmp_path / "new")), path, str(tmp_path / "cp")
+    ).awaitTermination(120)
     assert {r.ticker: r.close for r in source.read_store(spark, path).collect()} == {"A": 5.0, "B": 1.0}
 
 
@@ -148,8 +170,20 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["tables"] == ["clusters", "leaders", "rebound", "strength", "trend"]
     (tmp_path / "c.json").write_text('{"defaults": {"threshold": 0.4}}')
     assert cli.main(["validate", "--config", str(tmp_path / "c.json")]) == 0
-    (tmp_path / "e.csv").write_text("Symbol,Name,Industry,Sector,Country,IPO Year,Market Cap\nA,a,i,s,US,2020,1\nB,b,i,s,US,2010,2\n")
-    sync = ["sync-universe", "--export", str(tmp_path / "e.csv"), "--manifest", str(tmp_path / "m1"), "--out", str(tmp_path / "m2"), "--day", "2024-01-15"]
+    (tmp_path / "e.csv").write_text(
+        "Symbol,Name,Industry,Sector,Country,IPO Year,Market Cap\nA,a,i,s,US,2020,1\nB,b,i,s,US,2010,2\n"
+    )
+    sync = [
+        "sync-universe",
+        "--export",
+        str(tmp_path / "e.csv"),
+        "--manifest",
+        str(tmp_path / "m1"),
+        "--out",
+        str(tmp_path / "m2"),
+        "--day",
+        "2024-01-15",
+    ]
     assert cli.main(sync, spark) == 0 and spark.read.parquet(str(tmp_path / "m2")).count() == 2
     (tmp_path / "e.csv").write_text("Symbol,Name,Industry,Sector,Country,IPO Year,Market Cap\nC,c,i,s,US,2020,1\n")
     assert cli.main([*sync[:4], str(tmp_path / "m2"), "--out", str(tmp_path / "m3"), "--day", "2024-02-15"], spark) == 1
@@ -178,7 +212,14 @@ def _fetcher(spark, table, asked=None):
 
 def test_a_refresh_of_one_ticker_leaves_the_others(spark, tmp_path):
     path = str(tmp_path / "store")
-    store.refresh(spark, path, ["AAA", "BBB"], "2024-01-01", "2024-01-02", _fetcher(spark, [("AAA", 1, 1.0), ("AAA", 2, 1.0), ("BBB", 1, 5.0)]))
+    store.refresh(
+        spark,
+        path,
+        ["AAA", "BBB"],
+        "2024-01-01",
+        "2024-01-02",
+        _fetcher(spark, [("AAA", 1, 1.0), ("AAA", 2, 1.0), ("BBB", 1, 5.0)]),
+    )
     store.replace_tickers(spark.createDataFrame(_bars([("AAA", 1, 9.0), ("AAA", 2, 1.0)]), source.BARS), path)
     store.refresh(spark, path, ["BBB"], "2024-01-01", "2024-01-03", _fetcher(spark, [("BBB", 2, 6.0), ("BBB", 3, 7.0)]))
     got = {(r.ticker, r.date.day): r.close for r in source.read_store(spark, path).collect()}
@@ -190,7 +231,15 @@ def test_tail_and_force(spark, tmp_path):
     path, asked = str(tmp_path / "store"), []
     first = [("A", d, 1.0) for d in range(1, 11)]
     store.refresh(spark, path, ["A"], "2024-01-01", "2024-01-10", _fetcher(spark, first))
-    store.refresh(spark, path, ["A"], "2024-01-01", "2024-01-10", _fetcher(spark, [("A", d, 2.0) for d in range(1, 11)], asked), tail_days=3)
+    store.refresh(
+        spark,
+        path,
+        ["A"],
+        "2024-01-01",
+        "2024-01-10",
+        _fetcher(spark, [("A", d, 2.0) for d in range(1, 11)], asked),
+        tail_days=3,
+    )
     assert asked == [("A", "2024-01-07", "2024-01-10")]
     assert {r.date.day for r in source.read_store(spark, path).collect() if r.close == 2.0} == {7, 8, 9, 10}
     store.refresh(spark, path, ["A"], "2024-01-01", "2024-01-10", _fetcher(spark, [("A", 5, 3.0)]), force=True)

@@ -40,7 +40,12 @@ def test_query_has_the_rows_of_its_sql(spark, duck, name):
     want = sorted((tuple(plain(r[i]) for i in at) for r in other.fetchall()), key=str)
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
-        assert all(x == y or isinstance(x, (int, float)) and isinstance(y, (int, float)) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-6) for x, y in zip(a, b, strict=True)), (a, b)
+        assert all(
+            x == y or isinstance(x, (int, float)) and isinstance(y, (int, float)) and math.isclose(
+                x, y, rel_tol=1e-6, abs_tol=2e-6
+            )
+            for x, y in zip(a, b, strict=True)
+        ), (a, b)
 
 
 def test_entry_and_contract(spark):

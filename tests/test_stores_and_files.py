@@ -18,12 +18,18 @@ def days(n, start=dt.date(2020, 1, 1)):
 
 
 def test_day_files_are_read_back(spark, tmp_path):
-    rows = [("AAA", d, 1.5 + i, 100.0 * i) for i, d in enumerate(days(30))] + [("BBB", d, None if i == 2 else 7.25 - i, 5.0) for i, d in enumerate(days(6, days(30)[10]))]
+    rows = [("AAA", d, 1.5 + i, 100.0 * i) for i, d in enumerate(days(30))] + [
+        ("BBB", d, None if i == 2 else 7.25 - i, 5.0) for i, d in enumerate(days(6, days(30)[10]))
+    ]
     frame = spark.createDataFrame(rows, "ticker string, date date, close double, volume double")
     assert dayfiles.write(frame, str(tmp_path)) == 4
     assert sorted(map(tuple, dayfiles.read(spark, str(tmp_path)).collect())) == sorted(rows)
-    some = dayfiles.read(spark, str(tmp_path), ["close", "nothing"]).where("ticker = 'BBB' and date > '2020-01-12' and close > 0")
-    assert [(r.date.day, r.close, r.nothing) for r in some.orderBy("date").collect()] == [(14, 4.25, None), (15, 3.25, None), (16, 2.25, None)]
+    some = dayfiles.read(spark, str(tmp_path), ["close", "nothing"]).where(
+        "ticker = 'BBB' and date > '2020-01-12' and close > 0"
+    )
+    assert [(r.date.day, r.close, r.nothing) for r in some.orderBy("date").collect()] == [
+        (14, 4.25, None), (15, 3.25, None), (16, 2.25, None)
+    ]
     plain = (tmp_path / "features" / "bbb" / "close.day.bin").read_bytes()
     assert np.frombuffer(plain, "<f4")[0] == 10 and len(plain) == 4 * 7
 
@@ -51,7 +57,18 @@ def test_filters_that_a_reader_takes():
     from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan
 
     reader = dayfiles.DayFileReader({"path": "/x", "fields": "close"})
-    rest = list(reader.pushFilters([GreaterThanOrEqual(("date",), dt.date(2020, 1, 2)), LessThan(("date",), dt.date(2020, 2, 1)), In(("ticker",), ("A", "B")), EqualTo(("ticker",), "B"), IsNotNull(("date",)), GreaterThan(("close",), 1.0)]))
+    rest = list(
+        reader.pushFilters(
+            [
+                GreaterThanOrEqual(("date",), dt.date(2020, 1, 2)),
+                LessThan(("date",), dt.date(2020, 2, 1)),
+                In(("ticker",), ("A", "B")),
+                EqualTo(("ticker",), "B"),
+                IsNotNull(("date",)),
+                GreaterThan(("close",), 1.0),
+            ]
+        )
+    )
     assert (reader.low, reader.high, reader.tickers) == (dt.date(2020, 1, 2), dt.date(2020, 1, 31), {"B"})
     assert [type(f).__name__ for f in rest] == ["IsNotNull", "GreaterThan"]
 
@@ -74,14 +91,18 @@ def test_providers(spark, tmp_path):
 
 
 def priced(spark, ticker, n, close=1.0, start=dt.date(2020, 1, 1)):
-    return spark.createDataFrame([(ticker, d, close, close, close, close + i, 1.0) for i, d in enumerate(days(n, start))], source.BARS)
+    return spark.createDataFrame(
+        [(ticker, d, close, close, close, close + i, 1.0) for i, d in enumerate(days(n, start))], source.BARS
+    )
 
 
 def fetcher(spark, close=1.0, known=None):
     def fetch(gaps):
         own = gaps.where(F.col("ticker").isin(known)) if known is not None else gaps
         each = own.select("ticker", F.explode(F.sequence("gap_start", "gap_end")).alias("date"))
-        return each.select("ticker", "date", *[F.lit(close).alias(c) for c in ("open", "high", "low", "close", "volume")])
+        return each.select(
+            "ticker", "date", *[F.lit(close).alias(c) for c in ("open", "high", "low", "close", "volume")]
+        )
 
     return fetch
 
@@ -101,9 +122,13 @@ def test_two_refreshes_at_once_lose_nothing(spark, tmp_path):
     for t in threads:
         t.join()
     assert not errors
-    got = {r.ticker: r.n for r in source.read_store(spark, path).groupBy("ticker").agg(F.count("*").alias("n")).collect()}
+    got = {
+        r.ticker: r.n for r in source.read_store(spark, path).groupBy("ticker").agg(F.count("*").alias("n")).collect()
+    }
     assert got == dict.fromkeys(["AAA", "BBB", "CCC", "DDD"], 10)
-    assert store.corrupt(spark, path, list(got)) == [] and not list(tmp_path.glob("*.lock")) and not list(tmp_path.glob("*staged*"))
+    assert store.corrupt(spark, path, list(got)) == [] and not list(tmp_path.glob("*.lock")) and not list(
+        tmp_path.glob("*staged*")
+    )
 
 
 def test_locks(spark, tmp_path):
@@ -145,7 +170,9 @@ def test_a_run_that_dies_leaves_a_store_that_can_be_read(spark, tmp_path, monkey
         store.replace_tickers(priced(spark, "AAA", 9), path)
     monkeypatch.undo()
     # whichever step it was, a load has all of the old rows or all of the new
-    got = store.load(spark, path, ["AAA", "BBB"], "2020-01-01", "2020-02-01").groupBy("ticker").agg(F.count("*").alias("n")).collect()
+    got = store.load(
+        spark, path, ["AAA", "BBB"], "2020-01-01", "2020-02-01"
+    ).groupBy("ticker").agg(F.count("*").alias("n")).collect()
     assert {r.ticker: r.n for r in got} == {"AAA": 5 if step == "staging" else 9, "BBB": 5}
     assert not list(tmp_path.glob("*staged*"))
 
@@ -153,11 +180,30 @@ def test_a_run_that_dies_leaves_a_store_that_can_be_read(spark, tmp_path, monkey
 def test_a_download_has_a_gate_and_a_summary(spark, tmp_path):
     path, summary = str(tmp_path / "store"), str(tmp_path / "notes" / "last.json")
     with pytest.raises(RuntimeError, match="only 2 of 4"):
-        store.download(spark, path, ["A", "B", "C", "D"], "2020-01-01", "2020-01-05", fetcher(spark, known=["A", "B"]), 0.5)
-    found = store.download(spark, path, ["A", "B", "C", "D"], "2020-01-01", "2020-01-05", fetcher(spark, known=["C"]), 0.7, summary)
+        store.download(
+            spark,
+            path,
+            ["A", "B", "C", "D"],
+            "2020-01-01",
+            "2020-01-05",
+            fetcher(spark, known=["A", "B"]),
+            0.5,
+        )
+    found = store.download(
+        spark,
+        path,
+        ["A", "B", "C", "D"],
+        "2020-01-01",
+        "2020-01-05",
+        fetcher(spark, known=["C"]),
+        0.7,
+        summary,
+    )
     assert found == json.loads((tmp_path / "notes" / "last.json").read_text())
     assert found["failures"] == ["D"] and found["cache_hits"] == 2 and found["remote_fetches"] == 1
-    assert found["tickers"]["C"] == {"status": "fetched", "fetched_rows": 5, "rows": 5} and found["tickers"]["A"]["rows"] == 5
+    assert found["tickers"]["C"] == {
+        "status": "fetched", "fetched_rows": 5, "rows": 5
+    } and found["tickers"]["A"]["rows"] == 5
 
 
 def test_validation(spark):
@@ -174,11 +220,33 @@ def test_validation(spark):
 
 
 def test_a_universe_of_symbols_and_profiles(spark):
-    symbols = spark.createDataFrame([("A", "Alpha Chips Inc", "NYSE"), ("B", "Beta", None), ("C", "Gamma", "NASDAQ"), ("D", "Delta", "NYSE")], "ticker string, name string, exchange string")
-    profiles = spark.createDataFrame([("B", "Beta Foods", "Food", "makes optics for lasers"), ("C", None, "Semis", None)], "ticker string, long_name string, industry string, summary string")
-    bars = priced(spark, "A", 300, 10.0).unionByName(priced(spark, "B", 300, 1.0)).unionByName(priced(spark, "C", 20, 50.0))
-    got = {r.ticker: r for r in universe.built(symbols, profiles, bars, {"photonics": ["optic", "laser"], "chip": ["chip"]}, ["Semis"], 2.0, 100.0, 250).collect()}
+    symbols = spark.createDataFrame(
+        [("A", "Alpha Chips Inc", "NYSE"), ("B", "Beta", None), ("C", "Gamma", "NASDAQ"), ("D", "Delta", "NYSE")],
+        "ticker string, name string, exchange string",
+    )
+    profiles = spark.createDataFrame(
+        [("B", "Beta Foods", "Food", "makes optics for lasers"), ("C", None, "Semis", None)],
+        "ticker string, long_name string, industry string, summary string",
+    )
+    bars = priced(spark, "A", 300, 10.0).unionByName(priced(spark, "B", 300, 1.0)).unionByName(
+        priced(spark, "C", 20, 50.0)
+    )
+    got = {
+        r.ticker: r
+        for r in universe.built(
+            symbols,
+            profiles,
+            bars,
+            {"photonics": ["optic", "laser"], "chip": ["chip"]},
+            ["Semis"],
+            2.0,
+            100.0,
+            250,
+        ).collect()
+    }
     assert got["A"].included and got["A"].themes == "chip" and got["A"].industry == "" and got["A"].history_days == 300
     assert got["B"].name == "Beta Foods" and got["B"].themes == "photonics" and got["B"].exchange == "" and got["B"].included
     assert not got["C"].included and got["C"].name == "Gamma" and got["C"].reason == "insufficient history (20d); dollar_volume below floor (60)"
-    assert got["D"].reason == "off theme; insufficient history (0d); price below floor (0.00); dollar_volume below floor (0)"
+    assert got[
+        "D"
+    ].reason == "off theme; insufficient history (0d); price below floor (0.00); dollar_volume below floor (0)"
