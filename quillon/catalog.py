@@ -19,7 +19,7 @@ from quillon.plans import screen as screen_plan
 from quillon.plans.config import Backtest, Config
 from quillon.scratch import root, written
 from quillon.sources import bars as source
-from quillon.sources import dayfiles, provider
+from quillon.sources import dayfiles, provider, report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -499,6 +499,13 @@ def enrichment_candidates(spark, sf_dir):
     ).select("ticker", "name", "exchange")
 
 
+@query
+def newest_listing(spark, sf_dir):
+    """The last hundred purchases, the newest first."""
+    rows = source.table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "ts", "user_id")
+    return report.newest(rows, "ts", "event_id")
+
+
 @query
 def day_files(spark, sf_dir):
     """The bars as binary day files, of which some tickers' days are read back by a provider's range."""

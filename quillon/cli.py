@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillon.operators import dumps, universe
 from quillon.plans import backtest, regime, screen, sector
 from quillon.plans.config import Config, load
+from quillon.scratch import swept
 from quillon.sources import bars as source
 from quillon.sources import provider, report, store, synthetic
 
@@ -387,9 +388,11 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     given = parser().parse_args(args)
     run = COMMANDS[given.command][0]
-    if given.command != "validate" and spark is None:
-        spark = SparkSession.builder.appName("quillon").getOrCreate()
-    return run(given, spark)
+    if given.command == "validate":
+        return run(given, spark)
+    spark = spark or SparkSession.builder.appName("quillon").getOrCreate()
+    with swept(spark):  # what a plan has written for itself goes once its results are written
+        return run(given, spark)
 
 
 if __name__ == "__main__":

@@ -320,3 +320,4 @@ ORACLE_SQL["large_split"] = (
     + " gains AS (SELECT *, (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) / 2 AS gain FROM cum WHERE nv IS NOT NULL AND hl >= 1 AND ht - hl >= 1)"
     + " SELECT feature, round((v + nv) / 2, 6) AS cut, round(gain, 6) AS gain, round(-gl / (hl + 1), 6) AS left_weight, round(-(gt - gl) / (ht - hl + 1), 6) AS right_weight FROM gains WHERE gain > 1e-12 ORDER BY gain DESC, j, v LIMIT 1"
 )
+ORACLE_SQL["newest_listing"] = "SELECT event_id, ts, user_id FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 100"

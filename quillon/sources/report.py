@@ -8,6 +8,7 @@ import math
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Tables of a report have a row a ticker or a date; a table with more isn't collected.
 MOST_ROWS = 100_000
@@ -52,6 +53,11 @@ def markdown(frame: DataFrame, title: str) -> str:
     ) + "\n"
 
 
+def newest(frame: DataFrame, at: str, tie: str, most: int = 100) -> DataFrame:
+    """The rows that came last, the newest first, at most so many; of equal times the larger tie. Each task keeps its own last ones."""
+    return frame.orderBy(F.desc_nulls_last(at), F.desc_nulls_last(tie)).limit(most)
+
+
 def trend_label(score: float) -> str:
     return "strong up" if score >= 1 else "strong down" if score <= -1 else "mixed"
 

@@ -6,7 +6,7 @@ import json
 
 import pytest
 
-from quillon import cli
+from quillon import cli, scratch
 from quillon.operators import dumps
 from quillon.plans import config
 from quillon.sources import bars as source
@@ -67,9 +67,10 @@ def test_sample_screen_report_and_leaders(spark, tmp_path, capsys):
     }
     (tmp_path / "c.json").write_text(json.dumps(settings))
     plan = ["--bars", str(tmp_path / "sample.csv"), "--config", str(tmp_path / "c.json"), "--as-of", "2021-06-01"]
-    assert cli.main(
-        ["screen", *plan, "--out", str(tmp_path / "screen")], spark
-    ) == 0 and "leaders" in said(capsys)["tables"]
+    before = len(scratch._made)
+    assert cli.main(["screen", *plan, "--out", str(tmp_path / "screen")], spark) == 0
+    assert "leaders" in said(capsys)["tables"]
+    assert len(scratch._made) == before  # a command leaves none of its own tables
     assert cli.main(["report", *plan, "--out", str(tmp_path / "page.html")], spark) == 0
     assert (tmp_path / "page.html").read_text().startswith("<!DOCTYPE html>")
     assert cli.main(["rebound-leaders", *plan, "--out", str(tmp_path / "leaders")], spark) == 0
