@@ -113,7 +113,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id
     Adds n_lines (lines with words, before), removed_lines and removed_words; columns of these names are
     replaced. The first copy, by id, stays, as do shorter runs. Blank lines between two deleted lines go with them.
     Null text: stays null, counts 0. Empty texts stay. Rows that share id and text are one document and are edited alike; of rows that share
-    an id only, the order is by a hash of the text. Null ids come first. Empty table: no rows.
+    an id only, the order is by a hash of the text. Null ids come first. Very long texts are taken whole, a line a row, and so are put together
+    again by one task. Empty table: no rows.
     """
     runs = repeated_runs(docs, least, id_col, text_col)
     cuts = written(runs.groupBy(*_PLACE).agg(F.collect_list(F.struct("place", "lines")).alias("cuts")), "cuts")

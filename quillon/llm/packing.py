@@ -29,7 +29,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 1024, end
     (little-endian unsigned 32-bit), doc_tokens long, sequence_id long, offset long (0).
 
     Null or empty text: the end id alone. Repeated rows and ids: each row is packed by itself. A null id stays null.
-    Empty table: no rows. Other columns are not read.
+    Very long texts are taken whole, one batch of 256 texts at a time, and give as many pieces as they need. Empty table: no rows. Other columns are not read.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")

@@ -152,8 +152,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
     files under a name of its own and renames them; a task that runs again writes the same bytes. Returns the manifest,
     itself a written table: file, part, number, n_docs, n_ids, base (ids of all files before it).
 
-    Null text: empty, so the end id alone. Null ids come first. Repeated ids: by a hash of the text. Empty
-    table: no file.
+    Null text: empty, so the end id alone. Null ids come first. Repeated ids: by a hash of the text. Very long texts are taken whole: a document isn't
+    cut over files, so one of more than FILE_IDS ids makes a file of its own size, which its writer and its reader hold as ids and as bytes. Other columns are
+    not read. Empty table: no file.
     """
     spark = docs.sparkSession
     small_batches(spark)
