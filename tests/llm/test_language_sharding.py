@@ -161,3 +161,19 @@ def test_sharding_of_odd_rows(odd, none):
         own = sorted(r.slot for r in out if r.shard == shard)
         assert own == list(range(len(own)))
     assert sharding.numbered(sharding.assign(none, 4), ["doc_id"]).count() == 0
+
+
+def test_shares_of_odd_rows(spark, odd, none):
+    """Nulls, empty, blank and very long texts, repeated rows, shared and null ids, columns of clashing names, empty tables, no label."""
+    profiles = langid.learn_stretches(odd)
+    rows = langid.within(odd, profiles, least=0.0).collect()
+    assert len(rows) == len(ODD) and {"lang_pred", "share", "taught_as"} - set(rows[0].asDict()) == {"taught_as"}
+    by_id = {r.doc_id: r for r in rows}
+    assert all(by_id[i].share == 0 and by_id[i].lang_pred == "und" for i in (1, 2, 3))
+    assert len({(r.lang_pred, r.share) for r in rows if r.doc_id == 5}) == 1
+    assert all(0 <= r.share <= 1 for r in rows)
+    assert langid.within(none, profiles).count() == 0
+    nothing = langid.learn_stretches(none)
+    assert nothing.languages == () and {r.lang_pred for r in langid.within(odd, nothing).collect()} == {"und"}
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in langid.within(unlabelled, langid.learn_stretches(unlabelled)).collect()} == {"und"}
