@@ -52,7 +52,9 @@ def _sums(books: np.ndarray, length: int):
         part, entry, place = (a.ravel() for a in np.indices(books.shape))
         used = count[part, entry] > 0
         columns = [part, entry, place, total.ravel(), count[part, entry]]
-        yield pa.RecordBatch.from_arrays([pa.array(c[used].astype(np.int64)) for c in columns], ["part", "entry", "place", "total", "count"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c[used].astype(np.int64)) for c in columns], ["part", "entry", "place", "total", "count"]
+        )
 
     return run
 
@@ -70,7 +72,9 @@ def _coded(books: np.ndarray, length: int):
             text = [row.tobytes().hex() for row in codes]
             kept = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "vector"]
             names = [n for n in batch.schema.names if n != "vector"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(text, pa.string()), pa.array(error)], [*names, "code", "error"])
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(text, pa.string()), pa.array(error)], [*names, "code", "error"]
+            )
 
     return run
 
@@ -84,7 +88,9 @@ def fit(vectors: DataFrame, length: int, books: np.ndarray, rounds: int = ROUNDS
     own = vectors.select("vector")
     for _ in range(rounds):
         made = own.mapInArrow(_sums(books, length), "part long, entry long, place long, total long, count long")
-        merged = made.groupBy("part", "entry", "place").agg(F.sum("total").alias("total"), F.sum("count").alias("count")).collect()
+        merged = made.groupBy("part", "entry", "place").agg(
+            F.sum("total").alias("total"), F.sum("count").alias("count")
+        ).collect()
         books = books.copy()
         for r in merged:
             books[r.part, r.entry, r.place] = r.total // r["count"]
@@ -96,7 +102,16 @@ def digest(books: np.ndarray) -> str:
     return hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
 
 
-def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> tuple[DataFrame, np.ndarray]:
+def compress(
+    vectors: DataFrame,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    label_col: str = "label",
+    parts: int = PARTS,
+    entries: int = ENTRIES,
+    rounds: int = ROUNDS,
+    scale: int = SCALE,
+) -> tuple[DataFrame, np.ndarray]:
     """The id, label, code, error and label_error of each vector, and the codebooks.
 
     Components become floor(scale * x). A vector is cut into equal parts, and a part's code is the index of its codebook's nearest entry, as two
@@ -115,21 +130,31 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         raise ValueError("from 1 to 256 entries")
     ident, label = "id", "label"
     finite = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.select(F.col(id_col).alias(ident), F.col(label_col).alias(label), F.col(vector_col).cast("array<double>").alias("raw")).where(F.col("raw").isNotNull() & finite)
+    rows = vectors.select(
+        F.col(id_col).alias(ident), F.col(label_col).alias(label), F.col(vector_col).cast("array<double>").alias("raw")
+    ).where(F.col("raw").isNotNull() & finite)
     order = [F.col(ident).asc_nulls_last(), F.col("raw").asc()]
     first = rows.orderBy(*order).limit(entries).select("raw").collect()
     length = len(first[0].raw) if first else 0
     most = largest_component(length)
-    small = F.forall("raw", lambda x: F.abs(F.floor(x * scale).cast("double")) <= float(most)) if length else F.lit(True)
+    small = F.forall(
+        "raw", lambda x: F.abs(F.floor(x * scale).cast("double")) <= float(most)
+    ) if length else F.lit(True)
     fits = (F.size("raw") == length) & small & F.lit(length % parts == 0)
     whole = F.when(fits, F.transform("raw", lambda x: F.floor(x * scale).cast("long")))
     kept = written(rows.select(ident, label, whole.alias("vector")), "vectors")
     valid = kept.where("vector is not null")
     width = length // parts
-    starts = valid.orderBy(F.col(ident).asc_nulls_last(), F.col("vector").asc()).limit(entries).select("vector").collect()
-    books = np.array([r.vector for r in starts], np.int64).reshape(len(starts), parts, width).transpose(1, 0, 2).copy() if starts else np.zeros((parts, 0, width), np.int64)
+    starts = valid.orderBy(
+        F.col(ident).asc_nulls_last(), F.col("vector").asc()
+    ).limit(entries).select("vector").collect()
+    books = np.array([r.vector for r in starts], np.int64).reshape(
+        len(starts), parts, width
+    ).transpose(1, 0, 2).copy() if starts else np.zeros((parts, 0, width), np.int64)
     kinds = f"{ident} {kept.schema[ident].dataType.simpleString()}, {label} {kept.schema[label].dataType.simpleString()}, code string, error long"
-    out = kept.where("vector is null").select(ident, label, F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
+    out = kept.where("vector is null").select(
+        ident, label, F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error")
+    )
     if starts:
         books = fit(valid, length, books, rounds)
         out = out.unionByName(valid.mapInArrow(_coded(books, length), kinds))
@@ -137,5 +162,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     deleted(kept)
     (other,) = fresh(coded, "same")
     by_label = coded.groupBy(F.col(label).alias(other)).agg(F.sum("error").alias("label_error"))
-    found = coded.join(by_label, F.col(label).eqNullSafe(F.col(other))).select(F.col(ident).alias(id_col), F.col(label).alias(label_col), "code", "error", "label_error")
+    found = coded.join(by_label, F.col(label).eqNullSafe(F.col(other))).select(
+        F.col(ident).alias(id_col), F.col(label).alias(label_col), "code", "error", "label_error"
+    )
     return found, books

@@ -18,7 +18,10 @@ def brute(rows, parts=8, entries=16, rounds=6):
     if not kept:
         return {}, []
     width = len(kept[0][1]) // parts
-    cut = [[[math.floor(4096 * float(np.float32(x))) for x in v[p * width : (p + 1) * width]] for p in range(parts)] for _, v, _ in kept]
+    cut = [
+        [[math.floor(4096 * float(np.float32(x))) for x in v[p * width : (p + 1) * width]] for p in range(parts)]
+        for _, v, _ in kept
+    ]
     books = [[cut[i][p] for i in range(min(entries, len(kept)))] for p in range(parts)]
 
     def nearest(x, book):
@@ -45,19 +48,33 @@ def brute(rows, parts=8, entries=16, rounds=6):
 
 def vectors(seed, n=90, dim=16):
     rng = np.random.default_rng(seed)
-    rows = [(int(i), [float(np.float32(x)) for x in rng.normal(size=dim)], int(rng.integers(0, 3)) if rng.random() < 0.8 else None) for i in rng.permutation(1000)[:n]]
+    rows = [
+        (
+            int(i),
+            [float(np.float32(x)) for x in rng.normal(size=dim)],
+            int(rng.integers(0, 3)) if rng.random() < 0.8 else None,
+        )
+        for i in rng.permutation(1000)[:n]
+    ]
     return rows + [(2000 + i, rows[0][1], 1) for i in range(30)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_codes_against_loops(spark, seed):
     rows = vectors(seed)
-    odd = [(5000, None, 1), (5001, [None] + [0.0] * 15, 1), (5002, [float("nan")] + [0.0] * 15, 1), (5003, [float("inf")] + [0.0] * 15, None)]
+    odd = [
+        (5000, None, 1),
+        (5001, [None] + [0.0] * 15, 1),
+        (5002, [float("nan")] + [0.0] * 15, 1),
+        (5003, [float("inf")] + [0.0] * 15, None),
+    ]
     got, books = vectorcodes.compress(spark.createDataFrame(rows + odd, DDL).repartition(7))
     want, wanted = brute(rows)
     assert sorted(((r.vec_id, r.code, r.error, r.label_error) for r in got.collect()), key=str) == want
     assert books.tolist() == wanted
-    assert vectorcodes.digest(books) == hashlib.sha256(",".join(str(x) for b in wanted for e in b for x in e).encode()).hexdigest()
+    assert vectorcodes.digest(books) == hashlib.sha256(
+        ",".join(str(x) for b in wanted for e in b for x in e).encode()
+    ).hexdigest()
 
 
 def test_ties_go_to_the_first_entry_and_unused_entries_stay(spark):
@@ -76,7 +93,14 @@ def test_floors_go_down(spark):
 def test_odd_vectors(spark):
     assert vectorcodes.compress(spark.createDataFrame([], DDL))[0].count() == 0
     assert vectorcodes.compress(spark.createDataFrame([(1, None, 2)], DDL))[0].count() == 0
-    rows = [(None, [1.0] * 8, None), (1, [0.5] * 8, None), (1, [0.5] * 8, None), (2, [1.0] * 9, 3), (3, [1e30] * 8, 3), (4, [], 3)]
+    rows = [
+        (None, [1.0] * 8, None),
+        (1, [0.5] * 8, None),
+        (1, [0.5] * 8, None),
+        (2, [1.0] * 9, 3),
+        (3, [1e30] * 8, 3),
+        (4, [], 3),
+    ]
     got, books = vectorcodes.compress(spark.createDataFrame(rows, DDL))
     by_id = {r.vec_id: r for r in got.collect()}
     assert got.count() == 6 and len(books[0]) == 3
