@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches
+from .common import fresh, give_back, small_batches
 
 DIMENSIONS = 512
 #: The sample to learn from: about so many texts of each language, chosen by a hash of the id.
 SAMPLE_PER_LANGUAGE = 1000
 #: For the share of a text in a language, texts are cut into stretches of about so many trigrams, and vectors are longer, as stretches are short.
 STRETCH, STRETCH_DIMENSIONS = 150, 2048
-#: A stretch is in a language whose prototype its distinct trigrams are at least so near as a part of what the language's own stretches are on average. Of whole
-#: held-out texts of sf0.01 none is lost, of their first 15, 30 and 60 characters 1 in 1,000; of junk of two words 17 in 1,000 are near enough, of five none.
+#: A stretch is in a language whose prototype its trigrams are at least so near, on average, as a part of what the language's own trigrams are. Of whole
+#: held-out texts of sf0.01 none is lost, of their first 15, 30 and 60 characters 1 in 1,000; of junk of two words 8 in 1,000 are near enough, of five none.
 NEAR_ENOUGH = 0.45
 #: A text is in its languages by this share of its trigrams at least.
 LEAST_SHARE = 0.5
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, profiles: LanguageProfiles, text_col: str = "text"
 
 @dataclass(frozen=True)
 class StretchProfiles:
-    """What is learned of stretches: for each language the sum of its texts' unit bundles, the sum of its stretches' trigrams, and their number. rates: of the sample."""
+    """What is learned of stretches: for each language the sum of its texts' unit bundles, the sum of all their trigrams, and the number of these. rates: of the sample."""
 
     languages: tuple[str, ...]
     bundles: np.ndarray
@@ -217,7 +217,7 @@ class StretchProfiles:
         return self.bundles / np.maximum(np.linalg.norm(self.bundles, axis=1, keepdims=True), 1e-12)
 
     def usual(self) -> np.ndarray:
-        """How near a language's own trigrams are to its prototype, on average over stretches."""
+        """How near a language's own trigrams are to its prototype, on average."""
         return (self.stretches * self.prototypes()).sum(axis=1) / np.maximum(self.counts, 1)
 
     def without(self, language: str, bundle: np.ndarray, stretches: np.ndarray, count: int) -> StretchProfiles:
@@ -235,26 +235,23 @@ def stretched(codes: np.ndarray, of: np.ndarray, texts: int) -> tuple[np.ndarray
 
 
 def _taught_by(grams: Trigrams, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Of a text: the unit bundle of its distinct trigrams, the sum of those that are distinct in their stretch, and the number of these."""
-    codes, of = grams.codes([text])
-    keys, back = np.unique(codes, return_inverse=True)
-    stretch, _ = stretched(codes, of, 1)
-    pairs = np.unique(stretch * max(len(keys), 1) + back)
-    times = np.bincount(pairs % max(len(keys), 1), minlength=len(keys))
+    """Of a text: the unit bundle of its distinct trigrams, the sum of all its trigrams, and their number."""
+    codes, _ = grams.codes([text])
+    keys, times = np.unique(codes, return_counts=True)
     bundle, total = np.zeros(grams.dimensions), np.zeros(grams.dimensions)
-    for at in range(0, len(keys), _COLUMNS):
-        v = grams.vectors(keys[at : at + _COLUMNS]).astype(np.float32)
+    for at in range(0, len(keys), 1024):
+        v = grams.vectors(keys[at : at + 1024]).astype(np.float32)
         bundle += v.sum(axis=0)
-        total += times[at : at + _COLUMNS].astype(np.float32) @ v
+        total += times[at : at + 1024].astype(np.float32) @ v
     norm = np.linalg.norm(bundle)
-    return bundle / norm if norm > 0 else bundle, total, len(pairs)
+    return bundle / norm if norm > 0 else bundle, total, len(codes)
 
 
 def learn_stretches(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> StretchProfiles:
     """Prototypes for the share of a text in a language, from the sample that ``learn`` takes, and as there for odd rows.
 
-    Here a text bundles its distinct trigrams. A text weighs as much as another, however long, so a label on junk teaches next to nothing; stretches
-    weigh by their trigrams.
+    Here a text bundles its distinct trigrams. In the prototype a text weighs as much as another, however long, so a label on junk teaches next to
+    nothing; in what is usual each trigram counts.
     """
     small_batches(labelled.sparkSession)
     sample, rates = _sample(labelled, per_language, id_col, text_col, lang_col)
@@ -268,6 +265,8 @@ def learn_stretches(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE
         if total:
             made = [pa.array([t[i].tolist() for t in total.values()], pa.list_(pa.float64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(total), *made, pa.array([t[2] for t in total.values()], pa.int64())], ["lang", "bundles", "stretches", "n"])
+        del grams
+        give_back()
 
     found: dict[str, list] = {}
     rows = sample.mapInArrow(sums, "lang string, bundles array<double>, stretches array<double>, n long").collect() if rates else []
@@ -280,39 +279,76 @@ def learn_stretches(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE
 
 
 class _Projections:
-    """How near trigrams are to the prototypes; each is worked out once, and about ``most`` are kept."""
+    """How near trigrams are to the prototypes; each is worked out once.
 
-    def __init__(self, grams: Trigrams, prototypes: np.ndarray, most: int = 1 << 18):
+    Trigrams of the first 63 letters that come, and the space, have a place in a table; others are looked up in order, and about ``most`` of these are kept.
+    """
+
+    def __init__(self, grams: Trigrams, prototypes: np.ndarray, most: int = 1 << 16):
         self.grams, self.prototypes, self.most = grams, prototypes.astype(np.float32), most
         self.codes, self.values = np.empty(0, np.int64), np.empty((0, len(prototypes)), np.float32)
+        self.number, self.letters = np.full(sys.maxunicode + 1, -1, np.int8), [32]
+        self.number[32] = 0
+        self.table, self.known = np.empty((1 << 18, len(prototypes)), np.float32), np.zeros(1 << 18, bool)
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
+    def _made(self, keys: np.ndarray) -> np.ndarray:
+        parts = [self.grams.vectors(keys[at : at + 1024]).astype(np.float32) @ self.prototypes.T for at in range(0, len(keys), 1024)]
+        return np.concatenate(parts) if parts else self.values[:0]
+
+    def _sorted(self, keys: np.ndarray) -> np.ndarray:
         """For sorted distinct trigrams."""
         new = keys[~np.isin(keys, self.codes, assume_unique=True)]
         if len(new):
             if len(self.codes) > self.most:
                 self.codes, self.values, new = np.empty(0, np.int64), self.values[:0], keys
-            made = [self.grams.vectors(new[at : at + 1024]).astype(np.float32) @ self.prototypes.T for at in range(0, len(new), 1024)]
-            codes, values = np.concatenate([self.codes, new]), np.concatenate([self.values, *made])
+            codes, values = np.concatenate([self.codes, new]), np.concatenate([self.values, self._made(new)])
             order = np.argsort(codes)
             self.codes, self.values = codes[order], values[order]
         return self.values[np.searchsorted(self.codes, keys)]
 
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """For trigrams in any order: a row for each."""
+        letters = [codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF]
+        if len(self.letters) < 64:
+            for letter in np.unique(letters[1][self.number[letters[1]] < 0])[: 64 - len(self.letters)].tolist():
+                self.number[letter] = len(self.letters)
+                self.letters.append(letter)
+        a, b, c = (self.number[x].astype(np.int32) for x in letters)
+        place, common = a << 12 | b << 6 | c, np.minimum(np.minimum(a, b), c) >= 0
+        out = np.empty((len(codes), len(self.prototypes)), np.float32)
+        own = place[common]
+        if len(missing := np.unique(own[~self.known[own]])):
+            held = np.array(self.letters, np.int64)
+            self.table[missing] = self._made(held[missing >> 12] << 42 | held[missing >> 6 & 63] << 21 | held[missing & 63])
+            self.known[missing] = True
+        out[common] = self.table[own]
+        if len(own) < len(codes):
+            keys, back = np.unique(codes[~common], return_inverse=True)
+            out[~common] = self._sorted(keys)[back]
+        return out
+
+
+def _portions(texts: list[str | None], most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Texts in portions of so many characters or of one text, so that memory grows with the longest text alone."""
+    low, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > low and size + len(text or "") > most:
+            yield low, i
+            low, size = i, 0
+        size += len(text or "")
+    if texts:
+        yield low, len(texts)
+
 
 def _shares(texts: list[str | None], grams: Trigrams, near: _Projections, usual: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's language (its place, -1 for none), which most of the trigrams in wanted languages are in, and their share."""
     codes, of = grams.codes(texts)
-    keys, back = np.unique(codes, return_inverse=True)
     stretch, text = stretched(codes, of, len(texts))
-    pairs = np.unique(stretch * max(len(keys), 1) + back)
-    values = near.of(keys)[pairs % max(len(keys), 1)] if len(keys) else np.empty((0, len(usual)))
-    owner = pairs // max(len(keys), 1)
-    n = np.maximum(np.bincount(owner, minlength=len(text)), 1)
-    nearness = np.column_stack([np.bincount(owner, values[:, j], len(text)) / n for j in range(len(usual))])
+    values, size = near.of(codes), np.bincount(stretch, minlength=len(text))
+    nearness = np.column_stack([np.bincount(stretch, values[:, j], len(text)) / np.maximum(size, 1) for j in range(len(usual))])
     ratio = np.where(usual > 0, nearness / np.where(usual > 0, usual, 1.0), -np.inf)
     best = ratio.argmax(axis=1)
     inside = (ratio[np.arange(len(text)), best] >= NEAR_ENOUGH) & wanted[best]
-    size = np.bincount(stretch, minlength=len(text))
     votes = np.zeros((len(texts), len(usual)))
     np.add.at(votes, (text[inside], best[inside]), size[inside])
     total = np.bincount(of, minlength=len(texts))
@@ -347,13 +383,16 @@ def within(docs: DataFrame, profiles: StretchProfiles, wanted: tuple[str, ...] |
             taught = part.column(part.num_columns - 1).to_pylist()
             found, share = np.full(len(texts), -1), np.zeros(len(texts))
             if names:
-                found, share = _shares(texts, grams, near, usual, asked)
+                for low, high in _portions(texts):
+                    found[low:high], share[low:high] = _shares(texts[low:high], grams, near, usual, asked)
                 for i in [i for i, k in enumerate(taught) if k in names]:
                     others = profiles.without(taught[i], *_taught_by(grams, texts[i]))
                     one, own = _shares([texts[i]], grams, _Projections(grams, others.prototypes()), others.usual(), asked)
                     found[i], share[i] = one[0], own[0]
             lang = [names[b] if b >= 0 and s >= least else "und" for b, s in zip(found, share, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(share)], [*part.schema.names[:-1], "lang_pred", "share"])
+        del grams, near
+        give_back()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1]), "lang_pred string", "share double"])
     return given.mapInArrow(judge, schema)

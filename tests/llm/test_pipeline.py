@@ -103,7 +103,7 @@ def loops_of_the_language_stage(docs):
     for k, text, lang in docs:
         cut = stretches(text or "")
         bundle = total({c for s in cut for c in s})
-        known[k] = cut, lang, bundle / max(np.linalg.norm(bundle), 1e-12), sum(total(set(s)) for s in cut), sum(len(set(s)) for s in cut)
+        known[k] = cut, lang, bundle / max(np.linalg.norm(bundle), 1e-12), sum(total(s) for s in cut), sum(len(s) for s in cut)
     langs = sorted({v[1] for v in known.values() if v[1] is not None and v[4]})
     sums = {x: [sum(v[i] for v in known.values() if v[1] == x) for i in (2, 3, 4)] for x in langs}
     out = {}
@@ -111,7 +111,7 @@ def loops_of_the_language_stage(docs):
         votes = dict.fromkeys(langs, 0)
         for s in cut:
             best, which = -np.inf, None
-            vector = total(set(s)) / max(len(set(s)), 1)
+            vector = total(s) / max(len(s), 1)
             for x in langs:
                 bundle, stretch, n = (a - b if x == lang else a for a, b in zip(sums[x], own, strict=True))
                 p = bundle / max(np.linalg.norm(bundle), 1e-12)
