@@ -208,6 +208,11 @@ def liquidity(bars: DataFrame, n: int = 60) -> DataFrame:
     )
 
 
+def _printed(x: Column, digits: int) -> Column:
+    """x with so many decimals, by its exact binary value and ties to even, as C and Python print it. format_string rounds the shortest decimal form, ties up."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
+
+
 def with_reasons(
     rows: DataFrame, scope: Column, least_price: float = 2.0, least_dollars: float = 5e6, least_days: int = 250
 ) -> DataFrame:
@@ -218,8 +223,8 @@ def with_reasons(
     no = [
         F.when(~true(scope), "off theme"),
         F.when(days < least_days, F.format_string("insufficient history (%dd)", days)),
-        F.when(price < least_price, F.format_string("price below floor (%.2f)", price)),
-        F.when(dollars < least_dollars, F.format_string("dollar_volume below floor (%.0f)", dollars)),
+        F.when(price < least_price, F.format_string("price below floor (%s)", _printed(price, 2))),
+        F.when(dollars < least_dollars, F.format_string("dollar_volume below floor (%s)", _printed(dollars, 0))),
     ]
     reasons = F.array_compact(F.array(*no))
     return rows.withColumns({"included": F.size(reasons) == 0, "reason": F.concat_ws("; ", reasons)})

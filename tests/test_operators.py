@@ -576,3 +576,14 @@ def test_the_component_of_more_tickers_than_dates(spark):
         assert r.pca_explained_variance == pytest.approx(
             scale[0] ** 2 / (scale**2).sum()
         ) and r.pca_factor == pytest.approx(sign * (z @ axes[0])[-1])
+
+
+def test_reasons_print_numbers_by_their_exact_value(spark):
+    """Ties go to even and numbers just below a tie go down, as C, Python and the SQL print them."""
+    numbers = [866.635, 1234.125, 1234.375, 1.005, 0.5, 2.5, 3.5, 0.0, 12.0, 59999.5, 885.885]
+    rows = spark.createDataFrame(
+        [(i, 300, x, x) for i, x in enumerate(numbers)],
+        "i int, history_days long, last_close double, median_dollar_volume double",
+    )
+    out = universe.with_reasons(rows, F.lit(True), 1e5, 1e5, 250).orderBy("i").collect()
+    assert [r.reason for r in out] == [f"price below floor ({x:.2f}); dollar_volume below floor ({x:.0f})" for x in numbers]
