@@ -36,14 +36,20 @@ def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
 
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bars, written once for a query that takes them several times, so that trades are read once."""
-    return written(source.bars(spark, sf_dir), "bars")
+    """The bars without open, written once for a query that takes them several times, so that trades are read once."""
+    return written(source.bars(spark, sf_dir).drop("open"), "bars")
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.panel(held(spark, sf_dir), values=("close", "volume", "high", "low"))
 
 
+def dense_and_market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The dense panel and the benchmark, from one reading of the trades."""
+    own = written(source.totals(spark, sf_dir).drop("open"), "bars")
+    return source.panel(own, values=("close", "volume", "high", "low")), source.market_of(own)
+
+
 @query
 def bars(spark, sf_dir):
     return rounded(source.bars(spark, sf_dir))
@@ -51,7 +57,7 @@ def bars(spark, sf_dir):
 
 @query
 def panel(spark, sf_dir):
-    return rounded(source.panel(source.bars(spark, sf_dir)))
+    return rounded(source.panel(held(spark, sf_dir)))
 
 
 @query
@@ -75,7 +81,7 @@ def min_history(spark, sf_dir):
 
 @query
 def coverage_gate(spark, sf_dir):
-    return source.coverage_gate(source.bars(spark, sf_dir), 25, 357, 0.8)
+    return source.coverage_gate(held(spark, sf_dir), 25, 357, 0.8)
 
 
 @query
@@ -86,7 +92,7 @@ def returns(spark, sf_dir):
 @query
 def beta_residual(spark, sf_dir):
     return rounded(
-        features.residuals(dense(spark, sf_dir), source.market(spark, sf_dir)).select(
+        features.residuals(*dense_and_market(spark, sf_dir)).select(
             "ticker", "date", "bench", "beta", "resid"
         )
     )
@@ -94,7 +100,7 @@ def beta_residual(spark, sf_dir):
 
 @query
 def group_features(spark, sf_dir):
-    return rounded(features.group_features(dense(spark, sf_dir), source.market(spark, sf_dir)))
+    return rounded(features.group_features(*dense_and_market(spark, sf_dir)))
 
 
 @query
@@ -117,18 +123,15 @@ def rolling_median_correlation(spark, sf_dir):
     return rounded(correlation.rolling_median(features.returns(dense(spark, sf_dir))))
 
 
-def log_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.market(spark, sf_dir).select(
-        "date", (F.ln("market") - F.ln(F.lag("market").over(by_date()))).alias("f")
-    )
+def log_factor(market: DataFrame) -> DataFrame:
+    return market.select("date", (F.ln("market") - F.ln(F.lag("market").over(by_date()))).alias("f"))
 
 
 @query
 def residualize(spark, sf_dir):
+    own, market = dense_and_market(spark, sf_dir)
     return rounded(
-        correlation.residualize(features.returns(dense(spark, sf_dir)), log_factor(spark, sf_dir)).select(
-            "ticker", "date", "resid"
-        )
+        correlation.residualize(features.returns(own), log_factor(market)).select("ticker", "date", "resid")
     )
 
 
@@ -326,7 +329,7 @@ def refresh_gaps(spark, sf_dir):
 
 @query
 def merge_keep_last(spark, sf_dir):
-    own = source.bars(spark, sf_dir)
+    own = written(source.bars(spark, sf_dir), "bars")
     return rounded(
         source.merged(
             source.as_of(own, "1999-12-31"), own.where("date >= '1999-06-01'").withColumn("close", F.col("close") * 2)
@@ -569,7 +572,7 @@ def set_changes(spark, sf_dir):
 
 @query
 def signals(spark, sf_dir):
-    rows = features.group_features(dense(spark, sf_dir), source.market(spark, sf_dir))
+    rows = features.group_features(*dense_and_market(spark, sf_dir))
     k = F.row_number().over(Window.orderBy("date"))
     given = rows.withColumns({"k": k}).withColumns(
         {
@@ -651,7 +654,7 @@ def correlation_clusters(spark, sf_dir):
 @query
 def rolling_pca_residual(spark, sf_dir):
     return rounded(
-        correlation.rolling_pca(features.residuals(dense(spark, sf_dir), source.market(spark, sf_dir)), 126, "resid")
+        correlation.rolling_pca(features.residuals(*dense_and_market(spark, sf_dir)), 126, "resid")
     )
 
 
@@ -662,7 +665,7 @@ def rolling_pca_sector(spark, sf_dir):
 
 @query
 def hmm_regimes(spark, sf_dir):
-    rows = features.group_features(dense(spark, sf_dir), source.market(spark, sf_dir))
+    rows = features.group_features(*dense_and_market(spark, sf_dir))
     return rounded(
         models.walk_forward_regimes(rows, ["group_return", "realized_volatility", "breadth_above_ma20"], 200, 42)
     )
@@ -670,7 +673,7 @@ def hmm_regimes(spark, sf_dir):
 
 def regimes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return regime.run(
-        dense(spark, sf_dir), source.market(spark, sf_dir), horizon=10, pca_window=60, least=120, learn=60
+        *dense_and_market(spark, sf_dir), horizon=10, pca_window=60, least=120, learn=60
     )
 
 

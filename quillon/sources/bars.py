@@ -23,7 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as trades: ticker is the customer's nation, cluster its region, date the week of shipping."""
+    """Line items as trades: ticker is the customer's nation, cluster its region, date the week of shipping.
+
+    Orders meet their customers first, so line items are shuffled once, with the nation's number and no names, and only with the columns that are asked for.
+    """
     line = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_partkey",
@@ -32,45 +35,61 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity",
         "l_extendedprice",
         "l_shipdate",
+        F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     # 25 nations and 5 regions at any scale factor
     nation = table(spark, sf_dir, "nation").join(
         F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")
     ).select("n_nationkey", F.col("n_name").alias("ticker"), F.col("r_name").alias("cluster"))
-    full = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        customer, F.col("o_custkey") == F.col("c_custkey")
-    ).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    full = line.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")
+    )
     return full.select(
         "ticker",
         "cluster",
-        F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
+        "date",
         F.col("l_extendedprice").alias("amount"),
         F.col("l_quantity").alias("quantity"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("at"),
     )
 
 
+def _total() -> Column:
+    return F.sum(F.col("amount").cast("decimal(18,2)"))
+
+
 def _bar_columns() -> list[Column]:
     price = F.col("amount") / F.col("quantity")
     return [
         F.min_by(price, "at").alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
-        (F.sum(F.col("amount").cast("decimal(18,2)")).cast("double") / F.sum("quantity")).alias("close"),
+        (_total().cast("double") / F.sum("quantity")).alias("close"),
         F.sum("quantity").alias("volume"),
     ]
 
 
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars with amount, the exact sum of their trades. Without open, each task's sums are kept by hash; open needs them sorted."""
+    return trades(spark, sf_dir).groupBy("ticker", "cluster", "date").agg(*_bar_columns(), _total().alias("amount"))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, cluster, date, open, high, low, close, volume."""
-    return trades(spark, sf_dir).groupBy("ticker", "cluster", "date").agg(*_bar_columns())
+    return totals(spark, sf_dir).drop("amount")
+
+
+def market_of(sums: DataFrame) -> DataFrame:
+    """The benchmark of bars with amount, so that trades aren't read again: date, market, the close of all trades together."""
+    return sums.groupBy("date").agg((F.sum("amount").cast("double") / F.sum("volume")).alias("market"))
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark: date, market, the close of all trades together."""
-    return trades(spark, sf_dir).groupBy("date").agg(_bar_columns()[3].alias("market"))
+    return market_of(totals(spark, sf_dir))
 
 
 def as_of(frame: DataFrame, cutoff: str) -> DataFrame:
