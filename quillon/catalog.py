@@ -188,7 +188,7 @@ def ma_stack(spark, sf_dir):
 
 @query
 def trend_table(spark, sf_dir):
-    return rounded(indicators.trend_table(source.bars(spark, sf_dir)))
+    return rounded(indicators.trend_table(held(spark, sf_dir)))
 
 
 @query

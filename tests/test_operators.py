@@ -587,3 +587,17 @@ def test_reasons_print_numbers_by_their_exact_value(spark):
     )
     out = universe.with_reasons(rows, F.lit(True), 1e5, 1e5, 250).orderBy("i").collect()
     assert [r.reason for r in out] == [f"price below floor ({x:.2f}); dollar_volume below floor ({x:.0f})" for x in numbers]
+
+
+def test_market_queries_read_trades_once(spark):
+    """The features that hmm_regimes learns from and trend_table read the written bars, not the trades again, and bars without open need no sort of trades."""
+    from quillon import catalog
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("group_features", "trend_table"):
+        files = catalog.QUERIES[name](spark, folder).inputFiles()
+        assert files and not [f for f in files if "lineitem" in f], name
+    plan = source.bars(spark, folder).drop("open")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    placed = source.trades(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert placed.index("Join Inner, (l_orderkey") < placed.index("Join Inner, (o_custkey"), "orders meet customers before line items"
