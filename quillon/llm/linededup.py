@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import deleted, fresh, small_batches, written
+from .common import deleted, fresh, give_back, small_batches, written
 
 #: A repeated run is deleted if it has so many words.
 LEAST_WORDS = 50
@@ -46,6 +46,7 @@ def _lines_of(least: int):
                         for column, value in zip(columns, (doc, tie, place, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), a, b), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 2 + (pa.int32(),) + (pa.int64(),) * 2 + (pa.int32(),) * 2, strict=True)], ["doc", "tie", "place", "h1", "h2", "ahead", "back"])
+        give_back()
 
     return lines
 
@@ -149,6 +150,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str = "doc_id
                 before.append(total), gone.append(int(cut[:total].sum())), lost.append(removed)
             columns = [c if i != at else pa.array(texts, pa.string()) for i, c in enumerate(batch.columns[: len(rest)])]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (before, gone, lost))], [*rest, "n_lines", "removed_lines", "removed_words"])
+        give_back()
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema} | {text_col: "string"}
     return joined.mapInArrow(edit, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "n_lines long, removed_lines long, removed_words long"]))

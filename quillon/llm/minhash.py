@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILAR_PERCENT, deleted, fresh, small_batches, written
+from .common import SHINGLE_WORDS, SIMILAR_PERCENT, deleted, fresh, give_back, small_batches, written
 from .components import components
 
 #: A pair at similarity s meets in no band with probability (1 - s^4)^32: 5e-6 at 0.75.
@@ -83,6 +83,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = zip(*map(_feature, part.column(2).to_pylist()), strict=True)
             made = [pa.array(list(values), f.type) for values, f in zip(found, list(_FEATURES)[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], schema=_FEATURES)
+    give_back()
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +104,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles = shingle_set(text).view(np.int64)
             n = len(shingles)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, n, np.int32)), pa.array(np.full(n, _prefix_length(n), np.int32)), pa.array(shingles)], ["rep", "size", "prefix", "shingle"])
+    give_back()
 
 
 def similar_sets(x: np.ndarray, y: np.ndarray, percent: int = SIMILAR_PERCENT) -> bool:
@@ -124,6 +126,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, x, y = (batch.column(i).to_pylist() for i in (1, 2, 3))
         ok = [similar_sets(shingle_set(p), of(j, q)) for j, p, q in zip(b, x, y, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    kept.clear()
+    give_back()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 from .tokens import default_tokenizer, encoder
 
 
@@ -18,7 +18,7 @@ def binary_pieces(n: int, longest: int = 1024) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", kept: int | None = None) -> DataFrame:
     """Sequences of at most ``longest`` ids (a power of two) without padding or foreign documents.
 
     A document's ids and then ``end_id`` are cut into pieces of 1, 2, 4 ... ``longest`` ids; pieces of equal
@@ -30,6 +30,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 1024, end
 
     Null or empty text: the end id alone. Repeated rows and ids: each row is packed by itself. A null id stays null.
     Very long texts are taken whole, one batch of 256 texts at a time, and give as many pieces as they need. Empty table: no rows. Other columns are not read.
+
+    kept: a task keeps the ids of so many parts of texts at most, and drops them at its end, for plans that go on in the same workers. If not given, a worker
+    keeps up to 1,000,000 for its next tasks.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -38,7 +41,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 1024, end
     names = ["key", "piece", "start", "length", "bucket", "ids", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        own = encoder(path) if kept is None else encoder(path, kept)
+        encode = own.encode
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -51,6 +55,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 1024, end
                             column.append(value)
                         start += n
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names)
+        if kept is not None:
+            own.forget()
+            give_back()
 
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["key"].dataType.simpleString()

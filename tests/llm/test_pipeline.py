@@ -177,3 +177,20 @@ def test_stretches_are_even():
     codes, of = np.arange(700), np.repeat([0, 2, 3], [10, 520, 170])
     stretch, text = langid.stretched(codes, of, 5)
     assert np.bincount(stretch, minlength=len(text)).tolist() == [10, 0, 174, 173, 173, 170, 0] and text.tolist() == [0, 1, 2, 2, 2, 3, 4]
+
+
+def test_packing_stage_leaves_nothing_in_workers(spark, documents):
+    """Workers serve later stages, so a task of the packing stage drops the parts of texts that it has kept; the rows are those of the operator."""
+    from quillon.llm import packing, tokens
+
+    path = tokens.default_tokenizer()
+    got = corpus_pipeline.pack(spark, documents, "").drop("sequence_id").collect()
+
+    def held(parts):
+        own = tokens.encoder(path, corpus_pipeline.KEPT_PARTS)
+        for _ in parts:
+            yield sum(map(len, (own.parts, own.old_parts, own.pieces, own.old_pieces)))
+
+    assert max(spark.sparkContext.parallelize(range(8), 8).mapPartitions(held).collect()) == 0
+    whole = packing.pack(documents).select("doc_id", "start", "length", F.crc32("ids"), "doc_tokens", "offset").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, whole), key=repr)
